@@ -25,7 +25,7 @@ OP1_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
   FROM d),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) AS u(i)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
@@ -36,7 +36,7 @@ m AS (
     CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines,
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
-    len(list_filter(ws, x -> x IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)}))) AS n_stop
+    len(list_filter(ws, lambda x: x IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)}))) AS n_stop
   FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
