@@ -64,12 +64,12 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_sorted", F.when(F.col("_repeated"), F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("w"), i.alias("i"))))))
     pairs = F.zip_with(
         "_sorted",
-        F.slice("_sorted", 2, 2147483647),
+        F.slice("_sorted", F.lit(2), F.greatest(F.size("_sorted"), F.lit(0))),
         lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
     )
     df = df.withColumn("_hit", F.when(F.col("_repeated"), F.array_sort(F.array_distinct(F.flatten(pairs)))))
     covered = F.aggregate(
-        F.zip_with("_hit", F.slice("_hit", 2, 2147483647), lambda a, b: F.when(b.isNull(), WINDOW).otherwise(F.least(F.lit(WINDOW), b - a))),
+        F.zip_with("_hit", F.slice("_hit", F.lit(2), F.greatest(F.size("_hit"), F.lit(0))), lambda a, b: F.when(b.isNull(), WINDOW).otherwise(F.least(F.lit(WINDOW), b - a))),
         F.lit(0),
         lambda s, x: s + x,
     )
