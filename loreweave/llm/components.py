@@ -1,0 +1,32 @@
+"""Connected components over a table of links, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loreweave.llm.common import cut
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of links (a, b: long): component is the smallest node reachable.
+
+    Each round moves links towards the smallest node and is written to the shared folder, so lineage stays short and a
+    lost executor costs one round. Nodes without a link, self-links and nulls give no row; no links: no rows.
+    """
+    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    seen = None
+    for _ in range(most_rounds):
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if mark == seen:
+            break
+        seen = mark
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
+        now = cut(small.distinct(), "links")
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
