@@ -6,13 +6,14 @@ derives the digest columns of its result from the operator's real output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import chat, decontaminate, quality_rules, simhash
-from loreweave.llm.common import pick, table
+from loreweave.llm import chat, decontaminate, orc_ids, packing, quality_rules, simhash
+from loreweave.llm.common import pick, shared_folder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +109,30 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed tokenizer collection."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/loreweave/ids-{uuid.uuid4().hex}"
+    orc_ids.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return orc_ids.digests(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op6_packing": op6_packing,
+    "op9_orc_token_ids": op9_orc_token_ids,
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_decontamination": OP3_SQL}
