@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.llm.common import cut, parallelism, pick
-from loreweave.llm.tokens import Encoder
+from loreweave.llm.tokens import encoder
 
 END_ID = 2
 #: Rows that are encoded and handed on together.
@@ -35,13 +35,13 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Rows in ascending order of doc_id: range partitions in order, each with its running count of ids."""
 
     def run(batches):
-        encoder = Encoder(tokenizer, leading=False)
+        ids_of = encoder(tokenizer, False).encode
         end = np.array([end_id], "<u4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                ids = [x + end for x in encoder.encode(some.column("text").to_pylist())]
+                ids = [x + end for x in ids_of(some.column("text").to_pylist())]
                 ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
                 values = np.frombuffer(b"".join(ids), "<i4")
                 yield pa.RecordBatch.from_arrays(
