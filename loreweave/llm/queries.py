@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import chat, decontaminate, orc_ids, packing, quality_rules, simhash
-from loreweave.llm.common import pick, shared_folder, table
+from loreweave.llm import chat, decontaminate, language, orc_ids, packing, quality_classifier, quality_rules, simhash, toxicity
+from loreweave.llm.common import held_out, pick, shared_folder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +127,32 @@ def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.digests(spark, path)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.learn(docs)).select("doc_id", "score", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_orc_token_ids": op9_orc_token_ids,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_decontamination": OP3_SQL}
