@@ -10,35 +10,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loreweave.llm.common import pick
-from loreweave.llm.tokens import Encoder
+from loreweave.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 1
 #: A document's last part is cut into pieces of at most so many ids; small pieces balance well.
 PIECE = 512
 #: Documents that are packed together. Groups are independent, so a lost task is simply run again.
-GROUP = 512
+GROUP = 1024
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """The indexes of sizes in k windows of near-equal sums: the two partial partitions of the largest imbalance merge, the
-    fullest windows of one with the emptiest of the other, until one is left."""
+    """The indexes of sizes in k windows of near-equal sums.
+
+    The sizes in descending order, k at a time, are the first partial partitions. The two of the largest imbalance merge, the
+    fullest windows of one with the emptiest of the other, until one is left.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     heap = []
-    for i, s in enumerate(sizes):
+    for n, at in enumerate(range(0, len(order), k)):
+        some = order[at : at + k]
         sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [[i], *[[] for _ in range(k - 1)]] if k else []))
+        sums[: len(some)] = [sizes[i] for i in some]
+        sums -= sums[-1]
+        heap.append((-int(sums[0]), n, sums, [*[[i] for i in some], *[[] for _ in range(k - len(some))]]))
     heapq.heapify(heap)
-    n = len(sizes)
+    n = len(heap)
     while len(heap) > 1:
         _, _, a, xs = heapq.heappop(heap)
         _, _, b, ys = heapq.heappop(heap)
         sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
+        rank = np.argsort(-sums, kind="stable")
+        sums = sums[rank]
         sums -= sums[-1]
-        joined = [x + y if y else x for x, y in zip(xs, reversed(ys), strict=True)]
-        heapq.heappush(heap, (-int(sums[0]), n, sums, [joined[i] for i in order.tolist()]))
+        joined = [x + y for x, y in zip(xs, reversed(ys), strict=True)]
+        heapq.heappush(heap, (-int(sums[0]), n, sums, [joined[i] for i in rank.tolist()]))
         n += 1
     return heap[0][3] if heap else []
 
@@ -97,13 +103,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """
 
     def run(batches):
-        encoder = Encoder(tokenizer, leading=True)
+        ids_of = encoder(tokenizer, True).encode
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
-                ids = [x + end for x in encoder.encode(part.column("text").to_pylist())]
+                ids = [x + end for x in ids_of(part.column("text").to_pylist())]
                 names = part.column("doc_id").to_pylist()
                 rows = pack_group([len(x) // 4 for x in ids], capacity)
                 yield pa.RecordBatch.from_arrays(
