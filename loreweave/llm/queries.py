@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import chat, decontaminate, language, orc_ids, packing, quality_classifier, quality_rules, simhash, toxicity
+from loreweave.llm import chat, decontaminate, language, orc_ids, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from loreweave.llm.common import held_out, pick, shared_folder, table
 
 
@@ -133,6 +133,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -151,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_orc_token_ids": op9_orc_token_ids,
     "op10_quality_classifier": op10_quality_classifier,
