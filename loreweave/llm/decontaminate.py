@@ -180,18 +180,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """docs (doc_id, text) with n_words, spans (hit words, from start to before end, merged) and item_ids (sorted strings).
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The columns `keep` of docs (text and more) with n_words, spans (hit words, from start to before end, merged) and item_ids (sorted strings).
 
     Whole texts are matched; null and empty texts have no words and no spans. Items without words match nothing; repeated
     items count once. No items: no spans. Rows with one id twice are matched each on its own.
     """
-    docs = pick(docs, "doc_id", "text")
+    docs = pick(docs, *dict.fromkeys([*keep, "text"]))
     groups = groups_of(benchmark, group_bytes)
     out = docs
     for k, items in enumerate(groups):
         last = k == len(groups) - 1
-        kept = [f for f in docs.schema.fields if f.name != "text" or keep_text or not last]
+        kept = [f for f in docs.schema.fields if f.name in keep or not last]
         automaton = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + MATCHES
         out = out.mapInArrow(_matcher(automaton, [f.name for f in kept]), schema)
@@ -205,6 +205,14 @@ def judged(matches: DataFrame, coverage: int = COVERAGE) -> DataFrame:
     return matches.withColumns({"n_hit": n_hit, "n_items": F.size("item_ids").cast("long")}).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+    """docs without the contaminated ones, whose hit spans are over the coverage limit; the others stay as they are, with all columns."""
+    names = docs.columns
+    inner = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(names)]
+    found = judged(find_spans(docs.toDF(*inner), benchmark, window, tuple(inner)), coverage)
+    return found.where("NOT contaminated").select(*inner).toDF(*names)
+
+
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the characters from each span's first word to its last; a line break stays at each cut."""
     raw = text.encode("utf-8", "surrogatepass")
