@@ -1 +1 @@
-"""Memory analytics as Spark plans."""
+"""Memory analytics as Spark plans: retrieval, temporal graph, text pipelines and governance over session memory."""

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loreweave.plans import catalog_graph, catalog_retrieval, catalog_tables, catalog_text
+from loreweave.plans.registry import QUERIES, ORACLES
+
+__all__ = ["catalog_graph", "catalog_retrieval", "catalog_tables", "catalog_text", "flagship", "oracle_sql", "queries"]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["hybrid_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1 +1 @@
-"""Memory analytics on Spark: functions."""
+"""Column expressions and vectorised functions."""

@@ -1 +1 @@
-"""Memory analytics on Spark: operators."""
+"""Operators: functions from DataFrames to DataFrames."""

@@ -1 +1 @@
-"""Memory analytics on Spark: plans."""
+"""Operators composed into whole queries."""

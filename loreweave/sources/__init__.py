@@ -1 +1 @@
-"""Memory analytics on Spark: sources."""
+"""Tables, views and files that the operators read."""

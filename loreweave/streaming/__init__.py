@@ -1 +1 @@
-"""Memory analytics on Spark: streaming."""
+"""Structured Streaming over the append-only logs."""
