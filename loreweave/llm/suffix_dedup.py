@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,11 @@ GRAMS = LENGTH - GRAM + 1
 BLOCK, PLACE = 1 << 18, (1 << 20) - 1
 #: Members of a 32-gram that are sorted together at most, or a share of all anchors if that is more.
 FREQUENT, FREQUENT_SHARE = 1000, 50_000
-#: Bytes of text in one slice of step 1.
-SLICE = 8 << 20
+#: Bytes of text that are looked at together in steps 1 and 2.
+SLICE = 4 << 20
+
+#: Bytes of text to a range of hashes, and ranges at least. A slice sends a row to a range only if it has something for it.
+BUCKET, LEAST_BUCKETS = 2 << 20, 64
 
 _RNG = np.random.default_rng(100)
 TABLES = _RNG.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,8 +71,6 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     A window is left out unless it lies in one text. Long input is hashed block by block.
     """
     hs, ps, firsts, lasts = [], [], [], []
-    sizes = np.diff(np.concatenate(([0], ends)))
-    limit = np.repeat(ends, sizes)
     for at in range(0, len(raw) - LENGTH + 1, BLOCK):
         part = raw[at : at + BLOCK + LENGTH - 1]
         h = _hashes(part, GRAM)
@@ -78,7 +80,8 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             m = np.minimum(m[:-n], m[n:])
             n *= 2
         m = np.minimum(m[: len(part) - LENGTH + 1], m[GRAMS - n :])
-        starts = np.flatnonzero(np.arange(at, at + len(m)) + LENGTH <= limit[at : at + len(m)])
+        places = np.arange(at, at + len(m))
+        starts = np.flatnonzero(places + LENGTH <= ends[np.searchsorted(ends, places, side="right")])
         if not len(starts):
             continue
         p = (m[starts] & np.uint64(PLACE)).astype(np.int64)
@@ -254,7 +257,7 @@ def _slice(docs, hot: np.ndarray, buckets: int):
     doc, v = v >> 48, v & (1 << 48) - 1
     place, least, most = v >> 16, v >> 8 & 255, v & 255
     p, k = place + begins[doc], np.array([x[0] for x in docs], np.int64)[doc]
-    grams = TABLES[0][raw[p[:, None] + np.arange(GRAM)]]
+    grams = TABLES[0][sliding_window_view(raw, GRAM)[p]]
     size = 1
     while size < GRAM:
         grams = grams[:, ::2] * np.uint64(pow(FACTORS[0], size, 1 << 64)) + grams[:, 1::2]
@@ -267,13 +270,13 @@ def _slice(docs, hot: np.ndarray, buckets: int):
     p, place, least, most, k, h = (x[rest] for x in (p, place, least, most, k, h))
     if not len(p):
         return
-    padded = np.concatenate((raw, np.zeros(LENGTH, np.uint8)))
     record = np.zeros((len(p), WIDTH), np.uint8)
-    column = np.arange(LENGTH)
-    record[:, :LENGTH] = np.where(column < (LENGTH - least)[:, None], padded[p[:, None] + column], 0)
+    after = sliding_window_view(np.concatenate((raw, np.zeros(LENGTH, np.uint8))), LENGTH)[p]
+    record[:, :LENGTH] = after * (np.arange(LENGTH) < (LENGTH - least)[:, None])
     record[:, LENGTH] = LENGTH - least
-    column = np.arange(GRAMS - 1)
-    record[:, LENGTH + 1 : -1] = np.where(column < most[:, None], raw[np.maximum(p[:, None] - 1 - column, 0)], 0)
+    before = sliding_window_view(np.concatenate((np.zeros(GRAMS - 1, np.uint8), raw)), GRAMS - 1)[p]
+    record[:, LENGTH + 1 : -1] = before[:, ::-1] * (np.arange(GRAMS - 1) < most[:, None])
+    del after, before, grams
     record[:, -1] = most + 1
     bucket = (h % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(record.reshape(-1).view(f"S{WIDTH}"), kind="stable")
@@ -429,8 +432,29 @@ def resolve(entry: np.ndarray, record: np.ndarray, lcp: np.ndarray) -> np.ndarra
     return _covered(entry["k"][rows], p - (high - 1), p - low + LENGTH)
 
 
-def _merged(batches):
-    """Covered spans, one row per document and partition."""
+def _merged(buckets: int):
+    """Covered spans of all runs and windows of some buckets, for groups of documents."""
+
+    def run(batches):
+        if out := _covered_by(batches):
+            c = np.concatenate(out)
+            order, spans = _split(c["k"] % buckets)
+            yield _batch([(b, COVERED, c[order[s:e]].tobytes()) for b, s, e in spans])
+
+    return run
+
+
+def _by_document(batches):
+    """One row per document of some groups: all its covered spans."""
+    parts = [np.frombuffer(blob, COVER) for batch in batches for blob in batch.column("blob").to_pylist()]
+    if parts:
+        c = np.concatenate(parts)
+        order, spans = _split(c["k"])
+        ends = np.stack([c["s"][order], c["e"][order]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int64()), pa.array([ends[s:e].tobytes() for _, s, e in spans], pa.binary())], ["k", "spans"])
+
+
+def _covered_by(batches) -> list[np.ndarray]:
     runs, windows, out = [], [], []
     for batch in batches:
         for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
@@ -439,7 +463,7 @@ def _merged(batches):
             elif kind == WINDOW:
                 windows.append(np.frombuffer(blob, WINDOWS))
             else:
-                runs.append((batch.num_rows, blob))
+                runs.append(blob)
     if windows:
         w = np.concatenate(windows)
         w = w[np.lexsort((w["s"], w["k"], w["b"], w["a"]))]
@@ -447,28 +471,26 @@ def _merged(batches):
         if same.any():
             out.append(_runs_of(w["k"][same], w["s"][same]))
     if runs:
-        read = [decode(blob) for _, blob in runs]
-        sorted_runs = []
-        for entry, record in read:
+        entries, heads = [], []
+        while runs:
+            entry, record = decode(runs.pop())
             raw = record.tobytes()
-            sorted_runs.append(([raw[i : i + WIDTH] for i in range(0, len(raw), WIDTH)], entry["lcp"].tolist()))
-        order, lcp = merge(sorted_runs)
-        starts = np.cumsum([0, *[len(x) for x, _ in read]])
+            heads.append(([raw[i : i + WIDTH] for i in range(0, len(raw), WIDTH)], entry["lcp"].tolist()))
+            entries.append(entry)
+        order, lcp = merge(heads)
+        record = np.frombuffer(b"".join([heads[r][0][i] for r, i in order]), np.uint8).reshape(-1, WIDTH)
+        starts = np.cumsum([0, *map(len, entries)])
         at = np.array([starts[r] + i for r, i in order])
-        out.append(resolve(np.concatenate([x for x, _ in read])[at], np.concatenate([x for _, x in read])[at], np.array(lcp)))
-    if out:
-        c = np.concatenate(out)
-        order, spans = _split(c["k"])
-        c = c[order]
-        ends = np.stack([c["s"], c["e"]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int64()), pa.array([ends[s:e].tobytes() for _, s, e in spans], pa.binary())], ["k", "spans"])
+        del heads, order
+        out.append(resolve(np.concatenate(entries)[at], record, np.array(lcp)))
+    return out
 
 
-def spans_of(blobs: list[bytes] | None) -> list[tuple[int, int]]:
+def spans_of(blob: bytes | None) -> list[tuple[int, int]]:
     """Maximal covered spans."""
-    if not blobs:
+    if not blob:
         return []
-    x = np.concatenate([np.frombuffer(b, "<u4").reshape(-1, 2) for b in blobs]).astype(np.int64) if blobs else np.empty((0, 2), np.int64)
+    x = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
     x = x[np.argsort(x[:, 0], kind="stable")]
     top = np.maximum.accumulate(x[:, 1])
     new = np.flatnonzero(np.concatenate(([True], x[1:, 0] > top[:-1])))
@@ -495,24 +517,24 @@ def _ranked(docs: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """The covered spans (k, blobs) of the docs (k, text and more) that have any; k is unique and orders them."""
+    """The covered spans (k, spans) of the docs (k, text and more) that have any; k is unique and orders them."""
     spark = docs.sparkSession
     n = parallelism(spark)
-    buckets = 2 * n
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     frequent = max(FREQUENT, size // 35 // FREQUENT_SHARE)
+    buckets = max(LEAST_BUCKETS, size // BUCKET)
     seen = docs.select("k", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_look(buckets), ROWS)
     told = cut(seen.repartition(n, "bucket").mapInArrow(_count(frequent), "k long, v long"), "repeated")
     #: Fewer than FREQUENT_SHARE * (bytes per anchor over 35) hashes can be frequent.
     hot = np.sort(np.array([r[0] for r in told.where("k IS NULL").select("v").collect()], np.int64).view(np.uint64))
     replies = told.where("k IS NOT NULL").groupBy("k").agg(F.collect_list("v").alias("vs"))
     runs = docs.join(replies.hint("shuffle_hash"), "k").select(*docs.columns, "vs").mapInArrow(_runs(hot, buckets), ROWS)
-    spans = runs.repartition(n, "bucket").mapInArrow(_merged, "k long, spans binary")
-    return spans.groupBy("k").agg(F.collect_list("spans").alias("blobs"))
+    spans = runs.repartition(2 * n, "bucket").mapInArrow(_merged(n), ROWS)
+    return spans.repartition(n, "bucket").mapInArrow(_by_document, "k long, spans binary")
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id long, text and more) with k and blobs. Where ids are null or repeated, k is a rank; else it is the id."""
+    """docs (doc_id long, text and more) with k and spans. Where ids are null or repeated, k is a rank; else it is the id."""
     n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     keyed = (docs.withColumn("k", F.col("doc_id")) if n == ids else _ranked(docs)).where("k IS NOT NULL")
     spans = covered(keyed if n == ids else keyed.dropDuplicates(["k"]))
@@ -531,9 +553,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             size, removed, cuts, sha = [], [], [], []
-            for text, blobs in zip(batch.column("text").to_pylist(), batch.column("blobs").to_pylist(), strict=True):
+            for text, blob in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                found = spans_of(blobs)
+                found = spans_of(blob)
                 size.append(len(raw))
                 removed.append(sum(e - s for s, e in found))
                 cuts.append([{"start": s, "end": e} for s, e in found])
@@ -542,7 +564,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(cuts, kind), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
     rows = pick(docs, "doc_id", "text").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    return _with_spans(rows).select("doc_id", "text", "k", "blobs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    return _with_spans(rows).select("doc_id", "text", "k", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -555,13 +577,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, blobs in enumerate(batch.column("blobs").to_pylist()):
-                if blobs:
-                    texts[i] = without(texts[i].encode("utf-8", "surrogatepass"), spans_of(blobs)).decode("utf-8", "ignore")
+            for i, blob in enumerate(batch.column("spans").to_pylist()):
+                if blob:
+                    texts[i] = without(texts[i].encode("utf-8", "surrogatepass"), spans_of(blob)).decode("utf-8", "ignore")
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield batch.select(names)
 
-    out = _with_spans(docs).select(*names, "k", "blobs").mapInArrow(run, docs.schema)
+    out = _with_spans(docs).select(*names, "k", "spans").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
