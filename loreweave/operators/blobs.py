@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Extensions of source files, and what a log line begins with or holds.
 CODE_EXTENSIONS = (
@@ -37,7 +38,7 @@ def store(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy(F.sha2(text, 256).alias("hash")).agg(F.max(F.octet_length(text)).cast("long").alias("orig_len"), F.count("*").alias("refcount"), F.first(text).alias("data"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def zstd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import zstandard
 
@@ -46,7 +47,7 @@ def zstd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: c.compress((t or "").encode()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unzstd(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import zstandard
 

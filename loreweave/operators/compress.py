@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loreweave.functions.text import any_of, chunk_summary, clip_words, source_terms, token_estimate, truncate_bytes, word_count
 
@@ -142,7 +143,8 @@ def mine_corrections(observations: DataFrame) -> DataFrame:
         pdf = pdf.sort_values(["created_at", "observation_id"])
         pdf = pdf.astype(object).where(pdf.notna(), None)
         found = corrections_of(list(zip(pdf["tool"], pdf["input"], pdf["output"], strict=True)))
-        return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]] * len(found), "ordinal": range(len(found)), "problem": [p for p, _ in found], "solution": [s for _, s in found]})
+        session = pdf["session_id"].iloc[0]
+        return pd.DataFrame([(session, i, p, s) for i, (p, s) in enumerate(found)], columns=["session_id", "ordinal", "problem", "solution"])
 
     return rows.groupBy("session_id").applyInPandas(mine, "session_id string, ordinal int, problem string, solution string")
 
@@ -157,7 +159,8 @@ def observer_lines(rows: DataFrame, text: str) -> DataFrame:
 
 
 FIELDS = ("SUMMARY", "FACTS", "TAGS", "IMPORTANCE", "KIND", "WHEN", "ENTITIES", "RELATIONS", "PROCEDURES")
-REPLY = "summary string, facts array<string>, tags string, importance int, kind string, `when` string, entities array<string>, relations array<string>, procedures array<string>"
+LISTS = ("facts", "entities", "relations", "procedures")
+REPLY = T.StructType([T.StructField(f.lower(), T.ArrayType(T.StringType()) if f.lower() in LISTS else T.IntegerType() if f == "IMPORTANCE" else T.StringType()) for f in FIELDS])
 
 
 def parse_reply(text: str | None) -> dict:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from loreweave.functions.text import graph_terms, is_current_state, normalize_graph_text, normalize_relation, overlap
 from loreweave.operators.search import top
 
-NEWEST = (F.desc, ("observed_at", "created_at", "edge_id"))
-
-
 def normalized(edges: DataFrame) -> DataFrame:
     cols = {"source_norm": normalize_graph_text(F.col("source")), "relation_norm": normalize_relation(F.col("relation")), "target_norm": normalize_graph_text(F.col("target"))}
     return edges.withColumns(cols)
@@ -56,23 +53,24 @@ def insert_all(edges: DataFrame) -> DataFrame:
     later = Window.partitionBy("project", "source_norm", "relation_norm", "target_norm", F.coalesce("valid_from", F.lit(""))).orderBy("edge_id")
     copy = F.lead("edge_id").over(later)
     opens = is_current_state(F.col("relation_norm")) & F.col("valid_until").isNull()
-    key = Window.partitionBy("project", "source_norm", "relation_norm").orderBy("edge_id").rowsBetween(1, Window.unboundedFollowing)
-    # Where targets change, an edge's first later open edge of another target begins the next run of open edges.
-    e = e.withColumns({"_copy": copy, "_opens": opens})
-    runs = Window.partitionBy("project", "source_norm", "relation_norm").orderBy("edge_id")
-    prev = F.last(F.when(F.col("_opens"), F.col("target_norm")), ignorenulls=True).over(runs.rowsBetween(Window.unboundedPreceding, -1))
-    change = F.col("_opens") & (prev.isNull() | (prev != F.col("target_norm")))
-    e = e.withColumn("_change", change)
-    nxt = lambda c: F.first(F.when(F.col("_change"), F.col(c)), ignorenulls=True).over(key)
-    e = e.withColumns({"_by": nxt("edge_id"), "_by_target": nxt("target_norm"), "_from": F.first(F.when(F.col("_change"), F.coalesce("valid_from", F.col("observed_at").cast("string"))), ignorenulls=True).over(key)})
-    state = is_current_state(F.col("relation_norm")) & F.col("_by").isNotNull() & (F.col("_by_target") != F.col("target_norm")) & (F.col("_copy").isNull() | (F.col("_by") < F.col("_copy")))
+    key = Window.partitionBy("project", "source_norm", "relation_norm")
+    before = key.orderBy("edge_id").rowsBetween(Window.unboundedPreceding, -1)
+    after = key.orderBy(F.desc("edge_id")).rowsBetween(Window.unboundedPreceding, -1)  # the last of these is the next edge
+    e = e.withColumns({"_copy": copy, "_opens": opens, "_this": F.struct("edge_id", "target_norm", F.coalesce("valid_from", F.col("observed_at").cast("string")).alias("start"))})
+    # The next open edge, unless it has the same target; then the first after it where open edges change their target.
+    change = F.col("_opens") & ~F.col("target_norm").eqNullSafe(F.last(F.when(F.col("_opens"), F.col("target_norm")), ignorenulls=True).over(before))
+    e = e.withColumn("_change", change).withColumn("_turn", F.last(F.when(F.col("_change"), F.col("_this")), ignorenulls=True).over(after))
+    e = e.withColumn("_next", F.last(F.when(F.col("_opens"), F.struct("_this", "_turn")), ignorenulls=True).over(after))
+    by = F.when(F.col("_next._this.target_norm") != F.col("target_norm"), F.col("_next._this")).otherwise(F.col("_next._turn"))
+    e = e.withColumn("_by", F.when(is_current_state(F.col("relation_norm")), by))
+    state = F.col("_by").isNotNull() & (F.col("_copy").isNull() | (F.col("_by.edge_id") < F.col("_copy")))
     return e.withColumns(
         {
-            "superseded_by": F.when(state, F.col("_by")).otherwise(F.col("_copy")),
+            "superseded_by": F.when(state, F.col("_by.edge_id")).otherwise(F.col("_copy")),
             "superseded_reason": F.when(state, "current_state").when(F.col("_copy").isNotNull(), "duplicate"),
-            "valid_until": F.when(state, F.col("_from")).otherwise(F.col("valid_until")),
+            "valid_until": F.when(state, F.col("_by.start")).otherwise(F.col("valid_until")),
         }
-    ).drop("_copy", "_opens", "_change", "_by", "_by_target", "_from")
+    ).drop("_copy", "_opens", "_this", "_change", "_turn", "_next", "_by")
 
 
 def as_of(day: str) -> Column:
@@ -147,8 +145,8 @@ def stale(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 def relation_markers(rows: DataFrame, text: str) -> DataFrame:
     """RELATION: source | relation | target lines of a text, each once."""
-    line = F.explode(F.split(text, "\n"))
-    rows = rows.select("*", F.trim(line).alias("_line")).where("_line LIKE 'RELATION:%'")
+    line = F.explode(F.transform(F.split(text, "\n"), lambda x: F.trim(x)))
+    rows = rows.select("*", line.alias("_line")).where("_line LIKE 'RELATION:%'")
     parts = F.transform(F.split(F.substr("_line", F.lit(10)), r"\|"), lambda x: F.trim(x))
     rows = rows.withColumn("_p", parts).where((F.size("_p") == 3) & F.forall("_p", lambda x: (x != "") & (F.octet_length(x) <= 512)))
     rows = rows.select("*", F.col("_p")[0].alias("source"), F.col("_p")[1].alias("relation"), F.col("_p")[2].alias("target"), F.lit(1.0).alias("confidence"))

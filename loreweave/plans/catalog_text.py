@@ -1,0 +1,173 @@
+"""Queries over texts: transcripts, chunks, consolidation, content types."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loreweave.functions import dates
+from loreweave.functions.text import event_terms, reflection_terms, source_terms, token_estimate, truncate_bytes, word_count
+from loreweave.operators import anchors, blobs, compress, consolidate
+from loreweave.plans.registry import query
+
+NORM_TOKEN = """CASE WHEN strlen(x) > 5 AND ends_with(x, '''s') THEN left(x, length(x) - 2) WHEN strlen(x) > 6 AND ends_with(x, 'ing') THEN left(x, length(x) - 3)
+  WHEN strlen(x) > 7 AND ends_with(x, 'edly') THEN left(x, length(x) - 4) WHEN strlen(x) > 5 AND ends_with(x, 'ed') THEN left(x, length(x) - 2)
+  WHEN strlen(x) > 5 AND ends_with(x, 'es') THEN left(x, length(x) - 2) WHEN strlen(x) > 4 AND ends_with(x, 's') THEN left(x, length(x) - 1) ELSE x END"""
+
+
+def in_list(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def event_terms_sql(c: str) -> str:
+    from loreweave.functions.text import TEMPORAL_STOPWORDS
+
+    tokens = f"list_transform(list_filter(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}'']+'), lambda x: length(x) >= 3), lambda y: lower(y))"
+    return f"list_distinct(list_filter(list_transform({tokens}, lambda x: {NORM_TOKEN}), lambda z: z NOT IN ({in_list(TEMPORAL_STOPWORDS)})))"
+
+
+def terms_sql(c: str) -> str:
+    from loreweave.functions.text import TERM_STOPWORDS
+
+    tokens = f"list_transform(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))"
+    return f"list_sort(list_distinct(list_filter({tokens}, lambda x: strlen(x) >= 3 AND x NOT IN ({in_list(TERM_STOPWORDS)}))))"
+
+
+SECTIONS = """s AS (
+  SELECT *, '## ' || tool || chr(10) || coalesce('input: ' || input || chr(10), '') || coalesce('output: ' || output || chr(10), '') || chr(10) AS text FROM observations),
+o AS (SELECT session_id, observation_id, project, created_at, text, row_number() OVER w AS ordinal, CAST(sum(strlen(text)) OVER w AS BIGINT) AS end_byte FROM s WINDOW w AS (PARTITION BY session_id ORDER BY created_at, observation_id ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("observations", sql=f"WITH {SECTIONS} SELECT session_id, observation_id, ordinal, end_byte - strlen(text) AS start_byte, end_byte FROM o")
+def transcript_sections(t):
+    return compress.transcript_sections(t("observations")).select("session_id", "observation_id", "ordinal", "start_byte", "end_byte")
+
+
+@query("observations", sql=f"WITH {SECTIONS} SELECT session_id, sha256(string_agg(text, '' ORDER BY ordinal)) AS hash, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM o GROUP BY 1")
+def transcripts(t):
+    return compress.transcripts(t("observations")).select("session_id", F.sha2("transcript", 256).alias("hash"), F.octet_length("transcript").cast("long").alias("n_bytes"))
+
+
+WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+
+
+@query("observations", sql=f"""WITH {SECTIONS},
+d AS (SELECT *, {WORDS} AS ws, CASE WHEN {" OR ".join(f"contains(lower(text), '{w}')" for w in compress.HIGH_WORDS)} THEN 'high' WHEN len({WORDS}) > 160 THEN 'medium' ELSE 'low' END AS density FROM o),
+e AS (SELECT *, CASE density WHEN 'high' THEN 90 WHEN 'medium' THEN 48 ELSE 24 END AS most FROM d)
+SELECT 'mem:' || session_id || ':obs:' || observation_id AS chunk_id, density, end_byte - strlen(text) AS start_byte, end_byte,
+  CAST(greatest((len(ws) * 4 + 2) // 3, 1) AS BIGINT) AS token_estimate, CASE WHEN len(ws) > most THEN array_to_string(ws[1:most], ' ') || '...' ELSE regexp_replace(regexp_replace(text, '^ +', ''), ' +$', '') END AS summary FROM e""")
+def skim_chunks(t):
+    return compress.skim_chunks(t("observations")).select("chunk_id", "density", "start_byte", "end_byte", "token_estimate", "summary")
+
+
+@query(sql=f"SELECT doc_id, len({WORDS}) AS n_words, CAST(greatest((len({WORDS}) * 4 + 2) // 3, 1) AS BIGINT) AS n_tokens FROM documents")
+def token_estimates(t):
+    return t("documents").select("doc_id", word_count(F.col("text")).alias("n_words"), token_estimate(F.col("text")).alias("n_tokens"))
+
+
+@query(sql="""
+WITH c AS (SELECT doc_id, text, list_max(list_filter(range(0, 61), lambda n: strlen(left(text, n)) <= 60)) AS n FROM documents)
+SELECT doc_id, CASE WHEN strlen(text) <= 60 THEN text ELSE left(text, n) || '… [truncated]' END AS text FROM c""")
+def truncated_texts(t):
+    return t("documents").select("doc_id", truncate_bytes(F.col("text"), 60).alias("text"))
+
+
+@query("observations")
+def correction_mining(t):
+    o = t("observations")
+    bad = F.when(F.pmod("observation_id", F.lit(4)) == 0, "error: build failed").otherwise("ok")
+    tool = F.when(F.pmod("observation_id", F.lit(4)) == 1, "Edit").otherwise("Bash")
+    return compress.mine_corrections(o.select("session_id", "observation_id", "created_at", tool.alias("tool"), F.lit("make all").alias("input"), bad.alias("output")))
+
+
+@query("observations")
+def local_compression(t):
+    return compress.local_compression(t("observations"))
+
+
+@query(sql=f"SELECT doc_id, len({event_terms_sql('text')}) AS n_event_terms, array_to_string({terms_sql('text')}[1:8], ' ') AS signature FROM documents")
+def text_terms(t):
+    return t("documents").select("doc_id", F.size(event_terms(F.col("text"))).alias("n_event_terms"), F.array_join(F.slice(reflection_terms(F.col("text")), 1, 8), " ").alias("signature"))
+
+
+@query("memories", sql=f"""
+WITH s AS (SELECT memory_id, array_to_string({terms_sql('summary')}[1:8], ' ') AS signature FROM memories)
+SELECT signature, list_sort(list(memory_id)) AS memory_ids FROM s WHERE signature <> '' GROUP BY 1 HAVING count(*) > 1""")
+def near_dup_signatures(t):
+    return consolidate.signature_groups(t("memories"))
+
+
+def kinds(t):
+    return t("memories").join(t("memory_meta").select("memory_id", "kind"), "memory_id").where(F.col("kind").isin(*consolidate.KINDS))
+
+
+@query("memories", "memory_meta", sql=f"""
+WITH m AS (SELECT m.memory_id, kind, {terms_sql('summary')} AS ts FROM memories m JOIN memory_meta mm ON mm.memory_id = m.memory_id WHERE kind IN ({in_list(consolidate.KINDS)})),
+p AS (SELECT a.memory_id AS a, b.memory_id AS b, len(list_intersect(a.ts, b.ts)) AS n, len(a.ts) AS na, len(b.ts) AS nb FROM m a JOIN m b ON a.kind = b.kind AND a.memory_id < b.memory_id
+  WHERE least(len(a.ts), len(b.ts)) >= 0.5 * greatest(len(a.ts), len(b.ts)) AND len(a.ts) > 0)
+SELECT a, b, round(n / (na + nb - n), 6) AS jaccard FROM p WHERE n / (na + nb - n) >= 0.5""")
+def similar_pairs(t):
+    return consolidate.similar_pairs(kinds(t)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("memories", "memory_meta")
+def greedy_groups(t):
+    return consolidate.greedy_groups(kinds(t))
+
+
+@query("memories", sql=f"""
+WITH s AS (SELECT memory_id, unnest({terms_sql('summary')}) AS term FROM memories), g AS (SELECT term, list_sort(list(memory_id))[1:6] AS memory_ids FROM s WHERE strlen(term) >= 4 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 18)
+SELECT min(term) AS term, memory_ids FROM g GROUP BY 2 ORDER BY 1 LIMIT 50""")
+def synthesis_groups(t):
+    return consolidate.synthesis_groups(t("memories"), groups=50)
+
+
+LOG = r"""regexp_matches(x, '^[0-9]{4}-|[ ](INFO|WARN|ERROR|DEBUG|TRACE)[ \t]|\[(INFO|WARN|ERROR|DEBUG|TRACE)\]')"""
+DETECT = f"""
+WITH l AS (SELECT *, list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x) <> '') AS ls FROM c),
+k AS (SELECT *, len(list_filter(ls, lambda x: starts_with(x, '@@'))) AS hunks, len(list_filter(ls, lambda x: regexp_matches(x, '^[-+@]'))) AS marks, len(list_filter(ls, lambda x: {LOG})) AS logs FROM l)
+SELECT id, CASE WHEN contains(text, chr(0)) THEN 'binary' WHEN regexp_matches(trim(text), '^[\\[{{]') AND json_valid(trim(text)) THEN 'json'
+  WHEN regexp_matches(ltrim(coalesce(ls[1], '')), '^(@@ |--- |\\+\\+\\+ |diff )') OR (hunks > 0 AND marks >= 3 AND marks * 10 >= len(ls) * 6) THEN 'diff'
+  WHEN len(ls) >= 2 AND logs * 2 >= len(ls) THEN 'log' WHEN length(text) > 0 AND (length(text) - length(translate(text, '{{}}();', ''))) / length(text) > 0.02 THEN 'code' ELSE 'text' END AS content_type FROM k"""
+
+
+@query(sql=DETECT.replace("WITH l", "WITH c AS (SELECT page_id AS id, html AS text FROM pages UNION ALL SELECT -1 - event_id, props FROM events UNION ALL SELECT 1000000 + doc_id, text FROM documents), l"))
+def content_detect(t):
+    rows = t("pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")).unionByName(t("events").select((-1 - F.col("event_id")).alias("id"), F.col("props").alias("text")))
+    rows = rows.unionByName(t("documents").select((1000000 + F.col("doc_id")).alias("id"), "text"))
+    return rows.select("id", blobs.content_type(F.col("text")).alias("content_type"))
+
+
+@query("blobs", sql="SELECT count(*) AS n, count(*) AS n_intact FROM blobs")
+def blob_round_trip(t):
+    b = blobs.store(t("documents")).select("hash", blobs.zstd("data").alias("data"))
+    return blobs.load(b).agg(F.count("*").alias("n"), F.count_if("intact").alias("n_intact"))
+
+
+@query("memory_meta", sql=r"""
+SELECT memory_id, event_time, coalesce(try_cast(event_time AS DATE) IS NOT NULL AND regexp_full_match(event_time, '\d{4}-\d{2}-\d{2}'), false) AS valid,
+  coalesce(try_cast(event_time AS DATE), CASE WHEN event_time IS NOT NULL THEN make_date(CAST(left(event_time, 4) AS INT), 1, 1) END) AS day FROM memory_meta""")
+def event_dates(t):
+    return t("memory_meta").select("memory_id", "event_time", dates.is_date_or_range(F.col("event_time")).alias("valid"), dates.event_date(F.col("event_time")).alias("day"))
+
+
+@query("observations", sql=r"""
+SELECT observation_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(input, output, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)), lambda x: length(x) >= 4
+  AND x NOT IN ('that', 'this', 'with', 'from', 'have', 'into', 'will', 'should', 'memory', 'session')))) AS n FROM observations""")
+def source_span_terms(t):
+    return t("observations").select("observation_id", F.size(source_terms(F.coalesce("input", "output", F.lit("")))).alias("n"))
+
+
+SOURCE = "pub fn alpha(x: i32) -> i32 {\n  if x > 1 { return 2; }\n  x\n}\nstruct Beta { a: i32 }\nimpl Beta {\n  fn gamma(&self) {}\n}\n"
+
+
+@query()
+def code_symbols(t):
+    return anchors.symbols(t.spark.createDataFrame([("src/a.rs", SOURCE)], "path string, text string"))
+
+
+@query(sql=r"""
+WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_]\w*', 0, 'a'))) AS name FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') AS text FROM documents)) SELECT doc_id AS memory_id, name FROM w WHERE name IN ('the', 'and', 'von')""".replace(", 0, 'a'", ""))
+def code_mentions(t):
+    found = t.spark.createDataFrame([("a.rs", "the", "function"), ("a.rs", "and", "struct"), ("b.rs", "von", "enum")], "path string, name string, kind string")
+    plain = t("memories").withColumn("summary", F.regexp_replace("summary", r"[^\x00-\x7F]", " "))
+    return anchors.mentions(plain, found).select("memory_id", "name")

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.dates import half_life
-from loreweave.functions.text import event_terms, named_entities, normalize_graph_text, query_entities, route, years
+from loreweave.functions.names import names_of
+from loreweave.functions.text import event_terms, query_entities, route, years
 from loreweave.operators import fusion, graph, knn, relational, search
 from loreweave.operators.visibility import is_live, with_meta, without_inference
+from loreweave.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,7 @@ class Config:
 def features(queries: DataFrame) -> DataFrame:
     """queries (query_id, query) with route, years, and the entities that graph look-ups start from, eight at most."""
     q = F.col("query")
-    entities = F.slice(F.array_distinct(F.transform(named_entities(q), normalize_graph_text)), 1, 8)
-    return queries.select("query_id", "query", route(q).alias("route"), years(q).alias("years"), entities.alias("entities"))
+    return queries.select("query_id", "query", route(q).alias("route"), years(q).alias("years"), names_of(q).alias("entities"))
 
 
 def variants(queries: DataFrame, most: int = 6) -> DataFrame:
@@ -99,10 +100,15 @@ def refine(candidates: DataFrame, memories: DataFrame, meta: DataFrame, edges: D
 
 
 def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, queries: DataFrame, c: Config, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
-    """(query_id, route, memory_id, rank0, score) of the best memories for each question (query_id, query)."""
-    asked = features(queries)
+    """(query_id, route, memory_id, rank0, score) of the best memories for each question (query_id, query).
+
+    Edges, question features and the fused lists are each used several times, so they are written once; the lists have at
+    most the pool of each signal per question.
+    """
+    asked = cut(features(queries), "questions")
+    edges = cut(edges.select("edge_id", "memory_id", "source", "relation", "target", "source_norm", "relation_norm", "target_norm", "observed_at", "confidence", "superseded_by"), "edges")
     lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace)
-    found = refine(fuse(lists, asked), memories, meta, edges, c)
+    found = refine(cut(fuse(lists, asked), "fused"), memories, meta, edges, c)
     return found.join(asked.select("query_id", "route"), "query_id").select("query_id", "route", "memory_id", "rank0", F.round("score", 9).alias("score"))
 
 
