@@ -89,7 +89,7 @@ def any_of(c: Column, parts) -> Column:
 
 
 def is_temporal(c: Column) -> Column:
-    q = F.lower(F.trim(c))
+    q = F.lower(strip(c))
     return (q != "") & (q.startswith("when ") | any_of(q, TEMPORAL_CUES))
 
 
@@ -123,13 +123,18 @@ def is_current_state(relation: Column) -> Column:
     return relation.startswith("current_") | relation.isin(*CURRENT_STATE)
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def normalize_namespace(c: Column) -> Column:
-    c = F.trim(c)
+    c = strip(c)
     return F.when(F.coalesce(c, F.lit("")) == "", "local").otherwise(F.regexp_replace(c, r"[\p{Cntrl}\s]", "_"))
 
 
 def clamp(c: Column, known, default: str) -> Column:
-    c = F.lower(F.trim(c))
+    c = F.lower(strip(c))
     return F.when(c.isin(*known), c).otherwise(default)
 
 
