@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.sources.shared import cut, shared_folder
+
+__all__ = ["cut", "held", "held_out", "parallelism", "pick", "release", "shared_folder", "table"]
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, matched with their exact case.
@@ -25,22 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session has none (tests, one machine)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loreweave-checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: one thing at a time, so another makes room first."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Computes df once, writes it as a table in the shared folder and reads that: lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/loreweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release() -> None:
+    """Gives back what this worker holds and what its allocator keeps: Spark hands workers from stage to stage."""
+    _held.clear()
+    gc.collect()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def parallelism(spark: SparkSession, least: int = 8) -> int:

@@ -21,7 +21,7 @@ BUCKETS = 1 << 11
 EPOCHS, RATE, DECAY = 200, 0.05, 1e-4
 ROUNDS = 100
 #: Shapes of words that a worker remembers.
-MOST_WORDS = 300_000
+MOST_WORDS = 100_000
 
 ABSTAIN, BAD, GOOD = "-", "0", "1"
 _STOP = frozenset(STOP_WORDS)

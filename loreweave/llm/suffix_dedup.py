@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import cut, parallelism, pick
+from loreweave.llm.common import cut, parallelism, pick, release
 
 LENGTH, GRAM = 100, 32
 #: 32-grams of a window.
@@ -32,7 +32,7 @@ BLOCK, PLACE = 1 << 18, (1 << 20) - 1
 #: Members of a 32-gram that are sorted together at most, or a share of all anchors if that is more.
 FREQUENT, FREQUENT_SHARE = 1000, 50_000
 #: Bytes of text that are looked at together in steps 1 and 2.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 #: Bytes of text to a range of hashes, and ranges at least. A slice sends a row to a range only if it has something for it.
 BUCKET, LEAST_BUCKETS = 2 << 20, 64
@@ -144,6 +144,7 @@ def _look(buckets: int):
                     start, size = i + 1, 0
 
     def run(batches):
+        release()
         for keys, texts in slices(batches):
             raw, ends = _joined(texts)
             h, p, first, last = anchors(raw, ends)
@@ -188,7 +189,8 @@ def _count(frequent: int):
     """Of all entries of some buckets: (k, v) of those whose hash occurs twice or more; with k null, v a frequent hash."""
 
     def run(batches):
-        hs, ks, vs, ns, own = [], [], [], [], []
+        release()
+        hs, ks, vs, ns = [], [], [], []
         for batch in batches:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if kind == REPEATED:
@@ -235,6 +237,7 @@ def _runs(hot: np.ndarray, buckets: int):
     """Sorted front-coded runs of a partition's repeated anchors, and windows of the frequent ones."""
 
     def run(batches):
+        release()
         docs = []
         for batch in batches:
             docs += zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), batch.column("vs").to_pylist(), strict=True)
@@ -436,6 +439,7 @@ def _merged(buckets: int):
     """Covered spans of all runs and windows of some buckets, for groups of documents."""
 
     def run(batches):
+        release()
         if out := _covered_by(batches):
             c = np.concatenate(out)
             order, spans = _split(c["k"] % buckets)

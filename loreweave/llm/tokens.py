@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable
-from functools import cache
 
 import numpy as np
 
+from loreweave.llm.common import held
+
 #: Remembered words of one worker; beyond them words are encoded anew in each batch.
 MOST_WORDS = 600_000
 #: Longer words are not remembered.
@@ -30,10 +31,9 @@ SPELT |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not i
 BYTE_LETTERS = {c: "".join(SPELT[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
-@cache
 def encoder(path: str, leading: bool) -> Encoder:
     """The worker's encoder for a file, shared by its tasks: what it remembers is of use to the next."""
-    return Encoder(path, leading)
+    return held(("encoder", path, leading), lambda: Encoder(path, leading))
 
 
 class Encoder:
