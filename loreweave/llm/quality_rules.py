@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: White space that separates words.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+MARKS = "!?"
 WINDOW = 5
 
 #: Frequent function words of the corpus languages.
@@ -24,6 +25,7 @@ THRESHOLDS: tuple[tuple[str, str, str, float], ...] = (
     ("word_length_low", "mean_word_chars", ">=", 2.0),
     ("word_length_high", "mean_word_chars", "<=", 20.0),
     ("few_symbols", "symbol_ratio", "<=", 0.1),
+    ("few_marks", "mark_ratio", "<=", 0.3),
     ("some_stop_words", "stop_word_ratio", ">=", 0.02),
     ("few_repeated_lines", "dup_line_ratio", "<=", 0.5),
 )
@@ -34,7 +36,7 @@ def _longs(c: Column) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_stop_words and n_repeat_words.
+    """df with n_words, word_chars, n_symbols, n_marks, n_dup_lines, n_lines, n_stop_words and n_repeat_words.
 
     Null and empty texts have 0 everywhere. Texts of any length are measured whole; repeated rows are measured alike.
     """
@@ -46,6 +48,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             "_lines": lines,
             "word_chars": _longs(F.char_length(F.translate(body, SPACE, ""))),
             "n_symbols": _longs(F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))),
+            "n_marks": _longs(F.char_length(body) - F.char_length(F.translate(body, MARKS, ""))),
         }
     )
     n = F.size("_words")
@@ -86,6 +89,7 @@ def compile_rules(thresholds=THRESHOLDS) -> tuple[Column, Column]:
         "n_words": F.col("n_words").cast("double"),
         "mean_word_chars": over("word_chars", "n_words"),
         "symbol_ratio": over("n_symbols", "word_chars"),
+        "mark_ratio": over("n_marks", "n_words"),
         "stop_word_ratio": F.coalesce(F.try_divide(F.col("n_stop_words") + 1.0, F.col("n_words").cast("double")), F.lit(0.0)),  # one is added: short texts may lack any
         "dup_line_ratio": over("n_dup_lines", "n_lines"),
     }

@@ -36,13 +36,14 @@ m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    len(t) - len(regexp_replace(t, '[!?]', '', 'g')) AS n_marks,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines,
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
     len(list_filter(ws, lambda x: x IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)}))) AS n_stop
   FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words >= 10 AND word_chars / n_words BETWEEN 2.0 AND 20.0 AND n_symbols / word_chars <= 0.1
+  NOT base_failed AND n_words >= 10 AND word_chars / n_words BETWEEN 2.0 AND 20.0 AND n_symbols / word_chars <= 0.1 AND n_marks / n_words <= 0.3
     AND (n_stop + 1.0) / n_words >= 0.02 AND coalesce(n_dup_lines / n_lines, 0) <= 0.5 AS kept
 FROM b
 """
