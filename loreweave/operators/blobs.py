@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,3 +71,38 @@ def release(blobs: DataFrame, released: DataFrame) -> tuple[DataFrame, DataFrame
     """(kept, collected) after released references (hash, n) are taken off; counts end at 0."""
     left = blobs.join(released, "hash", "left").withColumn("refcount", F.greatest(F.col("refcount") - F.coalesce("n", F.lit(0)), F.lit(0))).drop("n")
     return left.where("refcount > 0"), left.where("refcount <= 0")
+
+
+#: A dictionary needs so many samples, is trained on so many of the newest at most, and has so many bytes.
+LEAST_SAMPLES, MOST_SAMPLES, DICTIONARY_BYTES = 32, 256, 16 << 10
+
+
+def train_dictionaries(samples: DataFrame) -> DataFrame:
+    """(content_type, hash, data): a compression dictionary for each type with enough samples (content_type, data, order)."""
+    import hashlib
+
+    w = Window.partitionBy("content_type").orderBy(F.desc("order"))
+    some = samples.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_SAMPLES)
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        rows = []
+        if len(pdf) >= LEAST_SAMPLES:
+            try:
+                d = zstandard.train_dictionary(DICTIONARY_BYTES, [x.encode() for x in pdf["data"]]).as_bytes()
+                rows.append((pdf["content_type"].iloc[0], hashlib.sha256(d).hexdigest(), d))
+            except zstandard.ZstdError:  # the samples have too little in common
+                pass
+        return pd.DataFrame(rows, columns=["content_type", "hash", "data"])
+
+    return some.select("content_type", "data").groupBy("content_type").applyInPandas(train, "content_type string, hash string, data binary")
+
+
+def compressed_sizes(texts: pd.Series, dictionary: bytes | None) -> list[int]:
+    """Bytes of each text compressed, with a dictionary only where that is smaller."""
+    import zstandard
+
+    plain = zstandard.ZstdCompressor(level=19)
+    own = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else plain
+    return [min(len(plain.compress(t.encode())), len(own.compress(t.encode()))) for t in texts]

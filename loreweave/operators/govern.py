@@ -110,3 +110,20 @@ def restore(spark, folder: str, offset: int) -> tuple[DataFrame, DataFrame]:
     memories = m.join(new, "memory_id").drop("memory_id").withColumnRenamed("_new", "memory_id")
     edges = spark.read.parquet(f"{folder}/memory_edges").join(new, "memory_id", "left").withColumn("memory_id", F.coalesce("_new", "memory_id")).drop("_new")
     return memories, edges
+
+
+def new_epochs(ledger: DataFrame, epochs: DataFrame, now: int) -> DataFrame:
+    """An epoch for each namespace that starts at its last entry, with a hash of what came before as evidence."""
+    e = ledger.groupBy("namespace").agg(F.max_by(F.struct("id", "entry_hash"), "id").alias("head"), F.count("*").alias("n"))
+    last = epochs.groupBy("namespace").agg(F.max("epoch").alias("epoch"))
+    evidence = F.sha2(F.concat_ws("|", "namespace", F.col("n").cast("string"), "head.entry_hash"), 256)
+    return e.join(last, "namespace", "left").select("namespace", (F.coalesce("epoch", F.lit(0)) + 1).alias("epoch"), F.col("head.id").alias("start_entry_id"), F.col("head.entry_hash").alias("start_entry_hash"), evidence.alias("evidence_sha256"), F.lit(now).cast("long").alias("created_at"))
+
+
+def report(ledger: DataFrame, inventory: DataFrame) -> str:
+    """Markdown of chains and inventory; both have one row per namespace or group of a namespace."""
+    from loreweave.sources.files import markdown
+
+    chains = verify_chain(ledger).orderBy("namespace")
+    ok = "all chains hold" if not chains.where("n_broken > 0").limit(1).count() else "broken chains"
+    return f"# Compliance\n\n{ok}\n\n{markdown(chains)}\n{markdown(inventory.orderBy('namespace', 'classification', 'consent_state'))}"

@@ -50,9 +50,13 @@ def bm25(memories: DataFrame, queries: DataFrame, stem: Callable[[Column], Colum
 
 
 def top(rows: DataFrame, k: int, *order, by: str = "query_id") -> DataFrame:
-    """The first k rows of each query, with rank0 from 0."""
+    """The first k rows of each query, with rank0 from 0.
+
+    The bound is on the row number itself, so that each task keeps k rows of a query before they are shuffled.
+    """
     w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < k)
+    first = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    return first.withColumn("rank0", F.col("_n").cast("long") - 1).drop("_n")
 
 
 def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame, k: int, project: str | None = None) -> DataFrame:

@@ -110,7 +110,7 @@ def newest_edges_by_entity(t):
 
 
 @query(sql="""
-SELECT doc_id, 'doc' || doc_id AS source, 'in_lang' AS relation, lang AS target, 1.0 AS confidence FROM documents""")
+SELECT doc_id, 'doc' || doc_id AS source, 'in_lang' AS relation, lang AS target, CAST(1.0 AS DOUBLE) AS confidence FROM documents""")
 def relation_markers(t):
     text = F.concat(F.lit("a line\nRELATION: doc"), F.col("doc_id").cast("string"), F.lit(" | in_lang | "), F.col("lang"), F.lit("\nRELATION: a | b\nRELATION: x | not a relation! | y"))
     return graph.relation_markers(t("documents").select("doc_id", text.alias("text")), "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loreweave.functions.text import MULTI_HOP_CUES, QUESTION_WORDS, TEMPORAL_CUES, years
 from loreweave.functions.vectors import folding_embedder, norm
 from loreweave.operators import fusion, graph, knn, relational, search, visibility
-from loreweave.plans import retrieve
+from loreweave.plans import rerank, retrieve
 from loreweave.plans.catalog_tables import ADJUST, LOGS, MM, live
 from loreweave.plans.catalog_text import event_terms_sql
 from loreweave.plans.registry import LIVE, query
@@ -30,7 +30,7 @@ def knn_topk(t):
     return knn.nearest(v, q, 10).select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), "rank0")
 
 
-@query(VECTORS, sql="SELECT memory_id, round(sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 5) AS norm, 1.0 AS unit FROM memory_embeddings")
+@query(VECTORS, sql="SELECT memory_id, round(sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 5) AS norm, CAST(1.0 AS DOUBLE) AS unit FROM memory_embeddings")
 def vector_norms(t):
     v = t(VECTORS)
     return v.select("memory_id", F.round(norm(F.col("embedding")), 5).alias("norm")).join(knn.unit_vectors(v).select("memory_id", F.round(norm(F.col("embedding")), 5).alias("unit")), "memory_id")
@@ -75,7 +75,7 @@ def chunks(t):
 
 @query(*MM, "queries", sql=f"""WITH {LIVE}, q AS (SELECT query_id, {event_terms_sql('query')} AS ts FROM queries),
 s AS (SELECT query_id, memory_id, created_at, len(list_filter(ts, lambda x: contains(lower(project || ' ' || summary), x))) AS score FROM live, q)
-SELECT query_id, memory_id, score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, memory_id DESC) - 1 AS rank0 FROM s WHERE score > 0) WHERE rank0 < 10""")
+SELECT query_id, memory_id, CAST(score AS INTEGER) AS score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, memory_id DESC) - 1 AS rank0 FROM s WHERE score > 0) WHERE rank0 < 10""")
 def chunk_parent_recall(t):
     return search.chunk_parents(chunks(t), live(t), t("queries"), 10).select("query_id", "memory_id", "score", "rank0")
 
@@ -117,7 +117,7 @@ ENTITIES = f"""list_filter(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{
 
 @query("queries", sql=f"""
 WITH f AS (SELECT query_id, query, lower(trim(query)) AS q, ' ' || lower(query) || ' ' AS p, len(list_distinct(list_transform({ENTITIES}, lambda x: lower(x)))) AS n_entities, len({event_terms_sql('query')}) AS n_terms FROM queries)
-SELECT query_id, n_entities, n_terms, CASE WHEN starts_with(q, 'when ') OR {any_sql('q', TEMPORAL_CUES)} THEN 'temporal' WHEN {any_sql('p', MULTI_HOP_CUES)} OR n_entities >= 2 THEN 'multi_hop'
+SELECT query_id, CAST(n_entities AS INTEGER) AS n_entities, CAST(n_terms AS INTEGER) AS n_terms, CASE WHEN starts_with(q, 'when ') OR {any_sql('q', TEMPORAL_CUES)} THEN 'temporal' WHEN {any_sql('p', MULTI_HOP_CUES)} OR n_entities >= 2 THEN 'multi_hop'
   WHEN n_entities = 0 AND n_terms <= 3 THEN 'open_domain' ELSE 'single_hop' END AS route FROM f""")
 def query_route(t):
     from loreweave.functions.text import event_terms, named_entities
@@ -273,3 +273,25 @@ def multi_hop_search(t):
         return q.join(first, "query_id").select("query_id", F.concat_ws(" ", "query", F.array_join(F.slice(F.split("summary", " "), 1, 3), " ")).alias("query"))
 
     return retrieve.multi_hop(once, t("queries"), follow_up, 1)
+
+
+@query(*MM, "memory_edges", VECTORS, "queries")
+def rerank_evidence(t):
+    c = chunks(t).withColumn("ordinal", F.lit(1))
+    return rerank.evidence(found(t), t("queries"), t("memories"), t("memory_meta"), c, graph.reconcile(t("memory_edges"))).select("query_id", "memory_id", "rank0", F.length("evidence").alias("n_chars"))
+
+
+@query("memories", sql=f"""WITH {LISTS}, c AS (SELECT * FROM fu WHERE rank0 < 6), p AS (SELECT query_id, memory_id, rank0, CASE rank0 WHEN 3 THEN 0 WHEN 0 THEN 1 END AS told FROM c),
+s AS (SELECT query_id, memory_id, 1.0 / (60 + rank0) + CASE WHEN told IS NULL THEN 0 ELSE 1.0 / (60 + told) END AS s, rank0 AS was FROM p)
+SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(s AS DOUBLE), 12) DESC, was) - 1 AS rank0 FROM s""")
+def fused_replies(t):
+    f = fusion.rrf(lists(t)).where("rank0 < 6").select("query_id", "memory_id", "rank0")
+    return rerank.fuse_replies(f, f.select("query_id", F.lit("Best: [4], 1, 99 then 4").alias("reply")).distinct()).select("query_id", "memory_id", "rank0")
+
+
+@query(*MM, "queries", sql=f"""WITH {LIVE}, q AS (SELECT query_id, {event_terms_sql('query')} AS ts FROM queries WHERE query_id > 100000)
+SELECT query_id, memory_id, CAST(len(list_intersect(ts, {event_terms_sql('summary')})) AS INTEGER) AS n_shared, CAST(len(ts) AS INTEGER) AS n_terms FROM q, live WHERE memory_id % 100 = 0""")
+def shared_terms(t):
+    q = t("queries").where("query_id > 100000")
+    pairs = live(t).where("memory_id % 100 = 0").select("memory_id").withColumn("query_id", F.explode(F.sequence(F.lit(100001), F.lit(100009)))).withColumn("query_id", F.col("query_id").cast("long"))
+    return rerank.shared_terms(pairs, q, t("memories")).select("query_id", "memory_id", "n_shared", "n_terms")

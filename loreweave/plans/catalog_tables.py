@@ -313,3 +313,10 @@ def accuracy_by_ability(t):
     from loreweave.operators.evals import accuracy
 
     return accuracy(t("embeddings").withColumn("correct", F.col("vec_id") % 3 == 0), "label")
+
+
+@query("ledger_events", sql="SELECT namespace, 1 AS epoch, max(id) AS start_entry_id FROM ledger_events GROUP BY 1")
+def ledger_epochs(t):
+    chain = govern.build_chain(entries(t))
+    none = t.spark.createDataFrame([], "namespace string, epoch int")
+    return govern.new_epochs(chain, none, NOW).select("namespace", "epoch", "start_entry_id")

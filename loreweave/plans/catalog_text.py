@@ -37,7 +37,7 @@ SECTIONS = """s AS (
 o AS (SELECT session_id, observation_id, project, created_at, text, row_number() OVER w AS ordinal, CAST(sum(strlen(text)) OVER w AS BIGINT) AS end_byte FROM s WINDOW w AS (PARTITION BY session_id ORDER BY created_at, observation_id ROWS UNBOUNDED PRECEDING))"""
 
 
-@query("observations", sql=f"WITH {SECTIONS} SELECT session_id, observation_id, ordinal, end_byte - strlen(text) AS start_byte, end_byte FROM o")
+@query("observations", sql=f"WITH {SECTIONS} SELECT session_id, observation_id, CAST(ordinal AS INTEGER) AS ordinal, end_byte - strlen(text) AS start_byte, end_byte FROM o")
 def transcript_sections(t):
     return compress.transcript_sections(t("observations")).select("session_id", "observation_id", "ordinal", "start_byte", "end_byte")
 
@@ -59,7 +59,7 @@ def skim_chunks(t):
     return compress.skim_chunks(t("observations")).select("chunk_id", "density", "start_byte", "end_byte", "token_estimate", "summary")
 
 
-@query(sql=f"SELECT doc_id, len({WORDS}) AS n_words, CAST(greatest((len({WORDS}) * 4 + 2) // 3, 1) AS BIGINT) AS n_tokens FROM documents")
+@query(sql=f"SELECT doc_id, CAST(len({WORDS}) AS INTEGER) AS n_words, CAST(greatest((len({WORDS}) * 4 + 2) // 3, 1) AS BIGINT) AS n_tokens FROM documents")
 def token_estimates(t):
     return t("documents").select("doc_id", word_count(F.col("text")).alias("n_words"), token_estimate(F.col("text")).alias("n_tokens"))
 
@@ -84,7 +84,7 @@ def local_compression(t):
     return compress.local_compression(t("observations"))
 
 
-@query(sql=f"SELECT doc_id, len({event_terms_sql('text')}) AS n_event_terms, array_to_string({terms_sql('text')}[1:8], ' ') AS signature FROM documents")
+@query(sql=f"SELECT doc_id, CAST(len({event_terms_sql('text')}) AS INTEGER) AS n_event_terms, array_to_string({terms_sql('text')}[1:8], ' ') AS signature FROM documents")
 def text_terms(t):
     return t("documents").select("doc_id", F.size(event_terms(F.col("text"))).alias("n_event_terms"), F.array_join(F.slice(reflection_terms(F.col("text")), 1, 8), " ").alias("signature"))
 
@@ -151,8 +151,8 @@ def event_dates(t):
 
 
 @query("observations", sql=r"""
-SELECT observation_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(input, output, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)), lambda x: length(x) >= 4
-  AND x NOT IN ('that', 'this', 'with', 'from', 'have', 'into', 'will', 'should', 'memory', 'session')))) AS n FROM observations""")
+SELECT observation_id, CAST(len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(input, output, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)), lambda x: length(x) >= 4
+  AND x NOT IN ('that', 'this', 'with', 'from', 'have', 'into', 'will', 'should', 'memory', 'session')))) AS INTEGER) AS n FROM observations""")
 def source_span_terms(t):
     return t("observations").select("observation_id", F.size(source_terms(F.coalesce("input", "output", F.lit("")))).alias("n"))
 
@@ -171,3 +171,17 @@ def code_mentions(t):
     found = t.spark.createDataFrame([("a.rs", "the", "function"), ("a.rs", "and", "struct"), ("b.rs", "von", "enum")], "path string, name string, kind string")
     plain = t("memories").withColumn("summary", F.regexp_replace("summary", r"[^\x00-\x7F]", " "))
     return anchors.mentions(plain, found).select("memory_id", "name")
+
+
+@query("observations")
+def best_spans(t):
+    """For a few words of each session's first observation, the section that they come from."""
+    s = compress.transcript_sections(t("observations"))
+    facts = s.where("ordinal = 1").select("session_id", F.col("observation_id").alias("fact_id"), F.substr(F.coalesce("input", "output"), F.lit(1), F.lit(40)).alias("fact"))
+    return compress.best_span(F.col("fact"), s.join(facts, "session_id").select("fact_id", "fact", "text", "start_byte", "end_byte"))
+
+
+@query()
+def compression_dictionaries(t):
+    rows = t("documents").select(blobs.content_type(F.col("text")).alias("content_type"), F.substr("text", F.lit(1), F.lit(2000)).alias("data"), F.col("doc_id").alias("order"))
+    return blobs.train_dictionaries(rows).select("content_type", F.octet_length("data").alias("n_bytes"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import dates, hashing, names, text, vectors
 from loreweave.operators import anchors, blobs, compress, consolidate, evals, fusion, govern, graph, knn, relational, search, visibility
-from loreweave.plans import retrieve
+from loreweave.plans import rerank, retrieve
 from loreweave.sources import files
 from loreweave.streaming import logs
 
@@ -256,3 +256,39 @@ def test_stemmed_search(spark):
     q = spark.createDataFrame([(1, "paint house")], "query_id long, query string")
     assert search.bm25(m, q).count() == 0
     assert [r.memory_id for r in search.bm25(m, q, stem=text.normalize_event_token).collect()] == [1]
+
+
+def test_replies(spark):
+    order = lambda t: spark.createDataFrame([(t,)], "t string").select(rerank.parse_order(F.col("t"), F.lit(3))).first()[0]
+    assert order("[2], 9, 2 then 1") == [2, 1] and order("none") == []
+    assert one(spark, rerank.parse_follow_up, '\n- "Who is Ann?"\nmore') == "Who is Ann?" and one(spark, rerank.parse_follow_up, "none") is None
+
+
+def test_evidence(spark):
+    found = spark.createDataFrame([(1, "temporal", 5, 0)], "query_id long, route string, memory_id long, rank0 long")
+    q = spark.createDataFrame([(1, "When in May 2023?")], "query_id long, query string")
+    m = spark.createDataFrame([(5, "Ann  moved")], "memory_id long, summary string")
+    meta = spark.createDataFrame([(5, "fact", "2023-05-08")], "memory_id long, kind string, event_time string")
+    c = spark.createDataFrame([(5, i, f"t{i}") for i in range(5)], "memory_id long, ordinal int, title string")
+    e = graph.reconcile(spark.createDataFrame([(1, "p", 5, "Ann", "lives_at", "Rome", None, None, 1, 1.0)], EDGES))
+    line = rerank.evidence(found, q, m, meta, c, e).first().evidence
+    assert line == "route=temporal | kind=fact | time=2023-05-08 (close) | chunks=t0; t1; t2 | edges=Ann lives at Rome | Ann moved"
+
+
+def test_dictionaries(spark):
+    rows = [("json", '{"id": %d, "name": "value %d", "kind": "record"}' % (i, i * 7), i) for i in range(400)] + [("log", "x", 1)]
+    d = blobs.train_dictionaries(spark.createDataFrame(rows, "content_type string, data string, `order` int")).collect()
+    assert [r.content_type for r in d] == ["json"]
+    import pandas as pd
+
+    texts = pd.Series([r[1] for r in rows[:50]])
+    assert sum(blobs.compressed_sizes(texts, bytes(d[0].data))) < sum(blobs.compressed_sizes(texts, None))
+
+
+def test_epochs(spark):
+    e = spark.createDataFrame([("n", i, i, "remember", None, "x", 5) for i in range(1, 4)], "namespace string, id long, memory_id long, op_type string, actor string, payload string, created_at long")
+    chain = govern.build_chain(e)
+    new = govern.new_epochs(chain, spark.createDataFrame([("n", 4)], "namespace string, epoch int"), 9)
+    assert [(r.epoch, r.start_entry_id) for r in new.collect()] == [(5, 3)] and tuple(govern.verify_epoch(chain, new).first()) == ("n", 1, 0)
+    inventory = spark.createDataFrame([("n", "internal", None, 3)], "namespace string, classification string, consent_state string, n long")
+    assert "all chains hold" in govern.report(chain, inventory)
