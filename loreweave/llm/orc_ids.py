@@ -25,7 +25,7 @@ OPTIONS = {
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
     "orc.encoding.strategy": "COMPRESSION",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 SCHEMA = "doc_id long, part int, part_start long, ids array<int>"
@@ -52,15 +52,15 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
 
     docs = pick(docs, "doc_id", "text").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     n = parallelism(docs.sparkSession)
-    #: The text's length and hash order rows of one id, and let them go to more than one partition.
-    order = ["doc_id", F.length("text"), F.xxhash64("text")]
-    return docs.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, SCHEMA)
+    #: Rows of one id go in the order of the input, also to more than one partition. The sample for the ranges reads no text.
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    return docs.repartitionByRange(n, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").mapInArrow(run, SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Writes the ids of every whole text of docs (doc_id, text), each with end_id, in ascending order of doc_id.
 
-    Null and empty texts are end_id alone. Null ids come first. Rows with one id twice are written each.
+    Null and empty texts are end_id alone. Null ids come first. Rows with one id twice are written each, in the order of the input.
     tokenizer: a file that every executor can read.
     """
     encode(docs, tokenizer, end_id).write.options(**OPTIONS).orc(path)
