@@ -16,7 +16,7 @@ import numpy as np
 from loreweave.llm.common import held
 
 #: Remembered words of one worker; beyond them words are encoded anew in each batch.
-MOST_WORDS = 600_000
+MOST_WORDS = 900_000
 #: Longer words are not remembered.
 LONGEST = 40
 
