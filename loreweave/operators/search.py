@@ -21,25 +21,31 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({ASCII})"), 1)
 
 
-def postings(memories: DataFrame, stem: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(token, memory_id, tf) and (memory_id, length) over project, session, summary and tags."""
-    text = F.concat_ws(" ", "project", "session_id", "summary", "tags")
-    words = memories.select("memory_id", tokens(text).alias("ws"))
-    token = stem(F.col("token")) if stem else F.col("token")
-    index = words.select("memory_id", F.explode("ws").alias("token")).groupBy(token.alias("token"), "memory_id").agg(F.count("*").alias("tf"))
-    return index, words.select("memory_id", F.size("ws").alias("length"))
+def words_of(memories: DataFrame) -> DataFrame:
+    """(memory_id, ws): tokens of project, session, summary and tags."""
+    return memories.select("memory_id", tokens(F.concat_ws(" ", "project", "session_id", "summary", "tags")).alias("ws"))
 
 
-def bm25(memories: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(query_id, memory_id, score) of memories with at least one query word. Corpus counts are of all memories.
-
-    Only postings of query words are kept before they are summed by memory, and the length table joins last.
-    """
-    index, lengths = postings(memories, stem)
+def query_tokens(queries: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, token), each once."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    asked = asked.select("query_id", (stem(F.col("token")) if stem else F.col("token")).alias("token")).distinct()
+    return asked.select("query_id", (stem(F.col("token")) if stem else F.col("token")).alias("token")).distinct()
+
+
+def postings(memories: DataFrame, asked: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(token, memory_id, tf) of the tokens that are asked for; others go before anything is grouped."""
+    every = words_of(memories).select("memory_id", F.explode("ws").alias("token"))
+    if stem:
+        every = every.select("memory_id", stem(F.col("token")).alias("token"))
+    return every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "memory_id").agg(F.count("*").alias("tf"))
+
+
+def bm25(memories: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, memory_id, score) of memories with at least one query word. Corpus counts are of all memories."""
+    asked = query_tokens(queries, stem)
+    found = postings(memories, asked, stem)
+    lengths = words_of(memories).select("memory_id", F.size("ws").alias("length"))
     total = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    found = index.join(asked.select("token").distinct(), "token")
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     n, f = F.col("n_docs"), F.col("df")
     idf = df.crossJoin(F.broadcast(total)).select("token", F.greatest(F.log((n - f + 0.5) / (f + 0.5)), F.lit(LEAST_IDF)).alias("idf"), "avg_length")  # one row of totals
@@ -68,17 +74,16 @@ def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame,
 
 def search_everywhere(visible: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Memories with any query word, the newest first."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    index, _ = postings(visible)
-    hits = index.join(asked, "token").select("query_id", "memory_id").distinct().join(visible.select("memory_id", "created_at"), "memory_id")
+    asked = query_tokens(queries)
+    hits = postings(visible, asked).join(asked, "token").select("query_id", "memory_id").distinct().join(visible.select("memory_id", "created_at"), "memory_id")
     return top(hits, k, F.desc("created_at"), F.desc("memory_id"))
 
 
 def match_all(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, memory_id) of memories that have every word of the query."""
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("ts")).withColumn("need", F.size("ts"))
-    index, _ = postings(memories)
-    hits = index.join(asked.select("query_id", "need", F.explode("ts").alias("token")), "token")
+    asked = asked.select("query_id", "need", F.explode("ts").alias("token"))
+    hits = postings(memories, asked).join(asked, "token")
     return hits.groupBy("query_id", "memory_id", "need").agg(F.count("*").alias("n")).where("n = need").select("query_id", "memory_id")
 
 
