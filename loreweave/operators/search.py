@@ -15,6 +15,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 ASCII = "[a-z0-9]+"
 #: Queries whose terms are looked for in every chunk at once.
 MOST_QUERIES = 500
+#: Distinct query tokens that are sent to every task; with more, tokens and queries meet by a shuffle.
+MOST_TOKENS = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -33,11 +35,13 @@ def query_tokens(queries: DataFrame, stem: Callable[[Column], Column] | None = N
 
 
 def postings(memories: DataFrame, asked: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(token, memory_id, tf) of the tokens that are asked for; others go before anything is grouped."""
+    """(token, memory_id, tf) of the tokens that are asked for; others go before anything is shuffled, if what is asked is small."""
     every = words_of(memories).select("memory_id", F.explode("ws").alias("token"))
     if stem:
         every = every.select("memory_id", stem(F.col("token")).alias("token"))
-    return every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "memory_id").agg(F.count("*").alias("tf"))
+    known = asked.select("token").distinct()
+    known = F.broadcast(known) if known.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS else known
+    return every.join(known, "token", "left_semi").groupBy("token", "memory_id").agg(F.count("*").alias("tf"))
 
 
 def bm25(memories: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -89,8 +89,17 @@ for _views in (VIEWS, SPARK):
     _views["queries"] = _views["queries"].replace("@QUESTIONS", ", ".join(f"(CAST({100001 + i} AS BIGINT), '{q}')" for i, q in enumerate(QUESTIONS)))
 
 
+#: Tables of long texts, by their key.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table. One of long texts that comes in fewer splits than half the cores is dealt out by its key."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and 2 * df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, TEXTS[name])
+    return df
 
 
 class Tables:
