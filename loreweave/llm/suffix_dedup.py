@@ -33,6 +33,8 @@ BLOCK, PLACE = 1 << 18, (1 << 20) - 1
 FREQUENT, FREQUENT_SHARE = 1000, 50_000
 #: Bytes of text that are looked at together in steps 1 and 2.
 SLICE = 2 << 20
+#: Texts that step 2 looks at together: a text's number in its slice stands in the upper 15 bits of a signed 64-bit number.
+SLICE_TEXTS = 1 << 15
 
 #: Bytes of text to a range of hashes, and ranges at least. A slice sends a row to a range only if it has something for it.
 BUCKET, LEAST_BUCKETS = 2 << 20, 64
@@ -245,7 +247,7 @@ def _runs(hot: np.ndarray, buckets: int):
         start = size = 0
         for i, x in enumerate(docs):
             size += len(x[1])
-            if size >= SLICE or i == len(docs) - 1:
+            if size >= SLICE or i + 1 - start == SLICE_TEXTS or i == len(docs) - 1:
                 yield _batch(list(_slice(docs[start : i + 1], hot, buckets)))
                 start, size = i + 1, 0
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loreweave.llm import suffix_dedup
@@ -93,3 +94,18 @@ def test_merge_and_front_coding():
     out = [runs[r][i] for r, i in order]
     assert out == sorted(x for r in runs for x in r)
     assert lcps == [0] + [prefix(a, b) for a, b in zip(out, out[1:])]
+
+
+def test_many_short_texts_in_a_partition():
+    rng = random.Random(9)
+    once = ["".join(rng.choice("абвгдежзийклмноп") for _ in range(50)) for _ in range(20_000)]
+    texts = once + once
+    raw, ends = suffix_dedup._joined(texts)
+    _, p, first, last = suffix_dedup.anchors(raw, ends)
+    doc = np.searchsorted(ends, p, side="right")
+    v = p - np.concatenate(([0], ends))[doc] << 16 | p - last << 8 | p - first
+    rows = pa.RecordBatch.from_arrays([pa.array(doc), pa.array([texts[i] for i in doc]), pa.array([[x] for x in v.tolist()])], ["k", "text", "vs"])
+    runs = suffix_dedup._runs(np.empty(0, np.uint64), 1)([rows])
+    out = suffix_dedup._by_document(suffix_dedup._merged(1)(runs))
+    got = {k: suffix_dedup.spans_of(x) for batch in out for k, x in zip(batch.column("k").to_pylist(), batch.column("spans").to_pylist())}
+    assert got == {i: [(0, 100)] for i in range(20_000, 40_000)}
