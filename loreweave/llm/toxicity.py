@@ -30,14 +30,30 @@ EPOCHS, RATE, DECAY = 100, 0.05, 1e-4
 RARE = 4
 #: Share of a matrix's mean step scale that every step is damped by, so that rare n-grams move less.
 DAMPING = 0.3
-#: Characters of a word that have n-grams; what is longer is no word.
-WORD_CHARS = 40
+#: Characters of a word at most. Longer ones, such as text without blanks, are words of so many characters, each
+#: overlapping the one before by all but one of an n-gram's characters, so that no n-gram is lost.
+WORD_CHARS, OVERLAP = 40, LONGEST - 1
 MOST_WORDS = 400_000
 
 
+def pieces(text: str | None) -> list[bytes]:
+    """The words of a text; in place of a word of more than WORD_CHARS characters, its overlapping pieces."""
+    ws = words(text)
+    if max(map(len, ws), default=0) <= WORD_CHARS:  # bytes are never fewer than characters
+        return ws
+    out = []
+    for w in ws:
+        s = w.decode("utf-8", "surrogatepass") if len(w) > WORD_CHARS else ""
+        if len(s) <= WORD_CHARS:
+            out.append(w)
+        else:
+            out += [s[i : i + WORD_CHARS].encode("utf-8", "surrogatepass") for i in range(0, len(s) - OVERLAP, WORD_CHARS - OVERLAP)]
+    return out
+
+
 def subwords(word: bytes) -> list[int]:
     """Buckets of the word's character n-grams and of the word itself, with its bounds."""
-    w = "<" + word.decode("utf-8", "replace")[:WORD_CHARS] + ">"
+    w = "<" + word.decode("utf-8", "replace") + ">"
     n = len(w)
     return [zlib.crc32(w[i : i + k].encode()) % BUCKETS for k in range(SHORTEST, LONGEST + 1) for i in range(n - k + 1)] + [zlib.crc32(w.encode()) % BUCKETS]
 
@@ -74,7 +90,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     names: dict[bytes, int] = {}
     bags = []
     for t in texts:
-        ids = np.fromiter((names.setdefault(w, len(names)) for w in words(t)), np.int32)
+        ids = np.fromiter((names.setdefault(w, len(names)) for w in pieces(t)), np.int32)
         bags.append(np.unique(ids, return_counts=True))
     seen = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=len(names)) if names else np.empty(0, np.int64)
     chosen = np.zeros(len(names), bool)
@@ -154,7 +170,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                ws = words(text)
+                ws = pieces(text)
                 gains = list(map(known.get, ws))
                 if None in gains:
                     now = {w: model.word(w) for w, x in zip(ws, gains, strict=True) if x is None}

@@ -55,6 +55,20 @@ def test_misspellings_share_vectors():
     assert model.word(b"idioot") > model.word(b"friendly") and model.word(b"idiots") > 0
 
 
+def test_toxic_term_far_into_a_word(spark):
+    """Text without ASCII blanks is one long word; what stands after its first 40 characters counts, too."""
+    start = " ".join(["the quick brown fox jumps over the lazy dog"] * 2).replace(" ", "\u3000")
+    ends = [" you idiot", " my friend"]
+    model = toxicity.train([start + e for e in ends * 30], [1, 0] * 30)
+    docs = spark.createDataFrame([(i, start + e) for i, e in enumerate(ends)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got[0] > 0.6 and got[1] < 0.4
+    for n in (40, 41, 44, 45, 76, 77, 500):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = [p.decode() for p in toxicity.pieces(word)]
+        assert max(map(len, parts)) <= 40 and {word[i : i + 5] for i in range(n - 4)} == {p[i : i + 5] for p in parts for i in range(len(p) - 4)}
+
+
 def test_quality_against_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op10_quality_classifier(spark, SF).join(labels, "doc_id").collect()
