@@ -26,14 +26,14 @@ SCALE = 30.0
 #: Zero vectors that are averaged with every text, so that few words weigh less.
 PAD = 50
 EPOCHS, RATE, DECAY = 100, 0.05, 1e-4
-#: Words of one document alone: one in so many is learned from, with as many times the weight.
-RARE = 4
 #: Share of a matrix's mean step scale that every step is damped by, so that rare n-grams move less.
 DAMPING = 0.3
 #: Characters of a word at most. Longer ones, such as text without blanks, are words of so many characters, each
 #: overlapping the one before by all but one of an n-gram's characters, so that no n-gram is lost.
 WORD_CHARS, OVERLAP = 40, LONGEST - 1
 MOST_WORDS = 400_000
+#: Entries that are summed at once in training.
+BLOCK = 1 << 16
 
 
 def pieces(text: str | None) -> list[bytes]:
@@ -70,16 +70,31 @@ class Model:
         return math.fsum(self.gain[i] for i in ids) / len(ids)
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the rows of values from each start to the next; every range has a row."""
-    return np.add.reduceat(values, starts, axis=0)
-
-
-def _by(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that groups entries by target, the groups' starts, and their targets."""
-    order = np.argsort(target, kind="stable")
-    found, starts = np.unique(target[order], return_index=True)
-    return order, starts, found
+class Sums:
+    """Sums of rows, entry by entry: row `take[i]` of the values counts towards target `to[i]`. Works block by block."""
+
+    def __init__(self, take: np.ndarray, to: np.ndarray, weight: np.ndarray | None = None):
+        if np.any(to[1:] < to[:-1]):
+            order = np.argsort(to, kind="stable")
+            take, to, weight = take[order], to[order], None if weight is None else weight[order]
+        self.take, self.weight = take, weight
+        self.starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        self.found = to[self.starts]
+        at = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(to), BLOCK)), len(self.starts)))
+        stops = np.append(self.starts, len(to))
+        self.blocks = [(a, b, int(stops[a]), int(stops[b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def of(self, values: np.ndarray, n: int) -> np.ndarray:
+        """n sums; targets without entries get 0."""
+        some = np.empty((len(self.found), values.shape[1]), np.float32)
+        for a, b, s, e in self.blocks:
+            part = np.take(values, self.take[s:e], axis=0)
+            if self.weight is not None:
+                part *= self.weight[s:e, None]
+            some[a:b] = np.add.reduceat(part, self.starts[a:b] - s, axis=0)
+        out = np.zeros((n, values.shape[1]), np.float32)
+        out[self.found] = some
+        return out
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
@@ -92,29 +107,28 @@ def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     for t in texts:
         ids = np.fromiter((names.setdefault(w, len(names)) for w in pieces(t)), np.int32)
         bags.append(np.unique(ids, return_counts=True))
-    seen = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=len(names)) if names else np.empty(0, np.int64)
-    chosen = np.zeros(len(names), bool)
-    raw, length = array("i"), []
-    for w, i in names.items():
-        if seen[i] > 1 or zlib.crc32(w) % RARE == 0:
-            chosen[i] = True
-            ids = subwords(w)
-            raw.extend(ids)
-            length.append(len(ids))
-    if not length:
+    if not names:
         return Model(np.zeros(BUCKETS), 0.0)
-    number = np.cumsum(chosen, dtype=np.int32) - 1
-    factor = np.where(seen > 1, 1.0, float(RARE)).astype(np.float32)
-    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [chosen[ids].sum() for ids, _ in bags])
-    word = np.concatenate([number[ids[chosen[ids]]] for ids, _ in bags])
-    weight = np.concatenate([(n[chosen[ids]] * factor[ids[chosen[ids]]] / (n.sum() + PAD)).astype(np.float32) for ids, n in bags])[:, None]
+    raw, length = array("i"), []
+    for w in names:
+        ids = subwords(w)
+        raw.extend(ids)
+        length.append(len(ids))
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(ids) for ids, _ in bags])
+    word = np.concatenate([ids for ids, _ in bags])
+    weight = np.concatenate([(n / (n.sum() + PAD)).astype(np.float32) for _, n in bags])
+    n_docs, n_words = len(bags), len(names)
     del names, bags
-    owner = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), length)
     raw = np.frombuffer(raw, np.int32)
-    share = (1.0 / np.array(length, np.float32))[owner][:, None]
-    used, bucket = np.unique(raw, return_inverse=True)
+    share = 1.0 / np.array(length, np.float32)[:, None]
+    used = np.unique(raw)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    bucket = place[raw]
+    to_words, to_docs, from_docs, from_words = Sums(bucket, owner), Sums(word, doc, weight), Sums(doc, word, weight), Sums(owner, bucket)
+    del raw, owner, bucket, doc, word, weight
 
-    by_doc, by_word, by_bucket, by_owner = _by(doc), _by(word), _by(bucket), _by(owner)
     rng = np.random.default_rng(seed)
     parameters = [
         rng.normal(0, 0.01, (len(used), DIMENSION)).astype(np.float32),
@@ -126,17 +140,15 @@ def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     one_hot = np.eye(2, dtype=np.float32)[y]
     for step in range(1, EPOCHS + 1):
         e, w, b = parameters
-        m = _sums((e[bucket] * share)[by_owner[0]], by_owner[1])
-        h = np.zeros((len(y), DIMENSION), np.float32)
-        h[by_doc[2]] = SCALE * _sums((m[word] * weight)[by_doc[0]], by_doc[1])
+        m = to_words.of(e, n_words) * share
+        h = SCALE * to_docs.of(m, n_docs)
         z = h @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         dz = (p - one_hot) * balance
         dh = SCALE * (dz @ w.T)
-        dm = np.zeros_like(m)
-        dm[by_word[2]] = _sums((dh[doc] * weight)[by_word[0]], by_word[1])
-        de = _sums((dm[owner] * share)[by_bucket[0]], by_bucket[1])
+        dm = from_docs.of(dh, n_words)
+        de = from_words.of(dm * share, len(used))
         for k, g in enumerate((de + DECAY * e, h.T @ dz, dz.sum(axis=0))):
             a, v = moments[k]
             a += 0.1 * (g - a)

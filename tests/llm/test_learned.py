@@ -57,8 +57,8 @@ def test_misspellings_share_vectors():
 
 def test_toxic_term_far_into_a_word(spark):
     """Text without ASCII blanks is one long word; what stands after its first 40 characters counts, too."""
-    start = " ".join(["the quick brown fox jumps over the lazy dog"] * 2).replace(" ", "\u3000")
-    ends = [" you idiot", " my friend"]
+    start = "\u00a0".join(["the quick brown fox jumps over the lazy dog"] * 2).replace(" ", "\u3000")
+    ends = ["\u00a0you\u00a0idiot", "\u00a0my\u00a0friend"]
     model = toxicity.train([start + e for e in ends * 30], [1, 0] * 30)
     docs = spark.createDataFrame([(i, start + e) for i, e in enumerate(ends)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
@@ -69,6 +69,12 @@ def test_toxic_term_far_into_a_word(spark):
         assert max(map(len, parts)) <= 40 and {word[i : i + 5] for i in range(n - 4)} == {p[i : i + 5] for p in parts for i in range(len(p) - 4)}
 
 
+def test_words_of_one_document_alone():
+    toxic, clean = ["idiot", "moron", "stupid", "scumbag"], ["friend", "garden", "flower", "window"]
+    model = toxicity.train(toxic + clean, [1] * 4 + [0] * 4)
+    assert all(model.word(w.encode()) > 0 for w in toxic) and all(model.word(w.encode()) < 0 for w in clean)
+
+
 def test_quality_against_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op10_quality_classifier(spark, SF).join(labels, "doc_id").collect()
