@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreweave.functions.vectors import normalize
-from loreweave.operators.search import top
+from loreweave.operators.search import in_blocks, top
 
-#: Rows of query vectors that are broadcast at most; more are searched in parts.
+#: Rows of query vectors that are broadcast at once; more are searched block by block.
 MOST_QUERIES = 4096
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, include_self: bool = False) -> DataFrame:
     """(query_id, memory_id, similarity, rank0): exact cosine neighbours, ties by id.
 
-    vectors: memory_id, embedding; queries: query_id, embedding, at most MOST_QUERIES rows, which are sent to every task as one
-    matrix. Each batch keeps its k best of each query, so what is shuffled doesn't grow with the vectors of a batch.
+    vectors: memory_id, embedding; queries: query_id, embedding, any number, of which MOST_QUERIES rows at a time are sent to
+    every task as one matrix. Each batch keeps its k best of each query, so what is shuffled doesn't grow with the vectors of a batch.
     """
+    return in_blocks(queries.select("query_id", "embedding"), MOST_QUERIES, lambda found: _nearest(vectors, found, queries.schema["query_id"].dataType, k, include_self))
+
+
+def _nearest(vectors: DataFrame, found: list[Row], id_type: T.DataType, k: int, include_self: bool) -> DataFrame:
+    """The neighbours of one block of queries."""
     import numpy as np
     import pandas as pd
 
-    found = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(found) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors; search in parts")
     ids = np.array([r[0] for r in found])
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("memory_id", vectors.schema["memory_id"].dataType), T.StructField("similarity", T.DoubleType())])
+    schema = T.StructType([T.StructField("query_id", id_type), T.StructField("memory_id", vectors.schema["memory_id"].dataType), T.StructField("similarity", T.DoubleType())])
     if not len(ids):
         return top(vectors.sparkSession.createDataFrame([], schema), k, "memory_id")
 

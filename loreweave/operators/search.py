@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import dates
 from loreweave.functions.text import event_terms, overlap
+from loreweave.sources.shared import cut
 
 # The usual BM25 parameters and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 ASCII = "[a-z0-9]+"
-#: Queries whose terms are looked for in every chunk at once.
+#: Queries whose terms are looked for in every chunk at once; more are searched block by block.
 MOST_QUERIES = 500
 #: Distinct query tokens that are sent to every task; with more, tokens and queries meet by a shuffle.
 MOST_TOKENS = 100_000
@@ -69,6 +71,23 @@ def top(rows: DataFrame, k: int, *order, by: str = "query_id") -> DataFrame:
     return first.withColumn("rank0", F.col("_n").cast("long") - 1).drop("_n")
 
 
+def in_blocks(queries: DataFrame, size: int, search: Callable[[list[Row]], DataFrame]) -> DataFrame:
+    """What search gives for all rows of queries (query_id and more), some `size` at a time; rows of one id stay together.
+
+    With more than one block, what a block finds is written before the next is searched, so one block is held at a time.
+    """
+    block = queries.limit(size + 1).collect()
+    if len(block) <= size:
+        return search(block)
+    block, parts = [], []
+    for row in queries.orderBy("query_id").toLocalIterator():
+        if len(block) >= size and row["query_id"] != block[-1]["query_id"]:
+            parts.append(cut(search(block), "block"))
+            block = []
+        block.append(row)
+    return reduce(DataFrame.unionByName, [*parts, cut(search(block), "block")])
+
+
 def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame, k: int, project: str | None = None) -> DataFrame:
     """BM25 hits among visible memories: best score, newest, largest id first."""
     hits = bm25(memories, queries).join(visible.select("memory_id", "project", "created_at"), "memory_id")
@@ -92,17 +111,19 @@ def match_all(memories: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def chunk_parents(chunks: DataFrame, visible: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Memories by the most query terms (of the first eight) that one of their chunks holds."""
-    found = queries.select("query_id", F.slice(event_terms(F.col("query")), 1, 8).alias("ts")).where(F.size("ts") > 0).limit(MOST_QUERIES + 1).collect()
-    if len(found) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search in parts")
+    """Memories by the most query terms (of the first eight) that one of their chunks holds. Any number of queries."""
+    asked = queries.select("query_id", F.slice(event_terms(F.col("query")), 1, 8).alias("ts")).where(F.size("ts") > 0)
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
     rows = chunks.join(visible.select("memory_id"), "memory_id").select("memory_id", "created_at", text.alias("t"))
-    held = [F.struct(F.lit(r[0]).cast("long").alias("query_id"), sum((F.col("t").contains(x).cast("int") for x in r[1]), F.lit(0)).alias("score")) for r in found]
-    every = F.array(*held) if held else F.array().cast("array<struct<query_id:long,score:int>>")
-    hits = rows.select("memory_id", "created_at", F.explode(F.filter(every, lambda x: x["score"] > 0)).alias("h")).select("h.query_id", "memory_id", "created_at", "h.score")
-    hits = hits.where("score > 0").groupBy("query_id", "memory_id").agg(F.max("score").alias("score"), F.max("created_at").alias("created_at"))
-    return top(hits, k, F.desc("score"), F.desc("created_at"), F.desc("memory_id"))
+
+    def search(found: list[Row]) -> DataFrame:
+        held = [F.struct(F.lit(r[0]).cast("long").alias("query_id"), sum((F.col("t").contains(x).cast("int") for x in r[1]), F.lit(0)).alias("score")) for r in found]
+        every = F.array(*held) if held else F.array().cast("array<struct<query_id:long,score:int>>")
+        hits = rows.select("memory_id", "created_at", F.explode(F.filter(every, lambda x: x["score"] > 0)).alias("h")).select("h.query_id", "memory_id", "created_at", "h.score")
+        hits = hits.where("score > 0").groupBy("query_id", "memory_id").agg(F.max("score").alias("score"), F.max("created_at").alias("created_at"))
+        return top(hits, k, F.desc("score"), F.desc("created_at"), F.desc("memory_id"))
+
+    return in_blocks(asked, MOST_QUERIES, search)
 
 
 def by_year(memories: DataFrame, meta: DataFrame, years: DataFrame, k: int) -> DataFrame:

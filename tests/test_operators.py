@@ -70,6 +70,21 @@ def test_vectors(spark):
     assert abs(sum(x * x for x in e[0].e) - 1) < 1e-6 and sum(e[1].e) == 0
 
 
+def test_queries_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "memory_id long, embedding array<float>")
+    q = v.where("memory_id % 3 = 0").select((F.col("memory_id") % 30).alias("query_id"), "embedding")  # some ids twice
+    c = spark.createDataFrame([(i, i, "t", f"alpha{i % 4} beta{i % 3} gamma{i % 5}") for i in range(30)], "memory_id long, created_at long, title string, summary string")
+    asked = spark.createDataFrame([(i % 9, f"alpha{i % 4} gamma{i % 5}") for i in range(12)], "query_id long, query string")
+
+    def found():
+        return sorted(map(tuple, knn.nearest(v, q, 3).collect())), sorted(map(tuple, search.chunk_parents(c, c, asked, 3).collect()))
+
+    want = found()
+    monkeypatch.setattr(knn, "MOST_QUERIES", 3)
+    monkeypatch.setattr(search, "MOST_QUERIES", 4)
+    assert found() == want and len(want[0]) == 30 and len(want[1]) == 27
+
+
 def test_rrf_ties_and_weights(spark):
     rows = [(1, 0, 1, 10, 0), (1, 0, 1, 11, 1), (1, 1, 2, 11, 0), (1, 2, 0, 12, 0), (1, 3, 1, 13, 1)]
     got = fusion.rrf(spark.createDataFrame(rows, "query_id long, list_no int, weight int, memory_id long, rank0 int")).orderBy("rank0").collect()
