@@ -175,13 +175,13 @@ def code_mentions(t):
 
 @query("observations")
 def best_spans(t):
-    """For a few words of each session's first observation, the section that they come from."""
+    """For what went into each session's first observation (or came out), as a whole, the section that it comes from."""
     s = compress.transcript_sections(t("observations"))
-    facts = s.where("ordinal = 1").select("session_id", F.col("observation_id").alias("fact_id"), F.substr(F.coalesce("input", "output"), F.lit(1), F.lit(40)).alias("fact"))
+    facts = s.where("ordinal = 1").select("session_id", F.col("observation_id").alias("fact_id"), F.coalesce("input", "output").alias("fact"))
     return compress.best_span(F.col("fact"), s.join(facts, "session_id").select("fact_id", "fact", "text", "start_byte", "end_byte"))
 
 
 @query()
 def compression_dictionaries(t):
-    rows = t("documents").select(blobs.content_type(F.col("text")).alias("content_type"), F.substr("text", F.lit(1), F.lit(2000)).alias("data"), F.col("doc_id").alias("order"))
+    rows = t("documents").select(blobs.content_type(F.col("text")).alias("content_type"), F.col("text").alias("data"), F.col("doc_id").alias("order"))
     return blobs.train_dictionaries(rows).select("content_type", F.octet_length("data").alias("n_bytes"))

@@ -307,3 +307,14 @@ def test_epochs(spark):
     assert [(r.epoch, r.start_entry_id) for r in new.collect()] == [(5, 3)] and tuple(govern.verify_epoch(chain, new).first()) == ("n", 1, 0)
     inventory = spark.createDataFrame([("n", "internal", None, 3)], "namespace string, classification string, consent_state string, n long")
     assert "all chains hold" in govern.report(chain, inventory)
+
+
+def test_spans_and_dictionaries_of_whole_texts(spark):
+    from loreweave.plans import catalog_text
+
+    rows = [("s", 1, 1, "bash", " " * 40 + "zebra crossing", None), ("s", 2, 2, "bash", "other things", None)]
+    o = spark.createDataFrame(rows, "session_id string, observation_id long, created_at long, tool string, input string, output string")
+    assert [r.fact_id for r in catalog_text.best_spans(lambda name: o).collect()] == [1]
+    docs = [(i, "x" * 2000 + "".join(f" user {i * j % 97} opened the door of room {i + j} and closed window {j * 7};" for j in range(20))) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r.n_bytes > 500 for r in catalog_text.compression_dictionaries(lambda name: d).collect()] == [True]
