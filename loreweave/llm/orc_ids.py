@@ -31,11 +31,11 @@ OPTIONS = {
 SCHEMA = "doc_id long, part int, part_start long, ids array<int>"
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, ordinary: bool = False) -> DataFrame:
     """Rows in ascending order of doc_id: range partitions in order, each with its running count of ids."""
 
     def run(batches):
-        ids_of = encoder(tokenizer, False).encode
+        ids_of = encoder(tokenizer, False, ordinary).encode
         end = np.array([end_id], "<u4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -57,13 +57,13 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     return docs.repartitionByRange(n, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").mapInArrow(run, SCHEMA)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, ordinary: bool = False) -> None:
     """Writes the ids of every whole text of docs (doc_id, text), each with end_id, in ascending order of doc_id.
 
     Null and empty texts are end_id alone. Null ids come first. Rows with one id twice are written each, in the order of the input.
-    tokenizer: a file that every executor can read.
+    tokenizer: a file that every executor can read. ordinary: strings of special tokens are ordinary text, not their ids.
     """
-    encode(docs, tokenizer, end_id).write.options(**OPTIONS).orc(path)
+    encode(docs, tokenizer, end_id, ordinary).write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

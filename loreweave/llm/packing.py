@@ -50,7 +50,9 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Near-equal windows of at most `capacity`; their number rises whenever one is over it."""
+    """Near-equal windows of at most `capacity`; their number rises whenever one is over it. No sizes: no windows."""
+    if not sizes:
+        return []
     k = -(-sum(sizes) // capacity)
     while True:
         out = differencing(sizes, k)
@@ -94,16 +96,16 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int,
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, ordinary: bool = False) -> DataFrame:
     """One row per piece of docs (doc_id, text): its ids (little-endian unsigned 32 bits) and its place in a sequence.
 
     A document is the ids of its whole text and end_id; null and empty texts are end_id alone. Rows are documents each, also
     with a repeated or null id. Sequences are filled within a partition, so nothing is shuffled; an empty table gives none.
-    tokenizer: a file that every executor can read.
+    tokenizer: a file that every executor can read. ordinary: strings of special tokens are ordinary text, not their ids.
     """
 
     def run(batches):
-        ids_of = encoder(tokenizer, True).encode
+        ids_of = encoder(tokenizer, True, ordinary).encode
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 33
         for batch in batches:

@@ -2,7 +2,7 @@
 
 The pre-tokenizers of the two vocabularies never join characters across the single blank or line break that separates two
 words, so a text's ids are those of its words in turn. Words are encoded by the library and remembered up to a bound;
-texts with other white space are given to the library whole.
+texts with other white space or the string of a special token are given to the library whole.
 """
 
 from __future__ import annotations
@@ -31,23 +31,26 @@ SPELT |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not i
 BYTE_LETTERS = {c: "".join(SPELT[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
-def encoder(path: str, leading: bool) -> Encoder:
+def encoder(path: str, leading: bool, ordinary: bool = False) -> Encoder:
     """The worker's encoder for a file, shared by its tasks: what it remembers is of use to the next."""
-    return held(("encoder", path, leading), lambda: Encoder(path, leading))
+    return held(("encoder", path, leading, ordinary), lambda: Encoder(path, leading, ordinary))
 
 
 class Encoder:
     """encode(texts): the ids of each text as little-endian unsigned 32-bit bytes; null is empty.
 
     leading: a byte-level vocabulary whose words hold the blank before them. Otherwise white space has no ids and case none.
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens get their ids, as in the library's plain call; with `ordinary` they are ordinary text.
     """
 
-    def __init__(self, path: str, leading: bool, most_words: int = MOST_WORDS):
+    def __init__(self, path: str, leading: bool, ordinary: bool = False, most_words: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        assert not any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in added)  # they are found by their exact strings
+        self.special = [] if ordinary else [x.content if leading else x.content.encode() for x in added]
         self.leading, self.most = leading, most_words
         #: Stands between words that are encoded together; one id that no such word has.
         self.between = "\n" if leading else " \x00 "
@@ -69,7 +72,12 @@ class Encoder:
         return text.encode("utf-8", "surrogatepass").translate(LOWER).replace(b"\n", b" ").split(b" ")
 
     def _alone(self, word) -> bool:
-        """Whether the word's ids don't depend on its neighbours: always, where white space is dropped."""
+        """Whether the word's ids don't depend on its neighbours: always, where white space is dropped.
+
+        A word with the string of a special token, also in capitals that are lower-cased here, is left to the library.
+        """
+        if any(x in word for x in self.special):
+            return False
         if not self.leading:
             return True
         body = word[1:] if word[:1] == "\n" else word

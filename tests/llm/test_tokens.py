@@ -17,7 +17,6 @@ ENCODERS = {name: Encoder(public_tokenizers.path(name), leading) for name, leadi
 
 def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -29,6 +28,24 @@ def test_like_the_library(name, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in ENCODERS[name].encode(texts)] == [ids(x) for x in texts]
 
 
+def test_strings_of_special_tokens():
+    for name, leading in VOCABULARIES.items():
+        plain, ordinary = Tokenizer.from_file(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        ordinary.encode_special_tokens = True
+        added = [x.content for x in plain.get_added_tokens_decoder().values()]
+        assert added
+        texts = [t.replace("X", x) for x in added for t in ("hello X there", "X", "aXb\nX X", "a " * 2000 + "X.", "<" + "X"[:-1], "XX")] + [x.upper() for x in added] + [x[:-1] for x in added]
+        for t, e in ((plain, ENCODERS[name]), (ordinary, Encoder(public_tokenizers.path(name), leading, ordinary=True))):
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_whole_windows_alone():
+    assert packing.windows([]) == []
+    assert packing.pack_group([2048]) == [(0, 0, 2048, 0, 0)]
+    assert packing.pack_group([4096, 2048]) == [(0, 0, 2048, 0, 0), (0, 2048, 2048, 1, 0), (1, 0, 2048, 2, 0)]
+    assert packing.pack_group([]) == []
+
+
 def test_packing(spark, sf, odd_docs, no_docs):
     ids = library("byte_bpe_50k.json")
     for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])):
