@@ -1,7 +1,8 @@
 """Chat formatting with built-in functions only.
 
-A table's nested field paths are hashed; the hash selects a declarative mapping that turns prompt, instruction
-and message layouts into canonical turns (conv_id, turn, role, text). Turns are rendered as ChatML-like text.
+A table's nested field paths are hashed, for each layout those that it names; equal hashes select a declarative mapping
+that turns prompt, instruction and message layouts into canonical turns (conv_id, turn, role, text). Turns are rendered as
+ChatML-like text.
 """
 
 from __future__ import annotations
@@ -44,27 +45,28 @@ class Layout:
     by_row: bool = False
 
 
+#: Whole conversations come before single exchanges: of layouts with equally many paths the first is taken.
 LAYOUTS = (
     Layout("turn rows", ("conv_id", "turn", "role", "text"), by_row=True),
+    Layout("messages", ("conv_id", "messages[].role", "messages[].content"), each=("messages", "role", "content")),
+    Layout("shared conversations", ("conv_id", "conversations[].from", "conversations[].value"), each=("conversations", "from", "value")),
     Layout("prompt", ("conv_id", "prompt", "response"), (("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("instruction", ("conv_id", "instruction", "output"), (("user", ("instruction",)), ("assistant", ("output",)))),
     Layout("instruction with input", ("conv_id", "instruction", "input", "output"), (("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("messages", ("conv_id", "messages[].role", "messages[].content"), each=("messages", "role", "content")),
-    Layout("shared conversations", ("conv_id", "conversations[].from", "conversations[].value"), each=("conversations", "from", "value")),
 )
-BY_FINGERPRINT = {fingerprint(x.paths): x for x in LAYOUTS}
-KNOWN_PATHS = {p for x in LAYOUTS for p in x.paths}
+#: The most specific layout first.
+BY_FINGERPRINT = {fingerprint(x.paths): x for x in sorted(LAYOUTS, key=lambda x: -len(x.paths))}
 #: Other names of the canonical roles.
 ROLE_ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def layout_of(df: DataFrame) -> Layout:
-    """The mapping whose paths hash like those of df; paths that no layout knows are extra and left out."""
-    known = [p for p in field_paths(df.schema) if p in KNOWN_PATHS]
-    try:
-        return BY_FINGERPRINT[fingerprint(known)]
-    except KeyError:
-        raise ValueError(f"no layout has the field paths {sorted(known)}") from None
+    """The mapping with most paths of those whose paths all are in df, ties by their order in LAYOUTS; other paths are extra."""
+    paths = set(field_paths(df.schema))
+    for known, layout in BY_FINGERPRINT.items():
+        if fingerprint(paths.intersection(layout.paths)) == known:
+            return layout
+    raise ValueError(f"no layout has the field paths {sorted(paths)}")
 
 
 def canonical_turns(*tables: DataFrame) -> DataFrame:
