@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loreweave.sources.shared import cut, shared_folder
 
-__all__ = ["cut", "held", "held_out", "parallelism", "pick", "release", "shared_folder", "table"]
+__all__ = ["by_place", "cut", "held", "held_out", "parallelism", "pick", "release", "shared_folder", "table"]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -27,6 +27,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{at[n]}").alias(n) for n in names])
 
 
+def by_place(df: DataFrame, *own: str) -> DataFrame:
+    """df with the columns `own` under their names (exact case) and the others under names of their places.
+
+    So an operator's names clash with none; toDF gives back the names of df.
+    """
+    return df.toDF(*[c if c in own and df.columns.index(c) == i else f"_c{i}" for i, c in enumerate(df.columns)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

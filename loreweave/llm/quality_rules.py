@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.llm.common import by_place
+
 #: White space that separates words.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -35,11 +37,26 @@ def _longs(c: Column) -> Column:
     return c.cast("long")
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_marks", "n_dup_lines", "n_lines", "n_stop_words", "n_repeat_words")
+JUDGED = ("base_failed", "failed_rules", "kept")
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_marks, n_dup_lines, n_lines, n_stop_words and n_repeat_words.
 
-    Null and empty texts have 0 everywhere. Texts of any length are measured whole; repeated rows are measured alike.
+    Null and empty texts have 0 everywhere. Texts of any length are measured whole; repeated rows are measured alike. A column
+    of df with just the name of a measure is replaced, any other one stays as it is, also if the names differ in case alone.
     """
+    return _named(df, _measured(by_place(df, text), text), MEASURES)
+
+
+def _named(df: DataFrame, out: DataFrame, new: tuple[str, ...]) -> DataFrame:
+    """The columns of df under their names, without those that are called like a new one, and the new ones."""
+    kept = [(inner, name) for inner, name in zip(out.columns, df.columns, strict=False) if name not in new]
+    return out.select(*[inner for inner, _ in kept], *new).toDF(*[name for _, name in kept], *new)
+
+
+def _measured(df: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumns(
@@ -76,8 +93,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0),
         lambda s, x: s + x,
     )
-    df = df.withColumn("n_repeat_words", _longs(F.when(F.col("_repeated"), covered).otherwise(0)))
-    return df.drop("_words", "_lines", "_windows", "_repeated", "_sorted", "_hit")
+    return df.withColumn("n_repeat_words", _longs(F.when(F.col("_repeated"), covered).otherwise(0)))
 
 
 def compile_rules(thresholds=THRESHOLDS) -> tuple[Column, Column]:
@@ -107,6 +123,7 @@ def base_failed() -> Column:
 
 
 def apply_rules(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """df with its measures, base_failed, failed_rules and kept. An empty table gives an empty one."""
+    """df with its measures, base_failed, failed_rules and kept; clashing names as in measure. An empty table gives an empty one."""
     every, failed = compile_rules(thresholds)
-    return measure(df, text).withColumns({"base_failed": base_failed(), "failed_rules": failed, "kept": ~base_failed() & every})
+    out = _measured(by_place(df, text), text).withColumns({"base_failed": base_failed(), "failed_rules": failed, "kept": ~base_failed() & every})
+    return _named(df, out, (*MEASURES, *JUDGED))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import cut, parallelism, pick
+from loreweave.llm.common import by_place, cut, parallelism, pick
 from loreweave.llm.components import components
 
 SHINGLE = 4
@@ -146,5 +146,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those whose component has a smaller doc_id; all columns stay. Rows without an id stay."""
+    names = docs.columns
     gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return by_place(docs, "doc_id").join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").toDF(*names)

@@ -33,6 +33,17 @@ def odd_docs(spark):
     return spark.createDataFrame([(i, t, "en" if i else None, None if i == 3 else "s", None, "clash", None) for i, t in rows], DOCS)
 
 
+CLASHING = {"k": 77, "K": 88, "spans": "[1]", "Text": "Other", "DOC_ID": "x", "_gone": None, "vs": 3, "_c0": "c", "component_id": 5, "score": 0.5, "ids": "i"}
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(spark, odd_docs):
+    """odd_docs and columns whose names the operators use, or differ from theirs in case alone."""
+    kinds = {int: "long", str: "string", float: "double", type(None): "string"}
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in odd_docs.schema] + [f"`{c}` {kinds[type(v)]}" for c, v in CLASHING.items()])
+    return spark.createDataFrame([(*r, *CLASHING.values()) for r in odd_docs.collect()], schema)
+
+
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
