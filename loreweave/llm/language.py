@@ -51,10 +51,11 @@ def ranked(codes: np.ndarray, most: int = PROFILE) -> np.ndarray:
 def learn(docs: DataFrame, most: int = MOST_LABELLED, profile: int = PROFILE) -> dict[str, list[int]]:
     """The profile of each language, from a bounded sample of documents with a non-null lang that are not held out.
 
-    docs: doc_id, text, lang. Counts are summed on the executors; only the profiles come to the driver.
+    docs: doc_id, text, lang. Counts are summed on the executors; only the profiles come to the driver. Rows with null or
+    repeated ids are documents each; equal rows are in the sample together or not. No rows with a language: no profiles.
     """
     rows = pick(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
-    some = bounded(rows, F.col("lang"), most)
+    some = bounded(rows, F.col("lang"), most, of=("doc_id", "text"))
 
     def count(batches):
         for batch in batches:
@@ -99,7 +100,10 @@ class Identifier:
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) for every whole text."""
+    """doc_id, lang_pred and score (0 to 1) for every whole text; each row, repeated ones too, is judged on its own.
+
+    Null texts and texts without a letter are UNKNOWN with 0, as is everything without profiles. No rows: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):

@@ -12,16 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import cut, pick
+from loreweave.llm.common import by_place, cut, pick
 from loreweave.llm.quality_rules import STOP_WORDS, SYMBOLS
+from loreweave.llm.samples import place, threshold
 
 #: Documents whose posterior labels train the scorer, at most about so many.
 MOST_LABELLED = 8000
 BUCKETS = 1 << 11
 EPOCHS, RATE, DECAY = 200, 0.05, 1e-4
 ROUNDS = 100
-#: Shapes of words that a worker remembers.
-MOST_WORDS = 100_000
+#: Words whose shapes a worker remembers, and their longest; others are looked at anew.
+MOST_WORDS, LONGEST = 100_000, 40
 
 ABSTAIN, BAD, GOOD = "-", "0", "1"
 _STOP = frozenset(STOP_WORDS)
@@ -90,8 +91,6 @@ def shape(word: str) -> int:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out.endswith(k):
             out += k
-            if len(out) == 6:
-                break
     return zlib.crc32(out.encode("utf-8", "surrogatepass"))
 
 
@@ -109,7 +108,7 @@ class Features:
             now = {w: shape(w) for w, x in zip(ws, ids, strict=True) if x is None}
             ids = [x if x is not None else now[w] for w, x in zip(ws, ids, strict=True)]
             if len(known) < MOST_WORDS:
-                known.update(now)
+                known.update((w, s) for w, s in now.items() if len(w) <= LONGEST)
         x = np.array(ids, np.uint64)
         y = (x[:-1] * np.uint64(0x9E3779B1) + x[1:]) % np.uint64((1 << 61) - 1)
         out = np.bincount(np.concatenate([x, y]).astype(np.int64) % BUCKETS, minlength=BUCKETS) / max(1, len(ws))
@@ -152,13 +151,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Scorer
 def learn(docs: DataFrame, most: int = MOST_LABELLED) -> Scorer | None:
     """Vote patterns are counted over all docs (doc_id, text); the scorer is fitted to a bounded sample with its posterior labels.
 
-    No documents: no scorer.
+    The sample goes by the hash of id and text, so null and repeated ids don't matter; of equal rows at most 2 * most are
+    learned from. Null texts teach nothing. No documents: no scorer.
     """
     docs = pick(docs, "doc_id", "text").where("text IS NOT NULL")
-    total = docs.count()
+    hashed = place("doc_id", "text", seed=11)
+    total, least = docs.agg(F.count("*"), F.min(hashed)).first()
     if not total:
         return None
-    taken = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 40)) < F.lit((1 << 40) * min(most, total) // total)
+    taken = F.when(hashed < F.lit(threshold(total, least, most)), hashed)
 
     def look(batches):
         features = Features()
@@ -167,15 +168,15 @@ def learn(docs: DataFrame, most: int = MOST_LABELLED) -> Scorer | None:
             for text, chosen in zip(batch.column("text").to_pylist(), batch.column("taken").to_pylist(), strict=True):
                 ws, m = measures(text)
                 pattern.append(votes(len(ws), m))
-                found = features(ws, m) if chosen else None
+                found = features(ws, m) if chosen is not None else None
                 at.append(found and found[0].tobytes())
                 values.append(found and found[1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pattern), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "votes", "at", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("taken"), pa.array(pattern), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["taken", "votes", "at", "values"])
 
-    seen = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", taken.alias("taken")).mapInArrow(look, "doc_id long, votes string, at binary, `values` binary"), "votes")
+    seen = cut(docs.select("text", taken.alias("taken")).mapInArrow(look, "taken long, votes string, at binary, `values` binary"), "votes")
     counts = {r[0]: r[1] for r in seen.groupBy("votes").count().collect()}  # at most 3 ** len(LABELLERS) patterns
     good = estimate(counts)
-    some = sorted((r[0] or 0, r[1], bytes(r[2]), bytes(r[3])) for r in seen.where("at IS NOT NULL").collect())
+    some = sorted((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in seen.where("at IS NOT NULL").orderBy("taken", "votes", "at", "values").limit(2 * most).collect())
     return fit([(np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4")) for _, _, a, v in some], np.array([good[p] for _, p, _, _ in some]))
 
 
@@ -198,6 +199,7 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
 
 def keep_good(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """docs without those that the scorer rejects; all columns stay, and each row is judged on its own."""
+    names, docs = docs.columns, by_place(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
@@ -209,4 +211,4 @@ def keep_good(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
                 keep.append(bool(ws) and scorer is not None and scorer(*features(ws, m)) >= 0.5)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
