@@ -4,11 +4,13 @@ Every 100-byte string has one anchor, the smallest hashed 32-gram in it, so equa
 only the suffixes at anchors are sorted. Three steps, each one shuffle:
 
 1. 32-gram hashes of the anchors are counted; anchors whose hash occurs once are dropped.
-2. Each partition sorts its remaining anchor suffixes (with what stands before them) into runs, front-codes them, and sends
-   them by hash range. Equal records of a partition are sent once. Anchors of very frequent 32-grams are sent as single
-   windows instead, by the window's own 128-bit hash, so no task gets them all.
-3. A range's runs are merged by a loser tree that compares only behind known common prefixes. From the common prefix lengths
-   of the suffixes and of what stands before them follows which windows have an equal one earlier.
+2. Slices of texts sort their remaining anchor suffixes (with what stands before them) into runs, front-code them, and send
+   them by the hash of the key, the 32-gram. Equal records of a run are sent once. The key of a very frequent 32-gram is
+   lengthened by all bytes that follow: each window is then a suffix of its own, with a key of 100 bytes, so no task gets a
+   hot 32-gram. A key only says where records go; which are equal is found by sorting, byte by byte.
+3. Bucket by bucket, runs are merged by a loser tree that compares only behind known common prefixes. From the common prefix
+   lengths of the suffixes and of what stands before them follows which windows have an equal one earlier. Of equal records
+   only the earliest is kept in memory.
 """
 
 from __future__ import annotations
@@ -22,22 +24,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import cut, parallelism, pick, release
+from loreweave.llm.common import by_place, cut, parallelism, pick, release
 
 LENGTH, GRAM = 100, 32
 #: 32-grams of a window.
 GRAMS = LENGTH - GRAM + 1
 #: Bytes that are hashed at once; a window's minimum also holds its place in 20 bits.
 BLOCK, PLACE = 1 << 18, (1 << 20) - 1
-#: Members of a 32-gram that are sorted together at most, or a share of all anchors if that is more.
-FREQUENT, FREQUENT_SHARE = 1000, 50_000
+#: Anchors of a 32-gram that are sorted together at most. So that a table of at most MOST_FREQUENT hashes (8 bytes each) goes
+#: to every task, it is a share of all anchors if that is more: beyond 3.5 TB of text; 571 000 records of one key at 100 TB.
+FREQUENT, MOST_FREQUENT = 20_000, 5_000_000
 #: Bytes of text that are looked at together in steps 1 and 2.
 SLICE = 2 << 20
 #: Texts that step 2 looks at together: a text's number in its slice stands in the upper 15 bits of a signed 64-bit number.
 SLICE_TEXTS = 1 << 15
 
-#: Bytes of text to a range of hashes, and ranges at least. A slice sends a row to a range only if it has something for it.
+#: Bytes of text to a bucket of hashes, and buckets at least. A slice sends a row to a bucket only if it has something for it.
 BUCKET, LEAST_BUCKETS = 2 << 20, 64
+#: Bytes of text to a partition of a shuffle.
+PARTITION = 64 << 20
+#: Records that are sorted into one run, or held of a bucket before equal ones are looked for. Spans that are sent on together.
+RECORDS, SPANS = 1 << 17, 1 << 18
 
 _RNG = np.random.default_rng(100)
 TABLES = _RNG.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,14 +111,13 @@ def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 # Entries between the steps. v holds the anchor's place in its text and how far before it its windows start: least, most.
-SEEN = np.dtype([("h", "<u8"), ("k", "<u4"), ("p", "<u4"), ("least", "u1"), ("most", "u1"), ("n", "<u2")])
-WINDOWS = np.dtype([("a", "<u8"), ("b", "<u8"), ("k", "<i8"), ("s", "<u4")])
+SEEN = np.dtype([("h", "<u8"), ("k", "<u4"), ("p", "<u4"), ("least", "u1"), ("most", "u1"), ("n", "<u4")])
 COVER = np.dtype([("k", "<i8"), ("s", "<u4"), ("e", "<u4")])
 #: A record of a run: the suffix up to the last window's end, its length, what stands before it, nearest first, and `most`.
 WIDTH = LENGTH + 1 + GRAMS - 1 + 1
 ENTRY = np.dtype([("k", "<i8"), ("p", "<u4"), ("least", "u1"), ("most", "u1"), ("lcp", "u1")])
 
-FOUND, REPEATED, RUN, WINDOW, COVERED = range(5)
+FOUND, REPEATED, RUN, COVERED = range(4)
 ROWS = "bucket int, kind int, blob binary"
 
 
@@ -166,7 +172,7 @@ def _look(buckets: int):
                 rows.append((int(k[again[0]]) % buckets, REPEATED, _packed(k[again], at[again], (p - last)[again], (p - first)[again]).tobytes()))
             one = order[new]
             out = np.empty(len(one), SEEN)
-            out["h"], out["p"], out["least"], out["most"], out["n"] = h[one], at[one], (p - last)[one], (p - first)[one], np.minimum(count, 65535)
+            out["h"], out["p"], out["least"], out["most"], out["n"] = h[one], at[one], (p - last)[one], (p - first)[one], count
             out["k"] = 0 if wide else k[one] - base
             groups, spans = _split((out["h"] % np.uint64(buckets)).astype(np.int64))
             for b, s, e in spans:
@@ -188,40 +194,48 @@ def _packed(k, p, least, most) -> np.ndarray:
 
 
 def _count(frequent: int):
-    """Of all entries of some buckets: (k, v) of those whose hash occurs twice or more; with k null, v a frequent hash."""
+    """Of the entries of some buckets, which come bucket by bucket: (k, v) of those whose hash occurs twice or more; with k null, v a frequent hash."""
 
-    def run(batches):
-        release()
+    def told(blobs: list[bytes]) -> pa.RecordBatch:
         hs, ks, vs, ns = [], [], [], []
-        for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if kind == REPEATED:
-                    x = np.frombuffer(blob, [("k", "<i8"), ("v", "<i8")])
-                    yield pa.RecordBatch.from_arrays([pa.array(x["k"]), pa.array(x["v"])], ["k", "v"])
-                    continue
-                if blob[0]:
-                    n = (len(blob) - 1) // (8 + SEEN.itemsize)
-                    x, k = np.frombuffer(blob, SEEN, offset=1 + 8 * n), np.frombuffer(blob, "<i8", n, 1)
-                else:
-                    x = np.frombuffer(blob, SEEN, offset=9)
-                    k = x["k"].astype(np.int64) + int.from_bytes(blob[1:9], "little", signed=True)
-                hs.append(x["h"])
-                ks.append(k)
-                vs.append(x["p"].astype(np.int64) << 16 | x["least"].astype(np.int64) << 8 | x["most"])
-                ns.append(x["n"])
-        if not hs:
-            return
+        for blob in blobs:
+            if blob[0]:
+                n = (len(blob) - 1) // (8 + SEEN.itemsize)
+                x, k = np.frombuffer(blob, SEEN, offset=1 + 8 * n), np.frombuffer(blob, "<i8", n, 1)
+            else:
+                x = np.frombuffer(blob, SEEN, offset=9)
+                k = x["k"].astype(np.int64) + int.from_bytes(blob[1:9], "little", signed=True)
+            hs.append(x["h"])
+            ks.append(k)
+            vs.append(x["p"].astype(np.int64) << 16 | x["least"].astype(np.int64) << 8 | x["most"])
+            ns.append(x["n"])
         h, k, v, n = (np.concatenate(x) for x in (hs, ks, vs, ns))
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
         total = np.add.reduceat(n[order].astype(np.int64), starts)
         size = np.diff(np.append(starts, len(h)))
         #: Entries of several slices; what one slice repeats it has sent on itself.
-        told = order[np.repeat(size > 1, size)]
-        told = told[n[told] == 1]
-        yield pa.RecordBatch.from_arrays([pa.array(k[told]), pa.array(v[told])], ["k", "v"])
+        several = order[np.repeat(size > 1, size)]
+        several = several[n[several] == 1]
         hot = h[order][starts[total > frequent]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), pa.array(hot)], ["k", "v"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(k[several]), pa.nulls(len(hot), pa.int64())]), pa.array(np.concatenate((v[several], hot)))], ["k", "v"])
+
+    def run(batches):
+        release()
+        now, held = None, []
+        for batch in batches:
+            for bucket, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield told(held)
+                    held = []
+                now = bucket
+                if kind == REPEATED:
+                    x = np.frombuffer(blob, [("k", "<i8"), ("v", "<i8")])
+                    yield pa.RecordBatch.from_arrays([pa.array(x["k"]), pa.array(x["v"])], ["k", "v"])
+                else:
+                    held.append(blob)
+        if held:
+            yield told(held)
 
     return run
 
@@ -235,26 +249,27 @@ def _covered(k, s, e) -> np.ndarray:
     return out
 
 
-def _runs(hot: np.ndarray, buckets: int):
-    """Sorted front-coded runs of a partition's repeated anchors, and windows of the frequent ones."""
+def _runs(frequent: np.ndarray, buckets: int):
+    """Sorted front-coded runs of a partition's repeated anchors, slice by slice; frequent: a broadcast of sorted hashes of 32-grams."""
 
     def run(batches):
         release()
-        docs = []
+        hot, docs, size = frequent.value, [], 0
         for batch in batches:
-            docs += zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), batch.column("vs").to_pylist(), strict=True)
-        docs.sort(key=lambda x: x[0])
-        start = size = 0
-        for i, x in enumerate(docs):
-            size += len(x[1])
-            if size >= SLICE or i + 1 - start == SLICE_TEXTS or i == len(docs) - 1:
-                yield _batch(list(_slice(docs[start : i + 1], hot, buckets)))
-                start, size = i + 1, 0
+            for doc in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), batch.column("vs").to_pylist(), strict=True):
+                docs.append(doc)
+                size += len(doc[1])
+                if size >= SLICE or len(docs) == SLICE_TEXTS:
+                    yield _batch(list(_slice(docs, hot, buckets)))
+                    docs, size = [], 0
+        if docs:
+            yield _batch(list(_slice(docs, hot, buckets)))
 
     return run
 
 
-def _slice(docs, hot: np.ndarray, buckets: int):
+def _slice(docs, frequent: np.ndarray, buckets: int):
+    docs = sorted(docs, key=lambda x: x[0])
     raw, ends = _joined([t for _, t, _ in docs])
     begins = np.concatenate(([0], ends[:-1]))
     n = np.array([len(v) for _, _, v in docs])
@@ -268,70 +283,59 @@ def _slice(docs, hot: np.ndarray, buckets: int):
         grams = grams[:, ::2] * np.uint64(pow(FACTORS[0], size, 1 << 64)) + grams[:, 1::2]
         size *= 2
     h = _mixed(grams[:, 0])
-    often = np.isin(h, hot)
-    if often.any():
-        yield from _windows(raw, p[often], place[often], least[often], most[often], k[often], buckets)
-    rest = ~often
-    p, place, least, most, k, h = (x[rest] for x in (p, place, least, most, k, h))
-    if not len(p):
+    del grams
+    text = np.concatenate((np.zeros(GRAMS - 1, np.uint8), raw, np.zeros(LENGTH, np.uint8)))
+    often = np.zeros(len(h), bool)
+    if len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+    parts = [x[~often] for x in (p, place, least, most, k, h)]
+    for at in range(0, len(parts[0]), RECORDS):
+        yield from _run(text, *[x[at : at + RECORDS] for x in parts], buckets)
+    if not often.any():
         return
+    whole = _hashes(raw, LENGTH)
+    p, place, least, most, k = (x[often] for x in (p, place, least, most, k))
+    step = RECORDS // GRAMS
+    for at in range(0, len(p), step):
+        some = slice(at, at + step)
+        n = most[some] - least[some] + 1
+        back = np.repeat(most[some], n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        starts, none = np.repeat(p[some], n) - back, np.zeros(len(back), np.int64)
+        yield from _run(text, starts, np.repeat(place[some], n) - back, none, none, np.repeat(k[some], n), whole[starts], buckets)
+
+
+def _run(text, p, place, least, most, k, key, buckets: int):
+    """Records of anchors in the order of (k, place), sorted and front-coded by bucket of the key. text: the joined texts within zeros."""
     record = np.zeros((len(p), WIDTH), np.uint8)
-    after = sliding_window_view(np.concatenate((raw, np.zeros(LENGTH, np.uint8))), LENGTH)[p]
-    record[:, :LENGTH] = after * (np.arange(LENGTH) < (LENGTH - least)[:, None])
+    record[:, :LENGTH] = sliding_window_view(text, LENGTH)[p + GRAMS - 1] * (np.arange(LENGTH) < (LENGTH - least)[:, None])
     record[:, LENGTH] = LENGTH - least
-    before = sliding_window_view(np.concatenate((np.zeros(GRAMS - 1, np.uint8), raw)), GRAMS - 1)[p]
-    record[:, LENGTH + 1 : -1] = before[:, ::-1] * (np.arange(GRAMS - 1) < most[:, None])
-    del after, before, grams
+    record[:, LENGTH + 1 : -1] = sliding_window_view(text, GRAMS - 1)[p][:, ::-1] * (np.arange(GRAMS - 1) < most[:, None])
     record[:, -1] = most + 1
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(record.reshape(-1).view(f"S{WIDTH}"), kind="stable")
     order = order[np.argsort(bucket[order], kind="stable")]
-    r = record[order]
+    r, b = record[order], bucket[order]
     differ = r[1:] != r[:-1]
     lcp = np.concatenate(([0], np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)))
-    b = bucket[order]
-    first = np.concatenate(([True], b[1:] != b[:-1]))
-    lcp[first] = 0
+    lcp[np.concatenate(([True], b[1:] != b[:-1]))] = 0
     same = lcp == WIDTH
-    twin = order[same]  # every window of these has an equal one earlier in this slice
+    twin = order[same]  # every window of these has an equal one earlier in this run
     if len(twin):
         yield int(k[twin[0]]) % buckets, COVERED, _covered(k[twin], place[twin] - most[twin], place[twin] - least[twin] + LENGTH).tobytes()
     order, r, lcp, b = order[~same], r[~same], lcp[~same], b[~same]
     entry = np.empty(len(order), ENTRY)
     entry["k"], entry["p"], entry["least"], entry["most"], entry["lcp"] = k[order], place[order], least[order], most[order], lcp
-    rest = np.arange(WIDTH) >= lcp[:, None]
     found, starts = np.unique(b, return_index=True)
     for x, s, e in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
-        yield x, RUN, entry[s:e].tobytes() + r[s:e][rest[s:e]].tobytes() + (e - s).to_bytes(4, "little")
-
-
-def _windows(raw, p, place, least, most, k, buckets: int):
-    a, b = _hashes(raw, LENGTH), _hashes(raw, LENGTH, 1)
-    n = most - least + 1
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    back = np.repeat(most, n) - inner
-    at = np.repeat(p, n) - back
-    out = np.empty(len(at), WINDOWS)
-    out["a"], out["b"], out["k"], out["s"] = a[at], b[at], np.repeat(k, n), np.repeat(place, n) - back
-    order = np.lexsort((out["s"], out["k"], out["b"], out["a"]))
-    out = out[order]
-    same = np.concatenate(([False], (out["a"][1:] == out["a"][:-1]) & (out["b"][1:] == out["b"][:-1])))
-    if same.any():
-        x = _runs_of(out["k"][same], out["s"][same])
-        yield int(x["k"][0]) % buckets, COVERED, x.tobytes()
-    out = out[~same]
-    order, spans = _split((out["a"] % np.uint64(buckets)).astype(np.int64))
-    for x, s, e in spans:
-        yield x, WINDOW, out[order[s:e]].tobytes()
-
-
-def _runs_of(k: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Covered spans of windows that start at s; those that overlap or touch are one."""
-    order = np.lexsort((s, k))
-    k, s = k[order], s[order].astype(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] > s[:-1] + LENGTH))))
-    last = np.append(new[1:] - 1, len(k) - 1)
-    return _covered(k[new], s[new], s[last] + LENGTH)
+        yield x, RUN, entry[s:e].tobytes() + r[s:e][_told(entry[s:e])].tobytes() + (e - s).to_bytes(4, "little")
+
+
+def _told(entry: np.ndarray) -> np.ndarray:
+    """Which bytes of the records are in the code: behind the common prefix, and neither padding nor known from the entry."""
+    at = np.arange(WIDTH)
+    suffix = at < LENGTH - entry["least"].astype(np.int64)[:, None]
+    before = (at > LENGTH) & (at <= LENGTH + entry["most"].astype(np.int64)[:, None])
+    return (at >= entry["lcp"][:, None]) & (suffix | before)
 
 
 # Step 3
@@ -341,10 +345,12 @@ def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Entries and records of a front-coded run."""
     n = int.from_bytes(blob[-4:], "little")
     entry = np.frombuffer(blob, ENTRY, n)
-    rest = np.arange(WIDTH) >= entry["lcp"][:, None]
+    told = _told(entry)
     record = np.zeros((n, WIDTH), np.uint8)
-    record[rest] = np.frombuffer(blob, np.uint8, int(rest.sum()), n * ENTRY.itemsize)
-    row = np.maximum.accumulate(np.where(rest, np.arange(n)[:, None], 0), axis=0)
+    record[told] = np.frombuffer(blob, np.uint8, int(told.sum()), n * ENTRY.itemsize)
+    record[:, LENGTH] = LENGTH - entry["least"]
+    record[:, -1] = entry["most"] + 1
+    row = np.maximum.accumulate(np.where(np.arange(WIDTH) >= entry["lcp"][:, None], np.arange(n)[:, None], 0), axis=0)
     return entry, np.take_along_axis(record, row, axis=0)
 
 
@@ -437,15 +443,81 @@ def resolve(entry: np.ndarray, record: np.ndarray, lcp: np.ndarray) -> np.ndarra
     return _covered(entry["k"][rows], p - (high - 1), p - low + LENGTH)
 
 
-def _merged(buckets: int):
-    """Covered spans of all runs and windows of some buckets, for groups of documents."""
+class Bucket:
+    """The runs of one bucket. When many records are held they are merged into one run, of equal records only the earliest."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, list[bytes], list[int]]] = []
+        self.held, self.most = 0, RECORDS
+        self.covered: list[np.ndarray] = []
+
+    def add(self, blob: bytes) -> None:
+        entry, record = decode(blob)
+        raw = record.tobytes()
+        self.runs.append((entry, [raw[i : i + WIDTH] for i in range(0, len(raw), WIDTH)], entry["lcp"].tolist()))
+        self.held += len(entry)
+        if self.held > self.most:
+            self._merge()
+            self.most = 2 * self.held + RECORDS
+
+    def _merge(self) -> None:
+        order, lcp = merge([(rows, known) for _, rows, known in self.runs])
+        starts = np.cumsum([0, *[len(entry) for entry, _, _ in self.runs]])
+        at = np.array([starts[r] + i for r, i in order])
+        entry, lcp = np.concatenate([entry for entry, _, _ in self.runs])[at], np.array(lcp)
+        rows = [self.runs[r][1][i] for r, i in order]
+        self.runs.clear()
+        new = lcp < WIDTH
+        new[0] = True
+        group = np.cumsum(new) - 1
+        early = np.lexsort((entry["p"], entry["k"], group))
+        first = early[np.flatnonzero(np.concatenate(([True], np.diff(group[early]) > 0)))]
+        if len(first) < len(entry):
+            rest = np.ones(len(entry), bool)
+            rest[first] = False
+            x = entry[rest]
+            p = x["p"].astype(np.int64)
+            self.covered.append(_covered(x["k"], p - x["most"], p - x["least"] + LENGTH))
+            entry, lcp, rows = entry[first], lcp[new], [rows[i] for i in first.tolist()]
+        self.runs.append((entry, rows, lcp.tolist()))
+        self.held = len(rows)
+
+    def spans(self) -> list[np.ndarray]:
+        """Covered spans of all its records."""
+        if self.runs:
+            self._merge()
+            entry, rows, lcp = self.runs.pop()
+            self.covered.append(resolve(entry, np.frombuffer(b"".join(rows), np.uint8).reshape(-1, WIDTH), np.array(lcp)))
+        return self.covered
+
+
+def _merged(groups: int):
+    """Covered spans of the runs of some buckets, which come bucket by bucket, for groups of documents."""
+
+    def ready(found: list[np.ndarray]) -> pa.RecordBatch:
+        c = np.concatenate(found)
+        order, spans = _split(c["k"] % groups)
+        return _batch([(b, COVERED, c[order[s:e]].tobytes()) for b, s, e in spans])
 
     def run(batches):
         release()
-        if out := _covered_by(batches):
-            c = np.concatenate(out)
-            order, spans = _split(c["k"] % buckets)
-            yield _batch([(b, COVERED, c[order[s:e]].tobytes()) for b, s, e in spans])
+        found, size, now, held = [], 0, None, Bucket()
+        for batch in batches:
+            for bucket, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if bucket != now:
+                    found += held.spans()
+                    now, held = bucket, Bucket()
+                if kind == COVERED:
+                    found.append(np.frombuffer(blob, COVER))
+                else:
+                    held.add(blob)
+            size = sum(map(len, found))
+            if size >= SPANS:
+                yield ready(found)
+                found = []
+        found += held.spans()
+        if sum(map(len, found)):
+            yield ready(found)
 
     return run
 
@@ -460,38 +532,6 @@ def _by_document(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int64()), pa.array([ends[s:e].tobytes() for _, s, e in spans], pa.binary())], ["k", "spans"])
 
 
-def _covered_by(batches) -> list[np.ndarray]:
-    runs, windows, out = [], [], []
-    for batch in batches:
-        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            if kind == COVERED:
-                out.append(np.frombuffer(blob, COVER))
-            elif kind == WINDOW:
-                windows.append(np.frombuffer(blob, WINDOWS))
-            else:
-                runs.append(blob)
-    if windows:
-        w = np.concatenate(windows)
-        w = w[np.lexsort((w["s"], w["k"], w["b"], w["a"]))]
-        same = np.concatenate(([False], (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])))
-        if same.any():
-            out.append(_runs_of(w["k"][same], w["s"][same]))
-    if runs:
-        entries, heads = [], []
-        while runs:
-            entry, record = decode(runs.pop())
-            raw = record.tobytes()
-            heads.append(([raw[i : i + WIDTH] for i in range(0, len(raw), WIDTH)], entry["lcp"].tolist()))
-            entries.append(entry)
-        order, lcp = merge(heads)
-        record = np.frombuffer(b"".join([heads[r][0][i] for r, i in order]), np.uint8).reshape(-1, WIDTH)
-        starts = np.cumsum([0, *map(len, entries)])
-        at = np.array([starts[r] + i for r, i in order])
-        del heads, order
-        out.append(resolve(np.concatenate(entries)[at], record, np.array(lcp)))
-    return out
-
-
 def spans_of(blob: bytes | None) -> list[tuple[int, int]]:
     """Maximal covered spans."""
     if not blob:
@@ -522,29 +562,36 @@ def _ranked(docs: DataFrame) -> DataFrame:
     return docs.join(keys, same).select(*docs.columns, "k")
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """The covered spans (k, spans) of the docs (k, text and more) that have any; k is unique and orders them."""
-    spark = docs.sparkSession
-    n = parallelism(spark)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    frequent = max(FREQUENT, size // 35 // FREQUENT_SHARE)
+def covered(docs: DataFrame, size: int, n: int) -> DataFrame:
+    """The covered spans (k, spans) of the docs (k, text) that have any, n partitions by k; k is unique and orders them.
+
+    size: bytes of all texts; n: partitions of a shuffle.
+    """
+    frequent = max(FREQUENT, size // 35 // MOST_FREQUENT)
     buckets = max(LEAST_BUCKETS, size // BUCKET)
     seen = docs.select("k", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_look(buckets), ROWS)
-    told = cut(seen.repartition(n, "bucket").mapInArrow(_count(frequent), "k long, v long"), "repeated")
-    #: Fewer than FREQUENT_SHARE * (bytes per anchor over 35) hashes can be frequent.
-    hot = np.sort(np.array([r[0] for r in told.where("k IS NULL").select("v").collect()], np.int64).view(np.uint64))
-    replies = told.where("k IS NOT NULL").groupBy("k").agg(F.collect_list("v").alias("vs"))
-    runs = docs.join(replies.hint("shuffle_hash"), "k").select(*docs.columns, "vs").mapInArrow(_runs(hot, buckets), ROWS)
-    spans = runs.repartition(2 * n, "bucket").mapInArrow(_merged(n), ROWS)
-    return spans.repartition(n, "bucket").mapInArrow(_by_document, "k long, spans binary")
+    told = cut(seen.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(frequent), "k long, v long"), "repeated")
+    #: Anchors are 35 bytes apart or more on average, so that at most about MOST_FREQUENT hashes can be frequent.
+    hot = np.sort(told.where("k IS NULL").select("v").toArrow()["v"].to_numpy().view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    replies = told.where("k IS NOT NULL").repartition(n, "k").groupBy("k").agg(F.collect_list("v").alias("vs"))
+    runs = docs.where(F.octet_length("text") >= LENGTH).repartition(n, "k").join(replies.hint("shuffle_hash"), "k").mapInArrow(_runs(shared, buckets), ROWS)
+    spans = runs.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(n), ROWS)
+    return spans.repartition(n, "bucket").mapInArrow(_by_document, "k long, spans binary").repartition(n, "k")
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id long, text and more) with k and spans. Where ids are null or repeated, k is a rank; else it is the id."""
-    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    keyed = (docs.withColumn("k", F.col("doc_id")) if n == ids else _ranked(docs)).where("k IS NOT NULL")
-    spans = covered(keyed if n == ids else keyed.dropDuplicates(["k"]))
-    return keyed.join(spans.hint("shuffle_hash"), "k", "left")
+    """docs (doc_id long, text and more) with k and spans. Where ids are null or repeated, k is a rank; else it is the id.
+
+    The number of partitions follows from the bytes, so what a task holds, also of the hashed side of a join, doesn't grow
+    with the table.
+    """
+    rows, ids, size = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(parallelism(docs.sparkSession), -(-size // PARTITION))
+    keyed = (docs.withColumn("k", F.col("doc_id")) if rows == ids else _ranked(docs)).where("k IS NOT NULL")
+    texts = keyed.select("k", "text")
+    spans = covered(texts if rows == ids else texts.dropDuplicates(["k"]), size, n)
+    return keyed.repartition(n, "k").join(spans.hint("shuffle_hash"), "k", "left")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -576,9 +623,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id long, text and more) with the repeated bytes cut out of text, and n_chars, if there, counted anew.
 
-    A character of which a cut leaves a part goes with it. Texts that are repeats as a whole become empty; no row goes.
+    A character of which a cut leaves a part goes with it. Texts that are repeats as a whole become empty; no row goes. Other
+    columns, also such as clash with names that are used here, stay as they are.
     """
-    names = docs.columns
+    names, docs = docs.columns, by_place(docs, "doc_id", "text", "n_chars")
+    inner = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -586,11 +635,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for i, blob in enumerate(batch.column("spans").to_pylist()):
                 if blob:
                     texts[i] = without(texts[i].encode("utf-8", "surrogatepass"), spans_of(blob)).decode("utf-8", "ignore")
-            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            yield batch.select(names)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).select(inner)
 
-    out = _with_spans(docs).select(*names, "k", "spans").mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = _with_spans(docs).select(*inner, "k", "spans").mapInArrow(run, docs.schema)
+    out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return out.toDF(*names)
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

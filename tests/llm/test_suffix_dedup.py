@@ -1,5 +1,6 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,8 @@ def made(spark, n, seed):
 @pytest.mark.parametrize("frequent", [1000, 3])
 def test_made_texts(spark, monkeypatch, frequent):
     monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
-    monkeypatch.setattr(suffix_dedup, "FREQUENT_SHARE", 10**12)
+    monkeypatch.setattr(suffix_dedup, "RECORDS", 700)
+    monkeypatch.setattr(suffix_dedup, "SPANS", 50)
     for seed in range(2):
         check(spark, made(spark, 120, seed))
 
@@ -105,7 +107,7 @@ def test_many_short_texts_in_a_partition():
     doc = np.searchsorted(ends, p, side="right")
     v = p - np.concatenate(([0], ends))[doc] << 16 | p - last << 8 | p - first
     rows = pa.RecordBatch.from_arrays([pa.array(doc), pa.array([texts[i] for i in doc]), pa.array([[x] for x in v.tolist()])], ["k", "text", "vs"])
-    runs = suffix_dedup._runs(np.empty(0, np.uint64), 1)([rows])
+    runs = suffix_dedup._runs(SimpleNamespace(value=np.empty(0, np.uint64)), 1)([rows])
     out = suffix_dedup._by_document(suffix_dedup._merged(1)(runs))
     got = {k: suffix_dedup.spans_of(x) for batch in out for k, x in zip(batch.column("k").to_pylist(), batch.column("spans").to_pylist())}
     assert got == {i: [(0, 100)] for i in range(20_000, 40_000)}
