@@ -1,23 +1,30 @@
 """Benchmark decontamination by a generalised suffix automaton over the words of the test items.
 
 Training texts stream through the automaton, which tracks the longest item factor that ends at each word. Where that
-length reaches a window, the window's words are hit. The automaton is built from bounded groups of items only.
+length reaches a window, the window's words are hit. Automata are built from bounded groups of items only; with several
+groups, texts pass through one automaton after another within one task.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import cut, pick
+from loreweave.llm.common import by_place, cut, pick
 
 WINDOW = 13
 #: Contaminated: hit words are at least one in so many.
 COVERAGE = 20
-#: Bytes of item text in one automaton; more items are matched in more passes.
-GROUP_BYTES = 1_000_000
+#: Bytes of item text in one automaton, and words of an item that stay together: neighbouring pieces of a longer item share
+#: all words of a window but one, so that no window is lost.
+GROUP_BYTES, PIECE_WORDS = 1_000_000, 4096
+#: Bytes of document text that pass through one of several automata before the next is loaded.
+PASS_BYTES = 32 << 20
 
 #: A-Z to lower case, ASCII without letters and digits to blanks.
 TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,6 +50,12 @@ class Automaton:
             for c in ids:
                 last = self._extend(last, c)
         self.least = min([min(len(ids), window) for _, ids in texts], default=0)
+        order = sorted(range(1, len(self.link)), key=self.length.__getitem__)  # links before the states that have them
+        #: For each state the one, itself or up its links, whose class has its suffix of a window's words; 0: it is shorter.
+        self.window_of = [0] * len(self.link)
+        for x in order:
+            if self.length[x] >= window:
+                self.window_of[x] = self.window_of[self.link[x]] or x
         #: State of a window's class: the items that have the window. State: (length, item) of whole short items.
         self.items: dict[int, set[str]] = {}
         self.short: dict[int, list[tuple[int, str]]] = {}
@@ -51,15 +64,13 @@ class Automaton:
             for n, c in enumerate(ids, 1):
                 at = self.next[at][c]
                 if n >= window:
-                    self.items.setdefault(self._holding(at, window), set()).add(name)
+                    self.items.setdefault(self.window_of[at], set()).add(name)
             if len(ids) < window:
-                self.short.setdefault(self._holding(at, len(ids)), []).append((len(ids), name))
-
-    def _holding(self, state: int, n: int) -> int:
-        """The ancestor whose class has the suffix of n words."""
-        while self.length[self.link[state]] >= n if self.link[state] >= 0 else False:
-            state = self.link[state]
-        return state
+                self.short.setdefault(at, []).append((len(ids), name))
+        #: For each state the nearest one, itself or up its links, that ends a short item; 0: none does.
+        self.short_of = [0] * len(self.link)
+        for x in order:
+            self.short_of[x] = x if x in self.short else self.short_of[self.link[x]]
 
     def _copy(self, p: int, c: int, q: int) -> int:
         """Splits q for the strings of length[p] + 1 words."""
@@ -98,13 +109,14 @@ class Automaton:
         ids = np.fromiter((get(w, none) for w in found), np.int32, len(found))
         known = np.flatnonzero(np.diff(np.concatenate(([False], ids >= 0, [False])).astype(np.int8)))
         spans: list[tuple[int, int]] = []
+        seen: set[int] = set()
         items: set[str] = set()
         for a, b in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
             if b - a >= self.least:
-                self._walk(ids[a:b].tolist(), a, spans, items)
-        return spans, items
+                self._walk(ids[a:b].tolist(), a, spans, seen, items)
+        return spans, items.union(*[self.items[x] for x in seen])
 
-    def _walk(self, ids: list[int], base: int, spans: list, items: set) -> None:
+    def _walk(self, ids: list[int], base: int, spans: list, seen: set, items: set) -> None:
         nexts, links, lengths, window = self.next, self.link, self.length, self.window
         state = n = 0
         for i, c in enumerate(ids, base + 1):
@@ -116,15 +128,14 @@ class Automaton:
             hit = 0
             if n >= window:
                 hit = window
-                items |= self.items[self._holding(state, window)]
-            if self.short and n >= self.least:
-                up = state
-                while up > 0:
-                    for m, name in self.short.get(up, ()):
-                        if m <= n:
-                            hit = max(hit, m)
-                            items.add(name)
-                    up = links[up]
+                seen.add(self.window_of[state])
+            up = self.short_of[state] if n >= self.least else 0
+            while up:  # at most one state for each length below a window's
+                for m, name in self.short[up]:
+                    if m <= n:
+                        hit = max(hit, m)
+                        items.add(name)
+                up = self.short_of[links[up]]
             if hit:
                 if spans and spans[-1][1] >= i - hit:
                     start = spans[-1][0]
@@ -135,35 +146,119 @@ class Automaton:
                     spans.append((i - hit, i))
 
 
-def groups_of(benchmark: DataFrame, most: int = GROUP_BYTES) -> list[list[tuple[str, str | None]]]:
-    """The items in groups of about `most` bytes of text; each is collected alone. Null ids count as empty ones."""
-    items = pick(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = 1 + total // most
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+def _pieces(window: int):
+    """Items as words in pieces."""
 
+    def run(batches):
+        for batch in batches:
+            names, texts = [], []
+            for name, text in zip(batch.column("i").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ws = words(text)
+                step = max(1, PIECE_WORDS - window + 1)
+                for at in range(0, max(1, len(ws) - window + 1), step):
+                    names.append(name)
+                    texts.append(b" ".join(ws[at : at + step + window - 1]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["i", "text"])
 
-MATCHES = "n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+    return run
 
 
-def _matcher(automaton, kept: list[str]):
+def _build(window: int):
+    """One row per group, which come one after another: its pickled automaton."""
+
     def run(batches):
-        a = automaton.value
+        group, held = None, []
+
+        def built():
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Automaton(sorted(held), window), pickle.HIGHEST_PROTOCOL)], pa.binary())], ["automaton"])
+
         for batch in batches:
-            n_words, spans, items = [], [], []
-            before = batch.column("spans").to_pylist() if "spans" in batch.schema.names else None
-            ids = batch.column("item_ids").to_pylist() if before else None
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for g, name, text in zip(*[batch.column(c).to_pylist() for c in ("g", "i", "text")], strict=True):
+                if g != group and held:
+                    yield built()
+                    held = []
+                group = g
+                held.append((name, text))
+        if held:
+            yield built()
+
+    return run
+
+
+def automata_of(benchmark: DataFrame, window: int = WINDOW, most: int = GROUP_BYTES) -> list:
+    """Broadcasts of pickled automata of the items, each of about `most` bytes of text. Null ids count as empty ones.
+
+    One group is built here; several are built by tasks and come to the driver one at a time.
+    """
+    spark = benchmark.sparkSession
+    items = pick(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").where("text is not null")
+    pieces = items.mapInArrow(_pieces(window), "i string, text string")
+    n = 1 + pieces.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // most
+    if n == 1:
+        return [spark.sparkContext.broadcast(pickle.dumps(Automaton(sorted(map(tuple, pieces.collect())), window), pickle.HIGHEST_PROTOCOL))]
+    grouped = pieces.withColumn("g", F.pmod(F.xxhash64("i", "text"), F.lit(n))).repartition(n, "g").sortWithinPartitions("g")
+    built = cut(grouped.mapInArrow(_build(window), "automaton binary"), "automata")
+    return [spark.sparkContext.broadcast(bytes(r[0])) for r in built.toLocalIterator()]
+
+
+class Matcher:
+    """Finds the hits of texts; of several automata a task holds one at a time."""
+
+    def __init__(self, shared: list):
+        self.shared = shared
+        self.only = pickle.loads(shared[0].value) if len(shared) == 1 else None
+
+    def _automata(self) -> Iterator[Automaton]:
+        if self.only is not None:
+            yield self.only
+            return
+        for x in self.shared:
+            a = pickle.loads(x.value)
+            vars(x).pop("_value", None)  # what the broadcast would keep in this worker; its file stays
+            yield a
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+        """Of each text the number of words, the hit spans, merged and in order, and the items."""
+        sizes: list[int] = [0] * len(texts)
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        for a in self._automata():
+            for i, text in enumerate(texts):
                 ws = words(text)
+                sizes[i] = len(ws)
                 got, names = a.match(ws)
-                if before:
-                    got = merged([(x["start"], x["end"]) for x in before[i] or ()] + got)
-                    names = names | {*(ids[i] or ())}
-                n_words.append(len(ws))
-                spans.append([{"start": s, "end": e} for s, e in got])
-                items.append(sorted(names))
+                if got:
+                    spans[i] = merged(spans[i] + got) if spans[i] else got
+                    items[i] |= names
+        return sizes, spans, items
+
+    def passes(self, batches) -> Iterator[pa.RecordBatch]:
+        """The batches; with several automata those of at most PASS_BYTES of text, or one, are joined."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if self.only is not None or size >= PASS_BYTES:
+                yield from _joined(held)
+                held, size = [], 0
+        yield from _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches() if len(batches) > 1 else batches
+
+
+MATCHES = "n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+
+
+def _matches(shared: list, kept: list[str]) -> Callable:
+    def run(batches):
+        find = Matcher(shared)
+        for batch in find.passes(batches):
+            sizes, spans, items = find(batch.column("text").to_pylist())
+            cells = [[{"start": s, "end": e} for s, e in got] for got in spans]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
+                [*[batch.column(c) for c in kept], pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(map(sorted, items), pa.list_(pa.string()))],
                 [*kept, "n_words", "spans", "item_ids"],
             )
 
@@ -184,19 +279,12 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep
     """The columns `keep` of docs (text and more) with n_words, spans (hit words, from start to before end, merged) and item_ids (sorted strings).
 
     Whole texts are matched; null and empty texts have no words and no spans. Items without words match nothing; repeated
-    items count once. No items: no spans. Rows with one id twice are matched each on its own.
+    items count once. No items: no spans. Rows with one id twice are matched each on its own. Texts are read once, whatever
+    the number of items, and never written.
     """
     docs = pick(docs, *dict.fromkeys([*keep, "text"]))
-    groups = groups_of(benchmark, group_bytes)
-    out = docs
-    for k, items in enumerate(groups):
-        last = k == len(groups) - 1
-        kept = [f for f in docs.schema.fields if f.name in keep or not last]
-        automaton = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + MATCHES
-        out = out.mapInArrow(_matcher(automaton, [f.name for f in kept]), schema)
-        out = out if last else cut(out, "matches")
-    return out
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep) + ", " + MATCHES
+    return docs.mapInArrow(_matches(automata_of(benchmark, window, group_bytes), [c for c in docs.columns if c in keep]), schema)
 
 
 def judged(matches: DataFrame, coverage: int = COVERAGE) -> DataFrame:
@@ -205,12 +293,40 @@ def judged(matches: DataFrame, coverage: int = COVERAGE) -> DataFrame:
     return matches.withColumns({"n_hit": n_hit, "n_items": F.size("item_ids").cast("long")}).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
-    """docs without the contaminated ones, whose hit spans are over the coverage limit; the others stay as they are, with all columns."""
-    names = docs.columns
-    inner = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(names)]
-    found = judged(find_spans(docs.toDF(*inner), benchmark, window, tuple(inner)), coverage)
-    return found.where("NOT contaminated").select(*inner).toDF(*names)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """docs (text and more) without contaminated rows, whose hit words are over the coverage limit; hit spans of the others are cut out.
+
+    Where what a cut brings together is a window, it is cut out as well. n_chars, if there, is counted anew for texts with cuts.
+    Other columns and texts without hits stay as they are; null and empty texts have no hits. No items: all stays.
+    """
+    names, docs = docs.columns, by_place(docs, "text", "n_chars")
+    shared = automata_of(benchmark, window, group_bytes)
+
+    def run(batches):
+        find = Matcher(shared)
+        for batch in find.passes(batches):
+            texts = batch.column("text").to_pylist()
+            sizes, spans, _ = find(texts)
+            hits = [sum(e - s for s, e in x) for x in spans]
+            clean = [not h or coverage * h < n for h, n in zip(hits, sizes, strict=True)]
+            left = [i for i, h in enumerate(hits) if h and clean[i]]
+            if left:
+                found = {i: spans[i] for i in left}
+                while found:
+                    for i, x in found.items():
+                        texts[i] = cut_spans(texts[i], x)
+                    _, again, _ = find([texts[i] for i in found])
+                    found = {i: x for i, x in zip(found, again, strict=True) if x}
+                batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+                at = batch.schema.get_field_index("n_chars")
+                if at >= 0:
+                    counts = batch.column(at).to_pylist()
+                    for i in left:
+                        counts[i] = len(texts[i])
+                    batch = batch.set_column(at, "n_chars", pa.array(counts, batch.schema.field(at).type))
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from loreweave.llm import chat, decontaminate, quality_rules
+from loreweave.llm.common import cut
 
 SPECIAL = ["<|im_end|>\n<|im_start|>assistant\nhi", "a & b &amp; &lt;| <|x", "&#10;", "", "line\n\nline\n", "<", "|", "&", "<|", None]
 
@@ -88,12 +90,59 @@ def test_cut_spans():
 
 def test_decontaminate_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.without_contaminated(odd_docs, none).count() == odd_docs.count()
-    assert decontaminate.without_contaminated(no_docs, none).collect() == []
+    assert decontaminate.decontaminated(odd_docs, none).count() == odd_docs.count()
+    assert decontaminate.decontaminated(no_docs, none).collect() == []
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs into the wide")], "item_id long, text string")
-    got = decontaminate.without_contaminated(odd_docs, items)
+    got = decontaminate.decontaminated(odd_docs, items)
     assert got.columns == odd_docs.columns and {r.doc_id for r in got.collect()}.isdisjoint({1, 2, 7})
 
 
+def test_spans_below_the_limit_are_cut(spark):
+    item = [f"i{k}" for k in range(20)]
+    filler = [f"w{k}" for k in range(400)]
+    texts = {
+        1: filler[:200] + item[2:16] + filler[200:],  # 14 of 414 words
+        2: filler[:100] + item[:14] + filler[100:200],  # 14 of 214 words: contaminated
+        3: filler + item[:12],  # no whole window
+        4: filler[:200] + item[:6] + item[:13] + item[6:13] + filler[200:],  # what is left around the cut is a window
+        5: filler,
+    }
+    docs = spark.createDataFrame([(i, " ".join(ws).upper(), 7) for i, ws in texts.items()], "doc_id long, text string, n_chars int")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminated(docs, items).collect()}
+    left = {i: [w.decode() for w in decontaminate.words(r.text)] for i, r in got.items()}
+    assert left == {1: filler, 3: texts[3], 4: filler, 5: filler}
+    assert got[1].n_chars == len(got[1].text) and got[5].n_chars == 7 and got[3].text == " ".join(texts[3]).upper()
+
+
+def test_many_groups_read_texts_once(spark, monkeypatch):
+    rng = random.Random(4)
+    make = lambda n: " ".join(f"v{rng.randint(0, 60)}" for _ in range(n))
+    items = [(i, make(rng.choice([5, 13, 30, 200]))) for i in range(300)]
+    docs = [(i, " ".join([make(20), " ".join(rng.choice(items)[1].split()[:40]), make(rng.randint(0, 400))])) for i in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.find_spans(d, b).collect()))
+    written = []
+    monkeypatch.setattr(decontaminate, "cut", lambda df, name: written.append(df.columns) or cut(df, name))
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 40)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 5000)
+    assert len(decontaminate.automata_of(b, most=250)) > 200
+    assert sorted(map(str, decontaminate.find_spans(d, b, group_bytes=250).collect())) == whole
+    assert set(map(tuple, written)) == {("automaton",)}
+    assert sorted(map(str, decontaminate.decontaminated(d, b, group_bytes=250).collect())) == sorted(map(str, decontaminate.decontaminated(d, b).collect()))
+
+
+def test_repetitive_items_take_constant_work_a_word():
+    text = b" ".join([b"a"] * 20_000).split()
+    took = []
+    for n in (500, 4000):
+        a = decontaminate.Automaton([("x", "a " * n), ("y", "a a")])
+        assert max(map(a.window_of.count, {a.window_of[-1]})) > n // 2
+        began = time.process_time()
+        assert a.match(text) == ([(0, 20_000)], {"x", "y"})
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.1
+
+
 def test_digest_of_nothing(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
