@@ -24,9 +24,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(docs)
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of whose words at least one in twenty lies in a window of a benchmark item."""
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of whose words at least one in twenty lies in a window of a benchmark item; other such words go out of the texts."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ STAGES = [
     ("quality classifier", keep_good),
     ("near-duplicates", drop_near_copies),
     ("suffix-array dedup", cut_repeats),
-    ("benchmark decontamination", drop_contaminated),
+    ("benchmark decontamination", decontaminated),
     ("packing", pack),
 ]
 
