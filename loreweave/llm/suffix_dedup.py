@@ -562,20 +562,20 @@ def _ranked(docs: DataFrame) -> DataFrame:
     return docs.join(keys, same).select(*docs.columns, "k")
 
 
-def covered(docs: DataFrame, size: int, n: int) -> DataFrame:
-    """The covered spans (k, spans) of the docs (k, text) that have any, n partitions by k; k is unique and orders them.
+def covered(docs: DataFrame, texts: DataFrame, size: int, n: int) -> DataFrame:
+    """The covered spans (k, spans) of the docs (k, text and more) that have any, n partitions by k; k is unique and orders them.
 
-    size: bytes of all texts; n: partitions of a shuffle.
+    docs: dealt to n partitions by k, so that its exchange can be used again; texts: (k, text) of docs before; size: bytes of texts.
     """
     frequent = max(FREQUENT, size // 35 // MOST_FREQUENT)
     buckets = max(LEAST_BUCKETS, size // BUCKET)
-    seen = docs.select("k", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_look(buckets), ROWS)
+    seen = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_look(buckets), ROWS)
     told = cut(seen.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(frequent), "k long, v long"), "repeated")
     #: Anchors are 35 bytes apart or more on average, so that at most about MOST_FREQUENT hashes can be frequent.
     hot = np.sort(told.where("k IS NULL").select("v").toArrow()["v"].to_numpy().view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     replies = told.where("k IS NOT NULL").repartition(n, "k").groupBy("k").agg(F.collect_list("v").alias("vs"))
-    runs = docs.where(F.octet_length("text") >= LENGTH).repartition(n, "k").join(replies.hint("shuffle_hash"), "k").mapInArrow(_runs(shared, buckets), ROWS)
+    runs = docs.join(replies.hint("shuffle_hash"), "k").select(*docs.columns, "vs").mapInArrow(_runs(shared, buckets), ROWS)
     spans = runs.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(n), ROWS)
     return spans.repartition(n, "bucket").mapInArrow(_by_document, "k long, spans binary").repartition(n, "k")
 
@@ -589,9 +589,10 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     rows, ids, size = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(parallelism(docs.sparkSession), -(-size // PARTITION))
     keyed = (docs.withColumn("k", F.col("doc_id")) if rows == ids else _ranked(docs)).where("k IS NOT NULL")
-    texts = keyed.select("k", "text")
-    spans = covered(texts if rows == ids else texts.dropDuplicates(["k"]), size, n)
-    return keyed.repartition(n, "k").join(spans.hint("shuffle_hash"), "k", "left")
+    dealt = keyed.repartition(n, "k")
+    one = dealt if rows == ids else dealt.dropDuplicates(["k"])
+    spans = covered(one, keyed.select("k", "text") if rows == ids else one.select("k", "text"), size, n)
+    return dealt.join(spans.hint("shuffle_hash"), "k", "left")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
