@@ -70,3 +70,21 @@ def test_leases_sync_and_sweeps(engine, spark):
     engine.clock.now += 10_000
     assert [r.session_id for r in engine.sweep(idle=600).collect()] == [sid] and engine.sweep(idle=600).count() == 0
     assert engine.wipe_project("q")["memories"] == 1
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    """Only one machine may fall back to a folder of its own; tables that are done with can be deleted at once."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from loreweave.sources import shared
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(session)
+    table = shared.cut(spark.range(5), "few")
+    fs, at = shared._of(spark, table._written)
+    assert table.count() == 5 and fs.exists(at)
+    shared.discard(table)
+    assert not fs.exists(at)
