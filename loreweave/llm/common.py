@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.sources.shared import cut, shared_folder
+from loreweave.sources.shared import cut, discard, scratch
 
-__all__ = ["by_place", "cut", "held", "held_out", "parallelism", "pick", "release", "shared_folder", "table"]
+__all__ = ["by_place", "cut", "discard", "held", "held_out", "parallelism", "pick", "release", "scratch", "table"]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

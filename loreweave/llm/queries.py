@@ -6,14 +6,13 @@ derives the digest columns of its result from the operator's real output.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm import chat, decontaminate, language, orc_ids, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
-from loreweave.llm.common import held_out, pick, shared_folder, table
+from loreweave.llm.common import held_out, pick, scratch, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +122,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/loreweave/ids-{uuid.uuid4().hex}"
+    path = scratch(spark, "ids")
     orc_ids.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
     return orc_ids.digests(spark, path)
 
