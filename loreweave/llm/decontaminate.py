@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import by_place, cut, pick
+from loreweave.llm.common import by_place, cut, pick, release
 
 WINDOW = 13
 #: Contaminated: hit words are at least one in so many.
@@ -205,6 +205,7 @@ class Matcher:
     """Finds the hits of texts; of several automata a task holds one at a time."""
 
     def __init__(self, shared: list):
+        release()
         self.shared = shared
         self.only = pickle.loads(shared[0].value) if len(shared) == 1 else None
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import by_place, cut, pick
+from loreweave.llm.common import by_place, cut, pick, release
 from loreweave.llm.quality_rules import STOP_WORDS, SYMBOLS
 from loreweave.llm.samples import place, threshold
 
@@ -162,6 +162,7 @@ def learn(docs: DataFrame, most: int = MOST_LABELLED) -> Scorer | None:
     taken = F.when(hashed < F.lit(threshold(total, least, most)), hashed)
 
     def look(batches):
+        release()
         features = Features()
         for batch in batches:
             pattern, at, values = [], [], []
@@ -185,6 +186,7 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
+        release()
         scorer, features = shared.value, Features()
         for batch in batches:
             out = []
@@ -203,6 +205,7 @@ def keep_good(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
+        release()
         scorer, features = shared.value, Features()
         for batch in batches:
             keep = []

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import by_place, cut, parallelism, pick
+from loreweave.llm.common import by_place, cut, parallelism, pick, release
 from loreweave.llm.components import components
 
 SHINGLE = 4
@@ -45,6 +45,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches):
+    release()
     for batch in batches:
         values = np.fromiter((fingerprint(x) for x in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
