@@ -1,64 +1,99 @@
-"""Lexical recall: an inverted index with BM25, substring recall over chunks, and recall by date."""
+"""Lexical recall: stemmed full text with BM25, substring recall over chunks, and recall by date."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import dates
-from loreweave.functions.text import event_terms, overlap
+from loreweave.functions.stem import asked_tokens, stem, tokens
+from loreweave.functions.text import event_terms, graph_terms, overlap, words_of
 from loreweave.sources.shared import cut
 
 # The usual BM25 parameters and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-ASCII = "[a-z0-9]+"
-#: Queries whose terms are looked for in every chunk at once; more are searched block by block.
-MOST_QUERIES = 500
-#: Distinct query tokens that are sent to every task; with more, tokens and queries meet by a shuffle.
+#: Terms that are looked for in every chunk at once; more are searched block by block.
+MOST_TERMS = 500
+#: Distinct query tokens that are sent to every task; with more, all tokens are counted and meet the queries by a shuffle.
 MOST_TOKENS = 100_000
+#: Words whose stems a worker remembers.
+MOST_WORDS = 200_000
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({ASCII})"), 1)
+def query_tokens(queries: DataFrame, stemming: bool = True) -> DataFrame:
+    """(query_id, token), each once: the stems of the words of the queries. A query without words has none."""
 
+    def run(batches):
+        for batch in batches:
+            at, found = [], []
+            for i, query in enumerate(batch.column("query").to_pylist()):
+                words = {stem(x) if stemming else x: None for x in asked_tokens(query)}
+                at += [i] * len(words)
+                found += words
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["query_id", "token"])
 
-def words_of(memories: DataFrame) -> DataFrame:
-    """(memory_id, ws): tokens of project, session, summary and tags."""
-    return memories.select("memory_id", tokens(F.concat_ws(" ", "project", "session_id", "summary", "tags")).alias("ws"))
+    rows = queries.select("query_id", "query")
+    return rows.mapInArrow(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, token string").distinct()
 
 
-def query_tokens(queries: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(query_id, token), each once."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    return asked.select("query_id", (stem(F.col("token")) if stem else F.col("token")).alias("token")).distinct()
+def index(memories: DataFrame, asked: DataFrame, stemming: bool = True) -> DataFrame:
+    """(memory_id, length, hits): the tokens of project, session, summary and tags, and how often those of `asked` (token) occur.
 
-
-def postings(memories: DataFrame, asked: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(token, memory_id, tf) of the tokens that are asked for; others go before anything is shuffled, if what is asked is small."""
-    every = words_of(memories).select("memory_id", F.explode("ws").alias("token"))
-    if stem:
-        every = every.select("memory_id", stem(F.col("token")).alias("token"))
-    known = asked.select("token").distinct()
-    known = F.broadcast(known) if known.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS else known
-    return every.join(known, "token", "left_semi").groupBy("token", "memory_id").agg(F.count("*").alias("tf"))
-
-
-def bm25(memories: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(query_id, memory_id, score) of memories with at least one query word. Corpus counts are of all memories."""
-    asked = query_tokens(queries, stem)
-    found = postings(memories, asked, stem)
-    lengths = words_of(memories).select("memory_id", F.size("ws").alias("length"))
-    total = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    One row per memory, written once: texts are tokenised in one pass, whatever the number of queries that use it.
+    """
+    known = [r[0] for r in asked.select("token").distinct().limit(MOST_TOKENS + 1).collect()]
+    shared = memories.sparkSession.sparkContext.broadcast(frozenset(known) if len(known) <= MOST_TOKENS else None)
+
+    def run(batches):
+        wanted, stems = shared.value, {}
+        for batch in batches:
+            lengths, hits = [], []
+            for text in batch.column("text").to_pylist():
+                words = tokens(text)
+                lengths.append(len(words))
+                found: Counter = Counter()
+                for word, n in Counter(words).items():
+                    if (x := stems.get(word)) is None:
+                        x = stem(word) if stemming else word
+                        if len(stems) < MOST_WORDS:
+                            stems[word] = x
+                    if wanted is None or x in wanted:
+                        found[x] += n
+                hits.append([{"token": x, "tf": n} for x, n in found.items()])
+            kind = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("memory_id"), pa.array(lengths, pa.int32()), pa.array(hits, kind)], ["memory_id", "length", "hits"])
+
+    rows = memories.select("memory_id", F.concat_ws(" ", "project", "session_id", "summary", "tags").alias("text"))
+    kind = rows.schema["memory_id"].dataType.simpleString()
+    return cut(rows.mapInArrow(run, f"memory_id {kind}, length int, hits array<struct<token:string,tf:int>>"), "index")
+
+
+def postings(ready: DataFrame) -> DataFrame:
+    """(memory_id, length, token, tf) of an index."""
+    return ready.select("memory_id", "length", F.inline("hits"))
+
+
+def bm25(memories: DataFrame, queries: DataFrame, stemming: bool = True, ready: DataFrame | None = None) -> DataFrame:
+    """(query_id, memory_id, score) of memories with at least one query word. Corpus counts are of all memories.
+
+    ready: an index of the memories that has the tokens of these queries.
+    """
+    asked = query_tokens(queries, stemming)
+    ready = index(memories, asked, stemming) if ready is None else ready
+    total = ready.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    found = postings(ready)
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     n, f = F.col("n_docs"), F.col("df")
     idf = df.crossJoin(F.broadcast(total)).select("token", F.greatest(F.log((n - f + 0.5) / (f + 0.5)), F.lit(LEAST_IDF)).alias("idf"), "avg_length")  # one row of totals
+    weighed = asked.join(idf, "token")
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = found.join(idf, "token").join(lengths, "memory_id").select("token", "memory_id", part.alias("part"))
-    return scored.join(asked, "token").groupBy("query_id", "memory_id").agg(F.sum("part").alias("score"))
+    return found.join(weighed, "token").groupBy("query_id", "memory_id").agg(F.sum(part).alias("score"))
 
 
 def top(rows: DataFrame, k: int, *order, by: str = "query_id") -> DataFrame:
@@ -88,9 +123,9 @@ def in_blocks(queries: DataFrame, size: int, search: Callable[[list[Row]], DataF
     return reduce(DataFrame.unionByName, [*parts, cut(search(block), "block")])
 
 
-def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame, k: int, project: str | None = None) -> DataFrame:
-    """BM25 hits among visible memories: best score, newest, largest id first."""
-    hits = bm25(memories, queries).join(visible.select("memory_id", "project", "created_at"), "memory_id")
+def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame, k: int, project: str | None = None, ready: DataFrame | None = None) -> DataFrame:
+    """BM25 hits among visible memories: best score, newest, largest id first. ready: as in bm25."""
+    hits = bm25(memories, queries, ready=ready).join(visible.select("memory_id", "project", "created_at"), "memory_id")
     hits = hits if project is None else hits.where(F.col("project") == project)
     return top(hits, k, F.desc(F.round("score", 9)), F.desc("created_at"), F.desc("memory_id"))
 
@@ -98,32 +133,36 @@ def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame,
 def search_everywhere(visible: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Memories with any query word, the newest first."""
     asked = query_tokens(queries)
-    hits = postings(visible, asked).join(asked, "token").select("query_id", "memory_id").distinct().join(visible.select("memory_id", "created_at"), "memory_id")
+    hits = postings(index(visible, asked)).join(asked, "token").select("query_id", "memory_id").distinct().join(visible.select("memory_id", "created_at"), "memory_id")
     return top(hits, k, F.desc("created_at"), F.desc("memory_id"))
 
 
 def match_all(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, memory_id) of memories that have every word of the query."""
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("ts")).withColumn("need", F.size("ts"))
-    asked = asked.select("query_id", "need", F.explode("ts").alias("token"))
-    hits = postings(memories, asked).join(asked, "token")
-    return hits.groupBy("query_id", "memory_id", "need").agg(F.count("*").alias("n")).where("n = need").select("query_id", "memory_id")
+    asked = query_tokens(queries)
+    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
+    hits = postings(index(memories, asked)).join(asked, "token").groupBy("query_id", "memory_id").agg(F.count("*").alias("n"))
+    return hits.join(need, "query_id").where("n = need").select("query_id", "memory_id")
 
 
 def chunk_parents(chunks: DataFrame, visible: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Memories by the most query terms (of the first eight) that one of their chunks holds. Any number of queries."""
-    asked = queries.select("query_id", F.slice(event_terms(F.col("query")), 1, 8).alias("ts")).where(F.size("ts") > 0)
+    """Memories by the most query terms (of the first eight) that one of their chunks holds. Any number of queries.
+
+    Each distinct term is looked for once in a chunk, MOST_TERMS at a time; terms then meet the queries by a join.
+    """
+    asked = queries.select("query_id", F.explode(F.slice(event_terms(F.col("query")), 1, 8)).alias("term"))
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
-    rows = chunks.join(visible.select("memory_id"), "memory_id").select("memory_id", "created_at", text.alias("t"))
+    rows = chunks.join(visible.select("memory_id"), "memory_id").select("memory_id", "created_at", F.xxhash64(text).alias("h"), text.alias("t"))
 
-    def search(found: list[Row]) -> DataFrame:
-        held = [F.struct(F.lit(r[0]).cast("long").alias("query_id"), sum((F.col("t").contains(x).cast("int") for x in r[1]), F.lit(0)).alias("score")) for r in found]
-        every = F.array(*held) if held else F.array().cast("array<struct<query_id:long,score:int>>")
-        hits = rows.select("memory_id", "created_at", F.explode(F.filter(every, lambda x: x["score"] > 0)).alias("h")).select("h.query_id", "memory_id", "created_at", "h.score")
-        hits = hits.where("score > 0").groupBy("query_id", "memory_id").agg(F.max("score").alias("score"), F.max("created_at").alias("created_at"))
-        return top(hits, k, F.desc("score"), F.desc("created_at"), F.desc("memory_id"))
+    def held(terms: list[Row]) -> DataFrame:
+        every = F.array(*[F.lit(r["query_id"]) for r in terms]) if terms else F.array().cast("array<string>")
+        return rows.select("memory_id", "created_at", "h", F.explode(F.filter(every, lambda x: F.contains("t", x))).alias("term"))
 
-    return in_blocks(asked, MOST_QUERIES, search)
+    found = in_blocks(asked.select(F.col("term").alias("query_id")).distinct(), MOST_TERMS, held)
+    #: Chunks of a memory with one text count once, so a term is counted once for each text.
+    hits = found.join(asked, "term").groupBy("query_id", "memory_id", "h").agg(F.count_distinct("term").alias("score"), F.max("created_at").alias("created_at"))
+    hits = hits.groupBy("query_id", "memory_id").agg(F.max("score").cast("int").alias("score"), F.max("created_at").alias("created_at"))
+    return top(hits, k, F.desc("score"), F.desc("created_at"), F.desc("memory_id"))
 
 
 def by_year(memories: DataFrame, meta: DataFrame, years: DataFrame, k: int) -> DataFrame:
@@ -157,6 +196,44 @@ def temporal_events(memories: DataFrame, meta: DataFrame, queries: DataFrame, k:
     return top(rows.select("query_id", "memory_id", "score", "quality", "created_at"), k, F.desc(F.round("score", 9)), F.desc(F.round("quality", 9)), F.desc("created_at"), "memory_id")
 
 
+def covered_share(query: Column, text: Column) -> Column:
+    """Share of the query's terms that a text holds as substrings; a query without terms asks nothing."""
+    terms = event_terms(query)
+    return F.when(F.size(terms) == 0, 1.0).otherwise(F.size(F.filter(terms, lambda x: F.contains(F.lower(text), x))) / F.size(terms))
+
+
+def entity_tokens(memories: DataFrame) -> DataFrame:
+    """(memory_id, entity): the lower-case words of three or more characters of summary and tags, each once per memory."""
+    words = F.filter(F.transform(words_of(F.concat_ws(" ", "summary", "tags")), F.lower), lambda x: F.length(x) >= 3)
+    return memories.select("memory_id", F.explode(F.array_distinct(words)).alias("entity"))
+
+
+def by_entity(entities: DataFrame, memories: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, memory_id, rank0) of memories with just an entity (query_id, entity) of three or more characters, the newest first."""
+    named = asked.select("query_id", F.lower(F.trim("entity")).alias("entity")).where("length(entity) >= 3").distinct()
+    hits = entities.join(named, "entity").select("query_id", "memory_id").distinct().join(memories.select("memory_id", "created_at"), "memory_id")
+    return top(hits, k, F.desc("created_at"), F.desc("memory_id"))
+
+
+# What marks a memory as linked to its source, or as made from others.
+LINKED_TAGS, LINKED_TEXT = ("locomo", "source", "fact"), "(as of "
+DERIVED = ("synthesized", "derived")
+
+
+def source_facts(found: DataFrame, queries: DataFrame, memories: DataFrame, meta: DataFrame) -> DataFrame:
+    """Lexical hits (query_id, memory_id, rank0) that are facts or linked to a source and not derived, with n_shared and n_terms.
+
+    n_shared: terms of the query that summary and tags have.
+    """
+    rows = found.select("query_id", "memory_id", "rank0").join(queries.select("query_id", event_terms(F.col("query")).alias("ts")).where(F.size("ts") > 0), "query_id")
+    rows = rows.join(memories.select("memory_id", "summary", F.coalesce("tags", F.lit("")).alias("tags")), "memory_id").join(meta.select("memory_id", "kind"), "memory_id", "left")
+    any_in = lambda c, parts: reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
+    linked = any_in(F.lower("tags"), LINKED_TAGS) | F.contains("summary", F.lit(LINKED_TEXT))
+    kind = F.coalesce("kind", F.lit(""))
+    rows = rows.where((kind != "inference") & ((kind == "fact") | linked) & ~any_in(F.lower(F.concat_ws(" ", "summary", "tags")), DERIVED))
+    return rows.select("query_id", "memory_id", "rank0", overlap(F.col("ts"), graph_terms(F.concat_ws(" ", "summary", "tags"))).alias("n_shared"), F.size("ts").alias("n_terms"))
+
+
 def overlap_of(query: Column, text: Column) -> Column:
     """Share of the query's terms that a text has."""
     terms = event_terms(query)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a memory without metadata has.
-DEFAULTS = {"importance": 0.5, "scope": "project", "kind": "session", "namespace": "local", "trust_tier": "medium", "classification": "internal", "legal_hold": False, "trust_ref_count": 0}
+DEFAULTS = {"importance": 0.5, "scope": "project", "kind": "session", "namespace": "local", "trust_tier": "medium", "classification": "internal", "legal_hold": False, "trust_ref_count": 0, "maturity": "draft"}
 
 
 def with_meta(memories: DataFrame, meta: DataFrame) -> DataFrame:

@@ -90,14 +90,14 @@ def graph_browse(t):
 
 
 @query("memory_edges", sql=f"""WITH {RECONCILED},
-c AS (SELECT 1 AS query_id, memory_id FROM (SELECT DISTINCT memory_id FROM r WHERE memory_id % 7 = 0)),
+c AS (SELECT DISTINCT memory_id % 10 AS query_id, memory_id FROM r),
 m AS (SELECT c.query_id, c.memory_id, r.source_norm, r.relation_norm, r.superseded_by IS NULL AS open FROM c JOIN r ON r.memory_id = c.memory_id),
-shut AS (SELECT memory_id FROM m GROUP BY 1 HAVING NOT bool_or(open)), o AS (SELECT DISTINCT source_norm, relation_norm FROM m WHERE open)
-SELECT DISTINCT m.memory_id FROM m JOIN shut ON shut.memory_id = m.memory_id JOIN o ON o.source_norm = m.source_norm AND o.relation_norm = m.relation_norm""")
+shut AS (SELECT query_id, memory_id FROM m GROUP BY 1, 2 HAVING NOT bool_or(open)), o AS (SELECT DISTINCT query_id, source_norm, relation_norm FROM m WHERE open)
+SELECT DISTINCT m.query_id, m.memory_id FROM m JOIN shut ON shut.query_id = m.query_id AND shut.memory_id = m.memory_id JOIN o ON o.query_id = m.query_id AND o.source_norm = m.source_norm AND o.relation_norm = m.relation_norm""")
 def stale_candidates(t):
     e = graph.reconcile(t("memory_edges"))
-    c = e.where("memory_id % 7 = 0").select(F.lit(1).alias("query_id"), "memory_id").distinct()
-    return graph.stale(c, e).select("memory_id")
+    c = e.select((F.col("memory_id") % 10).alias("query_id"), "memory_id").distinct()
+    return graph.stale(c, e).select("query_id", "memory_id")
 
 
 @query("memory_edges", sql=f"""WITH {NORM}, e AS (SELECT edge_id, observed_at, unnest(list_distinct([source_norm, target_norm])) AS entity FROM n)
@@ -127,8 +127,8 @@ def curate_edges(t):
     return relational.patched(e, e.where("edge_id % 4 = 0").select("edge_id", F.lit("user_deleted").alias("superseded_reason")), "edge_id")
 
 
-#: Questions about fifty customers, their names already known.
-ASKED = r"""a AS (SELECT c_custkey AS query_id, 'current priority of ' || c_name AS query, replace(lower(c_name), '#', ' ') AS entity FROM customer WHERE c_custkey <= 50),
+#: A question about every hundredth customer, the names already known.
+ASKED = r"""a AS (SELECT c_custkey AS query_id, 'current priority of ' || c_name AS query, replace(lower(c_name), '#', ' ') AS entity FROM customer WHERE c_custkey % 100 = 0),
 w AS (SELECT *, list_distinct(list_transform(list_filter(regexp_extract_all(query, '[\p{L}\p{N}]+'), lambda x: length(x) >= 3), lambda y: lower(y))) AS ts FROM a)"""
 
 
@@ -150,5 +150,5 @@ g AS (SELECT query_id, memory_id, max(score) AS score, max_by(observed_at, (scor
 SELECT query_id, memory_id, round(CAST(score AS DOUBLE), 6) AS score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, observed_at DESC, memory_id) - 1 AS rank0 FROM g) WHERE rank0 < 20""")
 def graph_recall(t):
     name = F.col("c_name")
-    asked = t("customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("current priority of "), name).alias("query"), F.array(F.replace(F.lower(name), F.lit("#"), F.lit(" "))).alias("entities"))
+    asked = t("customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("current priority of "), name).alias("query"), F.array(F.replace(F.lower(name), F.lit("#"), F.lit(" "))).alias("entities"))
     return graph.graph_recall(graph.reconcile(t("memory_edges")), asked, 20).select("query_id", "memory_id", F.round("score", 6).alias("score"), "rank0")

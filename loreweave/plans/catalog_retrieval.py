@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loreweave.functions.stem import asked_sql, stems_sql, tokens_sql
 from loreweave.functions.text import MULTI_HOP_CUES, QUESTION_WORDS, TEMPORAL_CUES, years
 from loreweave.functions.vectors import folding_embedder, norm
 from loreweave.operators import fusion, graph, knn, relational, search, visibility
 from loreweave.plans import rerank, retrieve
 from loreweave.plans.catalog_tables import ADJUST, LOGS, MM, live
-from loreweave.plans.catalog_text import event_terms_sql
+from loreweave.plans.catalog_text import event_terms_sql, graph_terms_sql
 from loreweave.plans.registry import LIVE, query
 from loreweave.sources.views import NOW
 
@@ -17,16 +18,16 @@ VECTORS = "memory_embeddings"
 
 
 def query_vectors(t):
-    return t(VECTORS).where("memory_id % 25 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
+    return t(VECTORS).where("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
 
 
 @query(VECTORS, "memories", sql="""
 WITH v AS (SELECT memory_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM memory_embeddings WHERE memory_id IN (SELECT memory_id FROM memories)),
-p AS (SELECT q.memory_id AS query_id, v.memory_id, round(list_cosine_similarity(q.e, v.e), 9) AS s FROM v q JOIN v ON q.memory_id <> v.memory_id WHERE q.memory_id % 25 = 0)
+p AS (SELECT q.memory_id AS query_id, v.memory_id, round(list_cosine_similarity(q.e, v.e), 9) AS s FROM v q JOIN v ON q.memory_id <> v.memory_id WHERE q.memory_id % 100 = 0)
 SELECT query_id, memory_id, round(s, 6) AS similarity, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, memory_id) - 1 AS rank0 FROM p) WHERE rank0 < 10""")
 def knn_topk(t):
     v = t(VECTORS).join(t("memories").select("memory_id"), "memory_id", "left_semi")
-    q = v.where("memory_id % 25 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
+    q = v.where("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
     return knn.nearest(v, q, 10).select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), "rank0")
 
 
@@ -41,11 +42,13 @@ def embedding_backfill(t):
     return knn.backfill(t("memories"), t(VECTORS), "fixture-64", folding_embedder(64))
 
 
-TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
-BM25 = f"""w AS (SELECT memory_id, {TOKENS.format(c="concat_ws(' ', project, session_id, summary, tags)")} AS ws FROM memories),
+#: Stemmed full text: the tokens of memories and queries, their stems, postings, document counts and scores.
+BM25 = f"""w AS (SELECT memory_id, {tokens_sql("concat_ws(' ', project, session_id, summary, tags)")} AS ws FROM memories),
+raw AS (SELECT DISTINCT query_id, unnest({asked_sql("query")}) AS token FROM queries),
+{stems_sql("st", "SELECT unnest(ws) AS token FROM w UNION SELECT token FROM raw")},
 tot AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM w),
-pst AS (SELECT memory_id, token, count(*) AS tf FROM (SELECT memory_id, unnest(ws) AS token FROM w) GROUP BY 1, 2),
-qt AS (SELECT DISTINCT query_id, unnest({TOKENS.format(c="query")}) AS token FROM queries),
+pst AS (SELECT memory_id, stem AS token, count(*) AS tf FROM (SELECT memory_id, unnest(ws) AS token FROM w) AS x JOIN st ON st.token = x.token GROUP BY 1, 2),
+qt AS (SELECT DISTINCT query_id, stem AS token FROM raw JOIN st ON st.token = raw.token),
 df AS (SELECT token, count(*) AS df FROM pst GROUP BY 1),
 bm AS (SELECT query_id, p.memory_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avg_len))) AS score
   FROM qt JOIN pst p ON p.token = qt.token JOIN df ON df.token = p.token JOIN w ON w.memory_id = p.memory_id CROSS JOIN tot GROUP BY 1, 2)"""
@@ -137,8 +140,8 @@ def query_variants(t):
 
 
 def lists(t):
-    """Three fixed ranked lists of eight queries."""
-    m = t("memories").where("memory_id < 400").select((F.col("memory_id") % 8).alias("query_id"), "memory_id")
+    """Three ranked lists for each session number, of all memories; each list is cut to its best 25."""
+    m = t("memories").select((F.col("memory_id") % 97).alias("query_id"), "memory_id")
     parts = [(0, 1, F.col("memory_id") % 3 != 0, F.asc("memory_id")), (1, 2, F.col("memory_id") % 5 != 0, F.desc("memory_id")), (2, 3, F.col("memory_id") % 7 == 0, F.asc("memory_id"))]
     out = None
     for no, weight, some, order in parts:
@@ -147,10 +150,10 @@ def lists(t):
     return out
 
 
-LISTS = """m AS (SELECT memory_id % 8 AS query_id, memory_id FROM memories WHERE memory_id < 400),
-ls AS (SELECT query_id, 0 AS list_no, 1 AS weight, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) - 1 AS rank0 FROM m WHERE memory_id % 3 <> 0
-  UNION ALL SELECT query_id, 1, 2, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id DESC) - 1 FROM m WHERE memory_id % 5 <> 0
-  UNION ALL SELECT query_id, 2, 3, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) - 1 FROM m WHERE memory_id % 7 = 0),
+LISTS = """mq AS (SELECT memory_id % 97 AS query_id, memory_id FROM memories),
+ls AS (SELECT query_id, 0 AS list_no, 1 AS weight, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) - 1 AS rank0 FROM mq WHERE memory_id % 3 <> 0
+  UNION ALL SELECT query_id, 1, 2, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id DESC) - 1 FROM mq WHERE memory_id % 5 <> 0
+  UNION ALL SELECT query_id, 2, 3, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) - 1 FROM mq WHERE memory_id % 7 = 0),
 fz AS (SELECT query_id, memory_id, sum(weight / (60.0 + rank0)) AS score, min(list_no * 1000000 + rank0) AS first FROM ls WHERE rank0 < 25 GROUP BY 1, 2),
 fu AS (SELECT query_id, memory_id, round(CAST(score AS DOUBLE), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(score AS DOUBLE), 12) DESC, first, memory_id) - 1 AS rank0 FROM fz)"""
 
@@ -164,12 +167,12 @@ def candidates(t):
     return fusion.rrf(lists(t)).join(visibility.with_meta(t("memories").select("memory_id", "created_at"), t("memory_meta")), "memory_id")
 
 
-FACTS = f"""{LISTS}, x AS (SELECT fu.*, m.created_at, coalesce(importance, 0.5) AS importance, coalesce(kind, 'session') AS kind, coalesce(trust_tier, 'medium') AS trust_tier, coalesce(trust_ref_count, 0) AS refs, trust_last_validated_at AS validated
+FACTS = f"""{LISTS}, x AS (SELECT fu.*, m.created_at, coalesce(importance, 0.5) AS importance, coalesce(kind, 'session') AS kind, coalesce(trust_tier, 'medium') AS trust_tier, coalesce(trust_ref_count, 0) AS refs, coalesce(maturity, 'draft') AS maturity, trust_last_validated_at AS validated
   FROM fu JOIN memories m ON m.memory_id = fu.memory_id LEFT JOIN memory_meta mm ON mm.memory_id = fu.memory_id)"""
 
 
 def boosted(boost: str) -> str:
-    return f"""WITH {FACTS.replace("m AS (SELECT memory_id % 8", "m8 AS (SELECT memory_id % 8").replace(" FROM m WHERE", " FROM m8 WHERE")}, b AS (SELECT query_id, memory_id, rank0 AS was, 1.0 / (60 + rank0) + {boost} AS s FROM x)
+    return f"""WITH {FACTS}, b AS (SELECT query_id, memory_id, rank0 AS was, 1.0 / (60 + rank0) + {boost} AS s FROM x)
 SELECT query_id, memory_id, round(s, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, was) - 1 AS rank0 FROM b"""
 
 
@@ -187,13 +190,12 @@ def trust_boost(t):
     return ranks(fusion.rerank(candidates(t), fusion.trust_boost(F.col("trust_ref_count"), F.col("trust_last_validated_at"), NOW, 0.02, 30.0, 3.0)))
 
 
-@query(*MM, sql=boosted(f"0.02 * greatest(least(importance, 1.0), 0.0) * CASE WHEN memory_id % 4 = 0 THEN 1.3 WHEN memory_id % 4 = 1 THEN 1.15 ELSE 1.0 END * pow(0.5, greatest({NOW} - created_at, 0) / 86400.0 / 200.0)"))
+@query(*MM, sql=boosted(f"0.02 * greatest(least(importance, 1.0), 0.0) * CASE maturity WHEN 'core' THEN 1.3 WHEN 'stable' THEN 1.15 ELSE 1.0 END * pow(0.5, greatest({NOW} - created_at, 0) / 86400.0 / 200.0)"))
 def activation_boost(t):
-    ripe = F.when(F.col("memory_id") % 4 == 0, "core").when(F.col("memory_id") % 4 == 1, "stable").otherwise("draft")
-    return ranks(fusion.rerank(candidates(t), fusion.activation_boost(F.col("importance"), ripe, F.col("created_at"), NOW, 0.02, 200.0)))
+    return ranks(fusion.rerank(candidates(t), fusion.activation_boost(F.col("importance"), F.col("maturity"), F.col("created_at"), NOW, 0.02, 200.0)))
 
 
-@query(*MM, sql=f"""WITH {FACTS.replace("m AS (SELECT memory_id % 8", "m8 AS (SELECT memory_id % 8").replace(" FROM m WHERE", " FROM m8 WHERE")},
+@query(*MM, sql=f"""WITH {FACTS},
 o AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, CASE WHEN kind <> 'fact' THEN sum(CASE WHEN kind <> 'fact' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank0) END AS other FROM x),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (n <= 10 OR coalesce(other <= 4, false)) DESC, rank0) AS place FROM o)
 SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY rank0) - 1 AS rank0 FROM k WHERE place <= 10""")
@@ -225,8 +227,8 @@ def injection_rank(t):
     return retrieve.injection_rank(t("memories"), t("memory_meta"), relevance, adjust, NOW, 25).withColumn("score", F.round("score", 6))
 
 
-def found(t):
-    c = retrieve.Config(now=NOW, tier_weight=0.002, trust_weight=0.004, supersession_weight=0.01, activation_weight=0.002)
+def found(t, limit=10):
+    c = retrieve.Config(now=NOW, limit=limit, tier_weight=0.002, trust_weight=0.004, supersession_weight=0.01, activation_weight=0.002)
     qv = t("queries").select("query_id", (F.col("query_id") % 40).alias("memory_id")).join(t(VECTORS).select("memory_id", "embedding"), "memory_id").select("query_id", "embedding")
     return retrieve.hybrid_search(t("memories"), t("memory_meta"), graph.reconcile(t("memory_edges")), t("queries"), c, t(VECTORS), qv, chunks(t))
 
@@ -256,7 +258,7 @@ def lexical_year_search(t):
 
 @query(*MM, "memory_edges", VECTORS, "queries")
 def reranked_search(t):
-    return retrieve.lexical_rerank(found(t), t("queries"), t("memories")).select("query_id", "memory_id", "rank0")
+    return retrieve.reranked_search(lambda limit: found(t, limit), t("queries"), t("memories"), 10)
 
 
 @query(*MM, "memory_edges", VECTORS, "queries")
@@ -272,7 +274,39 @@ def multi_hop_search(t):
         first = hits.where("rank0 = 0").join(t("memories").select("memory_id", "summary"), "memory_id")
         return q.join(first, "query_id").select("query_id", F.concat_ws(" ", "query", F.array_join(F.slice(F.split("summary", " "), 1, 3), " ")).alias("query"))
 
-    return retrieve.multi_hop(once, t("queries"), follow_up, 1)
+    rerank_all = lambda rows: retrieve.lexical_rerank(rows.withColumn("score", -F.col("rank0").cast("double")), t("queries"), t("memories")).select("query_id", "memory_id", "rank0")
+    return retrieve.multi_hop(once, t("queries"), follow_up, 2, rerank_all)
+
+
+@query(*MM, "queries", sql=f"""WITH e AS (SELECT DISTINCT memory_id, created_at, lower(unnest(regexp_extract_all(concat_ws(' ', summary, tags), '[\\p{{L}}\\p{{N}}]+'))) AS entity FROM memories),
+a AS (SELECT DISTINCT query_id, lower(unnest({ENTITIES})) AS entity FROM queries), h AS (SELECT DISTINCT query_id, memory_id, created_at FROM e JOIN a ON a.entity = e.entity WHERE length(e.entity) >= 3)
+SELECT query_id, memory_id, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, memory_id DESC) - 1 AS rank0 FROM h) WHERE rank0 < 10""")
+def entity_recall(t):
+    from loreweave.functions.text import named_entities
+
+    asked = t("queries").select("query_id", F.explode(named_entities(F.col("query"))).alias("entity"))
+    return search.by_entity(search.entity_tokens(t("memories")), t("memories"), asked, 10).select("query_id", "memory_id", "rank0")
+
+
+@query(*MM, "queries", sql=f"""WITH {LIVE}, {BM25},
+ft AS (SELECT query_id, memory_id, rank0 FROM (SELECT query_id, bm.memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, created_at DESC, bm.memory_id DESC) - 1 AS rank0 FROM bm JOIN live ON live.memory_id = bm.memory_id) WHERE rank0 < 50),
+q AS (SELECT query_id, {event_terms_sql('query')} AS ts FROM queries)
+SELECT ft.query_id, ft.memory_id, rank0, CAST(len(list_intersect(ts, {graph_terms_sql("concat_ws(' ', summary, tags)")})) AS INTEGER) AS n_shared, CAST(len(ts) AS INTEGER) AS n_terms
+FROM ft JOIN q ON q.query_id = ft.query_id JOIN memories m ON m.memory_id = ft.memory_id LEFT JOIN memory_meta mm ON mm.memory_id = ft.memory_id
+WHERE len(ts) > 0 AND coalesce(kind, '') <> 'inference' AND (kind = 'fact' OR contains(lower(tags), 'locomo') OR contains(lower(tags), 'source') OR contains(lower(tags), 'fact') OR contains(summary, '(as of '))
+  AND NOT contains(lower(concat_ws(' ', summary, tags)), 'synthesized') AND NOT contains(lower(concat_ws(' ', summary, tags)), 'derived')""")
+def source_facts(t):
+    fts = search.search_project(live(t), t("memories"), t("queries"), 50)
+    return search.source_facts(fts, t("queries"), t("memories"), t("memory_meta"))
+
+
+@query(*MM, *LOGS, sql=f"""WITH p AS (SELECT max(memory_id) AS memory_id FROM memory_meta WHERE kind = 'preference'), a AS (SELECT m.memory_id, coalesce(kind, 'session') AS kind, coalesce(importance, 0.5) AS s FROM memories m LEFT JOIN memory_meta mm ON mm.memory_id = m.memory_id)
+SELECT memory_id, kind, row_number() OVER (ORDER BY l, s DESC, memory_id) - 1 AS rank0 FROM (SELECT memory_id, kind, CASE WHEN memory_id IN (SELECT memory_id FROM p) THEN 0 ELSE 1 END AS l, s FROM a) ORDER BY l, s DESC, memory_id LIMIT 25""")
+def profile_pinning(t):
+    meta = t("memory_meta")
+    profile = meta.where("kind = 'preference'").orderBy(F.desc("memory_id")).limit(1).select("memory_id", "kind")
+    ranked = visibility.with_meta(t("memories").select("memory_id"), meta).select("memory_id", "kind", F.col("importance").alias("score"))
+    return retrieve.pin_profile(ranked, profile, 25)
 
 
 @query(*MM, "memory_edges", VECTORS, "queries")

@@ -97,13 +97,12 @@ DUE = 1704067200 + 400 * 60
 
 @query("memories", "sessions", "sweep_events", sql=f"""
 WITH p AS (SELECT m.project, count(*) AS n_memories, max(coalesce(s.ended_at, s.started_at, m.created_at)) AS last_activity
-  FROM memories m LEFT JOIN sessions s ON s.session_id = m.session_id WHERE m.memory_id < 5 OR m.memory_id % 2 = 0 GROUP BY 1)
+  FROM memories m LEFT JOIN sessions s ON s.session_id = m.session_id GROUP BY 1)
 SELECT * FROM p WHERE last_activity <= {NOW} AND NOT EXISTS (
   SELECT 1 FROM sweep_events e WHERE e.action = 'dream' AND e.status = 'ok' AND e.project = p.project AND e.subject_last_activity >= p.last_activity + 500000)""")
 def dream_candidates(t):
-    memories = t("memories").where("memory_id < 5 OR memory_id % 2 = 0")
     done = t("sweep_events").withColumn("subject_last_activity", F.col("subject_last_activity") - 500000)
-    return relational.dream_candidates(relational.project_summary(memories, t("sessions")), done, NOW)
+    return relational.dream_candidates(relational.project_summary(t("memories"), t("sessions")), done, NOW)
 
 
 IDLE = 1704067200 + 50 * 3600

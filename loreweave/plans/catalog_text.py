@@ -25,6 +25,11 @@ def event_terms_sql(c: str) -> str:
     return f"list_distinct(list_filter(list_transform({tokens}, lambda x: {NORM_TOKEN}), lambda z: z NOT IN ({in_list(TEMPORAL_STOPWORDS)})))"
 
 
+def graph_terms_sql(c: str) -> str:
+    tokens = f"list_transform(list_filter(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3), lambda y: lower(y))"
+    return f"list_distinct(list_transform({tokens}, lambda x: {NORM_TOKEN}))"
+
+
 def terms_sql(c: str) -> str:
     from loreweave.functions.text import TERM_STOPWORDS
 

@@ -18,7 +18,11 @@ from loreweave.sources.shared import cut
 
 @dataclass(frozen=True)
 class Config:
-    """Weights of 0 leave a pass out."""
+    """Weights of 0 leave a pass out.
+
+    early_exit: a single-hop question whose best lexical hit holds all its terms is answered from words and graph alone.
+    least_share: results that hold a smaller share of the question's terms are left out, so that nothing may be found.
+    """
 
     now: int
     limit: int = 10
@@ -29,6 +33,8 @@ class Config:
     activation_weight: float = 0.0
     half_life_days: float = 30.0
     saturation: float = 3.0
+    early_exit: bool = False
+    least_share: float = 0.0
 
     @property
     def pool(self) -> int:
@@ -56,8 +62,11 @@ def variants(queries: DataFrame, most: int = 6) -> DataFrame:
 def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataFrame, pool: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, now: int = 0, namespace: str = "local") -> dict[str, DataFrame]:
     """Ranked lists (query_id, memory_id, rank0) by signal. Words and chunks see visible memories only, the others all."""
     seen = with_meta(memories, meta).where((F.col("namespace") == namespace) & is_live(now))
+    parts = cut(variants(asked).withColumn("query_id", F.col("query_id") * 8 + F.col("part")), "variants")
+    words = search.query_tokens(asked).select("token").unionByName(search.query_tokens(parts).select("token"))
+    ready = search.index(memories, words)
     out = {
-        "fts": search.search_project(seen, memories, asked, pool),
+        "fts": cut(search.search_project(seen, memories, asked, pool, ready=ready), "fts"),
         "year": search.by_year(memories, meta, asked.select("query_id", F.explode(F.array_distinct("years")).alias("year")), pool),
         "temporal_event": search.temporal_events(memories, meta, asked, pool),
         "graph": graph.graph_recall(edges, asked, pool),
@@ -66,8 +75,7 @@ def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataF
         out["vector"] = knn.nearest(vectors, query_vectors, pool, include_self=True)
     if chunks is not None:
         out["chunk"] = search.chunk_parents(chunks, seen, asked.where("route = 'open_domain'"), pool)
-    parts = variants(asked).withColumn("query_id", F.col("query_id") * 8 + F.col("part"))
-    hits = search.search_project(seen, memories, parts.select("query_id", "query"), max(pool // 2, 1))
+    hits = search.search_project(seen, memories, parts.select("query_id", "query"), max(pool // 2, 1), ready=ready)
     hits = hits.select(F.floor(F.col("query_id") / 8).cast("long").alias("query_id"), "memory_id", (F.pmod("query_id", F.lit(8)) * 1000 + F.col("rank0")).alias("at"))
     hits = hits.groupBy("query_id", "memory_id").agg(F.min("at").alias("at"))
     out["variant"] = search.top(hits, pool, "at", "memory_id")
@@ -83,8 +91,11 @@ def fuse(lists: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
     return fusion.rrf(reduce(DataFrame.unionByName, parts))
 
 
-def refine(candidates: DataFrame, memories: DataFrame, meta: DataFrame, edges: DataFrame, c: Config) -> DataFrame:
-    """The passes after fusion, in order: trust, tier, supersession, activation, quarantine, narrative reserve, visibility."""
+def refine(candidates: DataFrame, memories: DataFrame, meta: DataFrame, edges: DataFrame, c: Config, facts_found: DataFrame | None = None) -> DataFrame:
+    """The passes after fusion, in order: trust, tier, supersession, activation, quarantine, source-fact floor, narrative reserve, visibility.
+
+    facts_found: what search.source_facts gives for the lexical hits.
+    """
     facts = with_meta(memories.select("memory_id", "created_at"), meta)
     rows = candidates.join(facts, "memory_id")
     if c.trust_weight:
@@ -94,8 +105,11 @@ def refine(candidates: DataFrame, memories: DataFrame, meta: DataFrame, edges: D
     if c.supersession_weight:
         rows = fusion.demote_stale(rows, edges, c.supersession_weight)
     if c.activation_weight:
-        rows = fusion.rerank(rows, fusion.activation_boost(F.col("importance"), F.lit("draft"), F.col("created_at"), c.now, c.activation_weight, c.half_life_days))
-    rows = fusion.narrative_reserve(without_inference(rows), c.limit)
+        rows = fusion.rerank(rows, fusion.activation_boost(F.col("importance"), F.col("maturity") if "maturity" in rows.columns else F.lit("draft"), F.col("created_at"), c.now, c.activation_weight, c.half_life_days))
+    rows = without_inference(rows)
+    if facts_found is not None:
+        rows = fusion.source_floor(rows, facts_found, c.limit)
+    rows = fusion.narrative_reserve(rows, c.limit)
     return rows.where((F.col("namespace") == c.namespace) & is_live(c.now))
 
 
@@ -108,10 +122,41 @@ def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, querie
     asked = cut(features(queries), "questions")
     edges = cut(edges.select("edge_id", "memory_id", "source", "relation", "target", "source_norm", "relation_norm", "target_norm", "observed_at", "confidence", "superseded_by"), "edges")
     lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace)
-    found = refine(cut(fuse(lists, asked), "fused"), memories, meta, edges, c)
+    if c.early_exit:
+        done = resolved(lists["fts"], asked, memories)
+        lists = {k: v if k in ("fts", "graph") else v.join(done, "query_id", "left_anti") for k, v in lists.items()}
+    found = refine(cut(fuse(lists, asked), "fused"), memories, meta, edges, c, search.source_facts(lists["fts"], asked, memories, meta))
+    if c.least_share > 0:
+        texts = found.join(asked.select("query_id", "query"), "query_id").join(memories.select("memory_id", "summary"), "memory_id")
+        found = texts.where(search.covered_share(F.col("query"), F.col("summary")) >= c.least_share).drop("query", "summary")
     return found.join(asked.select("query_id", "route"), "query_id").select("query_id", "route", "memory_id", "rank0", F.round("score", 9).alias("score"))
 
 
+def resolved(fts: DataFrame, asked: DataFrame, memories: DataFrame) -> DataFrame:
+    """(query_id) of single-hop questions whose best lexical hit holds all their terms."""
+    best = fts.where("rank0 = 0").select("query_id", "memory_id").join(asked.where("route = 'single_hop'").select("query_id", "query"), "query_id")
+    best = best.join(memories.select("memory_id", "summary"), "memory_id")
+    whole = (F.size(event_terms(F.col("query"))) > 0) & (search.covered_share(F.col("query"), F.col("summary")) >= 1.0)
+    return best.where(whole).select("query_id").distinct()
+
+
+def reranked_search(search_with, queries: DataFrame, memories: DataFrame, limit: int, pool: int = 50, score=search.overlap_of) -> DataFrame:
+    """(query_id, memory_id, rank0): the narrow result, then what a wide one has besides, fused with a scorer's order and cut to the limit.
+
+    search_with(limit) gives (query_id, memory_id, rank0, ...).
+    """
+    both = cut(fusion.reanchor(search_with(limit), search_with(max(2 * limit, pool))), "pool")
+    ranked = lexical_rerank(both.withColumn("score", -F.col("rank0").cast("double")), queries, memories, score)
+    return ranked.where(F.col("rank0") < limit).select("query_id", "memory_id", "rank0")
+
+
+def pin_profile(ranked: DataFrame, profile: DataFrame, limit: int) -> DataFrame:
+    """(memory_id, kind, rank0): the profile (memory_id, kind; one row or none) first, then what is ranked (memory_id, kind, score)."""
+    rest = ranked.join(profile.select("memory_id"), "memory_id", "left_anti").select("memory_id", "kind", F.lit(1).alias("_l"), "score")
+    both = profile.select("memory_id", "kind", F.lit(0).alias("_l"), F.lit(0.0).alias("score")).unionByName(rest)
+    return search.top(both.withColumn("_all", F.lit(0)), limit, "_l", F.desc("score"), "memory_id", by="_all").drop("_l", "_all", "score")
+
+
 def lexical_rerank(found: DataFrame, queries: DataFrame, memories: DataFrame, score=search.overlap_of) -> DataFrame:
     """Found memories fused with their order by a scorer (question, text): without a model, the share of terms they have."""
     rows = found.join(queries.select("query_id", "query"), "query_id").join(memories.select("memory_id", "summary"), "memory_id")
@@ -120,15 +165,20 @@ def lexical_rerank(found: DataFrame, queries: DataFrame, memories: DataFrame, sc
     return fusion.rrf(both)
 
 
-def multi_hop(search_once, queries: DataFrame, follow_up, hops: int = 2) -> DataFrame:
+def multi_hop(search_once, queries: DataFrame, follow_up, hops: int = 2, last=None) -> DataFrame:
     """Searches, asks a follow-up question of what was found, and adds what that finds, hops times.
 
-    search_once(queries) gives (query_id, memory_id, rank0); follow_up(queries, found) gives the next (query_id, query).
+    search_once(queries) gives (query_id, memory_id, rank0); follow_up(queries, found) gives the next (query_id, query), none
+    where nothing is left to ask; a question asked again adds nothing. last(found) is a final rerank.
     """
-    found = search_once(queries).select("query_id", "memory_id", "rank0")
+    found = cut(search_once(queries).select("query_id", "memory_id", "rank0"), "hop")
+    said = queries.select("query_id", F.lower(F.trim("query")).alias("said"))
     for _ in range(hops):
-        found = fusion.reanchor(found, search_once(follow_up(queries, found)).select("query_id", "memory_id", "rank0"))
-    return found
+        asked = follow_up(queries, found).select("query_id", "query").where("query IS NOT NULL")
+        asked = cut(asked.join(said, (asked["query_id"] == said["query_id"]) & (F.lower(F.trim("query")) == said["said"]), "left_anti"), "follow-up")
+        said = said.unionByName(asked.select("query_id", F.lower(F.trim("query")).alias("said")))
+        found = cut(fusion.reanchor(found, search_once(asked).select("query_id", "memory_id", "rank0")), "hop")
+    return last(found) if last else found
 
 
 def injection_rank(memories: DataFrame, meta: DataFrame, relevance: DataFrame, adjustments: DataFrame, now: int, limit: int, half_life_days: float = 14.0, boosts: dict[str, float] | None = None) -> DataFrame:

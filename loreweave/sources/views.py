@@ -9,7 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The clock of all queries; operators take it as a parameter.
+#: The clock of all queries; operators take it as a parameter. The questions (view `queries`) are a fixture: QUESTIONS, and the
+#: first six words of each benchmark item, since whole items are no questions. What they are asked of is whole tables.
 NOW = 1735689600
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -36,7 +37,8 @@ SELECT d.doc_id AS memory_id,
   CASE WHEN d.doc_id = 12 THEN CAST(100 AS BIGINT) WHEN d.doc_id % 5 = 0 AND d.doc_id > 0 THEN CAST((d.doc_id - d.doc_id % 2) / 2 AS BIGINT) END AS parent_memory_id,
   CASE WHEN d.doc_id % 37 = 0 THEN 'ret-90d' END AS retention_policy_id,
   CASE WHEN d.doc_id % 6 = 0 THEN CAST(1733000000 + d.doc_id AS BIGINT) END AS trust_last_validated_at,
-  CASE WHEN d.doc_id % 6 = 0 THEN CAST(d.doc_id % 9 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS trust_ref_count
+  CASE WHEN d.doc_id % 6 = 0 THEN CAST(d.doc_id % 9 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS trust_ref_count,
+  CASE d.doc_id % 4 WHEN 0 THEN 'core' WHEN 1 THEN 'stable' WHEN 2 THEN 'draft' END AS maturity
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE d.doc_id % 11 <> 10""",
     "sessions": """
 SELECT concat('conv-', CAST(conv_id AS @S)) AS session_id, concat('src', CAST(conv_id % 20 AS @S)) AS project,

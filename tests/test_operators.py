@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from loreweave.functions import dates, hashing, names, text, vectors
+from loreweave.functions import dates, hashing, names, stem, text, vectors
 from loreweave.operators import anchors, blobs, compress, consolidate, evals, fusion, govern, graph, knn, relational, search, visibility
 from loreweave.plans import rerank, retrieve
 from loreweave.sources import files
@@ -81,7 +81,7 @@ def test_queries_in_blocks(spark, monkeypatch):
 
     want = found()
     monkeypatch.setattr(knn, "MOST_QUERIES", 3)
-    monkeypatch.setattr(search, "MOST_QUERIES", 4)
+    monkeypatch.setattr(search, "MOST_TERMS", 4)
     assert found() == want and len(want[0]) == 30 and len(want[1]) == 27
 
 
@@ -269,8 +269,36 @@ def test_multi_hop(spark):
 def test_stemmed_search(spark):
     m = spark.createDataFrame([(1, "p", "s", "painted houses", ""), (2, "p", "s", "blue car", "")], "memory_id long, project string, session_id string, summary string, tags string")
     q = spark.createDataFrame([(1, "paint house")], "query_id long, query string")
-    assert search.bm25(m, q).count() == 0
-    assert [r.memory_id for r in search.bm25(m, q, stem=text.normalize_event_token).collect()] == [1]
+    assert search.bm25(m, q, stemming=False).count() == 0
+    assert [r.memory_id for r in search.bm25(m, q).collect()] == [1]
+    all_of = spark.createDataFrame([(1, "Houses, PAINTS"), (2, "cars blue?"), (3, "!!"), (4, "paint car")], "query_id long, query string")
+    assert sorted(tuple(r) for r in search.match_all(m, all_of).collect()) == [(1, 1), (2, 2)]
+
+
+#: Worked examples of the published algorithm.
+STEMS = (
+    "caresses caress, ponies poni, ties ti, caress caress, cats cat, feed feed, agreed agre, plastered plaster, bled bled, motoring motor, sing sing, conflated conflat, troubled troubl, sized size, "
+    "hopping hop, tanned tan, falling fall, hissing hiss, fizzed fizz, failing fail, filing file, happy happi, sky sky, relational relat, conditional condit, rational ration, valenci valenc, "
+    "hesitanci hesit, digitizer digit, conformabli conform, radicalli radic, differentli differ, vileli vile, analogousli analog, vietnamization vietnam, predication predic, operator oper, "
+    "feudalism feudal, decisiveness decis, hopefulness hope, callousness callous, formaliti formal, sensitiviti sensit, sensibiliti sensibl, triplicate triplic, formative form, formalize formal, "
+    "electriciti electr, electrical electr, hopeful hope, goodness good, revival reviv, allowance allow, inference infer, airliner airlin, gyroscopic gyroscop, adjustable adjust, defensible defens, "
+    "irritant irrit, replacement replac, adjustment adjust, dependent depend, adoption adopt, homologou homolog, communism commun, activate activ, angulariti angular, homologous homolog, "
+    "effective effect, bowdlerize bowdler, probate probat, rate rate, cease ceas, controll control, roll roll"
+)
+
+
+def test_stems():
+    import duckdb
+
+    want = dict(x.split() for x in STEMS.split(", "))
+    assert {w: stem.stem(w) for w in want} == want
+    odd = ["a", "été", "naïves", "éés", "123ing", "yyed", "100ed", "x" * 65 + "s", "x" * 63 + "s", "ings", "eed", "sses", "ies", "s", "ing"]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE t(token VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [[x] for x in [*want, *odd]])
+    assert dict(con.sql(f"WITH {stem.stems_sql('st', 'SELECT DISTINCT token FROM t')} SELECT token, stem FROM st").fetchall()) == {x: stem.stem(x) for x in [*want, *odd]}
+    assert stem.tokens("Café-Crème, X_y 9\u2014z") == ["café", "crème", "x", "y", "9\u2014z"] and stem.asked_tokens("9\u2014z z, Z!") == ["9", "z"]
+    assert stem.tokens(None) == stem.tokens("") == stem.asked_tokens("?!") == []
 
 
 def test_replies(spark):
