@@ -91,6 +91,20 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _HOLDS["m>1"](word[:-1]) else word
 
 
+class Wanted:
+    """Which words may have one of some stems: a stem without its last two characters, or its first, begins its words."""
+
+    def __init__(self, stems, longest: int = 6):
+        self.by: dict[int, set[str]] = {}
+        for x in stems:
+            n = min(longest, max(1, len(x) - 2))
+            self.by.setdefault(n, set()).add(x[:n])
+        self.starts = sorted(self.by.items())
+
+    def may_have(self, word: str) -> bool:
+        return any(word[:n] in some for n, some in self.starts)
+
+
 # SQL
 
 

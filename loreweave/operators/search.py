@@ -6,12 +6,14 @@ from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import dates
-from loreweave.functions.stem import asked_tokens, stem, tokens
+from loreweave.functions.stem import Wanted, asked_tokens, stem, tokens
 from loreweave.functions.text import event_terms, graph_terms, overlap, words_of
 from loreweave.sources.shared import cut
 
@@ -21,6 +23,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST_TERMS = 500
 #: Distinct query tokens that are sent to every task; with more, all tokens are counted and meet the queries by a shuffle.
 MOST_TOKENS = 100_000
+#: Words of queries that are sent to every task at once; more are searched block by block.
+MOST_ASKED = 50_000
 #: Words whose stems a worker remembers.
 MOST_WORDS = 200_000
 
@@ -51,6 +55,7 @@ def index(memories: DataFrame, asked: DataFrame, stemming: bool = True) -> DataF
 
     def run(batches):
         wanted, stems = shared.value, {}
+        may_have = Wanted(wanted).may_have if wanted is not None and stemming else lambda word: True
         for batch in batches:
             lengths, hits = [], []
             for text in batch.column("text").to_pylist():
@@ -59,10 +64,11 @@ def index(memories: DataFrame, asked: DataFrame, stemming: bool = True) -> DataF
                 found: Counter = Counter()
                 for word, n in Counter(words).items():
                     if (x := stems.get(word)) is None:
-                        x = stem(word) if stemming else word
+                        x = stem(word) if stemming and may_have(word) else word
+                        x = x if wanted is None or x in wanted else ""
                         if len(stems) < MOST_WORDS:
                             stems[word] = x
-                    if wanted is None or x in wanted:
+                    if x:
                         found[x] += n
                 hits.append([{"token": x, "tf": n} for x, n in found.items()])
             kind = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int32())]))
@@ -123,17 +129,101 @@ def in_blocks(queries: DataFrame, size: int, search: Callable[[list[Row]], DataF
     return reduce(DataFrame.unionByName, [*parts, cut(search(block), "block")])
 
 
+def _weights(batch: pa.RecordBatch, tokens: pa.Array, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of an index, by token: where the rows of each token begin, the rows, and what the token adds to their scores."""
+    hits = batch.column("hits")
+    rows = np.repeat(np.arange(batch.num_rows), np.diff(hits.offsets.to_numpy()))
+    flat = hits.flatten()
+    number = pc.index_in(flat.field("token"), tokens).fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(number, kind="stable")
+    order = order[np.searchsorted(number[order], 0) :]
+    number, rows = number[order], rows[order]
+    tf = flat.field("tf").to_numpy(zero_copy_only=False)[order].astype(float)
+    length = batch.column("length").to_numpy(zero_copy_only=False)[rows].astype(float)
+    return np.searchsorted(number, np.arange(len(tokens) + 1)), rows, idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def _best(score: np.ndarray, created: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of all scores that may be among the k best, of those with one score only the k newest, largest ids first."""
+    at = np.arange(len(score))
+    if len(score) > k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-8)  # scores are compared after rounding
+        order = np.lexsort((-ids[at], -created[at], -score[at]))
+        at = at[order]
+        new = np.flatnonzero(np.concatenate(([True], score[at][1:] != score[at][:-1])))
+        at = at[np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at)))) < k]
+    return at
+
+
+def _top_hits(seen: DataFrame, ready: DataFrame, asked: DataFrame, k: int, by_score: bool) -> DataFrame:
+    """(query_id, memory_id, score, created_at) of the k best hits of each batch of seen, an index with created_at (both numbers: ids, times).
+
+    Queries (query_id, token) go to every task, MOST_ASKED rows at a time. What is then shuffled is some k rows of a query and
+    batch, not each memory with a word of the query. Counts of the corpus are those of `ready`, with all memories.
+    """
+    df = {r[0]: r[1] for r in postings(ready).groupBy("token").agg(F.count("*")).collect()}  # at most MOST_TOKENS
+    n, average = ready.agg(F.count("*"), F.avg("length")).first()
+    kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((asked, "query_id"), (seen, "memory_id"), (seen, "created_at"))]
+
+    def search(rows: list[Row]) -> DataFrame:
+        tokens = sorted({r["token"] for r in rows if r["token"] in df})
+        place = {x: i for i, x in enumerate(tokens)}
+        queries: dict = {}
+        for r in rows:
+            if r["token"] in place:
+                queries.setdefault(r["query_id"], []).append(place[r["token"]])
+        f = np.array([df[x] for x in tokens], float)
+        idf = np.maximum(np.log((n - f + 0.5) / (f + 0.5)), LEAST_IDF)
+        shared = seen.sparkSession.sparkContext.broadcast((tokens, idf, [(q, sorted(x)) for q, x in queries.items()]))
+
+        def run(batches):
+            tokens, idf, queries = shared.value
+            tokens = pa.array(tokens, pa.string())
+            for batch in batches:
+                starts, rows, weights = _weights(batch, tokens, idf, average)
+                created, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("created_at", "memory_id"))
+                names, places, scores = [], [], []
+                for q, words in queries:
+                    spans = [slice(starts[w], starts[w + 1]) for w in words]
+                    score = np.bincount(np.concatenate([rows[x] for x in spans]), np.concatenate([weights[x] for x in spans]), batch.num_rows)
+                    hit = np.flatnonzero(score)
+                    if not by_score:
+                        score = np.zeros(batch.num_rows)
+                    at = hit[_best(score[hit], created[hit], ids[hit], k)]
+                    names.append(np.full(len(at), q))
+                    places.append(at)
+                    scores.append(score[at])
+                if names:
+                    at = pa.array(np.concatenate(places))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), batch.column("memory_id").take(at), pa.array(np.concatenate(scores), pa.float64()), batch.column("created_at").take(at)], ["query_id", "memory_id", "score", "created_at"])
+
+        return seen.select("memory_id", "length", "hits", "created_at").mapInArrow(run, f"{kinds[0]}, {kinds[1]}, score double, {kinds[2]}")
+
+    return in_blocks(asked, MOST_ASKED, search)
+
+
 def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame, k: int, project: str | None = None, ready: DataFrame | None = None) -> DataFrame:
     """BM25 hits among visible memories: best score, newest, largest id first. ready: as in bm25."""
-    hits = bm25(memories, queries, ready=ready).join(visible.select("memory_id", "project", "created_at"), "memory_id")
-    hits = hits if project is None else hits.where(F.col("project") == project)
+    asked = cut(query_tokens(queries), "asked")
+    ready = index(memories, asked) if ready is None else ready
+    visible = visible if project is None else visible.where(F.col("project") == project)
+    times = visible.select("memory_id", "created_at")
+    if asked.select("token").distinct().count() <= MOST_TOKENS:
+        hits = _top_hits(ready.join(times, "memory_id"), ready, asked, k, True)
+    else:
+        hits = bm25(memories, queries, ready=ready).join(times, "memory_id")
     return top(hits, k, F.desc(F.round("score", 9)), F.desc("created_at"), F.desc("memory_id"))
 
 
 def search_everywhere(visible: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Memories with any query word, the newest first."""
-    asked = query_tokens(queries)
-    hits = postings(index(visible, asked)).join(asked, "token").select("query_id", "memory_id").distinct().join(visible.select("memory_id", "created_at"), "memory_id")
+    asked = cut(query_tokens(queries), "asked")
+    ready = index(visible, asked)
+    times = visible.select("memory_id", "created_at")
+    if asked.select("token").distinct().count() <= MOST_TOKENS:
+        hits = _top_hits(ready.join(times, "memory_id"), ready, asked, k, False).drop("score")
+    else:
+        hits = postings(ready).join(asked, "token").select("query_id", "memory_id").distinct().join(times, "memory_id")
     return top(hits, k, F.desc("created_at"), F.desc("memory_id"))
 
 

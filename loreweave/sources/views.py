@@ -96,10 +96,10 @@ TEXTS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table. One of long texts that comes in fewer splits than half the cores is dealt out by its key."""
+    """A base table. One of long texts that comes in fewer splits than there are cores is small, and is dealt out by its key."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and 2 * df.rdd.getNumPartitions() < cores:
+    if name in TEXTS and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores, TEXTS[name])
     return df
 

@@ -1,6 +1,7 @@
 """Small examples of each family of operators."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -298,6 +299,12 @@ def test_stems():
     con.executemany("INSERT INTO t VALUES (?)", [[x] for x in [*want, *odd]])
     assert dict(con.sql(f"WITH {stem.stems_sql('st', 'SELECT DISTINCT token FROM t')} SELECT token, stem FROM st").fetchall()) == {x: stem.stem(x) for x in [*want, *odd]}
     assert stem.tokens("Café-Crème, X_y 9\u2014z") == ["café", "crème", "x", "y", "9\u2014z"] and stem.asked_tokens("9\u2014z z, Z!") == ["9", "z"]
+    rng = random.Random(2)
+    ends = [r[0] for step in (*stem.BEFORE, stem.PAST, *stem.AFTER) for r in step] + ["", "e", "ll"]
+    for _ in range(20_000):
+        w = "".join(rng.choice("abeilstyzéo") for _ in range(rng.randint(1, 6))) + rng.choice(ends) + rng.choice(ends)
+        assert stem.Wanted([stem.stem(w)]).may_have(w) and stem.stem(w)
+    assert not stem.Wanted(["house", "it"]).may_have("mouse")
     assert stem.tokens(None) == stem.tokens("") == stem.asked_tokens("?!") == []
 
 
