@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.sources.shared import cut, discard, scratch
+from loreweave.sources.views import base
 
 __all__ = ["by_place", "cut", "discard", "held", "held_out", "parallelism", "pick", "release", "scratch", "table"]
 
@@ -36,7 +37,7 @@ def by_place(df: DataFrame, *own: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return base(spark, sf_dir, name)
 
 
 _held: dict = {}
