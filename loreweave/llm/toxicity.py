@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import zlib
 from array import array
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.llm.common import held_out, pick
@@ -18,6 +20,8 @@ from loreweave.llm.samples import bounded
 
 #: Labelled documents of each label that are learned from, at most about so many.
 MOST_LABELLED = 4000
+#: Bytes of their texts at most, but for the last one.
+MOST_BYTES = 64 << 20
 BUCKETS = 1 << 16
 DIMENSION = 4
 SHORTEST, LONGEST = 3, 5
@@ -97,16 +101,41 @@ class Sums:
         return out
 
 
+def bag(text: str | None) -> tuple[list[bytes], list[int]]:
+    """The distinct words of a text in order, and how often each occurs."""
+    counts = Counter(pieces(text))
+    return list(counts), list(counts.values())
+
+
 def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
-    """Embeddings and softmax weights by full-batch Adam on the class-balanced cross-entropy. One label alone: its constant."""
+    return fit(map(bag, texts), labels, seed)
+
+
+def gradients(parameters: list[np.ndarray], forward: tuple, backward: tuple, share: np.ndarray, one_hot: np.ndarray, balance: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The class-balanced cross-entropy and its gradients by the embeddings, the softmax weights and the bias."""
+    (to_words, n_words), (to_docs, n_docs) = forward
+    from_docs, from_words = backward
+    e, w, b = parameters
+    h = SCALE * to_docs.of(to_words.of(e, n_words) * share, n_docs)
+    z = h @ w + b
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    dz = (p - one_hot) * balance
+    de = from_words.of(from_docs.of(SCALE * (dz @ w.T), n_words) * share, len(e))
+    loss = -float((balance[:, 0] * np.log((p * one_hot).sum(axis=1) + 1e-30)).sum())
+    return loss, [de, h.T @ dz, dz.sum(axis=0)]
+
+
+def fit(found: Iterable[tuple[list[bytes], list[int]]], labels: list[int], seed: int = 0) -> Model:
+    """Embeddings and softmax weights by full-batch Adam on the class-balanced cross-entropy of bags of words. One label alone: its constant."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 8.0 if labels and labels[0] == 1 else -8.0)
     names: dict[bytes, int] = {}
     bags = []
-    for t in texts:
-        ids = np.fromiter((names.setdefault(w, len(names)) for w in pieces(t)), np.int32)
-        bags.append(np.unique(ids, return_counts=True))
+    for ws, counts in found:
+        ids = np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int32, len(ws))
+        bags.append((ids, np.array(counts, np.int64)))
     if not names:
         return Model(np.zeros(BUCKETS), 0.0)
     raw, length = array("i"), []
@@ -126,7 +155,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     bucket = place[raw]
-    to_words, to_docs, from_docs, from_words = Sums(bucket, owner), Sums(word, doc, weight), Sums(doc, word, weight), Sums(owner, bucket)
+    forward = (Sums(bucket, owner), n_words), (Sums(word, doc, weight), n_docs)
+    backward = Sums(doc, word, weight), Sums(owner, bucket)
     del raw, owner, bucket, doc, word, weight
 
     rng = np.random.default_rng(seed)
@@ -139,17 +169,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     balance = (len(y) / (2.0 * np.bincount(y, minlength=2)))[y].astype(np.float32)[:, None] / len(y)
     one_hot = np.eye(2, dtype=np.float32)[y]
     for step in range(1, EPOCHS + 1):
-        e, w, b = parameters
-        m = to_words.of(e, n_words) * share
-        h = SCALE * to_docs.of(m, n_docs)
-        z = h @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        dz = (p - one_hot) * balance
-        dh = SCALE * (dz @ w.T)
-        dm = from_docs.of(dh, n_words)
-        de = from_words.of(dm * share, len(used))
-        for k, g in enumerate((de + DECAY * e, h.T @ dz, dz.sum(axis=0))):
+        _, slopes = gradients(parameters, forward, backward, share, one_hot, balance)
+        slopes[0] += DECAY * parameters[0]
+        for k, g in enumerate(slopes):
             a, v = moments[k]
             a += 0.1 * (g - a)
             v += 0.001 * (g * g - v)
@@ -164,17 +186,41 @@ def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """A model of a bounded sample of the labelled documents of the folds that are not held out.
 
-    docs: doc_id, text; labels: doc_id, toxic (1 or 0; other values teach nothing). No labels: everything scores 0.5.
+    docs: doc_id, text; labels: doc_id, toxic (1 or 0; other values teach nothing). Words are counted on the executors. Rows of
+    one id teach each, equal rows once; null ids teach nothing. Of the sample, in the order of hashed ids, so many documents
+    are learned from as have MOST_BYTES of text, four times `most` at most. No labels: everything scores 0.5.
     """
     rows = pick(labels, "doc_id", "toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).distinct()
     some = bounded(rows, F.col("toxic"), most)
     taken = pick(docs, "doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about 2 * most pairs of numbers
-    found = sorted((r[0], r[2], r[1] or "") for r in taken.select("doc_id", "text", "toxic").collect())
-    return train([t for _, _, t in found], [int(y) for _, y, _ in found]) if found else Model(np.zeros(BUCKETS), 0.0)
+    text = F.coalesce("text", F.lit(""))
+    taken = taken.select("doc_id", F.col("toxic").cast("int").alias("toxic"), text.alias("text"), F.xxhash64("doc_id").alias("place"), F.xxhash64(text).alias("hash"), F.octet_length(text).cast("long").alias("size"))
+    order = ["place", "doc_id", "hash", "toxic"]
+    sizes = taken.select(*order, "size").distinct().orderBy(*order).limit(4 * most)
+    before = F.sum("size").over(Window.orderBy(*order)) - F.col("size")  # at most 4 * most rows of numbers
+    sizes = sizes.withColumn("before", before).where(F.col("before") < MOST_BYTES).select("doc_id", "hash", "toxic")
+    taken = taken.join(F.broadcast(sizes), ["doc_id", "hash", "toxic"], "left_semi").dropDuplicates(["doc_id", "hash", "toxic"])
+
+    def count(batches):
+        for batch in batches:
+            bags = [bag(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic"), batch.column("hash"), pa.array([x for x, _ in bags], pa.list_(pa.binary())), pa.array([n for _, n in bags], pa.list_(pa.int32()))],
+                ["doc_id", "toxic", "hash", "words", "counts"],
+            )
+
+    bags = taken.select("doc_id", "toxic", "hash", "text").mapInArrow(count, "doc_id long, toxic int, hash long, words array<binary>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("hash", "ascending")])
+    if not bags.num_rows:
+        return Model(np.zeros(BUCKETS), 0.0)
+    rows = ((bags["words"][i].as_py(), bags["counts"][i].as_py()) for i in range(bags.num_rows))
+    return fit(rows, bags["toxic"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score, the probability of label 1, for every whole text; null and empty texts score by the bias alone."""
+    """doc_id and score, the probability of label 1, for every whole text; null and empty texts score by the bias alone.
+
+    Each row, repeated ones too, is scored on its own; no rows: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
