@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import reflection_terms
+from loreweave.operators.components import components
+from loreweave.sources.shared import cut
 
 THRESHOLD = 0.5
 #: The kinds that are consolidated.
@@ -20,18 +22,38 @@ def signature_groups(memories: DataFrame) -> DataFrame:
     return g.where(F.size("memory_ids") > 1)
 
 
+def term_classes(memories: DataFrame) -> DataFrame:
+    """(memory_id, kind, class_id): memories of one kind with the same terms are a class, named by its smallest id.
+
+    Memories without terms are in none. So copies cost one row each, whatever their number.
+    """
+    return _classes(_terms(memories)).select("memory_id", "kind", "class_id")
+
+
+def _terms(memories: DataFrame) -> DataFrame:
+    return memories.select("memory_id", "kind", reflection_terms(F.col("summary")).alias("terms")).where(F.size("terms") > 0)
+
+
+def _classes(m: DataFrame) -> DataFrame:
+    keyed = m.select("memory_id", "kind", F.sha2(F.array_join("terms", " "), 256).alias("key"))
+    return keyed.join(keyed.groupBy("kind", "key").agg(F.min("memory_id").alias("class_id")), ["kind", "key"])
+
+
 def similar_pairs(memories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) of memories of one kind with a Jaccard of `threshold` or more, exactly.
+    """(a, b, jaccard) of classes (term_classes) of one kind with a Jaccard of `threshold` or more, exactly, a < b.
 
-    Prefix filter: terms go by rarity; pairs over the threshold share one of each side's first n - ceil(t * n) + 1 rarest
-    terms, so only those meet in the join.
+    Every memory of one class is so near to every one of the other; members of one class have a Jaccard of 1. Prefix filter:
+    terms go by rarity; pairs over the threshold share one of each side's first n - ceil(t * n) + 1 rarest terms, so only
+    those meet in the join.
     """
-    m = memories.select("memory_id", "kind", reflection_terms(F.col("summary")).alias("terms")).where(F.size("terms") > 0)
+    every = cut(_terms(memories), "terms")
+    first_ids = _classes(every).where("memory_id = class_id").select("memory_id")
+    m = cut(every.join(first_ids, "memory_id", "left_semi"), "classes")
     counts = m.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     ranked = m.select("memory_id", "kind", F.explode("terms").alias("term"), F.size("terms").alias("size")).join(counts, "term")
     ranked = ranked.groupBy("memory_id", "kind", "size").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("ts"))
     first = F.slice("ts", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int"))
-    key = ranked.select("memory_id", "kind", "size", F.explode(first).alias("t")).select("memory_id", "kind", "size", "t.term")
+    key = cut(ranked.select("memory_id", "kind", "size", F.explode(first).alias("t")).select("memory_id", "kind", "size", "t.term"), "prefixes")
     a, b = key.select(F.col("memory_id").alias("a"), "kind", "term", F.col("size").alias("na")), key.select(F.col("memory_id").alias("b"), "kind", "term", F.col("size").alias("nb"))
     near = a.join(b, ["kind", "term"]).where("a < b").where((F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
     t = m.select("memory_id", "terms")
@@ -41,28 +63,36 @@ def similar_pairs(memories: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def greedy_groups(memories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(kind, leader, memory_ids): leaders in order (newest, then smallest id) take what is near them and not yet in a group."""
-    pairs = similar_pairs(memories, threshold)
-    m = memories.select("memory_id", "kind", "created_at")
-    both = pairs.select(F.col("a").alias("memory_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("memory_id"), F.col("a").alias("other")))
-    rows = both.groupBy("memory_id").agg(F.collect_list("other").alias("near")).join(m, "memory_id")
+    """(kind, leader, memory_ids): leaders in order (newest, then smallest id) take what is near them and not yet in a group.
+
+    Who is near a memory is near its whole class, so classes are taken as a whole. Components of near classes don't touch each
+    other; each is gone through by itself, and only classes, not their members, come together in one task.
+    """
+    classes = cut(term_classes(memories), "members")
+    pairs = cut(similar_pairs(memories, threshold).select("a", "b"), "near")
+    order = classes.join(memories.select("memory_id", "created_at"), "memory_id")
+    heads = order.groupBy("class_id").agg(F.max(F.struct("created_at", (-F.col("memory_id")).alias("least"))).alias("h"), F.first("kind").alias("kind"), F.count("*").alias("n"))
+    heads = heads.select("class_id", "kind", "n", F.col("h.created_at").alias("created_at"), (-F.col("h.least")).alias("leader"))
+    near = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("class_id")).agg(F.collect_list("b").alias("near"))
+    part = components(pairs).select(F.col("node").alias("class_id"), "component")
+    rows = heads.join(near, "class_id", "left").join(part, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    rows = rows.where("n > 1 OR near IS NOT NULL")
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "memory_id"], ascending=[False, True])
-        place = {int(i): n for n, i in enumerate(pdf["memory_id"])}
+        pdf = pdf.sort_values(["created_at", "leader"], ascending=[False, True])
         used: set[int] = set()
         out = []
-        for i, near in zip(pdf["memory_id"], pdf["near"], strict=True):
-            if int(i) in used:
+        for c, near, leader, n in zip(pdf["class_id"], pdf["near"], pdf["leader"], pdf["n"], strict=True):
+            if int(c) in used:
                 continue
-            group = [int(x) for x in near if int(x) not in used and place[int(x)] > place[int(i)]]
-            if group:
-                group = [int(i), *sorted(group, key=place.get)]
-                used.update(group)
-                out.append((pdf["kind"].iloc[0], int(i), sorted(group)))
-        return pd.DataFrame(out, columns=["kind", "leader", "memory_ids"])
-
-    return rows.groupBy("kind").applyInPandas(lead, "kind string, leader long, memory_ids array<long>")
+            taken = [int(c), *(int(x) for x in (near if near is not None else ()) if int(x) not in used)]
+            used.update(taken)
+            if n > 1 or len(taken) > 1:
+                out += [(pdf["kind"].iloc[0], int(leader), x) for x in taken]
+        return pd.DataFrame(out, columns=["kind", "leader", "class_id"])
+
+    found = rows.groupBy("component").applyInPandas(lead, "kind string, leader long, class_id long")
+    return found.join(classes.select("class_id", "memory_id"), "class_id").groupBy("kind", "leader").agg(F.array_sort(F.collect_list("memory_id")).alias("memory_ids"))
 
 
 def synthesis_groups(memories: DataFrame, most: int = 6, groups: int = 10) -> DataFrame:

@@ -107,13 +107,21 @@ def kinds(t):
 
 @query("memories", "memory_meta", sql=f"""
 WITH m AS (SELECT m.memory_id, kind, {terms_sql('summary')} AS ts FROM memories m JOIN memory_meta mm ON mm.memory_id = m.memory_id WHERE kind IN ({in_list(consolidate.KINDS)})),
-p AS (SELECT a.memory_id AS a, b.memory_id AS b, len(list_intersect(a.ts, b.ts)) AS n, len(a.ts) AS na, len(b.ts) AS nb FROM m a JOIN m b ON a.kind = b.kind AND a.memory_id < b.memory_id
+c AS (SELECT kind, ts, min(memory_id) AS memory_id FROM m WHERE len(ts) > 0 GROUP BY 1, 2),
+p AS (SELECT a.memory_id AS a, b.memory_id AS b, len(list_intersect(a.ts, b.ts)) AS n, len(a.ts) AS na, len(b.ts) AS nb FROM c a JOIN c b ON a.kind = b.kind AND a.memory_id < b.memory_id
   WHERE least(len(a.ts), len(b.ts)) >= 0.5 * greatest(len(a.ts), len(b.ts)) AND len(a.ts) > 0)
 SELECT a, b, round(n / (na + nb - n), 6) AS jaccard FROM p WHERE n / (na + nb - n) >= 0.5""")
 def similar_pairs(t):
     return consolidate.similar_pairs(kinds(t)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query("memories", "memory_meta", sql=f"""
+WITH m AS (SELECT m.memory_id, kind, {terms_sql('summary')} AS ts FROM memories m JOIN memory_meta mm ON mm.memory_id = m.memory_id WHERE kind IN ({in_list(consolidate.KINDS)}))
+SELECT memory_id, kind, min(memory_id) OVER (PARTITION BY kind, ts) AS class_id FROM m WHERE len(ts) > 0""")
+def term_classes(t):
+    return consolidate.term_classes(kinds(t))
+
+
 @query("memories", "memory_meta")
 def greedy_groups(t):
     return consolidate.greedy_groups(kinds(t))

@@ -6,12 +6,14 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.functions.hashing import RECORD_FIELDS, record_hash
 from loreweave.functions.text import normalize_graph_text, normalize_namespace, normalize_relation, truncate_bytes
-from loreweave.operators import blobs, compress, consolidate, govern, graph, relational, visibility
+from loreweave.operators import blobs, compress, consolidate, govern, graph, relational, search, visibility
 from loreweave.plans import retrieve
+from loreweave.sources.shared import cut
 from loreweave.sources.store import Store
 
 
@@ -20,9 +22,14 @@ class ConsentError(ValueError):
 
 
 class Engine:
-    """Sessions in, memories out. clock gives Unix seconds; embed is a column function from text to vector, if there is one."""
+    """Sessions in, memories out. clock gives Unix seconds; embed is a column function from text to vector, if there is one.
 
-    def __init__(self, spark: SparkSession, root: str, clock=lambda: int(time.time()), namespace: str = "local", most_output: int = 16_384, config: dict | None = None):
+    Vectors are kept under the name of their model, and searched among those of that model alone. Numbers and chains are given
+    out under a lock of the store, so several writers can share it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, clock=lambda: int(time.time()), namespace: str = "local", most_output: int = 16_384, config: dict | None = None, embed=None, model: str = "default"):
+        self.embed, self.model = embed, model
         self.spark, self.t, self.clock, self.namespace, self.most = spark, Store(spark, root), clock, namespace, most_output
         self.config = config or {}
 
@@ -79,21 +86,50 @@ class Engine:
     # Memories
 
     def _remember(self, project: str, summary: str, tags: str | None, session_id: str | None, **meta) -> int:
+        with self.t.lock("memories"):
+            return self._add(project, summary, tags, session_id, meta)
+
+    def _add(self, project: str, summary: str, tags: str | None, session_id: str | None, meta: dict) -> int:
         mid, now = self.t.next_id("memories", "memory_id"), self.clock()
         meta = {"memory_id": mid, "importance": 0.5, "scope": "project", "kind": "session", "namespace": self.namespace, "source_type": "derived", "trust_tier": "medium", "classification": "internal", "legal_hold": False, "trust_ref_count": 0, "maturity": "draft"} | meta
         row = self._rows("memory_meta", meta).withColumn("namespace", normalize_namespace(F.col("namespace")))
         if row.where(~visibility.consent_ok()).count():
             raise ConsentError(f"{meta['classification']} needs consent_state = 'granted'")
-        self.t.append("memories", self._rows("memories", {"memory_id": mid, "project": project, "session_id": session_id, "summary": summary, "tags": tags, "created_at": now}))
-        self.t.append("memory_meta", row)
+        memory = self._rows("memories", {"memory_id": mid, "project": project, "session_id": session_id, "summary": summary, "tags": tags, "created_at": now})
+        self.t.append("memories", memory)
+        whole = memory.join(row, "memory_id")
+        record = record_hash(**{k: F.col(k) for k in RECORD_FIELDS if k in whole.columns})
+        self.t.append("memory_meta", whole.select(*row.drop("record_hash").columns, record.alias("record_hash")))
+        self.t.append("memory_entities", search.entity_tokens(memory))
+        if self.embed:
+            self.t.append("embeddings", self._embedded(memory))
         self._log("remember", mid, {"kind": meta["kind"]})
         return mid
 
+    def _embedded(self, memories: DataFrame) -> DataFrame:
+        rows = memories.select("memory_id", F.lit(self.model).alias("model"), self.embed(F.concat_ws(" ", "summary", "tags")).alias("embedding"))
+        return rows.withColumn("dim", F.size("embedding"))
+
+    def embed_all(self, force: bool = False) -> int:
+        """Vectors of this model for memories that lack one, or anew for all; returns how many."""
+        if force:
+            self.t.delete("embeddings", self.spark.createDataFrame([(self.model,)], "model string"), "model")
+        have = self.t("embeddings").where(F.col("model") == self.model).select("memory_id")
+        rows = self.t("memories").join(have, "memory_id", "left_anti")
+        n = rows.count()
+        if n:
+            self.t.append("embeddings", self._embedded(rows))
+        return n
+
     def remember(self, project: str, summary: str, tags: str | None = None, **meta) -> int:
         return self._remember(project, summary, tags, None, **({"importance": 0.7, "source_type": "explicit", "trust_tier": "high"} | meta))
 
     def _log(self, op: str, memory_id: int | None, payload: dict) -> None:
-        """Appends an entry to the namespace's chain."""
+        """Appends an entry to the namespace's chain, one writer at a time."""
+        with self.t.lock(f"ledger-{self.namespace}"):
+            self._chain(op, memory_id, payload)
+
+    def _chain(self, op: str, memory_id: int | None, payload: dict) -> None:
         own = self.t("memory_ledger").where(F.col("namespace") == self.namespace)
         last = own.orderBy(F.desc("id")).first()
         n = last.id + 1 if last else 1
@@ -104,25 +140,83 @@ class Engine:
         self.t.append("memory_ledger", new.withColumn("entry_hash", entry_hash(*[F.col(c) for c in cols])))
 
     def forget(self, memory_id: int, reason: str = "asked") -> str:
-        """blocked by a legal hold, gone already, or deleted."""
+        """blocked by a legal hold, gone already, or deleted: hidden, entered in the ledger, its transcript and vectors released."""
         mine = F.col("memory_id") == memory_id
         outcome = relational.governed_delete(self.t("memory_meta"), self.spark.createDataFrame([(memory_id,)], "memory_id long"), self.clock()).first()
         if outcome and outcome.outcome == "deleted":
             self.t.patch("memory_meta", mine, tombstoned_at=self.clock(), tombstone_reason=reason)
             self._log("forget", memory_id, {"reason": reason})
+            self._release(self.spark.createDataFrame([(memory_id,)], "memory_id long"))
         return outcome.outcome if outcome else "unknown"
 
-    def wipe_project(self, project: str) -> dict[str, int]:
-        """Deletes a project's memories, but for those on hold, from every table."""
+    def _release(self, gone: DataFrame) -> None:
+        """The blobs and vectors of memories (memory_id): each transcript loses a reference per memory, and goes with the last."""
+        used = self.t("memory_chunks").join(gone, "memory_id", "left_semi").where("source_hash IS NOT NULL").select("memory_id", "source_hash").distinct()
+        less = cut(used.groupBy(F.col("source_hash").alias("hash")).agg(F.count("*").alias("less")), "released")
+        if less.limit(1).count():
+            left = self.t("blobs").join(less, "hash", "left").withColumn("refcount", F.greatest(F.col("refcount") - F.coalesce("less", F.lit(0)), F.lit(0)))
+            self.t.replace("blobs", left.where("refcount > 0"))
+        self.t.delete("embeddings", gone, "memory_id")
+
+    def wipe_project(self, project: str, reason: str = "project wiped") -> dict[str, int]:
+        """Deletes a project's memories, but for those on hold, from every table; each gets its entry in the ledger.
+
+        The ids are kept in a table; only the ledger, a chain, is written entry by entry.
+        """
         held = self.t("memory_meta").where("legal_hold").select("memory_id")
-        gone = self.t("memories").where(F.col("project") == project).join(held, "memory_id", "left_anti").select("memory_id")
-        gone = self.spark.createDataFrame(gone.collect(), "memory_id long")
+        gone = cut(self.t("memories").where(F.col("project") == project).join(held, "memory_id", "left_anti").select("memory_id"), "gone")
+        for r in gone.join(self.t("memory_meta").where("tombstoned_at IS NULL").select("memory_id"), "memory_id").orderBy("memory_id").toLocalIterator():
+            self._log("forget", r.memory_id, {"reason": reason})
+        self._release(gone)
         out = {}
-        for name in ("memories", "memory_meta", "embeddings", "memory_entities", "memory_edges", "memory_chunks", "memory_feedback"):
+        for name in ("memories", "memory_meta", "embeddings", "memory_entities", "memory_edges", "memory_chunks", "memory_feedback", "injection_events"):
             out[name] = self.t(name).join(gone, "memory_id", "left_semi").count()
             self.t.delete(name, gone, "memory_id")
         return out
 
+    # Point reads and lists
+
+    def session(self, session_id: str) -> Row | None:
+        return self.t("sessions").where(F.col("session_id") == session_id).first()
+
+    def observations(self, session_id: str) -> DataFrame:
+        return self.t("observations").where(F.col("session_id") == session_id).orderBy("created_at", "observation_id")
+
+    def memory(self, memory_id: int, any_namespace: bool = False) -> Row | None:
+        """A visible memory of the namespace, or of any."""
+        rows = visibility.with_meta(self.t("memories"), self.t("memory_meta")).where(visibility.is_live(self.clock()))
+        return rows.where((F.col("memory_id") == memory_id) & (F.lit(any_namespace) | (F.col("namespace") == self.namespace))).first()
+
+    def feedback_of(self, memory_id: int) -> DataFrame:
+        return self.t("memory_feedback").where(F.col("memory_id") == memory_id).orderBy("created_at", "event_id")
+
+    def injections_of(self, memory_id: int) -> DataFrame:
+        return self.t("injection_events").where(F.col("memory_id") == memory_id).orderBy("created_at", "event_id")
+
+    def ledger(self, memory_id: int | None = None) -> DataFrame:
+        """The namespace's chain, or a memory's entries in it."""
+        return visibility.where_given(self.t("memory_ledger").where(F.col("namespace") == self.namespace), memory_id=memory_id).orderBy("id")
+
+    def proposals(self, project: str | None = None, status: str | None = None) -> DataFrame:
+        return visibility.where_given(self.t("reflection_proposals"), project=project, status=status).orderBy(F.desc("created_at"), F.desc("proposal_id"))
+
+    def snapshots(self, snapshot_id: str | None = None) -> DataFrame:
+        return visibility.where_given(self.t("brain_snapshots"), snapshot_id=snapshot_id).orderBy(F.desc("created_at"), "snapshot_id")
+
+    def anchors(self, project: str) -> DataFrame:
+        return self.t("code_anchors").where(F.col("project") == project).orderBy("path", "start_byte", "memory_id")
+
+    def recent_chunks(self, limit: int = 20, project: str | None = None) -> DataFrame:
+        return visibility.where_given(self.t("memory_chunks"), project=project).orderBy(F.desc("created_at"), F.desc("memory_id"), "ordinal").limit(limit)
+
+    def edges(self, project: str | None = None) -> DataFrame:
+        """All edges in the order of an export."""
+        return visibility.where_given(self.t("memory_edges"), project=project).orderBy("edge_id")
+
+    def n_own_memories(self) -> int:
+        """The user's visible memories, without the profile."""
+        return self.live().where("scope = 'user' AND kind <> 'profile'").count()
+
     def live(self) -> DataFrame:
         return visibility.live(self.t("memories"), self.t("memory_meta"), self.namespace, self.clock())
 
@@ -171,8 +265,12 @@ class Engine:
 
     def search_many(self, questions: DataFrame, limit: int = 10, **weights) -> DataFrame:
         c = retrieve.Config(now=self.clock(), limit=limit, namespace=self.namespace, **(self.config | weights))
-        meta = self.t("memory_meta").select("memory_id", "importance", "scope", "kind", "event_time", "namespace", "trust_tier", "classification", "legal_hold", "expires_at", "tombstoned_at", "trust_last_validated_at", "trust_ref_count")
-        return retrieve.hybrid_search(self.t("memories"), meta, self.t("memory_edges"), questions, c, chunks=self.t("memory_chunks"))
+        meta = self.t("memory_meta").select("memory_id", "importance", "scope", "kind", "event_time", "namespace", "trust_tier", "classification", "legal_hold", "expires_at", "tombstoned_at", "trust_last_validated_at", "trust_ref_count", "maturity")
+        vectors = asked = None
+        if self.embed:
+            vectors = self.t("embeddings").where(F.col("model") == self.model)
+            asked = questions.select("query_id", self.embed(F.col("query")).alias("embedding"))
+        return retrieve.hybrid_search(self.t("memories"), meta, self.t("memory_edges"), questions, c, vectors, asked, chunks=self.t("memory_chunks"))
 
     def get_context(self, question: str, limit: int = 10) -> DataFrame:
         found = self.search(question, limit)
@@ -222,10 +320,10 @@ class Engine:
         status = "applied" if apply else "proposed"
         if rows:
             self.t.append("reflection_proposals", self._rows("reflection_proposals", *[r.asDict() | {"proposal_id": first + i, "status": status, "created_at": self.clock()} for i, r in enumerate(rows)]))
-        if apply:
-            for r in rows:
-                for m in r.source_memory_ids:
-                    self.feedback(m, "consolidated", -0.5)
+        if apply and rows:
+            event = self.t.next_id("memory_feedback", "event_id")
+            down = [m for r in rows for m in r.source_memory_ids]
+            self.t.append("memory_feedback", self._rows("memory_feedback", *[{"event_id": event + i, "memory_id": m, "signal": "consolidated", "weight": -0.5, "created_at": self.clock()} for i, m in enumerate(down)]))
         return self.t("reflection_proposals")
 
     def corrections(self) -> DataFrame:
@@ -260,10 +358,11 @@ class Engine:
     def lease(self, session_id: str, owner: str, seconds: int = 600) -> bool:
         """One holder at a time; a lease that ran out is free."""
         now = self.clock()
-        if self.t("sweep_leases").where((F.col("session_id") == session_id) & (F.col("lease_until") > now)).limit(1).count():
-            return False
-        self.t.upsert("sweep_leases", self._rows("sweep_leases", {"session_id": session_id, "owner": owner, "acquired_at": now, "lease_until": now + seconds}), "session_id")
-        return True
+        with self.t.lock("leases"):
+            if self.t("sweep_leases").where((F.col("session_id") == session_id) & (F.col("lease_until") > now)).limit(1).count():
+                return False
+            self.t.upsert("sweep_leases", self._rows("sweep_leases", {"session_id": session_id, "owner": owner, "acquired_at": now, "lease_until": now + seconds}), "session_id")
+            return True
 
     def release(self, session_id: str, owner: str) -> None:
         self.t.delete("sweep_leases", self.spark.createDataFrame([(session_id, owner)], "session_id string, owner string"), "session_id", "owner")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.sources.shared import _of
+
 SCHEMAS = {
     "sessions": "session_id string, project string, started_at long, ended_at long, compressed boolean",
     "observations": "observation_id long, session_id string, project string, tool string, input string, output string, created_at long, output_blob string",
@@ -90,5 +94,20 @@ class Store:
         df = self(name)
         self.replace(name, reduce(lambda d, kv: d.withColumn(kv[0], F.when(condition, F.lit(kv[1])).otherwise(F.col(kv[0]))), values.items(), df))
 
+    @contextmanager
+    def lock(self, name: str, patience: float = 60.0):
+        """One writer at a time: the file that only one can create. A lock whose holder died is given up after `patience` seconds."""
+        fs, at = _of(self.spark, f"{self.root}/_locks/{name}")
+        began = time.time()
+        while not fs.createNewFile(at):
+            if time.time() - began > patience:
+                fs.delete(at, False)
+                began = time.time()
+            time.sleep(0.05)
+        try:
+            yield
+        finally:
+            fs.delete(at, False)
+
     def next_id(self, name: str, column: str) -> int:
         return (self(name).agg(F.max(column)).first()[0] or 0) + 1

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from loreweave.plans.engine import ConsentError, Engine
@@ -72,6 +74,49 @@ def test_leases_sync_and_sweeps(engine, spark):
     assert engine.wipe_project("q")["memories"] == 1
 
 
+def test_vectors_deletion_and_point_reads(spark, tmp_path):
+    from loreweave.functions.vectors import folding_embedder
+
+    e = Engine(spark, str(tmp_path / "store"), clock=Clock(), embed=folding_embedder(16), model="fold-16")
+    sid = e.session_start("p")
+    e.record_event(sid, "p", "Bash", "cargo test", "broken")
+    a = e.session_end(sid)
+    b = e.remember("p", "zzzz yyyy", kind="fact")
+    c = e.remember("p", "on hold", legal_hold=True)
+    d = e.remember("q", "elsewhere", scope="user", kind="preference")
+    assert {r.memory_id for r in e.t("embeddings").collect()} == {a, b, c, d} and e.embed_all() == 0 and e.embed_all(force=True) == 4
+    assert e.search("zzzy yyyz", 3).orderBy("rank0").first().memory_id == b  # no word in common: by vectors alone
+    assert e.session(sid).compressed and e.session("none") is None and e.observations(sid).count() == 1
+    assert e.memory(b).summary == "zzzz yyyy" and e.memory(10**9) is None
+    assert Engine(spark, str(tmp_path / "store"), clock=e.clock, namespace="other").memory(b) is None
+    assert Engine(spark, str(tmp_path / "store"), clock=e.clock, namespace="other").memory(b, any_namespace=True).memory_id == b
+    assert e.recent_chunks().count() == 1 and e.n_own_memories() == 1 and e.t("memory_entities").where(f"memory_id = {b}").count() == 2
+    hashes = {r.memory_id: r.record_hash for r in e.t("memory_meta").collect()}
+    assert len(set(hashes.values())) == 4 and all(len(x) == 64 for x in hashes.values())
+    e.feedback(b, "used", 1.0)
+    e.inject(5)
+    assert e.feedback_of(b).count() == 1 and e.injections_of(b).count() == 1
+    e.snapshot("p", str(tmp_path / "s"), "first")
+    assert [r.label for r in e.snapshots().collect()] == ["first"] and e.snapshots("none").count() == 0 and e.proposals("p", "applied").count() == 0
+
+    assert e.t("blobs").count() == 1
+    assert e.forget(a) == "deleted" and e.t("blobs").count() == 0 and a not in {r.memory_id for r in e.t("embeddings").collect()} and e.memory(a) is None
+    gone = e.wipe_project("p", "closed")
+    assert gone["memories"] == 2 and gone["injection_events"] >= 1  # what is on hold stays
+    assert e.memory(c) is not None and e.memory(d) is not None and e.memory(b) is None and e.feedback_of(b).count() == 0
+    assert [(r.memory_id, r.op_type) for r in e.ledger().collect()] == [(a, "remember"), (b, "remember"), (c, "remember"), (d, "remember"), (a, "forget"), (b, "forget")]
+    assert e.ledger(b).count() == 2 and e.compliance()["chains"].first().n_broken == 0
+
+
+def test_locks_are_held_by_one(engine):
+    with engine.t.lock("x"):
+        began = time.time()
+        with engine.t.lock("x", patience=0.3):  # the first holder counts as dead
+            assert time.time() - began >= 0.3
+    with engine.t.lock("x"):
+        pass
+
+
 def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     """Only one machine may fall back to a folder of its own; tables that are done with can be deleted at once."""
     from types import SimpleNamespace

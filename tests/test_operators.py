@@ -189,6 +189,28 @@ def test_consolidation(spark):
     assert [(r.term, r.memory_ids) for r in consolidate.synthesis_groups(m).collect()] == [("alpha", [1, 2, 4]), ("delta", [1, 4])]
 
 
+def test_groups_like_brute_force(spark):
+    """Leaders in order take what is near and free, over all pairs of memories."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.sample([f"term{i}" for i in range(14)], rng.randint(0, 6))) for _ in range(60)]
+    rows = [(i, rng.choice(["fact", "preference"]), rng.randint(1, 40), rng.choice(texts)) for i in range(150)]
+    m = spark.createDataFrame(rows, "memory_id long, kind string, created_at long, summary string")
+    terms = {i: frozenset(s.split()) for i, _, _, s in rows}
+    near = lambda a, b: bool(terms[a] and terms[b]) and 2 * len(terms[a] & terms[b]) >= len(terms[a] | terms[b])
+    want, used = [], set()
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    for at, (i, kind, *_) in enumerate(order):
+        if i not in used and (group := [j for j, k, *_ in order[at + 1 :] if k == kind and j not in used and near(i, j)]):
+            used |= {i, *group}
+            want.append((kind, i, sorted([i, *group])))
+    assert sorted((r.kind, r.leader, r.memory_ids) for r in consolidate.greedy_groups(m).collect()) == sorted(want)
+    classes = {r.memory_id: r.class_id for r in consolidate.term_classes(m).collect()}
+    kinds = {i: k for i, k, *_ in rows}
+    pairs = {(a, b) for a in classes for b in classes if a < b and kinds[a] == kinds[b] and classes[a] == a and classes[b] == b and near(a, b)}
+    assert {(r.a, r.b) for r in consolidate.similar_pairs(m).collect()} == pairs
+    assert classes == {i: min(j for j in terms if terms[j] == terms[i] and kinds[j] == kinds[i]) for i in terms if terms[i]}
+
+
 def test_visibility(spark):
     m = spark.createDataFrame([(i, "p", i) for i in range(5)], "memory_id long, project string, created_at long")
     meta = spark.createDataFrame([(0, None, NOW, "local"), (1, None, NOW + 1, "local"), (2, 5, None, "local"), (3, None, None, "x")], "memory_id long, tombstoned_at long, expires_at long, namespace string")
