@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 import xxhash
 
-from loreweave.llm import components, simhash
+from loreweave.llm import simhash
+from loreweave.operators import components
 
 
 def plain_fingerprint(text):
