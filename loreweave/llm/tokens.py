@@ -65,19 +65,21 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, text: str) -> list:
-        """The text cut at blanks and line breaks. For leading blanks, a word after a line break begins with it, as does the first."""
+    def _words(self, text: str) -> list | None:
+        """The text cut at blanks and line breaks. For leading blanks, a word after a line break begins with it, as does the first.
+
+        None: it has the string of a special token, also in capitals that are lower-cased here, and is left to the library.
+        """
+        body = text if self.leading else text.encode("utf-8", "surrogatepass").translate(LOWER)
+        for x in self.special:
+            if x in body:
+                return None
         if self.leading:
             return ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        return text.encode("utf-8", "surrogatepass").translate(LOWER).replace(b"\n", b" ").split(b" ")
+        return body.replace(b"\n", b" ").split(b" ")
 
     def _alone(self, word) -> bool:
-        """Whether the word's ids don't depend on its neighbours: always, where white space is dropped.
-
-        A word with the string of a special token, also in capitals that are lower-cased here, is left to the library.
-        """
-        if any(x in word for x in self.special):
-            return False
+        """Whether the word's ids don't depend on its neighbours: always, where white space is dropped."""
         if not self.leading:
             return True
         body = word[1:] if word[:1] == "\n" else word
@@ -141,6 +143,9 @@ class Encoder:
             if not text:
                 continue
             ws = self._words(text)
+            if ws is None:
+                plain.append(i)
+                continue
             ids = list(map(get, ws))
             if None in ids:
                 less = {w for w, x in zip(ws, ids, strict=True) if x is None}
