@@ -70,6 +70,52 @@ def skim_chunks(observations: DataFrame, parent_density: str = "low", kind: str
     )
 
 
+def memory_chunks(memories: DataFrame, observations: DataFrame) -> DataFrame:
+    """The skim map of each memory: its overview, facts, procedures and the sections of its session, in this order from 0.
+
+    memories: memory_id, project, session_id, summary, kind, importance (1 to 10), event_time, facts, procedures. A fact or
+    procedure points to the section of its session that tells it, if one does. A memory without a session has no sections.
+    """
+    listed = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("facts", "procedures")}
+    m = memories.withColumns(listed | {"kind": F.coalesce("kind", F.lit("session"))})
+    m = m.withColumn("density", memory_density(F.col("kind"), F.col("importance"), F.coalesce(F.trim("event_time") != "", F.lit(False)), F.size("facts")))
+    said = lambda part, c: F.transform(c, lambda x, i: F.struct(F.lit(part).alias("part"), (i + 1).alias("n"), x.alias("text")))
+    parts = F.concat(said("overview", F.array("summary")), said("fact", F.col("facts")), said("procedure", F.col("procedures")))
+    own = m.select("memory_id", "project", "session_id", "kind", "density", F.posexplode(parts).alias("ordinal", "p")).select("*", "p.*").drop("p")
+    first = F.col("part") == "overview"
+    text = F.trim("text")
+    own = own.select(
+        F.concat(F.lit("mem:"), F.col("memory_id").cast("string"), F.lit(":"), "part", F.when(first, "").otherwise(F.concat(F.lit(":"), F.col("n").cast("string")))).alias("chunk_id"),
+        "project", "memory_id", "session_id", "ordinal", F.when(first, F.col("density")).otherwise("high").alias("density"),
+        F.when(first, F.col("kind")).when(F.col("part") == "fact", "fact").otherwise("procedural").alias("kind"),
+        F.when(first, "Memory overview").when(F.col("part") == "fact", chunk_title(F.lit("Fact"), text)).otherwise(chunk_title(F.lit("Procedure"), text)).alias("title"),
+        F.when(first, chunk_summary(F.col("text"), F.col("density"))).otherwise(text).alias("summary"), token_estimate(F.col("text")).alias("token_estimate"),
+    )
+    sections = transcript_sections(observations)
+    digests = transcripts(observations).select("session_id", F.sha2("transcript", 256).alias("source_hash"))
+    asked = own.where("NOT chunk_id LIKE '%:overview'").select(F.col("chunk_id").alias("fact_id"), F.col("summary").alias("fact"), "session_id")
+    spans = best_span(F.col("fact"), asked.join(sections.select("session_id", "text", "start_byte", "end_byte"), "session_id")).withColumnRenamed("fact_id", "chunk_id")
+    own = own.join(spans, "chunk_id", "left").join(digests, "session_id", "left").withColumn("source_hash", F.when(F.col("start_byte").isNotNull(), F.col("source_hash")))
+
+    heads = m.select("memory_id", "session_id", "kind", F.col("density").alias("_parent"), (F.size("facts") + F.size("procedures")).alias("_before"))
+    density = section_density(F.col("text"), F.col("_parent"))
+    number = F.col("observation_id").cast("string")
+    told = sections.join(heads, "session_id").join(digests, "session_id").select(
+        F.concat(F.lit("mem:"), F.col("memory_id").cast("string"), F.lit(":obs:"), number).alias("chunk_id"),
+        "project", "memory_id", "session_id", (F.col("_before") + F.col("ordinal")).alias("ordinal"), density.alias("density"), "kind",
+        F.concat(chunk_title(F.col("tool"), F.col("text")), F.lit(" observation "), number).alias("title"),
+        chunk_summary(F.col("text"), density).alias("summary"), token_estimate(F.col("text")).alias("token_estimate"), "start_byte", "end_byte", "source_hash",
+    )
+    return own.unionByName(told)
+
+
+def merged_facts(facts: Column, more: Column) -> Column:
+    """The facts, then those of `more` that are not there yet, without regard to ASCII case and outer blanks."""
+    key = lambda x: F.translate(F.trim(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    add = lambda have, x: F.when(F.exists(have, lambda y: key(y) == key(x)), have).otherwise(F.concat(have, F.array(x)))
+    return F.aggregate(F.coalesce(more, F.array().cast("array<string>")), F.coalesce(facts, F.array().cast("array<string>")), add)
+
+
 def local_compression(observations: DataFrame, most: int = 48_000) -> DataFrame:
     """The memory of each session without a language model: a header and its transcript, cut at `most` bytes."""
     n = observations.groupBy("session_id", "project").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("tool")).alias("tools"))

@@ -103,6 +103,13 @@ def synthesis_groups(memories: DataFrame, most: int = 6, groups: int = 10) -> Da
     return g.groupBy("memory_ids").agg(F.min("term").alias("term")).select("term", "memory_ids").orderBy("term").limit(groups)
 
 
+def derived_facts(reply: Column, inputs: Column, most: int = 3) -> Column:
+    """The lines of a model's reply without bullets and numbers: eight bytes or more, none that an input already says, so many at most."""
+    line = F.transform(F.split(reply, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^[-*•]+\s*", ""), r"^[0-9.) ]+", "")))
+    known = F.concat(F.transform(inputs, lambda x: F.lower(F.trim(x))), F.array(F.lit("derived facts:")))
+    return F.slice(F.filter(line, lambda x: (F.octet_length(x) >= 8) & ~F.array_contains(known, F.lower(x))), 1, most)
+
+
 def profile(memories: DataFrame, newest: int = 100, bullets: int = 25, most: int = 240) -> DataFrame:
     """The user's own memories as one text of bullets, the newest first."""
     from loreweave.functions.text import truncate_bytes

@@ -76,9 +76,10 @@ class Engine:
         row = compress.local_compression(o).first()
         mid = self._remember(row.project, row.summary, row.tags, session_id, importance=row.importance / 10, kind="session", source_type="session")
         self._store(compress.transcripts(o).select(F.col("transcript").alias("text")))
-        digest = compress.transcripts(o).select(F.sha2("transcript", 256)).first()[0]
-        c = compress.skim_chunks(o).withColumns({"memory_id": F.lit(mid), "source_hash": F.lit(digest)})
-        self.t.append("memory_chunks", c)
+        told = self.spark.createDataFrame([(mid, row.project, session_id, row.summary, "session", row.importance)], "memory_id long, project string, session_id string, summary string, kind string, importance int")
+        none = F.lit(None).cast("array<string>")
+        c = compress.memory_chunks(told.select("*", F.lit(None).cast("string").alias("event_time"), none.alias("facts"), none.alias("procedures")), o)
+        self.t.append("memory_chunks", self.t.fit("memory_chunks", c.withColumn("created_at", F.lit(self.clock()))))
         self.add_edges(row.project, mid, compress_relations(o))
         self.t.patch("sessions", mine, compressed=True)
         return mid
@@ -344,15 +345,22 @@ class Engine:
     # Sweeps, governance, sync
 
     def sweep(self, least: int = 50, idle: int = 1800, limit: int = 20, dry_run: bool = False) -> DataFrame:
-        """Compresses open sessions that are idle or long."""
+        """Compresses open sessions that are idle or long. One that fails is noted and doesn't stop the others."""
         found = relational.sweep_candidates(self.t("sessions"), self.t("observations"), least, self.clock() - idle, limit)
         rows = found.collect()
-        for r in rows:
-            if not dry_run and self.lease(r.session_id, "sweep"):
+        status = dict.fromkeys((r.session_id for r in rows), "ok")
+        for r in [] if dry_run else rows:
+            if not self.lease(r.session_id, "sweep"):
+                status[r.session_id] = "skipped"
+                continue
+            try:
                 self.compress(r.session_id)
+            except Exception:
+                status[r.session_id] = "failed"
+            finally:
                 self.release(r.session_id, "sweep")
         if rows:
-            self.t.append("sweep_events", self._rows("sweep_events", *[{"project": r.project, "session_id": r.session_id, "action": "compress", "dry_run": dry_run, "status": "ok", "reason": r.reason, "subject_last_activity": r.last_activity, "created_at": self.clock()} for r in rows]))
+            self.t.append("sweep_events", self._rows("sweep_events", *[{"project": r.project, "session_id": r.session_id, "action": "compress", "dry_run": dry_run, "status": status[r.session_id], "reason": r.reason, "subject_last_activity": r.last_activity, "created_at": self.clock()} for r in rows]))
         return self.spark.createDataFrame(rows, found.schema)
 
     def lease(self, session_id: str, owner: str, seconds: int = 600) -> bool:

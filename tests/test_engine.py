@@ -25,8 +25,9 @@ def test_a_session_becomes_a_memory(engine):
     engine.record_event(sid, "p", "Bash", "cargo test", "ok " * 40 + "\nRELATION: Alice | works_at | Acme")
     mid = engine.session_end(sid)
     assert engine.compress(sid) is None and engine.status()["memories"] == 1
-    assert [c.ordinal for c in engine.skim(mid).collect()] == [1, 2, 3]
-    assert engine.original(engine.skim(mid).first().chunk_id).startswith("## Bash\ninput: cargo test")
+    chunks = engine.skim(mid).collect()
+    assert [c.ordinal for c in chunks] == [0, 1, 2, 3] and chunks[0].chunk_id == f"mem:{mid}:overview"
+    assert engine.original(chunks[0].chunk_id) is None and engine.original(chunks[1].chunk_id).startswith("## Bash\ninput: cargo test")
     assert engine.corrections().count() == 1
     assert engine.t("blobs").where("orig_len > 100").count() >= 1
     assert engine.session_end(engine.session_start("p")) is None
@@ -90,7 +91,7 @@ def test_vectors_deletion_and_point_reads(spark, tmp_path):
     assert e.memory(b).summary == "zzzz yyyy" and e.memory(10**9) is None
     assert Engine(spark, str(tmp_path / "store"), clock=e.clock, namespace="other").memory(b) is None
     assert Engine(spark, str(tmp_path / "store"), clock=e.clock, namespace="other").memory(b, any_namespace=True).memory_id == b
-    assert e.recent_chunks().count() == 1 and e.n_own_memories() == 1 and e.t("memory_entities").where(f"memory_id = {b}").count() == 2
+    assert e.recent_chunks().count() == 2 and e.n_own_memories() == 1 and e.t("memory_entities").where(f"memory_id = {b}").count() == 2
     hashes = {r.memory_id: r.record_hash for r in e.t("memory_meta").collect()}
     assert len(set(hashes.values())) == 4 and all(len(x) == 64 for x in hashes.values())
     e.feedback(b, "used", 1.0)
