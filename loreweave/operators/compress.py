@@ -110,10 +110,18 @@ def memory_chunks(memories: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def merged_facts(facts: Column, more: Column) -> Column:
-    """The facts, then those of `more` that are not there yet, without regard to ASCII case and outer blanks."""
-    key = lambda x: F.translate(F.trim(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    add = lambda have, x: F.when(F.exists(have, lambda y: key(y) == key(x)), have).otherwise(F.concat(have, F.array(x)))
-    return F.aggregate(F.coalesce(more, F.array().cast("array<string>")), F.coalesce(facts, F.array().cast("array<string>")), add)
+    """The facts, then those of `more` that are not there yet, without regard to ASCII case and outer blanks.
+
+    Equal ones meet by sorting, so long lists take no pairwise comparison. Null lists count as empty.
+    """
+    none = F.array().cast("array<string>")
+    have = F.coalesce(facts, none)
+    key = lambda x: F.translate(F.regexp_replace(x, r"^\s+|\s+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = F.array_sort(F.transform(F.concat(have, F.coalesce(more, none)), lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(rows, lambda r: r["key"]))
+    paired = F.filter(F.arrays_zip(rows.alias("r"), before.alias("b")), lambda p: p["r"].isNotNull() & ((p["r"]["i"] < F.size(have)) | ~p["r"]["key"].eqNullSafe(p["b"])))
+    kept = F.array_sort(F.transform(paired, lambda p: F.struct(p["r"]["i"].alias("i"), p["r"]["x"].alias("x"))))
+    return F.transform(kept, lambda r: r["x"])
 
 
 def local_compression(observations: DataFrame, most: int = 48_000) -> DataFrame:

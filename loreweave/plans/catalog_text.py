@@ -64,6 +64,37 @@ def skim_chunks(t):
     return compress.skim_chunks(t("observations")).select("chunk_id", "density", "start_byte", "end_byte", "token_estimate", "summary")
 
 
+@query("memories", "memory_meta", sql=f"""
+WITH m AS (SELECT m.memory_id, m.summary AS text, coalesce(mm.kind, 'session') AS kind, coalesce(mm.importance, 0.5) AS importance, coalesce(trim(mm.event_time) <> '', false) AS dated
+  FROM memories m LEFT JOIN memory_meta mm ON mm.memory_id = m.memory_id),
+d AS (SELECT *, {WORDS} AS ws, CASE WHEN kind IN ({", ".join(f"'{k}'" for k in compress.HIGH_KINDS)}) OR dated OR importance >= 0.8 THEN 'high'
+  WHEN kind IN ({", ".join(f"'{k}'" for k in compress.MEDIUM_KINDS)}) OR importance >= 0.6 THEN 'medium' ELSE 'low' END AS density FROM m),
+e AS (SELECT *, CASE density WHEN 'high' THEN 90 WHEN 'medium' THEN 48 ELSE 24 END AS most FROM d)
+SELECT 'mem:' || memory_id || ':overview' AS chunk_id, density, kind, CAST(greatest((len(ws) * 4 + 2) // 3, 1) AS BIGINT) AS token_estimate,
+  CASE WHEN len(ws) > most THEN array_to_string(ws[1:most], ' ') || '...' ELSE regexp_replace(regexp_replace(text, '^ +', ''), ' +$', '') END AS summary FROM e""")
+def memory_overviews(t):
+    meta = t("memory_meta").select("memory_id", "kind", "importance", "event_time")
+    none = F.lit(None).cast("array<string>")
+    m = t("memories").select("memory_id", "project", "session_id", "summary").join(meta, "memory_id", "left")
+    m = m.withColumns({"importance": F.coalesce("importance", F.lit(0.5)) * 10, "facts": none, "procedures": none})
+    return compress.memory_chunks(m, t("observations").limit(0)).select("chunk_id", "density", "kind", "token_estimate", "summary")
+
+
+KEY = "translate(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("memories", sql=f"""
+WITH m AS (SELECT memory_id, regexp_split_to_array(summary, ' ') AS ws FROM memories),
+p AS (SELECT memory_id, ws[1:3] AS have, unnest(ws[4:]) AS x, generate_subscripts(ws[4:], 1) AS i FROM m),
+f AS (SELECT memory_id, x, min(i) AS i FROM (SELECT memory_id, i, x, have, row_number() OVER (PARTITION BY memory_id, {KEY.format("x")} ORDER BY i) AS n FROM p)
+  WHERE n = 1 AND NOT list_contains(list_transform(have, lambda y: {KEY.format("y")}), {KEY.format("x")}) GROUP BY memory_id, x)
+SELECT m.memory_id, array_to_string(ws[1:3] || coalesce((SELECT list(x ORDER BY i) FROM f WHERE f.memory_id = m.memory_id), []), '|') AS facts FROM m""")
+def coverage_merge(t):
+    words = F.split("summary", " ")
+    facts = compress.merged_facts(F.slice(words, 1, 3), F.slice(words, 4, 1 << 30))
+    return t("memories").select("memory_id", F.array_join(facts, "|").alias("facts"))
+
+
 @query(sql=f"SELECT doc_id, CAST(len({WORDS}) AS INTEGER) AS n_words, CAST(greatest((len({WORDS}) * 4 + 2) // 3, 1) AS BIGINT) AS n_tokens FROM documents")
 def token_estimates(t):
     return t("documents").select("doc_id", word_count(F.col("text")).alias("n_words"), token_estimate(F.col("text")).alias("n_tokens"))
