@@ -151,7 +151,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    warc.write(table(spark, sf_dir, "pages"), path)
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     out = warc.read(spark, path, payloads=False)
     return out.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 

@@ -14,7 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import pick
+from loreweave.llm.common import cut, pick
+from loreweave.llm.samples import place, threshold
 
 # Fixed values of the formats: frames, the last (empty) block of a frame, record versions and fields.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -39,29 +40,29 @@ class WarcError(ValueError):
     """A record or archive that breaks the format."""
 
 
-def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, digest, refers_to: rows whose payload of `least` bytes or more a row with a larger page_id has too.
+def revisits(named: DataFrame, least: int = LEAST) -> DataFrame:
+    """page_id, digest, refers_to of rows (page_id, digest, size) whose payload of `least` bytes or more a row with a larger id has too.
 
-    refers_to is the largest id among the equal payloads. Of null ids none is the largest. Rows alone on an id and payload count
-    once, however often they are repeated, and texts are not shuffled: only ids and digests are.
+    refers_to is the largest id among the equal payloads. Of null ids none is the largest. Equal rows give one.
     """
-    named = pages.where(F.octet_length("payload") >= least).select("page_id", "digest")
+    named = named.where(F.col("size") >= least).select("page_id", "digest")
     groups = named.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
     return named.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
 
 
-def prepared(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, digest (hex SHA-1), refers_to (null for responses) of pages (page_id, url, html)."""
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload (bytes) and digest (hex SHA-1) of pages (page_id, url, html)."""
     pages = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("digest", F.sha1("payload"))
-    r = revisits(pages, least).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
-    return pages.join(r, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_digest")
+    return pages.withColumn("digest", F.sha1("payload"))
 
 
-def dictionary(pages: DataFrame) -> bytes:
-    """A dictionary for whole payloads of at most SAMPLES rows of at most SAMPLE bytes, by a hash of the id; empty if they are too few."""
-    rows = pages.where(F.octet_length("payload").between(1, SAMPLE)).select("payload", F.xxhash64("page_id", "digest").alias("h"))
-    samples = [bytes(r.payload) for r in rows.orderBy("h").limit(SAMPLES).collect()]
+def dictionary(rows: DataFrame, named: DataFrame) -> bytes:
+    """A dictionary for whole payloads of about SAMPLES rows of at most SAMPLE bytes, by a hash of their ids; empty if they are too few."""
+    n, least = named.where(F.col("size").between(1, SAMPLE)).agg(F.count("*"), F.min(place("page_id", "digest", seed=11))).first()
+    if n < 16:
+        return b""
+    some = rows.where((F.octet_length("payload").between(1, SAMPLE)) & (place("page_id", "digest", seed=11) < threshold(n, least, SAMPLES)))
+    samples = [bytes(r.payload) for r in some.select("payload").orderBy("page_id", "digest").limit(2 * SAMPLES).collect()]
     if sum(map(len, samples)) < 8 * DICTIONARY or len(samples) < 16:
         return b""
     return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
@@ -108,9 +109,15 @@ def write(pages: DataFrame, path: str, least: int = LEAST, date: str = "2024-01-
     payloads, a null url leaves its field out, extra columns are left out, an empty table gives no archive. A task begins a new
     archive after `most` compressed bytes. Spark's text writer puts the frames into files, byte for byte: its line separator
     is the empty block that ends each frame, so that files hold frames alone, and lost tasks are run again as for any table.
+    Which rows are revisits is found from ids and digests alone; payloads are shuffled only to deal out a table of few splits.
     """
-    rows = prepared(pages, least)
-    shared = rows.sparkSession.sparkContext.broadcast(dictionary(rows))
+    spark, rows = pages.sparkSession, payloads(pages)
+    named = cut(rows.select("page_id", "digest", F.octet_length("payload").alias("size")), "pages")
+    shared = spark.sparkContext.broadcast(dictionary(rows, named))
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few splits: a small table
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, "page_id", "digest")
+    r = revisits(named, least).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    rows = rows.join(r, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
 
     def run(batches):
         raw = shared.value
