@@ -51,7 +51,17 @@ def index(memories: DataFrame, asked: DataFrame, stemming: bool = True) -> DataF
     One row per memory, written once: texts are tokenised in one pass, whatever the number of queries that use it.
     """
     known = [r[0] for r in asked.select("token").distinct().limit(MOST_TOKENS + 1).collect()]
-    shared = memories.sparkSession.sparkContext.broadcast(frozenset(known) if len(known) <= MOST_TOKENS else None)
+    return cut(counted(memory_texts(memories), frozenset(known) if len(known) <= MOST_TOKENS else None, stemming), "index")
+
+
+def memory_texts(memories: DataFrame) -> DataFrame:
+    """(memory_id, text): what full text finds a memory by."""
+    return memories.select("memory_id", F.concat_ws(" ", "project", "session_id", "summary", "tags").alias("text"))
+
+
+def counted(texts: DataFrame, wanted: frozenset | None, stemming: bool = True) -> DataFrame:
+    """(memory_id, length, hits) of texts (memory_id, text): the number of tokens, and how often those wanted, or all, occur."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         wanted, stems = shared.value, {}
@@ -74,9 +84,8 @@ def index(memories: DataFrame, asked: DataFrame, stemming: bool = True) -> DataF
             kind = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("memory_id"), pa.array(lengths, pa.int32()), pa.array(hits, kind)], ["memory_id", "length", "hits"])
 
-    rows = memories.select("memory_id", F.concat_ws(" ", "project", "session_id", "summary", "tags").alias("text"))
-    kind = rows.schema["memory_id"].dataType.simpleString()
-    return cut(rows.mapInArrow(run, f"memory_id {kind}, length int, hits array<struct<token:string,tf:int>>"), "index")
+    kind = texts.schema["memory_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"memory_id {kind}, length int, hits array<struct<token:string,tf:int>>")
 
 
 def postings(ready: DataFrame) -> DataFrame:

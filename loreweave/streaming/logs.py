@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import truncate_bytes
@@ -13,11 +15,26 @@ def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def sessionize(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", key: str = "user_id") -> DataFrame:
-    """Sessions by idle gap: a pause of exactly the gap still belongs to the session. Batch and stream alike."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    out = rows.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"))
-    return out.select(key, F.col("w.start").alias("started_at"), (F.col("w.end") - F.expr(f"INTERVAL {gap}")).alias("last_activity"), "n_events")
+def instant(c: str) -> Column:
+    """The moment of a time without a zone, which is one of UTC, whatever the session's zone."""
+    return F.expr(f"make_timestamp(year({c}), month({c}), day({c}), hour({c}), minute({c}), extract(SECOND FROM {c}), 'UTC')")
+
+
+def zoneless(c: str) -> Column:
+    """The time of a moment in UTC, without a zone."""
+    return F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(unix_micros({c}) AS DECIMAL(20, 0)) / 1000000)")
+
+
+def sessionize(events: DataFrame, gap: str = "30 minutes", late: str | None = "10 minutes", key: str = "user_id", more: Sequence[Column] = ()) -> DataFrame:
+    """Sessions by idle gap: a pause of exactly the gap still belongs to the session. Batch and stream alike.
+
+    more: further aggregates of a session's events. A stream hands a session on once, when no event can come that belongs to it:
+    the newest event is then later than its end by the gap and `late`, which is None where the events have a watermark.
+    Events without a time belong to none.
+    """
+    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
+    out = rows.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"), *more)
+    return out.select(key, F.col("w.start").alias("started_at"), (F.col("w.end") - F.expr(f"INTERVAL {gap}")).alias("last_activity"), *[c for c in out.columns if c not in (key, "w")])
 
 
 def import_once(events: DataFrame, late: str = "1 hour", key: str = "event_id") -> DataFrame:
@@ -32,9 +49,9 @@ def truncated(observations: DataFrame, most: int) -> tuple[DataFrame, DataFrame]
     return kept, observations.where(big).select(F.sha2("output", 256).alias("hash"), F.col("output").alias("data"))
 
 
-def idle_or_volume(events: DataFrame, volume: int, gap: str = "30 minutes", late: str = "10 minutes", key: str = "user_id") -> DataFrame:
+def idle_or_volume(events: DataFrame, volume: int, gap: str = "30 minutes", late: str | None = "10 minutes", key: str = "user_id", more: Sequence[Column] = ()) -> DataFrame:
     """Closed sessions with the reason: idle, or volume where they have many events."""
-    s = sessionize(events, gap, late, key)
+    s = sessionize(events, gap, late, key, more)
     return s.withColumn("reason", F.when(F.col("n_events") >= volume, "idle,volume").otherwise("idle"))
 
 
