@@ -217,6 +217,12 @@ LISTS = ("facts", "entities", "relations", "procedures")
 REPLY = T.StructType([T.StructField(f.lower(), T.ArrayType(T.StringType()) if f.lower() in LISTS else T.IntegerType() if f == "IMPORTANCE" else T.StringType()) for f in FIELDS])
 
 
+def prompt(transcript: str) -> str:
+    """What a language model is asked about a session, so that parse_reply can read its answer."""
+    lists = ", ".join(x.upper() for x in LISTS)
+    return f"Condense this session. Answer in named fields, one per line: {', '.join(FIELDS)}. {lists} are lists with a leading dash; a relation is source | relation | target.\n\n{transcript}"
+
+
 def parse_reply(text: str | None) -> dict:
     """A structured reply: named fields, whose lists are lines with a leading dash; lists lose repeats, importance is 1 to 10."""
     found: dict[str, list[str]] = {}

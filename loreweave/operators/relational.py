@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.operators.visibility import with_meta
+from loreweave.sources.shared import cut
 
 
 def sweep_candidates(sessions: DataFrame, observations: DataFrame, least: int, idle_before: int, limit: int) -> DataFrame:
@@ -114,3 +115,11 @@ def governed_delete(memories: DataFrame, asked: DataFrame, now: int) -> DataFram
     """What becomes of asked memories: blocked by a legal hold, already gone, or deleted now."""
     state = F.when(F.col("legal_hold"), "blocked").when(F.col("tombstoned_at").isNotNull(), "gone").otherwise("deleted")
     return asked.join(memories, "memory_id").select("memory_id", state.alias("outcome"), F.when(state == "deleted", F.lit(now)).otherwise(F.col("tombstoned_at")).alias("tombstoned_at"))
+
+
+def numbered(rows: DataFrame, column: str, first: int, *order: str) -> DataFrame:
+    """rows with a column that counts from `first` in the order of the columns `order`; by ranges of them, not in one task."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_part").withColumn(column, (F.col("_before") + F.col("_place") + (first - 1)).cast("long")).drop("_part", "_place", "_before")

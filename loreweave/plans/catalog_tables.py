@@ -254,10 +254,29 @@ def ledger_tips(t):
     return govern.tips(govern.build_chain(entries(t))).select("namespace", "id")
 
 
-@query("ledger_events", sql="SELECT namespace, memory_id, list_sort(list(id)) AS entry_ids FROM ledger_events GROUP BY 1, 2 HAVING count(*) > 1")
+#: The chain, one entry after another: (namespace, n, id, prev_hash, entry_hash).
+CHAIN = """e AS (
+  SELECT namespace, id, row_number() OVER (PARTITION BY namespace ORDER BY id) AS n, '{"actor":' || CASE WHEN id % 3 = 0 THEN '"agent"' ELSE 'null' END || ',"created_at":' || (1704067200 + id)
+    || ',"memory_id":' || coalesce(CAST(memory_id AS VARCHAR), 'null') || ',"namespace":' || to_json(namespace) || ',"op_type":' || to_json(op_type) || ',"payload":' || coalesce(to_json(payload), 'null') || ',"prev_hash":' AS body
+  FROM ledger_events),
+chain(namespace, n, id, prev_hash, entry_hash) AS (
+  SELECT namespace, n, id, CAST(NULL AS VARCHAR), sha256(body || 'null}') FROM e WHERE n = 1
+  UNION ALL SELECT e.namespace, e.n, e.id, c.entry_hash, sha256(e.body || '"' || c.entry_hash || '"}') FROM chain c JOIN e ON e.namespace = c.namespace AND e.n = c.n + 1)"""
+
+
+@query("ledger_events", sql=f"WITH RECURSIVE {CHAIN} SELECT namespace, id, prev_hash, entry_hash FROM chain")
+def ledger_entries(t):
+    return govern.build_chain(entries(t)).select("namespace", "id", "prev_hash", "entry_hash")
+
+
+@query("ledger_events", sql=f"""WITH RECURSIVE {CHAIN}, f AS (SELECT namespace, prev_hash, id, entry_hash, sha256('fork ' || id) AS other FROM chain WHERE id % 500 = 7)
+SELECT namespace, prev_hash, [id, id + 1000000000] AS entry_ids, sha256(namespace || chr(10) || coalesce(prev_hash, '') || chr(10) || entry_hash || chr(10) || other) AS evidence_sha256 FROM f""")
 def fork_evidence(t):
-    e = t("ledger_events").select("namespace", F.col("memory_id").cast("string").alias("prev_hash"), "id")
-    return govern.forks(e).select("namespace", F.col("prev_hash").cast("long").alias("memory_id"), "entry_ids")
+    """A second entry after what every entry with id % 500 = 7 follows."""
+    chain = govern.build_chain(entries(t))
+    other = chain.where("id % 500 = 7").withColumns({"entry_hash": F.sha2(F.concat(F.lit("fork "), F.col("id").cast("string")), 256), "id": F.col("id") + 1000000000})
+    out = govern.fork_evidence(chain.unionByName(other))
+    return out.select("namespace", "prev_hash", F.transform("entries", lambda e: e["id"]).alias("entry_ids"), "evidence_sha256")
 
 
 @query("memory_meta", sql="""

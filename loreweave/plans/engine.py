@@ -5,31 +5,62 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.functions.hashing import RECORD_FIELDS, record_hash
-from loreweave.functions.text import normalize_graph_text, normalize_namespace, normalize_relation, truncate_bytes
-from loreweave.operators import blobs, compress, consolidate, govern, graph, relational, search, visibility
+from loreweave.functions.hashing import RECORD_FIELDS, entry_hash, record_hash
+from loreweave.functions.text import MEMORY_KINDS, normalize_graph_text, normalize_namespace, normalize_relation, truncate_bytes
+from loreweave.operators import blobs, compress, consolidate, fulltext, govern, graph, relational, search, visibility
 from loreweave.plans import retrieve
+from loreweave.plans.schedule import Latencies, retried
 from loreweave.sources.shared import cut
 from loreweave.sources.store import Store
 
+#: Bytes of a transcript that a language model is shown, and the user's memories after which the profile is made anew.
+MOST_SHOWN, PROFILE_EVERY = 48_000, 5
+
 
 class ConsentError(ValueError):
     """Health or personal data without consent."""
 
 
+def timed(f):
+    """An operation whose calls and microseconds are counted under its name."""
+
+    @wraps(f)
+    def run(self, *a, **kw):
+        with self.latencies.timed(f.__name__):
+            return f(self, *a, **kw)
+
+    return run
+
+
+def writes(f):
+    """A timed operation that reads tables and then writes them: one at a time, of all writers of the store."""
+
+    @wraps(f)
+    def run(self, *a, **kw):
+        with self.t.writing():
+            return f(self, *a, **kw)
+
+    return timed(run)
+
+
 class Engine:
     """Sessions in, memories out. clock gives Unix seconds; embed is a column function from text to vector, if there is one.
 
-    Vectors are kept under the name of their model, and searched among those of that model alone. Numbers and chains are given
-    out under a lock of the store, so several writers can share it.
+    Vectors are kept under the name of their model, and searched among those of that model alone. Every operation that gives
+    out numbers, extends a chain or replaces a table holds the store's one lock of writers, so several can share it. generate
+    is a language model, from prompt to reply; without one, a session's memory is its transcript. Words are searched in a
+    stored index, and in the texts of the memories that came since `index_all`.
     """
 
-    def __init__(self, spark: SparkSession, root: str, clock=lambda: int(time.time()), namespace: str = "local", most_output: int = 16_384, config: dict | None = None, embed=None, model: str = "default"):
-        self.embed, self.model = embed, model
+    def __init__(self, spark: SparkSession, root: str, clock=lambda: int(time.time()), namespace: str = "local", most_output: int = 16_384, config: dict | None = None, embed=None, model: str = "default", generate: Callable[[str], str] | None = None):
+        self.embed, self.model, self.generate = embed, model, generate
+        self.words, self.latencies = f"{root.rstrip('/')}/_words", Latencies()
         self.spark, self.t, self.clock, self.namespace, self.most = spark, Store(spark, root), clock, namespace, most_output
         self.config = config or {}
 
@@ -41,11 +72,13 @@ class Engine:
 
     # Sessions
 
+    @writes
     def session_start(self, project: str) -> str:
         sid = uuid.uuid4().hex
         self.t.append("sessions", self._rows("sessions", {"session_id": sid, "project": project, "started_at": self.clock(), "compressed": False}))
         return sid
 
+    @writes
     def record_event(self, session_id: str, project: str, tool: str, given: str | None = None, output: str | None = None) -> int:
         """Keeps the whole output as a blob if it is cut."""
         n = self.t.next_id("observations", "observation_id")
@@ -64,30 +97,58 @@ class Engine:
     def session_end(self, session_id: str) -> int | None:
         """Closes an open session and compresses it; without observations there is nothing to keep."""
         mine = F.col("session_id") == session_id
-        self.t.patch("sessions", mine & F.col("ended_at").isNull(), ended_at=self.clock())
+        with self.t.writing():
+            self.t.patch("sessions", mine & F.col("ended_at").isNull(), ended_at=self.clock())
         return self.compress(session_id) if self.t("observations").where(mine).limit(1).count() else None
 
+    @timed
     def compress(self, session_id: str) -> int | None:
-        """The session's memory without a language model, its transcript as a blob, and its chunks. Done once."""
+        """The session's memory, its transcript as a blob, and its chunks. Done once.
+
+        A language model's reply gives the summary, facts, procedures, date, kind, entities and relations (compress.parse_reply);
+        without one, or a summary in its reply, the memory is the transcript. It is called outside the lock.
+        """
         mine = F.col("session_id") == session_id
         if self.t("sessions").where(mine & F.col("compressed")).limit(1).count():
             return None
         o = self.t("observations").where(mine)
         row = compress.local_compression(o).first()
-        mid = self._remember(row.project, row.summary, row.tags, session_id, importance=row.importance / 10, kind="session", source_type="session")
-        self._store(compress.transcripts(o).select(F.col("transcript").alias("text")))
-        told = self.spark.createDataFrame([(mid, row.project, session_id, row.summary, "session", row.importance)], "memory_id long, project string, session_id string, summary string, kind string, importance int")
-        none = F.lit(None).cast("array<string>")
-        c = compress.memory_chunks(told.select("*", F.lit(None).cast("string").alias("event_time"), none.alias("facts"), none.alias("procedures")), o)
-        self.t.append("memory_chunks", self.t.fit("memory_chunks", c.withColumn("created_at", F.lit(self.clock()))))
-        self.add_edges(row.project, mid, compress_relations(o))
-        self.t.patch("sessions", mine, compressed=True)
+        said = {"facts": [], "procedures": [], "relations": [], "entities": [], "when": None, "kind": "session"}
+        told = {"summary": row.summary, "tags": row.tags, "importance": row.importance}
+        if self.generate:
+            text = compress.transcripts(o).select(truncate_bytes(F.col("transcript"), MOST_SHOWN).alias("x")).first().x
+            reply = compress.parse_reply(retried(lambda: self.generate(compress.prompt(text))))
+            if reply["summary"]:
+                said |= {k: reply[k] for k in said} | {"kind": reply["kind"] if reply["kind"] in MEMORY_KINDS else "session"}
+                told = {k: reply[k] or v for k, v in told.items()}
+        with self.t.writing():
+            if self.t("sessions").where(mine & F.col("compressed")).limit(1).count():
+                return None  # by another writer, meanwhile
+            mid = self._add(row.project, told["summary"], told["tags"], session_id, {"importance": told["importance"] / 10, "kind": said["kind"], "event_time": said["when"], "source_type": "session"})
+            self._store(compress.transcripts(o).select(F.col("transcript").alias("text")))
+            head = self.spark.createDataFrame(
+                [(mid, row.project, session_id, told["summary"], said["kind"], told["importance"], said["when"], said["facts"], said["procedures"])],
+                "memory_id long, project string, session_id string, summary string, kind string, importance int, event_time string, facts array<string>, procedures array<string>",
+            )
+            self._replace_chunks(mid, compress.memory_chunks(head, o).withColumn("created_at", F.lit(self.clock())))
+            if said["entities"]:
+                self.t.upsert("memory_entities", self.spark.createDataFrame([(mid, x) for x in {x.lower() for x in said["entities"] if len(x) >= 3}], "memory_id long, entity string"), "memory_id", "entity")
+            lines = self.spark.createDataFrame([(f"RELATION: {x}",) for x in said["relations"]], "t string")
+            self._add_edges(row.project, mid, compress_relations(o).unionByName(graph.relation_markers(lines, "t")).distinct())
+            self.t.patch("sessions", mine, compressed=True)
         return mid
 
+    def _replace_chunks(self, memory_id: int, chunks: DataFrame) -> None:
+        """A memory's chunks, in place of those it had."""
+        old = self.t("memory_chunks")
+        if old.where(F.col("memory_id") == memory_id).limit(1).count():
+            self.t.delete("memory_chunks", self.spark.createDataFrame([(memory_id,)], "memory_id long"), "memory_id")
+        self.t.append("memory_chunks", self.t.fit("memory_chunks", chunks))
+
     # Memories
 
     def _remember(self, project: str, summary: str, tags: str | None, session_id: str | None, **meta) -> int:
-        with self.t.lock("memories"):
+        with self.t.writing():
             return self._add(project, summary, tags, session_id, meta)
 
     def _add(self, project: str, summary: str, tags: str | None, session_id: str | None, meta: dict) -> int:
@@ -111,6 +172,7 @@ class Engine:
         rows = memories.select("memory_id", F.lit(self.model).alias("model"), self.embed(F.concat_ws(" ", "summary", "tags")).alias("embedding"))
         return rows.withColumn("dim", F.size("embedding"))
 
+    @writes
     def embed_all(self, force: bool = False) -> int:
         """Vectors of this model for memories that lack one, or anew for all; returns how many."""
         if force:
@@ -122,24 +184,65 @@ class Engine:
             self.t.append("embeddings", self._embedded(rows))
         return n
 
+    @writes
+    def index_all(self) -> int:
+        """Adds the words of memories that came since the last call to the stored index, as a segment; returns how many."""
+        mark = fulltext.indexed(self.spark, self.words)
+        new = self.t("memories") if mark is None else self.t("memories").where(F.col("memory_id") > mark)
+        if not new.limit(1).count():
+            return 0
+        return fulltext.add(search.memory_texts(new), self.words, fulltext.next_segment(self.spark, self.words))
+
+    def _index(self, memories: DataFrame, asked: DataFrame) -> DataFrame:
+        """search.index from the stored index and the texts of the memories that it doesn't have."""
+        mark = fulltext.indexed(self.spark, self.words)
+        if mark is None:
+            return search.index(memories, asked)
+        new = memories.where(F.col("memory_id") > mark)
+        return fulltext.ready(self.spark, self.words, asked).unionByName(search.index(new, asked))
+
+    @writes
     def remember(self, project: str, summary: str, tags: str | None = None, **meta) -> int:
-        return self._remember(project, summary, tags, None, **({"importance": 0.7, "source_type": "explicit", "trust_tier": "high"} | meta))
-
-    def _log(self, op: str, memory_id: int | None, payload: dict) -> None:
-        """Appends an entry to the namespace's chain, one writer at a time."""
-        with self.t.lock(f"ledger-{self.namespace}"):
-            self._chain(op, memory_id, payload)
-
-    def _chain(self, op: str, memory_id: int | None, payload: dict) -> None:
-        own = self.t("memory_ledger").where(F.col("namespace") == self.namespace)
-        last = own.orderBy(F.desc("id")).first()
-        n = last.id + 1 if last else 1
-        new = self._rows("memory_ledger", {"namespace": self.namespace, "id": n, "memory_id": memory_id, "op_type": op, "payload": json.dumps(payload, sort_keys=True), "created_at": self.clock(), "prev_hash": last.entry_hash if last else None})
-        from loreweave.functions.hashing import entry_hash
+        """A memory that was asked for. Every fifth of the user's own makes the profile anew."""
+        mid = self._remember(project, summary, tags, None, **({"importance": 0.7, "source_type": "explicit", "trust_tier": "high"} | meta))
+        if meta.get("scope") == "user" and meta.get("kind") != "profile" and self.n_own_memories() % PROFILE_EVERY == 0:
+            self.refresh_profile()
+        return mid
 
-        cols = ("prev_hash", "namespace", "memory_id", "op_type", "actor", "payload", "created_at")
-        self.t.append("memory_ledger", new.withColumn("entry_hash", entry_hash(*[F.col(c) for c in cols])))
+    @writes
+    def refresh_profile(self) -> int | None:
+        """Stores the profile of the user's memories, in place of the one before; None if there are none."""
+        text = consolidate.profile(self.live()).first().profile
+        if not text:
+            return None
+        old = [r.memory_id for r in self.live().where("kind = 'profile'").select("memory_id").collect()]  # one, as a rule
+        mid = self._add("profile", text, None, None, {"kind": "profile", "scope": "user", "importance": 0.9, "source_type": "derived"})
+        for x in old:
+            self.forget(x, "replaced")
+        return mid
 
+    def _log(self, op: str, memory_id: int | None, payload: dict) -> None:
+        """Appends an entry to the namespace's chain."""
+        with self.t.writing():
+            last = self._head()
+            row = {"namespace": self.namespace, "id": last.id + 1 if last else 1, "memory_id": memory_id, "op_type": op, "payload": json.dumps(payload, sort_keys=True), "created_at": self.clock(), "prev_hash": last.entry_hash if last else None}
+            cols = ("prev_hash", "namespace", "memory_id", "op_type", "actor", "payload", "created_at")
+            self.t.append("memory_ledger", self._rows("memory_ledger", row).withColumn("entry_hash", entry_hash(*[F.col(c) for c in cols])))
+
+    def _head(self) -> Row | None:
+        return self.t("memory_ledger").where(F.col("namespace") == self.namespace).orderBy(F.desc("id")).first()
+
+    def _log_all(self, op: str, memories: DataFrame, payload: dict) -> None:
+        """Appends an entry for each of memories (memory_id), in order of id, in one write."""
+        with self.t.writing():
+            last = self._head()
+            new = relational.numbered(memories.select("memory_id"), "id", last.id + 1 if last else 1, "memory_id")
+            values = {"namespace": self.namespace, "op_type": op, "payload": json.dumps(payload, sort_keys=True)}
+            new = new.withColumns({k: F.lit(v) for k, v in values.items()} | {"actor": F.lit(None).cast("string"), "created_at": F.lit(self.clock()).cast("long")})
+            heads = self.spark.createDataFrame([(self.namespace, last.entry_hash)] if last else [], "namespace string, entry_hash string")
+            self.t.append("memory_ledger", govern.build_chain(new, heads))
+
+    @writes
     def forget(self, memory_id: int, reason: str = "asked") -> str:
         """blocked by a legal hold, gone already, or deleted: hidden, entered in the ledger, its transcript and vectors released."""
         mine = F.col("memory_id") == memory_id
@@ -151,7 +254,8 @@ class Engine:
         return outcome.outcome if outcome else "unknown"
 
     def _release(self, gone: DataFrame) -> None:
-        """The blobs and vectors of memories (memory_id): each transcript loses a reference per memory, and goes with the last."""
+        """The blobs and vectors of memories (memory_id) that were there till now: each transcript loses a reference per memory,
+        and goes with the last. A memory that was forgotten before has released its own already."""
         used = self.t("memory_chunks").join(gone, "memory_id", "left_semi").where("source_hash IS NOT NULL").select("memory_id", "source_hash").distinct()
         less = cut(used.groupBy(F.col("source_hash").alias("hash")).agg(F.count("*").alias("less")), "released")
         if less.limit(1).count():
@@ -159,16 +263,18 @@ class Engine:
             self.t.replace("blobs", left.where("refcount > 0"))
         self.t.delete("embeddings", gone, "memory_id")
 
+    @writes
     def wipe_project(self, project: str, reason: str = "project wiped") -> dict[str, int]:
-        """Deletes a project's memories, but for those on hold, from every table; each gets its entry in the ledger.
-
-        The ids are kept in a table; only the ledger, a chain, is written entry by entry.
-        """
+        """Deletes a project's memories, but for those on hold, from every table; each that was there gets its entry in the ledger."""
         held = self.t("memory_meta").where("legal_hold").select("memory_id")
         gone = cut(self.t("memories").where(F.col("project") == project).join(held, "memory_id", "left_anti").select("memory_id"), "gone")
-        for r in gone.join(self.t("memory_meta").where("tombstoned_at IS NULL").select("memory_id"), "memory_id").orderBy("memory_id").toLocalIterator():
-            self._log("forget", r.memory_id, {"reason": reason})
-        self._release(gone)
+        hidden = self.t("memory_meta").where("tombstoned_at IS NOT NULL").select("memory_id")
+        there = cut(gone.join(hidden, "memory_id", "left_anti"), "there")
+        self._log_all("forget", there, {"reason": reason})
+        self._release(there)
+        mark = fulltext.indexed(self.spark, self.words)
+        if mark is not None:
+            fulltext.remove(gone.where(F.col("memory_id") <= mark), self.words, fulltext.next_segment(self.spark, self.words))
         out = {}
         for name in ("memories", "memory_meta", "embeddings", "memory_entities", "memory_edges", "memory_chunks", "memory_feedback", "injection_events"):
             out[name] = self.t(name).join(gone, "memory_id", "left_semi").count()
@@ -207,8 +313,15 @@ class Engine:
     def anchors(self, project: str) -> DataFrame:
         return self.t("code_anchors").where(F.col("project") == project).orderBy("path", "start_byte", "memory_id")
 
+    def chunks(self) -> DataFrame:
+        """The chunks of visible memories of the namespace."""
+        return self.t("memory_chunks").join(self.live().select("memory_id"), "memory_id", "left_semi")
+
+    def chunk(self, chunk_id: str) -> Row | None:
+        return self.chunks().where(F.col("chunk_id") == chunk_id).first()
+
     def recent_chunks(self, limit: int = 20, project: str | None = None) -> DataFrame:
-        return visibility.where_given(self.t("memory_chunks"), project=project).orderBy(F.desc("created_at"), F.desc("memory_id"), "ordinal").limit(limit)
+        return visibility.where_given(self.chunks(), project=project).orderBy(F.desc("created_at"), F.desc("memory_id"), "ordinal").limit(limit)
 
     def edges(self, project: str | None = None) -> DataFrame:
         """All edges in the order of an export."""
@@ -231,22 +344,29 @@ class Engine:
         return relational.session_history(self.t("sessions"), self.t("memories"), self.t("observations")).orderBy(F.desc("started_at")).limit(limit)
 
     def profile(self) -> str:
-        return consolidate.profile(self.live()).first().profile
+        """The stored profile; before there is one, what it would be."""
+        row = self.live().where("kind = 'profile'").orderBy(F.desc("memory_id")).first()
+        return row.summary if row else consolidate.profile(self.live()).first().profile
 
     # Graph
 
+    @writes
     def add_edges(self, project: str, memory_id: int, edges: DataFrame) -> None:
         """edges: source, relation, target, and valid_from, valid_until, confidence if known. Old states end where new ones begin."""
-        first, now = self.t.next_id("memory_edges", "edge_id"), self.clock()
-        rows = edges.select("*").collect()
-        if not rows:
+        self._add_edges(project, memory_id, edges)
+
+    def _add_edges(self, project: str, memory_id: int, edges: DataFrame) -> None:
+        if not edges.limit(1).count():
             return
-        new = [r.asDict() | {"edge_id": first + i, "project": project, "memory_id": memory_id, "observed_at": now, "created_at": now} for i, r in enumerate(rows)]
-        new = self._rows("memory_edges", *[{"confidence": 1.0} | r for r in new])
+        first, now = self.t.next_id("memory_edges", "edge_id"), self.clock()
+        given = edges if "confidence" in edges.columns else edges.withColumn("confidence", F.lit(1.0))
+        new = self.t.fit("memory_edges", relational.numbered(given, "edge_id", first, "source", "relation", "target"))
+        new = new.withColumns({"project": F.lit(project), "memory_id": F.lit(memory_id).cast("long"), "observed_at": F.lit(now).cast("long"), "created_at": F.lit(now).cast("long")})
         new = new.withColumns({"source_norm": normalize_graph_text(F.col("source")), "relation_norm": normalize_relation(F.col("relation")), "target_norm": normalize_graph_text(F.col("target"))})
-        self.t.append("memory_edges", new)
+        self.t.append("memory_edges", self.t.fit("memory_edges", new))
         self.reconcile()
 
+    @writes
     def reconcile(self, dry_run: bool = False) -> DataFrame:
         e = self.t("memory_edges")
         old, now = e.where("superseded_by IS NOT NULL"), graph.reconcile(e.where("superseded_by IS NULL").drop("superseded_by", "superseded_reason"))
@@ -264,6 +384,7 @@ class Engine:
         q = self.spark.createDataFrame([(1, question)], "query_id long, query string")
         return self.search_many(q, limit, **weights)
 
+    @timed
     def search_many(self, questions: DataFrame, limit: int = 10, **weights) -> DataFrame:
         c = retrieve.Config(now=self.clock(), limit=limit, namespace=self.namespace, **(self.config | weights))
         meta = self.t("memory_meta").select("memory_id", "importance", "scope", "kind", "event_time", "namespace", "trust_tier", "classification", "legal_hold", "expires_at", "tombstoned_at", "trust_last_validated_at", "trust_ref_count", "maturity")
@@ -271,33 +392,52 @@ class Engine:
         if self.embed:
             vectors = self.t("embeddings").where(F.col("model") == self.model)
             asked = questions.select("query_id", self.embed(F.col("query")).alias("embedding"))
-        return retrieve.hybrid_search(self.t("memories"), meta, self.t("memory_edges"), questions, c, vectors, asked, chunks=self.t("memory_chunks"))
+        return retrieve.hybrid_search(self.t("memories"), meta, self.t("memory_edges"), questions, c, vectors, asked, chunks=self.t("memory_chunks"), index=self._index)
 
     def get_context(self, question: str, limit: int = 10) -> DataFrame:
         found = self.search(question, limit)
         return retrieve.context(found, self.t("memories")).orderBy("place")
 
+    @writes
     def inject(self, limit: int = 10) -> DataFrame:
+        """(memory_id, kind, rank0) of the memories to show at a session's start, the profile first; they are noted as shown."""
         adjust = relational.score_adjustments(self.t("injection_events"), self.t("memory_feedback"))
         none = self.spark.createDataFrame([], "memory_id long, relevance double")
-        out = retrieve.injection_rank(self.t("memories"), self.t("memory_meta").drop("project", "session_id", "created_at"), none, adjust, self.clock(), limit)
-        ids = [r.memory_id for r in out.select("memory_id").collect()]
+        mine = self.t("memories").join(self.live().select("memory_id"), "memory_id", "left_semi")
+        ranked = retrieve.injection_rank(mine, self.t("memory_meta"), none, adjust, self.clock(), limit)
+        out = cut(retrieve.pin_profile(ranked, self.live().where("kind = 'profile'").orderBy(F.desc("memory_id")).limit(1).select("memory_id", "kind"), limit), "injected")
+        ids = [r.memory_id for r in out.orderBy("rank0").collect()]  # at most the limit
         first = self.t.next_id("injection_events", "event_id")
         if ids:
             self.t.append("injection_events", self._rows("injection_events", *[{"event_id": first + i, "memory_id": m, "rank_pos": i, "created_at": self.clock()} for i, m in enumerate(ids)]))
         return out
 
     def skim(self, memory_id: int) -> DataFrame:
-        return self.t("memory_chunks").where(F.col("memory_id") == memory_id).orderBy("ordinal")
+        return self.chunks().where(F.col("memory_id") == memory_id).orderBy("ordinal")
+
+    def expand(self, memory_id: int | None = None, observation_id: int | None = None, digest: str | None = None, most: int = 65_536) -> str | None:
+        """The original text of a visible memory's session, of an observation, whole where it was cut, or of a hash; cut at `most` bytes."""
+        if memory_id is not None:
+            keys = self.chunks().where(F.col("memory_id") == memory_id).select(F.col("source_hash").alias("hash"))
+        elif observation_id is not None:
+            row = self.t("observations").where(F.col("observation_id") == observation_id).first()
+            if row is None or row.output_blob is None:
+                return row.output if row else None
+            keys = self.spark.createDataFrame([(row.output_blob,)], "hash string")
+        else:
+            keys = self.spark.createDataFrame([(digest,)], "hash string")
+        row = self.t("blobs").join(keys.where("hash IS NOT NULL").distinct(), "hash", "left_semi").select(truncate_bytes(F.col("data"), most).alias("x")).first()
+        return row.x if row else None
 
     def original(self, chunk_id: str) -> str | None:
-        """The bytes of a chunk's transcript that it stands for."""
-        c = self.t("memory_chunks").where(F.col("chunk_id") == chunk_id).join(self.t("blobs"), F.col("source_hash") == F.col("hash"))
+        """The bytes of a visible chunk's transcript that it stands for."""
+        c = self.chunks().where(F.col("chunk_id") == chunk_id).join(self.t("blobs"), F.col("source_hash") == F.col("hash"))
         row = c.select(F.substr(F.col("data").cast("binary"), F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int")).cast("string").alias("x")).first()
         return row.x if row else None
 
     # Learning from use
 
+    @writes
     def feedback(self, memory_id: int, signal: str, weight: float) -> None:
         """Clamped to 2 either way; what helps also counts as validated."""
         weight = max(-2.0, min(2.0, weight))
@@ -307,43 +447,53 @@ class Engine:
             m = self.t("memory_meta")
             self.t.replace("memory_meta", m.withColumns({"trust_ref_count": F.when(mine, F.coalesce("trust_ref_count", F.lit(0)) + 1).otherwise(F.col("trust_ref_count")), "trust_last_validated_at": F.when(mine, self.clock()).otherwise(F.col("trust_last_validated_at"))}))
 
+    @writes
     def promote(self) -> DataFrame:
         ripe = relational.maturity(self.t("memory_meta"), self.t("injection_events"), self.t("memory_feedback"))
         self.t.replace("memory_meta", relational.patched(self.t("memory_meta"), ripe.where("maturity <> 'draft'"), "memory_id"))
         return ripe
 
+    @writes
     def reflect(self, apply: bool = False) -> DataFrame:
         """Proposals from groups of near copies; applied, the sources are marked down."""
-        groups = consolidate.greedy_groups(self.live())
         text = self.t("memories").select(F.col("memory_id").alias("leader"), "project", "summary")
-        first = self.t.next_id("reflection_proposals", "proposal_id")
-        rows = groups.join(text, "leader").select("project", "kind", F.col("memory_ids").alias("source_memory_ids"), F.col("summary").alias("proposed_summary")).collect()
-        status = "applied" if apply else "proposed"
-        if rows:
-            self.t.append("reflection_proposals", self._rows("reflection_proposals", *[r.asDict() | {"proposal_id": first + i, "status": status, "created_at": self.clock()} for i, r in enumerate(rows)]))
-        if apply and rows:
-            event = self.t.next_id("memory_feedback", "event_id")
-            down = [m for r in rows for m in r.source_memory_ids]
-            self.t.append("memory_feedback", self._rows("memory_feedback", *[{"event_id": event + i, "memory_id": m, "signal": "consolidated", "weight": -0.5, "created_at": self.clock()} for i, m in enumerate(down)]))
+        groups = cut(consolidate.greedy_groups(self.live()).join(text, "leader").select("leader", "project", "kind", F.col("memory_ids").alias("source_memory_ids"), F.col("summary").alias("proposed_summary")), "groups")
+        if groups.limit(1).count():
+            now = {"status": F.lit("applied" if apply else "proposed"), "created_at": F.lit(self.clock()).cast("long")}
+            new = relational.numbered(groups, "proposal_id", self.t.next_id("reflection_proposals", "proposal_id"), "leader").withColumns(now)
+            self.t.append("reflection_proposals", new if not apply else new.withColumn("applied_at", now["created_at"]))
+            if apply:
+                down = groups.select(F.explode("source_memory_ids").alias("memory_id"), "project", F.lit("consolidated").alias("signal"), F.lit(-0.5).alias("weight"), now["created_at"].alias("created_at"))
+                self.t.append("memory_feedback", relational.numbered(down, "event_id", self.t.next_id("memory_feedback", "event_id"), "memory_id"))
         return self.t("reflection_proposals")
 
     def corrections(self) -> DataFrame:
         return compress.mine_corrections(self.t("observations"))
 
     def synthesize(self, generate, most_groups: int = 10) -> list[int]:
-        """Inferred memories of groups that share a term: generate(list of summaries) gives a text or None. They are quarantined."""
+        """Inferred memories of groups that share a term: generate(list of summaries) gives lines of facts, or None. They are quarantined."""
         out = []
         for g in consolidate.synthesis_groups(self.live(), groups=most_groups).collect():
             texts = [r.summary for r in self.t("memories").where(F.col("memory_id").isin(*g.memory_ids)).orderBy("memory_id").collect()]
             if said := generate(texts):
-                mid = self._remember("synthesis", said, g.term, None, kind="inference", parent_memory_id=g.memory_ids[0])
-                edges = self.spark.createDataFrame([(f"memory:{i}", "derives", f"memory:{mid}") for i in g.memory_ids], "source string, relation string, target string")
-                self.add_edges("synthesis", mid, edges)
-                out.append(mid)
+                known = self.spark.createDataFrame([(said, texts)], "reply string, inputs array<string>")
+                for fact in known.select(consolidate.derived_facts(F.col("reply"), F.col("inputs")).alias("x")).first().x:
+                    out.append(self._derive(fact, g.term, g.memory_ids))
         return out
 
+    @writes
+    def _derive(self, fact: str, term: str, sources: list[int]) -> int:
+        """An inferred memory: quarantined, linked to its sources, entered in the ledger; its sources have been of use."""
+        mid = self._add("synthesis", fact, term, None, {"kind": "inference", "source_type": "inference", "trust_tier": "low", "parent_memory_id": sources[0]})
+        self._add_edges("synthesis", mid, self.spark.createDataFrame([(f"memory:{i}", "derives", f"memory:{mid}") for i in sources], "source string, relation string, target string"))
+        self._log("derive", mid, {"sources": sorted(sources)})
+        for i in sources:
+            self.feedback(i, "derived", 0.5)
+        return mid
+
     # Sweeps, governance, sync
 
+    @timed
     def sweep(self, least: int = 50, idle: int = 1800, limit: int = 20, dry_run: bool = False) -> DataFrame:
         """Compresses open sessions that are idle or long. One that fails is noted and doesn't stop the others."""
         found = relational.sweep_candidates(self.t("sessions"), self.t("observations"), least, self.clock() - idle, limit)
@@ -360,28 +510,34 @@ class Engine:
             finally:
                 self.release(r.session_id, "sweep")
         if rows:
-            self.t.append("sweep_events", self._rows("sweep_events", *[{"project": r.project, "session_id": r.session_id, "action": "compress", "dry_run": dry_run, "status": status[r.session_id], "reason": r.reason, "subject_last_activity": r.last_activity, "created_at": self.clock()} for r in rows]))
+            self._note_sweep(rows, status, dry_run)
         return self.spark.createDataFrame(rows, found.schema)
 
+    @writes
+    def _note_sweep(self, rows: list[Row], status: dict[str, str], dry_run: bool) -> None:
+        self.t.append("sweep_events", self._rows("sweep_events", *[{"project": r.project, "session_id": r.session_id, "action": "compress", "dry_run": dry_run, "status": status[r.session_id], "reason": r.reason, "subject_last_activity": r.last_activity, "created_at": self.clock()} for r in rows]))
+
+    @writes
     def lease(self, session_id: str, owner: str, seconds: int = 600) -> bool:
         """One holder at a time; a lease that ran out is free."""
         now = self.clock()
-        with self.t.lock("leases"):
-            if self.t("sweep_leases").where((F.col("session_id") == session_id) & (F.col("lease_until") > now)).limit(1).count():
-                return False
-            self.t.upsert("sweep_leases", self._rows("sweep_leases", {"session_id": session_id, "owner": owner, "acquired_at": now, "lease_until": now + seconds}), "session_id")
-            return True
+        if self.t("sweep_leases").where((F.col("session_id") == session_id) & (F.col("lease_until") > now)).limit(1).count():
+            return False
+        self.t.upsert("sweep_leases", self._rows("sweep_leases", {"session_id": session_id, "owner": owner, "acquired_at": now, "lease_until": now + seconds}), "session_id")
+        return True
 
+    @writes
     def release(self, session_id: str, owner: str) -> None:
         self.t.delete("sweep_leases", self.spark.createDataFrame([(session_id, owner)], "session_id string, owner string"), "session_id", "owner")
 
     def compliance(self) -> dict[str, DataFrame]:
-        return {"chains": govern.verify_chain(self.t("memory_ledger")), "inventory": relational.governance_inventory(self.t("memories"), self.t("memory_meta"), self.clock()), "forks": govern.forks(self.t("memory_ledger"))}
+        return {"chains": govern.verify_chain(self.t("memory_ledger")), "inventory": relational.governance_inventory(self.t("memories"), self.t("memory_meta"), self.clock()), "forks": govern.fork_evidence(self.t("memory_ledger"))}
 
     def lineage(self, memory_id: int) -> dict[str, DataFrame]:
         shown = self.t("injection_events").withColumn("created_ts", F.col("created_at"))
         return govern.lineage_report(memory_id, self.t("memories"), self.t("memory_meta"), self.t("memory_ledger"), shown)
 
+    @writes
     def publish(self, node: str, op: str, payload: dict) -> int:
         """A sync event with the next Lamport time, linked to the one before by its hash."""
         import hashlib
@@ -396,6 +552,7 @@ class Engine:
     def export_events(self, after: int = 0, limit: int = 1000) -> DataFrame:
         return self.t("sync_events").where(F.col("lamport") > after).orderBy("lamport", "created_at", "event_id").limit(limit)
 
+    @writes
     def import_events(self, events: DataFrame) -> int:
         """Events not yet known are added; returns how many."""
         new = events.dropDuplicates(["event_id"]).join(self.t("sync_events").select("event_id"), "event_id", "left_anti")
@@ -404,23 +561,38 @@ class Engine:
             self.t.append("sync_events", new)
         return rows
 
+    @writes
     def snapshot(self, project: str, folder: str, label: str | None = None) -> dict[str, int]:
-        out = govern.snapshot({"memories": self.t("memories"), "memory_edges": self.t("memory_edges")}, project, folder)
+        """The project's memories with their metadata, entities, chunks, edges and ledger entries, as tables in a folder."""
+        out = govern.snapshot({name: self.t(name) for name in (*SNAPSHOT, "memory_ledger")}, project, folder)
         self.t.append("brain_snapshots", self._rows("brain_snapshots", {"snapshot_id": uuid.uuid4().hex, "label": label, "project": project, "memory_count": out["memories"], "edge_count": out["memory_edges"], "created_at": self.clock()}))
         return out
 
+    @writes
     def restore(self, folder: str) -> int:
-        memories, edges = govern.restore(self.spark, folder, self.t.next_id("memories", "memory_id") - 1)
-        n = memories.count()
-        self.t.append("memories", memories)
-        shift = self.t.next_id("memory_edges", "edge_id")
-        self.t.append("memory_edges", edges.withColumn("edge_id", F.col("edge_id") + shift))
+        """Memories of a snapshot under new ids, with metadata (hold, classification, consent, namespace), chunks and edges.
+
+        The snapshot's ledger entries are evidence and stay in its folder; each restored memory gets an entry of its own.
+        """
+        tables = govern.restore(self.spark, folder, self.t.next_id("memories", "memory_id") - 1, SNAPSHOT)
+        tables["memory_edges"] = relational.numbered(tables["memory_edges"].drop("edge_id").withColumn("_was", F.lit(None)), "edge_id", self.t.next_id("memory_edges", "edge_id"), "observed_at", "memory_id", "source_norm", "target_norm").drop("_was")
+        ids = cut(tables["memories"].select("memory_id"), "restored")
+        n = ids.count()
+        for name in SNAPSHOT:
+            self.t.append(name, cut(self.t.fit(name, tables[name]), name))
+        blob = self.t("memory_chunks").join(ids, "memory_id", "left_semi").where("source_hash IS NOT NULL").select("memory_id", F.col("source_hash").alias("hash")).distinct().groupBy("hash").agg(F.count("*").alias("more"))
+        self.t.replace("blobs", self.t("blobs").join(cut(blob, "more"), "hash", "left").withColumn("refcount", F.col("refcount") + F.coalesce("more", F.lit(0))))
+        self._log_all("restore", ids, {"memories": n})
         return n
 
     def status(self) -> dict[str, int]:
         return {name: self.t(name).count() for name in ("sessions", "observations", "memories", "memory_edges", "memory_chunks", "blobs")}
 
 
+#: What a snapshot restores.
+SNAPSHOT = ("memories", "memory_meta", "memory_entities", "memory_chunks", "memory_edges")
+
+
 def compress_relations(observations: DataFrame) -> DataFrame:
     """Explicit relation lines of a session's inputs and outputs."""
     text = F.concat_ws("\n", "input", "output")

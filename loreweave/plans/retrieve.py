@@ -59,12 +59,15 @@ def variants(queries: DataFrame, most: int = 6) -> DataFrame:
     return hard.select("query_id", F.posexplode(F.slice(F.concat(own, pairs), 1, most)).alias("part", "query"))
 
 
-def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataFrame, pool: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, now: int = 0, namespace: str = "local") -> dict[str, DataFrame]:
-    """Ranked lists (query_id, memory_id, rank0) by signal. Words and chunks see visible memories only, the others all."""
+def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataFrame, pool: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, now: int = 0, namespace: str = "local", index=search.index) -> dict[str, DataFrame]:
+    """Ranked lists (query_id, memory_id, rank0) by signal. Words and chunks see visible memories only, the others all.
+
+    index(memories, asked): what search.index gives, for instance from a stored one.
+    """
     seen = with_meta(memories, meta).where((F.col("namespace") == namespace) & is_live(now))
     parts = cut(variants(asked).withColumn("query_id", F.col("query_id") * 8 + F.col("part")), "variants")
     words = search.query_tokens(asked).select("token").unionByName(search.query_tokens(parts).select("token"))
-    ready = search.index(memories, words)
+    ready = index(memories, words)
     out = {
         "fts": cut(search.search_project(seen, memories, asked, pool, ready=ready), "fts"),
         "year": search.by_year(memories, meta, asked.select("query_id", F.explode(F.array_distinct("years")).alias("year")), pool),
@@ -113,7 +116,7 @@ def refine(candidates: DataFrame, memories: DataFrame, meta: DataFrame, edges: D
     return rows.where((F.col("namespace") == c.namespace) & is_live(c.now))
 
 
-def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, queries: DataFrame, c: Config, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, queries: DataFrame, c: Config, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, index=search.index) -> DataFrame:
     """(query_id, route, memory_id, rank0, score) of the best memories for each question (query_id, query).
 
     Edges, question features and the fused lists are each used several times, so they are written once; the lists have at
@@ -121,7 +124,7 @@ def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, querie
     """
     asked = cut(features(queries), "questions")
     edges = cut(edges.select("edge_id", "memory_id", "source", "relation", "target", "source_norm", "relation_norm", "target_norm", "observed_at", "confidence", "superseded_by"), "edges")
-    lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace)
+    lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace, index)
     if c.early_exit:
         done = resolved(lists["fts"], asked, memories)
         lists = {k: v if k in ("fts", "graph") else v.join(done, "query_id", "left_anti") for k, v in lists.items()}

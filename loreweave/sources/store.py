@@ -6,6 +6,7 @@ import time
 import uuid
 from contextlib import contextmanager
 from functools import reduce
+from threading import Event, Thread, local
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,72 @@ SCHEMAS = {
 }
 
 
+_held = local()
+
+
+def _make(spark: SparkSession, path: str, token: str) -> bool:
+    """Makes a file with a token in it, if there is none. Of several that try at once one succeeds."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, at = _of(spark, path)
+    try:
+        if fs.getScheme() == "file":  # here Hadoop looks first and creates then
+            jvm = spark.sparkContext._jvm
+            fs.mkdirs(at.getParent())
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(at.toUri().getPath()).toPath(), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        out = fs.create(at, fs.getScheme() == "file")
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(token.encode()))
+    out.close()
+    return True
+
+
+def _said(fs, at) -> str | None:
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        source = fs.open(at)
+    except Py4JJavaError:  # it is gone
+        return None
+    raw = bytearray(source.readNBytes(64))
+    source.close()
+    return raw.decode()
+
+
+def _age(fs, at) -> float:
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        return time.time() - fs.getFileStatus(at).getModificationTime() / 1000
+    except Py4JJavaError:  # it is gone
+        return 0.0
+
+
+def _break(spark: SparkSession, path: str, patience: float) -> None:
+    """Deletes the file of a dead holder; of several waiters one does, under a file of its own."""
+    fs, at = _of(spark, path)
+    breaker = _of(spark, f"{path}.break")[1]
+    if _age(fs, at) > patience and _make(spark, f"{path}.break", ""):
+        if _age(fs, at) > patience:
+            fs.delete(at, False)
+        fs.delete(breaker, False)
+    elif _age(fs, breaker) > patience:  # who made it died within these lines
+        fs.delete(breaker, False)
+
+
+def _renew(fs, at, done: Event, every: float) -> None:
+    from py4j.protocol import Py4JError
+
+    while not done.wait(every):
+        try:
+            fs.setTimes(at, int(time.time() * 1000), -1)
+        except Py4JError:  # the file is gone: its holder learns that
+            return
+
+
 class Store:
     """Tables below a root folder. A write makes a new version beside the old one and then points to it, so readers of the
     old version go on, and a writer that dies leaves it in place."""
@@ -96,18 +163,38 @@ class Store:
 
     @contextmanager
     def lock(self, name: str, patience: float = 60.0):
-        """One writer at a time: the file that only one can create. A lock whose holder died is given up after `patience` seconds."""
-        fs, at = _of(self.spark, f"{self.root}/_locks/{name}")
-        began = time.time()
-        while not fs.createNewFile(at):
-            if time.time() - began > patience:
-                fs.delete(at, False)
-                began = time.time()
+        """One holder at a time, of all processes: who makes the lock's file. The same thread may enter again.
+
+        A holder renews the file's time while it works, so a file that wasn't renewed for `patience` seconds is a dead
+        holder's, and one waiter deletes it. A holder deletes its own file alone, and learns if it lost it.
+        """
+        held = _held.__dict__.setdefault("locks", {})
+        path = f"{self.root}/_locks/{name}"
+        if path in held:
+            yield
+            return
+        fs, at = _of(self.spark, path)
+        token = uuid.uuid4().hex
+        while not _make(self.spark, path, token):
+            _break(self.spark, path, patience)
             time.sleep(0.05)
+        done = Event()
+        Thread(target=_renew, args=(fs, at, done, patience / 6), daemon=True).start()
+        held[path] = token
         try:
             yield
         finally:
-            fs.delete(at, False)
+            del held[path]
+            done.set()
+            mine = _said(fs, at) == token
+            if mine:
+                fs.delete(at, False)
+        if not mine:
+            raise RuntimeError(f"the lock {name} was lost to another holder")
+
+    def writing(self, patience: float = 60.0):
+        """The lock of all that reads tables and then writes them: numbers, versions and chains are given out by one writer at a time."""
+        return self.lock("writer", patience)
 
     def next_id(self, name: str, column: str) -> int:
         return (self(name).agg(F.max(column)).first()[0] or 0) + 1

@@ -233,6 +233,39 @@ def test_ledger(spark):
         hashing.record_hash(nothing=F.lit(1))
 
 
+def test_long_chains_are_checked_in_stretches(spark):
+    """Whatever the stretch, the verdict is that of one pass; gaps, forks and forgeries at the seams are seen."""
+    kinds = "namespace string, id long, memory_id long, op_type string, actor string, payload string, created_at long"
+    rows = [(ns, i, i, "put", None, f"x{i}", 5) for ns in ("a", "b") for i in range(1, 41) if ns == "a" or i not in (10, 11, 12, 20)]
+    chain = govern.build_chain(spark.createDataFrame(rows, kinds)).cache()
+    entries = {(r.namespace, r.id): r for r in chain.collect()}
+    prev = {"a": None, "b": None}
+    for ns, i, *_ in rows:
+        assert entries[ns, i].prev_hash == prev[ns]
+        prev[ns] = entries[ns, i].entry_hash
+    for bad, broken in ((chain, {}), (chain.where("NOT (namespace = 'a' AND id IN (10, 11))"), {"a": (1, 12)}), (chain.withColumn("payload", F.when(F.col("id").isin(10, 30), "forged").otherwise(F.col("payload"))), {"a": (2, 10), "b": (1, 30)}),
+                        (chain.withColumn("entry_hash", F.when(F.col("id") == 9, "0" * 64).otherwise(F.col("entry_hash"))), {"a": (2, 9), "b": (2, 9)})):
+        for span in (1, 5, 10, 1000):
+            got = {r.namespace: (r.n_broken, r.first_broken) for r in govern.verify_chain(bad, span).collect()}
+            assert got == {ns: broken.get(ns, (0, None)) for ns in "ab"}, span
+    heads = chain.groupBy("namespace").agg(F.max_by("entry_hash", "id").alias("entry_hash"))
+    more = govern.build_chain(spark.createDataFrame([("a", 41, 1, "put", None, "y", 6), ("a", 42, 2, "put", None, "y", 6), ("c", 1, 1, "put", None, "y", 6)], kinds), heads)
+    assert [tuple(r) for r in govern.verify_chain(chain.union(more), 10).orderBy("namespace").select("namespace", "n_entries", "n_broken").collect()] == [("a", 42, 0), ("b", 36, 0), ("c", 1, 0)]
+    forged = chain.where("namespace = 'a' AND id = 7").withColumns({"id": F.lit(700).cast("long"), "entry_hash": F.lit("f" * 64)})
+    evidence = govern.fork_evidence(chain.union(forged)).collect()
+    assert [[e.id for e in r.entries] for r in evidence] == [[7, 700]] and evidence[0].prev_hash == entries["a", 6].entry_hash
+    said = "\n".join(["a", evidence[0].prev_hash, entries["a", 7].entry_hash, "f" * 64])
+    assert evidence[0].evidence_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert govern.fork_evidence(chain).count() == 0
+
+
+def test_numbers_count_in_order(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, "x" if i % 3 else None) for i in range(1000)], "k long, v string").repartition(7)
+    got = relational.numbered(rows, "n", 5, "k").collect()
+    assert sorted((r.k, r.n) for r in got) == [(i, i + 5) for i in range(1000)]
+    assert relational.numbered(rows.limit(0), "n", 5, "k").count() == 0
+
+
 def test_lineage_ends_in_cycles(spark):
     got = govern.lineage(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "memory_id long, parent_memory_id long"))
     assert sorted((r.depth, r.ancestor_id) for r in got.where("memory_id = 1").collect()) == [(1, 2), (2, 3)]
@@ -242,8 +275,8 @@ def test_snapshot(spark, tmp_path):
     m = spark.createDataFrame([(1, "p", "a"), (2, "q", "b")], "memory_id long, project string, summary string")
     e = spark.createDataFrame([(7, "p", 1), (8, "p", 99)], "edge_id long, project string, memory_id long")
     assert govern.snapshot({"memories": m, "memory_edges": e}, "p", str(tmp_path)) == {"memories": 1, "memory_edges": 2}
-    memories, edges = govern.restore(spark, str(tmp_path), 100)
-    assert [r.memory_id for r in memories.collect()] == [101] and sorted(r.memory_id for r in edges.collect()) == [99, 101]
+    back = govern.restore(spark, str(tmp_path), 100)
+    assert [r.memory_id for r in back["memories"].collect()] == [101] and sorted(r.memory_id for r in back["memory_edges"].collect()) == [99, 101]
 
 
 def test_symbols(spark, tmp_path):
