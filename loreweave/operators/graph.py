@@ -110,10 +110,11 @@ def edge_score(terms: Column) -> Column:
     return part("relation", 3.0) + part("source", 1.0) + part("target", 1.0) + F.greatest(F.least("confidence", F.lit(1.0)), F.lit(0.0))
 
 
-def graph_recall(edges: DataFrame, asked: DataFrame, k: int, per_entity: int = 12, bridges: int = 16, per_bridge: int = 6) -> DataFrame:
-    """(query_id, memory_id, score, rank0): memories of the newest active edges of a query's entities, and of one hop more.
+def graph_paths(edges: DataFrame, asked: DataFrame, k: int, per_entity: int = 12, bridges: int = 16, per_bridge: int = 6) -> DataFrame:
+    """(query_id, memory_id, score, path, rank0): graph_recall with the chain of evidence: the edges, in order, that lead from an
+    entity of the query to the memory. Of paths with one score the newest, shortest one counts, then the one with the larger ids.
 
-    asked: query_id, query, entities (normalised). A bridge is the other end of a found edge; its edges count three quarters.
+    asked: query_id, query, entities (normalised). A bridge is the other end of a found edge, reached by the newest such edge.
     """
     live = endpoints(edges.where("superseded_by IS NULL") if "superseded_by" in edges.columns else edges)
     newest = lambda *by: Window.partitionBy(*by).orderBy(F.desc("observed_at"), F.desc("edge_id"))
@@ -126,13 +127,21 @@ def graph_recall(edges: DataFrame, asked: DataFrame, k: int, per_entity: int = 1
     one = reached(own, per_entity)
     ends = one.select("query_id", "observed_at", "edge_id", F.explode(F.array("source_norm", "target_norm")).alias("entity")).join(own, ["query_id", "entity"], "left_anti")
     seen = ends.groupBy("query_id", "entity").agg(F.max(F.struct("observed_at", "edge_id")).alias("at"))
-    front = top(seen, bridges, F.desc("at"), "entity").select("query_id", "entity")
+    front = top(seen, bridges, F.desc("at"), "entity").select("query_id", "entity", F.col("at.edge_id").alias("_via"))
     two = reached(front, per_bridge)
     words = asked.select("query_id", graph_terms(F.col("query")).alias("ts"))
-    rows = one.withColumn("decay", F.lit(1.0)).unionByName(two.withColumn("decay", F.lit(0.75))).join(words, "query_id")
+    rows = one.withColumns({"decay": F.lit(1.0), "path": F.array("edge_id")}).unionByName(two.withColumns({"decay": F.lit(0.75), "path": F.array("_via", "edge_id")}).drop("_via")).join(words, "query_id")
     rows = rows.withColumn("score", edge_score(F.col("ts")) * F.col("decay"))
-    best = rows.groupBy("query_id", "memory_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), "observed_at")).alias("b"))
-    return top(best.select("query_id", "memory_id", "b.score", "b.observed_at"), k, F.desc("score"), F.desc("observed_at"), "memory_id")
+    best = rows.groupBy("query_id", "memory_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), "observed_at", (-F.size("path")).alias("_short"), "path")).alias("b"))
+    return top(best.select("query_id", "memory_id", "b.score", "b.observed_at", "b.path"), k, F.desc("score"), F.desc("observed_at"), "memory_id")
+
+
+def graph_recall(edges: DataFrame, asked: DataFrame, k: int, per_entity: int = 12, bridges: int = 16, per_bridge: int = 6) -> DataFrame:
+    """(query_id, memory_id, score, rank0): memories of the newest active edges of a query's entities, and of one hop more.
+
+    asked: query_id, query, entities (normalised). A bridge is the other end of a found edge; its edges count three quarters.
+    """
+    return graph_paths(edges, asked, k, per_entity, bridges, per_bridge).drop("path")
 
 
 def stale(candidates: DataFrame, edges: DataFrame) -> DataFrame:

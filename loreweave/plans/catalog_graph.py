@@ -136,19 +136,31 @@ def matches(c: str) -> str:
     return rf"len(list_intersect(ts, list_transform(list_filter(regexp_extract_all(replace({c}, '_', ' '), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 3), lambda y: lower(y))))"
 
 
-@query("memory_edges", sql=f"""WITH {RECONCILED}, {ASKED},
+#: The scored edges of the questions: (query_id, memory_id, observed_at, path, score).
+SCORED = f"""{RECONCILED}, {ASKED},
 lv AS (SELECT *, unnest(list_distinct([source_norm, target_norm])) AS entity FROM r WHERE superseded_by IS NULL),
 nw AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY observed_at DESC, edge_id DESC) AS kk FROM lv),
 one AS (SELECT a.query_id, nw.* FROM nw JOIN a ON a.entity = nw.entity WHERE kk <= 12),
 ends AS (SELECT query_id, unnest([source_norm, target_norm]) AS entity, observed_at, edge_id FROM one),
 seen AS (SELECT e.query_id, e.entity, max(observed_at) AS o, max_by(edge_id, (observed_at, edge_id)) AS i FROM ends e JOIN a ON a.query_id = e.query_id WHERE e.entity <> a.entity GROUP BY 1, 2),
-front AS (SELECT query_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, i DESC, entity) AS k FROM seen) WHERE k <= 16),
-two AS (SELECT f.query_id, nw.* FROM nw JOIN front f ON f.entity = nw.entity WHERE kk <= 6),
-b AS (SELECT *, 1.0 AS decay FROM one UNION ALL SELECT *, 0.75 FROM two),
-sc AS (SELECT b.query_id, memory_id, observed_at, round(({matches("relation")} * 3.0 + {matches("source")} + {matches("target")} + greatest(least(confidence, 1.0), 0.0)) * decay, 9) AS score FROM b JOIN w ON w.query_id = b.query_id),
-g AS (SELECT query_id, memory_id, max(score) AS score, max_by(observed_at, (score, observed_at)) AS observed_at FROM sc GROUP BY 1, 2)
+front AS (SELECT query_id, entity, i AS via FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, i DESC, entity) AS k FROM seen) WHERE k <= 16),
+two AS (SELECT f.query_id, nw.*, f.via FROM nw JOIN front f ON f.entity = nw.entity WHERE kk <= 6),
+b AS (SELECT *, [edge_id] AS path, 1.0 AS decay FROM one UNION ALL SELECT * EXCLUDE (via), [via, edge_id], 0.75 FROM two),
+sc AS (SELECT b.query_id, memory_id, observed_at, path, round(({matches("relation")} * 3.0 + {matches("source")} + {matches("target")} + greatest(least(confidence, 1.0), 0.0)) * decay, 9) AS score FROM b JOIN w ON w.query_id = b.query_id)"""
+
+
+def asked_customers(t):
+    name = F.col("c_name")
+    return t("customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("current priority of "), name).alias("query"), F.array(F.replace(F.lower(name), F.lit("#"), F.lit(" "))).alias("entities"))
+
+
+@query("memory_edges", sql=f"""WITH {SCORED}, g AS (SELECT query_id, memory_id, max(score) AS score, max_by(observed_at, (score, observed_at)) AS observed_at FROM sc GROUP BY 1, 2)
 SELECT query_id, memory_id, round(CAST(score AS DOUBLE), 6) AS score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, observed_at DESC, memory_id) - 1 AS rank0 FROM g) WHERE rank0 < 20""")
 def graph_recall(t):
-    name = F.col("c_name")
-    asked = t("customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("current priority of "), name).alias("query"), F.array(F.replace(F.lower(name), F.lit("#"), F.lit(" "))).alias("entities"))
-    return graph.graph_recall(graph.reconcile(t("memory_edges")), asked, 20).select("query_id", "memory_id", F.round("score", 6).alias("score"), "rank0")
+    return graph.graph_recall(graph.reconcile(t("memory_edges")), asked_customers(t), 20).select("query_id", "memory_id", F.round("score", 6).alias("score"), "rank0")
+
+
+@query("memory_edges", sql=f"""WITH {SCORED}, g AS (SELECT query_id, memory_id, max((score, observed_at, -len(path), path)) AS b FROM sc GROUP BY 1, 2)
+SELECT query_id, memory_id, b[4] AS path, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b[1] DESC, b[2] DESC, memory_id) - 1 AS rank0 FROM g) WHERE rank0 < 20""")
+def graph_paths(t):
+    return graph.graph_paths(graph.reconcile(t("memory_edges")), asked_customers(t), 20).select("query_id", "memory_id", "path", "rank0")

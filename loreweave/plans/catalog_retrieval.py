@@ -9,6 +9,7 @@ from loreweave.functions.text import MULTI_HOP_CUES, QUESTION_WORDS, TEMPORAL_CU
 from loreweave.functions.vectors import folding_embedder, norm
 from loreweave.operators import fusion, graph, knn, relational, search, visibility
 from loreweave.plans import rerank, retrieve
+from loreweave.plans.catalog_graph import RECONCILED
 from loreweave.plans.catalog_tables import ADJUST, LOGS, MM, live
 from loreweave.plans.catalog_text import event_terms_sql, graph_terms_sql
 from loreweave.plans.registry import LIVE, query
@@ -266,6 +267,21 @@ def context_assembly(t):
     return retrieve.context(found(t), t("memories")).select("query_id", "memory_id", "place")
 
 
+@query(*MM, "memory_edges", sql=f"""WITH {LISTS}, {RECONCILED},
+c AS (SELECT query_id, fu.memory_id, rank0, row_number() OVER (PARTITION BY query_id, lower(trim(regexp_replace(summary, '\\s+', ' ', 'g'))) ORDER BY rank0) AS copy FROM fu JOIN memories m ON m.memory_id = fu.memory_id WHERE rank0 < 10),
+p AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY rank0) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS k FROM c WHERE copy = 1),
+u AS (SELECT query_id, memory_id, CAST(CASE WHEN i % 2 = 0 THEN i // 2 ELSE k - 1 - (i - 1) // 2 END AS INTEGER) AS place FROM p),
+parts AS (
+  SELECT m.memory_id, 'memory' AS part, 0 AS n, CAST(m.memory_id AS VARCHAR) AS id, summary AS text, coalesce(kind, 'session') AS kind, event_time FROM memories m LEFT JOIN memory_meta mm ON mm.memory_id = m.memory_id
+  UNION ALL SELECT memory_id, 'chunk', 1, 'mem:' || memory_id || ':overview', project, NULL, NULL FROM memories
+  UNION ALL SELECT memory_id, 'edge', row_number() OVER (PARTITION BY memory_id ORDER BY confidence DESC, observed_at DESC, edge_id DESC), CAST(edge_id AS VARCHAR), source || ' ' || replace(relation, '_', ' ') || ' ' || target, NULL, NULL FROM r WHERE superseded_by IS NULL)
+SELECT query_id, place, u.memory_id, part, CAST(n AS BIGINT) AS n, id, text, kind, event_time FROM u JOIN parts ON parts.memory_id = u.memory_id""")
+def context_evidence(t):
+    placed = retrieve.context(fusion.rrf(lists(t)).where("rank0 < 10"), t("memories"))
+    c = chunks(t).withColumns({"ordinal": F.lit(1), "chunk_id": F.concat(F.lit("mem:"), F.col("memory_id").cast("string"), F.lit(":overview"))})
+    return retrieve.evidence(placed, t("memories"), t("memory_meta").withColumn("source_ref", F.lit(None).cast("string")), c, graph.reconcile(t("memory_edges"))).drop("source_ref")
+
+
 @query(*MM, "queries")
 def multi_hop_search(t):
     once = lambda q: search.search_project(live(t), t("memories"), q, 5)

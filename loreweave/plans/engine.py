@@ -398,6 +398,11 @@ class Engine:
         found = self.search(question, limit)
         return retrieve.context(found, self.t("memories")).orderBy("place")
 
+    def get_evidence(self, question: str, limit: int = 10) -> DataFrame:
+        """The memories of a context with their kinds and dates, their chunks and active edges, as retrieve.evidence gives them."""
+        placed = cut(retrieve.context(self.search(question, limit), self.t("memories")), "context")
+        return retrieve.evidence(placed, self.t("memories"), self.t("memory_meta"), self.chunks(), self.t("memory_edges"))
+
     @writes
     def inject(self, limit: int = 10) -> DataFrame:
         """(memory_id, kind, rank0) of the memories to show at a session's start, the profile first; they are noted as shown."""
@@ -530,6 +535,38 @@ class Engine:
     def release(self, session_id: str, owner: str) -> None:
         self.t.delete("sweep_leases", self.spark.createDataFrame([(session_id, owner)], "session_id string, owner string"), "session_id", "owner")
 
+    @timed
+    def dream(self, project: str, reason: str = "asked") -> dict[str, object]:
+        """What is done while a project rests: edges reconciled, near copies proposed, facts derived if there is a model, memories
+        promoted, the indexes brought up to date. Noted as a sweep event with the project's last activity, also if it fails."""
+        last = self.list_projects().where(F.col("project") == project).first()
+        out, status = {}, "failed"
+        try:
+            self.reconcile()
+            out["proposals"] = self.reflect().where(F.col("project") == project).count()
+            out["derived"] = self.synthesize(lambda texts: self.generate("What follows from these?\n" + "\n".join(texts))) if self.generate else []
+            self.promote()
+            out["indexed"] = self.index_all()
+            out["embedded"] = self.embed_all() if self.embed else 0
+            status = "ok"
+        finally:
+            with self.t.writing():
+                self.t.append("sweep_events", self._rows("sweep_events", {"project": project, "action": "dream", "dry_run": False, "status": status, "reason": reason, "subject_last_activity": last.last_activity if last else None, "created_at": self.clock()}))
+        return out
+
+    def dream_idle(self, gap: int = 1800, limit: int = 20) -> dict[str, str]:
+        """Dreams once for each project's idle period: of those without activity for `gap` seconds that no dream has seen so, the
+        longest idle first. A project whose dream fails is noted and tried again; the others go on."""
+        rows = relational.dream_candidates(self.list_projects(), self.t("sweep_events"), self.clock() - gap).limit(limit).collect()
+        out = {}
+        for r in rows:
+            try:
+                self.dream(r.project, "idle")
+                out[r.project] = "ok"
+            except Exception:
+                out[r.project] = "failed"
+        return out
+
     def compliance(self) -> dict[str, DataFrame]:
         return {"chains": govern.verify_chain(self.t("memory_ledger")), "inventory": relational.governance_inventory(self.t("memories"), self.t("memory_meta"), self.clock()), "forks": govern.fork_evidence(self.t("memory_ledger"))}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.dates import half_life
@@ -203,3 +203,23 @@ def context(found: DataFrame, memories: DataFrame) -> DataFrame:
     first = rows.groupBy("query_id", "_same").agg(F.min("rank0").alias("rank0"))
     kept = rows.join(first, ["query_id", "_same", "rank0"], "left_semi").drop("_same").withColumnRenamed("rank0", "_r")
     return fusion.u_shape(search.top(kept, 1 << 30, "_r").drop("_r"))
+
+
+def evidence(placed: DataFrame, memories: DataFrame, meta: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """What a context tells of its memories (query_id, memory_id, place), as rows: query_id, place, memory_id, part, n, id, text.
+
+    part memory: the memory, n 0, with kind, event_time and source_ref. part chunk: its chunks from 1, in order. part edge: its
+    active edges from 1, the surest first, then the newest. Rows, since a memory may have any number of edges.
+    """
+    ids = placed.select("memory_id").distinct()
+    own = ids.join(memories.select("memory_id", "summary"), "memory_id").join(meta.select("memory_id", "kind", "event_time", "source_ref"), "memory_id", "left")
+    none = F.lit(None).cast("string")
+    about = [F.coalesce("kind", F.lit("session")).alias("kind"), "event_time", "source_ref"]
+    own = own.select("memory_id", F.lit("memory").alias("part"), F.lit(0).cast("long").alias("n"), F.col("memory_id").cast("string").alias("id"), F.col("summary").alias("text"), *about)
+    place = lambda *order: F.row_number().over(Window.partitionBy("memory_id").orderBy(*order)).cast("long").alias("n")
+    about = [none.alias(c) for c in ("kind", "event_time", "source_ref")]
+    c = chunks.join(ids, "memory_id", "left_semi").select("memory_id", F.lit("chunk").alias("part"), place("ordinal", "chunk_id"), F.col("chunk_id").alias("id"), F.col("title").alias("text"), *about)
+    said = F.concat_ws(" ", "source", F.replace("relation", F.lit("_"), F.lit(" ")), "target")
+    e = edges.where("superseded_by IS NULL").join(ids, "memory_id", "left_semi")
+    e = e.select("memory_id", F.lit("edge").alias("part"), place(F.desc("confidence"), F.desc("observed_at"), F.desc("edge_id")), F.col("edge_id").cast("string").alias("id"), said.alias("text"), *about)
+    return placed.select("query_id", "place", "memory_id").join(own.unionByName(c).unionByName(e), "memory_id")
