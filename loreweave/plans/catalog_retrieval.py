@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from loreweave.functions.stem import asked_sql, stems_sql, tokens_sql
 from loreweave.functions.text import MULTI_HOP_CUES, QUESTION_WORDS, TEMPORAL_CUES, years
 from loreweave.functions.vectors import folding_embedder, norm
-from loreweave.operators import fusion, graph, knn, relational, search, visibility
+from loreweave.operators import ann, fusion, graph, knn, relational, search, visibility
 from loreweave.plans import rerank, retrieve
 from loreweave.plans.catalog_graph import RECONCILED
 from loreweave.plans.catalog_tables import ADJUST, LOGS, MM, live
 from loreweave.plans.catalog_text import event_terms_sql, graph_terms_sql
 from loreweave.plans.registry import LIVE, query
+from loreweave.sources.shared import scratch
 from loreweave.sources.views import NOW
 
 VECTORS = "memory_embeddings"
@@ -22,16 +23,29 @@ def query_vectors(t):
     return t(VECTORS).where("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
 
 
-@query(VECTORS, "memories", sql="""
+NEAREST = """
 WITH v AS (SELECT memory_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM memory_embeddings WHERE memory_id IN (SELECT memory_id FROM memories)),
 p AS (SELECT q.memory_id AS query_id, v.memory_id, round(list_cosine_similarity(q.e, v.e), 9) AS s FROM v q JOIN v ON q.memory_id <> v.memory_id WHERE q.memory_id % 100 = 0)
-SELECT query_id, memory_id, round(s, 6) AS similarity, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, memory_id) - 1 AS rank0 FROM p) WHERE rank0 < 10""")
+SELECT query_id, memory_id, round(s, 6) AS similarity, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, memory_id) - 1 AS rank0 FROM p) WHERE rank0 < 10"""
+
+
+@query(VECTORS, "memories", sql=NEAREST)
 def knn_topk(t):
     v = t(VECTORS).join(t("memories").select("memory_id"), "memory_id", "left_semi")
     q = v.where("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
     return knn.nearest(v, q, 10).select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), "rank0")
 
 
+@query(VECTORS, "memories", sql=NEAREST)
+def indexed_knn(t):
+    """The same from a stored index of cells, read until all hits are certain."""
+    v = t(VECTORS).join(t("memories").select("memory_id"), "memory_id", "left_semi")
+    path = scratch(t.spark, "vectors")
+    ann.build(v.select("memory_id", "embedding"), path, cells=24)
+    q = v.where("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
+    return ann.search(t.spark, path, q, 10, most_rounds=None).select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), "rank0")
+
+
 @query(VECTORS, sql="SELECT memory_id, round(sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 5) AS norm, CAST(1.0 AS DOUBLE) AS unit FROM memory_embeddings")
 def vector_norms(t):
     v = t(VECTORS)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.hashing import RECORD_FIELDS, entry_hash, record_hash
 from loreweave.functions.text import MEMORY_KINDS, normalize_graph_text, normalize_namespace, normalize_relation, truncate_bytes
-from loreweave.operators import blobs, compress, consolidate, fulltext, govern, graph, relational, search, visibility
+from loreweave.operators import ann, blobs, compress, consolidate, fulltext, govern, graph, knn, relational, search, visibility
 from loreweave.plans import retrieve
 from loreweave.plans.schedule import Latencies, retried
 from loreweave.sources.shared import cut
@@ -60,7 +60,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, clock=lambda: int(time.time()), namespace: str = "local", most_output: int = 16_384, config: dict | None = None, embed=None, model: str = "default", generate: Callable[[str], str] | None = None):
         self.embed, self.model, self.generate = embed, model, generate
-        self.words, self.latencies = f"{root.rstrip('/')}/_words", Latencies()
+        self.words, self.cells, self.latencies = f"{root.rstrip('/')}/_words", f"{root.rstrip('/')}/_cells-{model}", Latencies()
         self.spark, self.t, self.clock, self.namespace, self.most = spark, Store(spark, root), clock, namespace, most_output
         self.config = config or {}
 
@@ -182,8 +182,24 @@ class Engine:
         n = rows.count()
         if n:
             self.t.append("embeddings", self._embedded(rows))
+        if force and ann.exists(self.spark, self.cells):
+            self.index_vectors()
         return n
 
+    @writes
+    def index_vectors(self) -> None:
+        """Builds the stored index of this model's vectors anew; until then, vectors that came since are searched one by one."""
+        ann.build(self.t("embeddings").where(F.col("model") == self.model).select("memory_id", "embedding"), self.cells)
+
+    def _nearest(self, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+        """knn.nearest from the stored index, if there is one, and the vectors that it doesn't have."""
+        if not ann.exists(self.spark, self.cells):
+            return knn.nearest(vectors, asked, k, include_self=True)
+        mark = ann.newest(self.spark, self.cells)
+        new = vectors if mark is None else vectors.where(F.col("memory_id") > mark)
+        both = ann.search(self.spark, self.cells, asked, k, include_self=True).drop("rank0", "certain").unionByName(knn.nearest(new, asked, k, include_self=True).drop("rank0"))
+        return search.top(both, k, F.desc(F.round("similarity", 9)), "memory_id")
+
     @writes
     def index_all(self) -> int:
         """Adds the words of memories that came since the last call to the stored index, as a segment; returns how many."""
@@ -392,7 +408,7 @@ class Engine:
         if self.embed:
             vectors = self.t("embeddings").where(F.col("model") == self.model)
             asked = questions.select("query_id", self.embed(F.col("query")).alias("embedding"))
-        return retrieve.hybrid_search(self.t("memories"), meta, self.t("memory_edges"), questions, c, vectors, asked, chunks=self.t("memory_chunks"), index=self._index)
+        return retrieve.hybrid_search(self.t("memories"), meta, self.t("memory_edges"), questions, c, vectors, asked, chunks=self.t("memory_chunks"), index=self._index, nearest=self._nearest)
 
     def get_context(self, question: str, limit: int = 10) -> DataFrame:
         found = self.search(question, limit)

@@ -59,10 +59,11 @@ def variants(queries: DataFrame, most: int = 6) -> DataFrame:
     return hard.select("query_id", F.posexplode(F.slice(F.concat(own, pairs), 1, most)).alias("part", "query"))
 
 
-def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataFrame, pool: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, now: int = 0, namespace: str = "local", index=search.index) -> dict[str, DataFrame]:
+def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataFrame, pool: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, now: int = 0, namespace: str = "local", index=search.index, nearest=None) -> dict[str, DataFrame]:
     """Ranked lists (query_id, memory_id, rank0) by signal. Words and chunks see visible memories only, the others all.
 
-    index(memories, asked): what search.index gives, for instance from a stored one.
+    index(memories, asked) and nearest(vectors, query_vectors, k): what search.index and knn.nearest give, for instance from
+    stored indexes.
     """
     seen = with_meta(memories, meta).where((F.col("namespace") == namespace) & is_live(now))
     parts = cut(variants(asked).withColumn("query_id", F.col("query_id") * 8 + F.col("part")), "variants")
@@ -75,7 +76,7 @@ def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataF
         "graph": graph.graph_recall(edges, asked, pool),
     }
     if vectors is not None and query_vectors is not None:
-        out["vector"] = knn.nearest(vectors, query_vectors, pool, include_self=True)
+        out["vector"] = nearest(vectors, query_vectors, pool) if nearest else knn.nearest(vectors, query_vectors, pool, include_self=True)
     if chunks is not None:
         out["chunk"] = search.chunk_parents(chunks, seen, asked.where("route = 'open_domain'"), pool)
     hits = search.search_project(seen, memories, parts.select("query_id", "query"), max(pool // 2, 1), ready=ready)
@@ -116,7 +117,7 @@ def refine(candidates: DataFrame, memories: DataFrame, meta: DataFrame, edges: D
     return rows.where((F.col("namespace") == c.namespace) & is_live(c.now))
 
 
-def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, queries: DataFrame, c: Config, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, index=search.index) -> DataFrame:
+def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, queries: DataFrame, c: Config, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, index=search.index, nearest=None) -> DataFrame:
     """(query_id, route, memory_id, rank0, score) of the best memories for each question (query_id, query).
 
     Edges, question features and the fused lists are each used several times, so they are written once; the lists have at
@@ -124,7 +125,7 @@ def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, querie
     """
     asked = cut(features(queries), "questions")
     edges = cut(edges.select("edge_id", "memory_id", "source", "relation", "target", "source_norm", "relation_norm", "target_norm", "observed_at", "confidence", "superseded_by"), "edges")
-    lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace, index)
+    lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace, index, nearest)
     if c.early_exit:
         done = resolved(lists["fts"], asked, memories)
         lists = {k: v if k in ("fts", "graph") else v.join(done, "query_id", "left_anti") for k, v in lists.items()}

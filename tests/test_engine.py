@@ -278,3 +278,34 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     assert table.count() == 5 and fs.exists(at)
     shared.discard(table)
     assert not fs.exists(at)
+
+
+def test_vectors_in_cells_answer_like_all(spark, tmp_path):
+    from loreweave.functions.vectors import folding_embedder
+
+    e = Engine(spark, str(tmp_path / "store"), clock=Clock(), embed=folding_embedder(16), model="fold-16")
+    for x in ("zzzz yyyy", "aaaa bbbb", "zzzy yyyz qq"):
+        e.remember("p", x)
+    plain = [tuple(r) for r in e.search("yyyy zzzz", 3).orderBy("rank0").collect()]
+    e.index_vectors()
+    assert [tuple(r) for r in e.search("yyyy zzzz", 3).orderBy("rank0").collect()] == plain
+    late = e.remember("p", "zyzy yzyz")
+    assert late in {r.memory_id for r in e.search("yzyz zyzy", 4).collect()}
+
+
+def test_a_dream_comes_once_per_idle_period(spark, tmp_path):
+    clock = Clock()
+    e = Engine(spark, str(tmp_path / "store"), clock=clock)
+    e.remember("p", "one note of a project")
+    assert e.dream_idle(600) == {}
+    clock.now += 1000
+    assert e.dream_idle(600) == {"p": "ok"} and e.dream_idle(600) == {}
+    assert e.t("sweep_events").where("action = 'dream' AND status = 'ok'").count() == 1 and e.index_all() == 0
+    e.remember("p", "something new")
+    e.remember("q", "another project")
+    assert e.dream_idle(600) == {}
+    clock.now += 1000
+    e.reflect = lambda *a, **kw: 1 / 0
+    assert e.dream_idle(600) == {"p": "failed", "q": "failed"}
+    del e.reflect
+    assert e.dream_idle(600, limit=1) == {"p": "ok"} and e.dream_idle(600) == {"q": "ok"} and e.dream_idle(600) == {}
