@@ -21,7 +21,7 @@ from loreweave.sources.shared import cut
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Terms that are looked for in every chunk at once; more are searched block by block.
 MOST_TERMS = 500
-#: Distinct query tokens that are sent to every task; with more, all tokens are counted and meet the queries by a shuffle.
+#: Distinct query tokens that are sent to every task that counts them; with more, all tokens are counted.
 MOST_TOKENS = 100_000
 #: Words of queries that are sent to every task at once; more are searched block by block.
 MOST_ASKED = 50_000
@@ -170,12 +170,13 @@ def _top_hits(seen: DataFrame, ready: DataFrame, asked: DataFrame, k: int, by_sc
     Queries (query_id, token) go to every task, MOST_ASKED rows at a time. What is then shuffled is some k rows of a query and
     batch, not each memory with a word of the query. Counts of the corpus are those of `ready`, with all memories.
     """
-    df = {r[0]: r[1] for r in postings(ready).groupBy("token").agg(F.count("*")).collect()}  # at most MOST_TOKENS
     n, average = ready.agg(F.count("*"), F.avg("length")).first()
     kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((asked, "query_id"), (seen, "memory_id"), (seen, "created_at"))]
 
     def search(rows: list[Row]) -> DataFrame:
-        tokens = sorted({r["token"] for r in rows if r["token"] in df})
+        words = seen.sparkSession.createDataFrame([(x,) for x in {r["token"] for r in rows}], "token string")
+        df = {r[0]: r[1] for r in postings(ready).join(F.broadcast(words), "token").groupBy("token").agg(F.count("*")).collect()}  # at most MOST_ASKED
+        tokens = sorted(df)
         place = {x: i for i, x in enumerate(tokens)}
         queries: dict = {}
         for r in rows:
@@ -216,11 +217,7 @@ def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame,
     asked = cut(query_tokens(queries), "asked")
     ready = index(memories, asked) if ready is None else ready
     visible = visible if project is None else visible.where(F.col("project") == project)
-    times = visible.select("memory_id", "created_at")
-    if asked.select("token").distinct().count() <= MOST_TOKENS:
-        hits = _top_hits(ready.join(times, "memory_id"), ready, asked, k, True)
-    else:
-        hits = bm25(memories, queries, ready=ready).join(times, "memory_id")
+    hits = _top_hits(ready.join(visible.select("memory_id", "created_at"), "memory_id"), ready, asked, k, True)
     return top(hits, k, F.desc(F.round("score", 9)), F.desc("created_at"), F.desc("memory_id"))
 
 
@@ -228,11 +225,7 @@ def search_everywhere(visible: DataFrame, queries: DataFrame, k: int) -> DataFra
     """Memories with any query word, the newest first."""
     asked = cut(query_tokens(queries), "asked")
     ready = index(visible, asked)
-    times = visible.select("memory_id", "created_at")
-    if asked.select("token").distinct().count() <= MOST_TOKENS:
-        hits = _top_hits(ready.join(times, "memory_id"), ready, asked, k, False).drop("score")
-    else:
-        hits = postings(ready).join(asked, "token").select("query_id", "memory_id").distinct().join(times, "memory_id")
+    hits = _top_hits(ready.join(visible.select("memory_id", "created_at"), "memory_id"), ready, asked, k, False).drop("score")
     return top(hits, k, F.desc("created_at"), F.desc("memory_id"))
 
 
@@ -277,14 +270,16 @@ def temporal_events(memories: DataFrame, meta: DataFrame, queries: DataFrame, k:
 
     Only the newest `pool` dated memories are looked at: the bound is part of the signal.
     """
-    dated = memories.join(meta.select("memory_id", "event_time", "kind"), "memory_id").where("trim(event_time) <> ''")
-    dated = dated.orderBy(F.desc("created_at"), F.desc("memory_id")).limit(max(pool, k))
-    dated = dated.select("memory_id", "created_at", "kind", "event_time", F.concat_ws(" ", "summary", "tags").alias("text"))
-    dated = dated.select("*", event_terms(F.col("text")).alias("terms"), F.coalesce(F.col("text").contains("source:"), F.lit(False)).alias("linked"), dates.event_date(F.col("event_time")).alias("day"))
+    dated = meta.select("memory_id", "event_time", "kind").where("trim(event_time) <> ''")
+    newest = memories.select("memory_id", "created_at").join(dated, "memory_id").orderBy(F.desc("created_at"), F.desc("memory_id")).limit(max(pool, k))
+    # Texts stay where they are: the pool's rows, of which there are at most max(pool, k), go to them.
+    dated = memories.select("memory_id", F.concat_ws(" ", "summary", "tags").alias("text")).join(F.broadcast(newest), "memory_id")
+    dated = dated.select("*", F.coalesce(F.col("text").contains("source:"), F.lit(False)).alias("linked"), dates.event_date(F.col("event_time")).alias("day"))
     asked = queries.select("query_id", event_terms(F.col("query")).alias("ts"), dates.query_anchor(F.col("query")).alias("anchor")).where(F.size("ts") > 0)
     # Terms meet by an equality join; the pool is at most max(pool, k) rows.
-    hits = dated.select("memory_id", F.explode("terms").alias("term")).join(asked.select("query_id", F.explode("ts").alias("term")), "term").groupBy("query_id", "memory_id").agg(F.count("*").alias("n"))
-    rows = hits.join(dated.drop("terms", "text"), "memory_id").join(asked, "query_id")
+    # The terms are exploded where they are made: a filter on a column of them would be moved to all memories.
+    hits = dated.select("memory_id", F.explode(event_terms(F.col("text"))).alias("term")).join(asked.select("query_id", F.explode("ts").alias("term")), "term").groupBy("query_id", "memory_id").agg(F.count("*").alias("n"))
+    rows = hits.join(dated.drop("text"), "memory_id").join(asked, "query_id")
     part, n = F.col("n") / F.size("ts"), F.col("n")
     kind = F.when(F.col("kind") == "fact", 4.0).otherwise(1.0)
     source = F.when(F.col("linked"), 2.0).otherwise(0.0)

@@ -13,7 +13,7 @@ from loreweave.functions.names import names_of
 from loreweave.functions.text import event_terms, query_entities, route, years
 from loreweave.operators import fusion, graph, knn, relational, search
 from loreweave.operators.visibility import is_live, with_meta, without_inference
-from loreweave.sources.shared import cut
+from loreweave.sources.shared import cut, cut_together
 
 
 @dataclass(frozen=True)
@@ -66,11 +66,14 @@ def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataF
     stored indexes.
     """
     seen = with_meta(memories, meta).where((F.col("namespace") == namespace) & is_live(now))
-    parts = cut(variants(asked).withColumn("query_id", F.col("query_id") * 8 + F.col("part")), "variants")
-    words = search.query_tokens(asked).select("token").unionByName(search.query_tokens(parts).select("token"))
-    ready = index(memories, words)
+    # Questions and their parts (at most six) are searched at once: eight times the id, and 7 or the number of the part.
+    parts = variants(asked).select((F.col("query_id") * 8 + F.col("part")).alias("query_id"), "query")
+    both = cut(asked.select((F.col("query_id") * 8 + 7).alias("query_id"), "query").unionByName(parts), "variants")
+    ready = index(memories, search.query_tokens(both).select("token"))
+    own, part = F.floor(F.col("query_id") / 8).cast("long").alias("query_id"), F.pmod("query_id", F.lit(8))
+    found = cut(search.search_project(seen, memories, both, pool, ready=ready), "words")
     out = {
-        "fts": cut(search.search_project(seen, memories, asked, pool, ready=ready), "fts"),
+        "fts": found.where(part == 7).select(own, *[c for c in found.columns if c != "query_id"]),
         "year": search.by_year(memories, meta, asked.select("query_id", F.explode(F.array_distinct("years")).alias("year")), pool),
         "temporal_event": search.temporal_events(memories, meta, asked, pool),
         "graph": graph.graph_recall(edges, asked, pool),
@@ -79,8 +82,7 @@ def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataF
         out["vector"] = nearest(vectors, query_vectors, pool) if nearest else knn.nearest(vectors, query_vectors, pool, include_self=True)
     if chunks is not None:
         out["chunk"] = search.chunk_parents(chunks, seen, asked.where("route = 'open_domain'"), pool)
-    hits = search.search_project(seen, memories, parts.select("query_id", "query"), max(pool // 2, 1), ready=ready)
-    hits = hits.select(F.floor(F.col("query_id") / 8).cast("long").alias("query_id"), "memory_id", (F.pmod("query_id", F.lit(8)) * 1000 + F.col("rank0")).alias("at"))
+    hits = found.where((part < 7) & (F.col("rank0") < max(pool // 2, 1))).select(own, "memory_id", (part * 1000 + F.col("rank0")).alias("at"))
     hits = hits.groupBy("query_id", "memory_id").agg(F.min("at").alias("at"))
     out["variant"] = search.top(hits, pool, "at", "memory_id")
     return out
@@ -123,8 +125,8 @@ def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, querie
     Edges, question features and the fused lists are each used several times, so they are written once; the lists have at
     most the pool of each signal per question.
     """
-    asked = cut(features(queries), "questions")
-    edges = cut(edges.select("edge_id", "memory_id", "source", "relation", "target", "source_norm", "relation_norm", "target_norm", "observed_at", "confidence", "superseded_by"), "edges")
+    edges = edges.select("edge_id", "memory_id", "source", "relation", "target", "source_norm", "relation_norm", "target_norm", "observed_at", "confidence", "superseded_by")
+    asked, edges = cut_together(questions=features(queries), edges=edges)
     lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace, index, nearest)
     if c.early_exit:
         done = resolved(lists["fts"], asked, memories)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def cut_together(**tables: DataFrame) -> list[DataFrame]:
+    """cut of each table under its name, as jobs side by side."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return [x.result() for x in [pool.submit(cut, df, name) for name, df in tables.items()]]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table that cut wrote for df, once nothing is computed from it any more."""
     fs, at = _of(df.sparkSession, df._written)
