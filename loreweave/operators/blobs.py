@@ -99,6 +99,58 @@ def train_dictionaries(samples: DataFrame) -> DataFrame:
     return some.select("content_type", "data").groupBy("content_type").applyInPandas(train, "content_type string, hash string, data binary")
 
 
+def registered(known: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """Dictionaries (content_type, hash, data, trained_at) with those of new (content_type, hash, data) that aren't known yet."""
+    fresh = new.join(known.select("hash"), "hash", "left_anti").withColumn("trained_at", F.lit(now).cast("long"))
+    return known.unionByName(fresh.select(*known.columns))
+
+
+def pack(texts: DataFrame, dictionaries: DataFrame) -> DataFrame:
+    """texts (hash, content_type, data) as (hash, content_type, packed, dictionary): compressed with the newest dictionary of the
+    type, if that is smaller than without one. dictionary is its hash, or null.
+
+    dictionaries: content_type, hash, data, trained_at; each has DICTIONARY_BYTES at most and a type has one newest.
+    """
+    newest = dictionaries.groupBy("content_type").agg(F.max_by(F.struct("hash", "data"), F.struct("trained_at", "hash")).alias("d")).select("content_type", "d.hash", "d.data")
+    by_type = {r.content_type: (r.hash, bytes(r.data)) for r in newest.collect()}  # one a content type
+    shared = texts.sparkSession.sparkContext.broadcast(by_type)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        plain = zstandard.ZstdCompressor(level=19)
+        own = {k: (h, zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(d))) for k, (h, d) in shared.value.items()}
+        for pdf in batches:
+            packed, used = [], []
+            for kind, text in zip(pdf["content_type"], pdf["data"], strict=True):
+                raw = (text or "").encode()
+                best, by = plain.compress(raw), None
+                if kind in own and len(shorter := own[kind][1].compress(raw)) < len(best):
+                    best, by = shorter, own[kind][0]
+                packed.append(best)
+                used.append(by)
+            yield pd.DataFrame({"hash": pdf["hash"], "content_type": pdf["content_type"], "packed": packed, "dictionary": used})
+
+    return texts.select("hash", "content_type", "data").mapInPandas(run, "hash string, content_type string, packed binary, dictionary string")
+
+
+def unpack(packed: DataFrame, dictionaries: DataFrame) -> DataFrame:
+    """Contents of packed blobs (hash, packed, dictionary), and whether they still have their hash; old dictionaries serve as well."""
+    by_hash = {r.hash: bytes(r.data) for r in dictionaries.join(packed.select(F.col("dictionary").alias("hash")).distinct(), "hash", "left_semi").select("hash", "data").distinct().collect()}  # trained, so few
+    shared = packed.sparkSession.sparkContext.broadcast(by_hash)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor()
+        own = {h: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d)) for h, d in shared.value.items()}
+        for pdf in batches:
+            texts = [(own[h] if h else plain).decompress(b).decode() for b, h in zip(pdf["packed"], pdf["dictionary"].where(pdf["dictionary"].notna(), None), strict=True)]
+            yield pd.DataFrame({"hash": pdf["hash"], "text": texts})
+
+    return packed.select("hash", "packed", "dictionary").mapInPandas(run, "hash string, text string").withColumn("intact", F.sha2("text", 256) == F.col("hash"))
+
+
 def compressed_sizes(texts: pd.Series, dictionary: bytes | None) -> list[int]:
     """Bytes of each text compressed, with a dictionary only where that is smaller."""
     import zstandard

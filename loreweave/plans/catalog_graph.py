@@ -89,13 +89,14 @@ def graph_browse(t):
     return graph.browse(graph.normalized(t("memory_edges")), "priority").select("edge_id", "relation_norm", "target_norm")
 
 
-@query("memory_edges", sql=f"""WITH {RECONCILED},
-c AS (SELECT DISTINCT memory_id % 10 AS query_id, memory_id FROM r),
-m AS (SELECT c.query_id, c.memory_id, r.source_norm, r.relation_norm, r.superseded_by IS NULL AS open FROM c JOIN r ON r.memory_id = c.memory_id),
+#: Candidates' edges that state something current; "placed" edges never end.
+@query("memory_edges", sql=f"""WITH {RECONCILED}, st AS (SELECT * FROM r WHERE relation_norm <> 'placed'),
+c AS (SELECT DISTINCT memory_id % 10 AS query_id, memory_id FROM st),
+m AS (SELECT c.query_id, c.memory_id, st.source_norm, st.relation_norm, st.superseded_by IS NULL AS open FROM c JOIN st ON st.memory_id = c.memory_id),
 shut AS (SELECT query_id, memory_id FROM m GROUP BY 1, 2 HAVING NOT bool_or(open)), o AS (SELECT DISTINCT query_id, source_norm, relation_norm FROM m WHERE open)
 SELECT DISTINCT m.query_id, m.memory_id FROM m JOIN shut ON shut.query_id = m.query_id AND shut.memory_id = m.memory_id JOIN o ON o.query_id = m.query_id AND o.source_norm = m.source_norm AND o.relation_norm = m.relation_norm""")
 def stale_candidates(t):
-    e = graph.reconcile(t("memory_edges"))
+    e = graph.reconcile(t("memory_edges")).where("relation_norm <> 'placed'")
     c = e.select((F.col("memory_id") % 10).alias("query_id"), "memory_id").distinct()
     return graph.stale(c, e).select("query_id", "memory_id")
 

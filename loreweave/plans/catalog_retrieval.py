@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.stem import asked_sql, stems_sql, tokens_sql
 from loreweave.functions.text import MULTI_HOP_CUES, QUESTION_WORDS, TEMPORAL_CUES, years
 from loreweave.functions.vectors import folding_embedder, norm
-from loreweave.operators import ann, fusion, graph, knn, relational, search, visibility
+from loreweave.operators import ann, fulltext, fusion, graph, knn, relational, search, visibility
 from loreweave.plans import rerank, retrieve
 from loreweave.plans.catalog_graph import RECONCILED
 from loreweave.plans.catalog_tables import ADJUST, LOGS, MM, live
@@ -69,12 +70,27 @@ bm AS (SELECT query_id, p.memory_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)
   FROM qt JOIN pst p ON p.token = qt.token JOIN df ON df.token = p.token JOIN w ON w.memory_id = p.memory_id CROSS JOIN tot GROUP BY 1, 2)"""
 
 
-@query(*MM, "queries", sql=f"""WITH {LIVE}, {BM25}, r AS (SELECT query_id, bm.memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, created_at DESC, bm.memory_id DESC) - 1 AS rank0, score FROM bm JOIN live ON live.memory_id = bm.memory_id)
-SELECT query_id, memory_id, rank0, round(score, 6) AS score FROM r WHERE rank0 < 10""")
+BEST = f"""WITH {LIVE}, {BM25}, r AS (SELECT query_id, bm.memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, created_at DESC, bm.memory_id DESC) - 1 AS rank0, score FROM bm JOIN live ON live.memory_id = bm.memory_id)
+SELECT query_id, memory_id, rank0, round(score, 6) AS score FROM r WHERE rank0 < 10"""
+
+
+@query(*MM, "queries", sql=BEST)
 def bm25_search(t):
     return search.search_project(live(t), t("memories"), t("queries"), 10).select("query_id", "memory_id", "rank0", F.round("score", 6).alias("score"))
 
 
+@query(*MM, "queries", sql=BEST)
+def indexed_bm25_search(t):
+    """The same from a stored index of three segments, the last of which takes out what the first two should not have had."""
+    path, m = scratch(t.spark, "words"), search.memory_texts(t("memories"))
+    fulltext.add(m.where("memory_id % 2 = 0"), path, 0)
+    extra = m.select((-1 - F.col("memory_id")).alias("memory_id"), "text").where("memory_id % 5 = 0")
+    fulltext.add(m.where("memory_id % 2 = 1").unionByName(extra), path, 1)
+    fulltext.remove(extra, path, 2)
+    asked = search.query_tokens(t("queries"))
+    return search.search_project(live(t), t("memories"), t("queries"), 10, ready=fulltext.ready(t.spark, path, asked)).select("query_id", "memory_id", "rank0", F.round("score", 6).alias("score"))
+
+
 @query(*MM, "queries", sql=f"""WITH {LIVE}, {BM25}, r AS (SELECT DISTINCT qt.query_id, live.memory_id, created_at FROM qt JOIN pst ON pst.token = qt.token JOIN live ON live.memory_id = pst.memory_id)
 SELECT query_id, memory_id, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, memory_id DESC) - 1 AS rank0 FROM r) WHERE rank0 < 10""")
 def global_recency_search(t):
@@ -244,7 +260,8 @@ def injection_rank(t):
 
 def found(t, limit=10):
     c = retrieve.Config(now=NOW, limit=limit, tier_weight=0.002, trust_weight=0.004, supersession_weight=0.01, activation_weight=0.002)
-    qv = t("queries").select("query_id", (F.col("query_id") % 40).alias("memory_id")).join(t(VECTORS).select("memory_id", "embedding"), "memory_id").select("query_id", "embedding")
+    last = t(VECTORS).agg(F.max("memory_id")).first()[0] or 0  # each question has a vector, as long as there are more of them
+    qv = t("queries").select("query_id", F.pmod("query_id", F.lit(last + 1)).alias("memory_id")).join(t(VECTORS).select("memory_id", "embedding"), "memory_id").select("query_id", "embedding")
     return retrieve.hybrid_search(t("memories"), t("memory_meta"), graph.reconcile(t("memory_edges")), t("queries"), c, t(VECTORS), qv, chunks(t))
 
 
@@ -345,6 +362,17 @@ def rerank_evidence(t):
     return rerank.evidence(found(t), t("queries"), t("memories"), t("memory_meta"), c, graph.reconcile(t("memory_edges"))).select("query_id", "memory_id", "rank0", F.length("evidence").alias("n_chars"))
 
 
+@query("memories", sql=f"""WITH {LISTS},
+c AS (SELECT query_id, memory_id, CAST(memory_id * 7 % 5 AS DOUBLE) AS cheap, CAST(memory_id * 13 % 11 AS DOUBLE) AS dear FROM fu WHERE rank0 < 8),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cheap DESC, memory_id) AS i FROM c),
+g AS (SELECT query_id FROM (SELECT query_id, max(CASE WHEN i = 1 THEN cheap END) - max(CASE WHEN i = 2 THEN cheap END) AS gap FROM o GROUP BY 1) WHERE gap < 1.0 ORDER BY gap, query_id LIMIT 40)
+SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN e THEN dear ELSE cheap END DESC, memory_id) - 1 AS rank0, e AS escalated FROM (SELECT *, query_id IN (SELECT query_id FROM g) AS e FROM c)""")
+def rerank_cascade(t):
+    f = fusion.rrf(lists(t)).where("rank0 < 8").select("query_id", "memory_id")
+    by = lambda a, m: f.withColumn("score", F.pmod(F.col("memory_id") * a, F.lit(m)).cast("double"))
+    return rerank.cascade(by(7, 5), 1.0, lambda rows: rows.select("query_id", "memory_id", F.pmod(F.col("memory_id") * 13, F.lit(11)).cast("double").alias("score")), budget=40)
+
+
 @query("memories", sql=f"""WITH {LISTS}, c AS (SELECT * FROM fu WHERE rank0 < 6), p AS (SELECT query_id, memory_id, rank0, CASE rank0 WHEN 3 THEN 0 WHEN 0 THEN 1 END AS told FROM c),
 s AS (SELECT query_id, memory_id, 1.0 / (60 + rank0) + CASE WHEN told IS NULL THEN 0 ELSE 1.0 / (60 + told) END AS s, rank0 AS was FROM p)
 SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(s AS DOUBLE), 12) DESC, was) - 1 AS rank0 FROM s""")
@@ -353,9 +381,12 @@ def fused_replies(t):
     return rerank.fuse_replies(f, f.select("query_id", F.lit("Best: [4], 1, 99 then 4").alias("reply")).distinct()).select("query_id", "memory_id", "rank0")
 
 
-@query(*MM, "queries", sql=f"""WITH {LIVE}, q AS (SELECT query_id, {event_terms_sql('query')} AS ts FROM queries WHERE query_id > 100000)
-SELECT query_id, memory_id, CAST(len(list_intersect(ts, {event_terms_sql('summary')})) AS INTEGER) AS n_shared, CAST(len(ts) AS INTEGER) AS n_terms FROM q, live WHERE memory_id % 100 = 0""")
+@query(*MM, "queries", sql=f"""WITH q AS (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS i, {event_terms_sql('query')} AS ts FROM queries), k AS (SELECT count(*) AS n FROM q)
+SELECT q.query_id, m.memory_id, CAST(len(list_intersect(ts, {event_terms_sql('summary')})) AS INTEGER) AS n_shared, CAST(len(ts) AS INTEGER) AS n_terms FROM memories m CROSS JOIN k JOIN q ON q.i = m.memory_id % k.n""")
 def shared_terms(t):
-    q = t("queries").where("query_id > 100000")
-    pairs = live(t).where("memory_id % 100 = 0").select("memory_id").withColumn("query_id", F.explode(F.sequence(F.lit(100001), F.lit(100009)))).withColumn("query_id", F.col("query_id").cast("long"))
+    """Each memory with one of the questions, dealt out in turn."""
+    q = t("queries").select("query_id", "query")
+    n = q.count()
+    at = q.withColumn("at", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long"))  # the questions, a small fixture
+    pairs = t("memories").select("memory_id", F.pmod("memory_id", F.lit(n)).alias("at")).join(at.select("at", "query_id"), "at").drop("at")
     return rerank.shared_terms(pairs, q, t("memories")).select("query_id", "memory_id", "n_shared", "n_terms")

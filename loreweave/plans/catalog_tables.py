@@ -177,9 +177,10 @@ def missing_embeddings(t):
     return relational.missing(t("memories"), t("memory_embeddings")).select("memory_id")
 
 
-@query("memories", "memory_edges", sql="SELECT memory_id FROM memories WHERE memory_id NOT IN (SELECT memory_id FROM memory_edges)")
+#: Edges of placed orders are every memory's at some sizes; those of the first twenty clerks are not.
+@query("memories", "memory_edges", sql="SELECT memory_id FROM memories WHERE memory_id NOT IN (SELECT memory_id FROM memory_edges WHERE target IN ('Clerk 1', 'Clerk 4', 'Clerk 7'))")
 def memories_without_edges(t):
-    return relational.missing(t("memories"), t("memory_edges")).select("memory_id")
+    return relational.missing(t("memories"), t("memory_edges").where(F.col("target").isin("Clerk 1", "Clerk 4", "Clerk 7"))).select("memory_id")
 
 
 @query("blobs", sql="""
@@ -320,10 +321,11 @@ def events_after(t):
     return t("events").where("event_id > 500").select("event_id", "event_type").orderBy("event_id").limit(200)
 
 
-@query(sql="SELECT * FROM (VALUES ('30m', 1800), ('6h', 21600), ('2d', 172800), ('1w', 604800), ('15s', 15), ('x', NULL)) AS d(text, seconds)")
+@query(sql="""SELECT event_id, CASE event_id % 7 WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE user_id * CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 ELSE 604800 END END AS seconds FROM events""")
 def durations(t):
-    d = t.spark.createDataFrame([("30m",), ("6h",), ("2d",), (" 1w",), ("15s",), ("x",)], "text string")
-    return d.select(F.trim("text").alias("text"), logs.duration_seconds(F.col("text")).cast("int").alias("seconds"))
+    """The users' numbers as durations of every unit, with blanks around, and as what is none."""
+    unit = F.element_at(F.array(*map(F.lit, ("s", "m", "h", "d", "w", "y", ""))), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
+    return t("events").select("event_id", logs.duration_seconds(F.concat(F.lit(" "), F.col("user_id").cast("string"), unit, F.lit(" "))).alias("seconds"))
 
 
 @query(sql="SELECT label, count(*) AS n, count(*) FILTER (WHERE vec_id % 3 = 0) AS n_correct, round(count(*) FILTER (WHERE vec_id % 3 = 0) / count(*), 6) AS accuracy FROM embeddings GROUP BY 1")

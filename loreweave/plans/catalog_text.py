@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import dates
 from loreweave.functions.text import event_terms, reflection_terms, source_terms, token_estimate, truncate_bytes, word_count
-from loreweave.operators import anchors, blobs, compress, consolidate
+from loreweave.operators import anchors, blobs, compress, consolidate, relational
 from loreweave.plans.registry import query
+from loreweave.sources.shared import cut
 
 NORM_TOKEN = """CASE WHEN strlen(x) > 5 AND ends_with(x, '''s') THEN left(x, length(x) - 2) WHEN strlen(x) > 6 AND ends_with(x, 'ing') THEN left(x, length(x) - 3)
   WHEN strlen(x) > 7 AND ends_with(x, 'edly') THEN left(x, length(x) - 4) WHEN strlen(x) > 5 AND ends_with(x, 'ed') THEN left(x, length(x) - 2)
@@ -80,6 +81,21 @@ def memory_overviews(t):
     return compress.memory_chunks(m, t("observations").limit(0)).select("chunk_id", "density", "kind", "token_estimate", "summary")
 
 
+@query("observations", sql=f"""
+WITH {SECTIONS}, m AS (SELECT row_number() OVER (ORDER BY session_id) AS memory_id, session_id FROM (SELECT DISTINCT session_id FROM o) AS x),
+f AS (SELECT m.memory_id, ordinal, 'fact' AS kind, coalesce(input, output, '') AS text FROM m JOIN o ON o.session_id = m.session_id JOIN observations b ON b.observation_id = o.observation_id
+  UNION ALL SELECT m.memory_id, ordinal + 100000, 'procedural', 'run ' || tool || ' ' || o.observation_id FROM m JOIN o ON o.session_id = m.session_id JOIN observations b ON b.observation_id = o.observation_id),
+n AS (SELECT *, regexp_replace(regexp_replace(text, '^ +', ''), ' +$', '') AS summary, row_number() OVER (PARTITION BY memory_id ORDER BY ordinal) AS place, row_number() OVER (PARTITION BY memory_id, kind ORDER BY ordinal) AS i, {WORDS} AS ws FROM f)
+SELECT 'mem:' || memory_id || CASE kind WHEN 'fact' THEN ':fact:' ELSE ':procedure:' END || i AS chunk_id, CAST(place AS INTEGER) AS ordinal, 'high' AS density, kind, summary, CAST(greatest((len(ws) * 4 + 2) // 3, 1) AS BIGINT) AS token_estimate FROM n""")
+def skim_facts(t):
+    """The chunks of facts (what each observation says) and procedures (which tool it ran) of each session's memory."""
+    o = t("observations")
+    told = F.array_sort(F.collect_list(F.struct("created_at", "observation_id", F.coalesce("input", "output", F.lit("")).alias("fact"), F.concat(F.lit("run "), "tool", F.lit(" "), F.col("observation_id").cast("string")).alias("how"))))
+    m = relational.numbered(o.groupBy("session_id", "project").agg(told.alias("s")), "memory_id", 1, "session_id")
+    m = m.select("memory_id", "project", "session_id", F.lit("A session").alias("summary"), F.lit("session").alias("kind"), F.lit(5).alias("importance"), F.lit(None).cast("string").alias("event_time"), F.col("s.fact").alias("facts"), F.col("s.how").alias("procedures"))
+    return compress.memory_chunks(m, o).where("chunk_id LIKE '%:fact:%' OR chunk_id LIKE '%:procedure:%'").select("chunk_id", "ordinal", "density", "kind", "summary", "token_estimate")
+
+
 KEY = "translate(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -107,12 +123,18 @@ def truncated_texts(t):
     return t("documents").select("doc_id", truncate_bytes(F.col("text"), 60).alias("text"))
 
 
+def commands(t):
+    """The observations as commands and edits: three commands in two forms, every fourth of which fails."""
+    i = F.col("observation_id")
+    bad = F.when(F.pmod(i, F.lit(4)) == 0, F.concat(F.lit("compiling\nerror: "), F.coalesce("output", "input", F.lit("build failed")))).otherwise("ok")
+    tool = F.when(F.pmod(i, F.lit(5)) == 1, "Edit").when(F.pmod(i, F.lit(5)) == 3, "Write").otherwise("Bash")
+    said = F.when(tool == "Bash", F.concat(F.element_at(F.array(F.lit("make"), F.lit("cargo"), F.lit("pytest")), (F.pmod(i, F.lit(3)) + 1).cast("int")), F.when(F.pmod(i, F.lit(2)) == 0, " all").otherwise(" one")))
+    return t("observations").select("session_id", "observation_id", "created_at", tool.alias("tool"), said.otherwise(F.concat(F.lit("src/"), F.pmod(i, F.lit(6)).cast("string"), F.lit(".rs"))).alias("input"), bad.alias("output"))
+
+
 @query("observations")
 def correction_mining(t):
-    o = t("observations")
-    bad = F.when(F.pmod("observation_id", F.lit(4)) == 0, "error: build failed").otherwise("ok")
-    tool = F.when(F.pmod("observation_id", F.lit(4)) == 1, "Edit").otherwise("Bash")
-    return compress.mine_corrections(o.select("session_id", "observation_id", "created_at", tool.alias("tool"), F.lit("make all").alias("input"), bad.alias("output")))
+    return compress.mine_corrections(commands(t))
 
 
 @query("observations")
@@ -181,10 +203,23 @@ def content_detect(t):
     return rows.select("id", blobs.content_type(F.col("text")).alias("content_type"))
 
 
-@query("blobs", sql="SELECT count(*) AS n, count(*) AS n_intact FROM blobs")
+@query("blobs", sql="SELECT hash, orig_len, true AS intact FROM blobs")
 def blob_round_trip(t):
     b = blobs.store(t("documents")).select("hash", blobs.zstd("data").alias("data"))
-    return blobs.load(b).agg(F.count("*").alias("n"), F.count_if("intact").alias("n_intact"))
+    return blobs.load(b).select("hash", F.octet_length("text").cast("long").alias("orig_len"), "intact")
+
+
+@query(sql="""SELECT sha256(text) AS hash, max(strlen(text)) AS orig_len, true AS intact, true AS no_larger FROM (
+  SELECT text FROM documents UNION ALL SELECT html FROM pages UNION ALL SELECT props FROM events) AS x WHERE text IS NOT NULL GROUP BY 1""")
+def blob_packing(t):
+    """Documents, pages and events packed with the dictionaries trained on them, and read back; none is larger than without one."""
+    rows = t("documents").select("text").unionByName(t("pages").select(F.col("html").alias("text"))).unionByName(t("events").select(F.col("props").alias("text"))).where("text IS NOT NULL")
+    stored = blobs.store(rows).withColumn("content_type", blobs.content_type(F.col("data")))
+    known = blobs.train_dictionaries(stored.select("content_type", "data", F.col("orig_len").alias("order"))).withColumn("trained_at", F.lit(1).cast("long"))
+    packed = cut(blobs.pack(stored, known), "packed")
+    back = blobs.unpack(packed, known).select("hash", F.octet_length("text").cast("long").alias("orig_len"), "intact")
+    plain = stored.select("hash", (F.octet_length(blobs.zstd("data")) >= 0).alias("_"), F.octet_length(blobs.zstd("data")).alias("plain"))
+    return back.join(packed.select("hash", F.octet_length("packed").alias("n")), "hash").join(plain, "hash").select("hash", "orig_len", "intact", (F.col("n") <= F.col("plain")).alias("no_larger"))
 
 
 @query("memory_meta", sql=r"""
@@ -201,12 +236,18 @@ def source_span_terms(t):
     return t("observations").select("observation_id", F.size(source_terms(F.coalesce("input", "output", F.lit("")))).alias("n"))
 
 
-SOURCE = "pub fn alpha(x: i32) -> i32 {\n  if x > 1 { return 2; }\n  x\n}\nstruct Beta { a: i32 }\nimpl Beta {\n  fn gamma(&self) {}\n}\n"
+#: The source file of a part: a function with its name in a comment and a string, and a structure.
+HEAD = ("// } ", "\npub fn part_", "(x: i32) -> i32 {\n  let s = \"{ ", " }}\"; /* { */ if x > 1 { return 2; }\n  x\n}", "\nstruct P", " { a: i32 }\n")
 
 
-@query()
+@query(sql=rf"""
+WITH p AS (SELECT p_partkey AS k, '{HEAD[0]}' || p_name AS a, '{HEAD[1][1:]}' || p_partkey || '{HEAD[2]}' || p_name || '{HEAD[3]}' AS f, '{HEAD[4][1:]}' || p_partkey || '{HEAD[5][:-1]}' AS s FROM part)
+SELECT 'src/' || k || '.rs' AS path, 'function' AS kind, 'part_' || k AS name, strlen(a) + 1 AS start_byte, strlen(a) + 1 + strlen(f) AS end_byte, sha256(trim(regexp_replace(f, '\s+', ' ', 'g'))) AS hash FROM p
+UNION ALL SELECT 'src/' || k || '.rs', 'struct', 'P' || k, strlen(a) + strlen(f) + 2, strlen(a) + strlen(f) + 2 + strlen(s), sha256(trim(regexp_replace(s, '\s+', ' ', 'g'))) FROM p""")
 def code_symbols(t):
-    return anchors.symbols(t.spark.createDataFrame([("src/a.rs", SOURCE)], "path string, text string"))
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit(HEAD[0]), "p_name", F.lit(HEAD[1]), key, F.lit(HEAD[2]), "p_name", F.lit(HEAD[3]), F.lit(HEAD[4]), key, F.lit(HEAD[5]))
+    return anchors.symbols(t("part").select(F.concat(F.lit("src/"), key, F.lit(".rs")).alias("path"), text.alias("text"))).drop("shingles")
 
 
 @query(sql=r"""

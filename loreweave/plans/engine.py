@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.hashing import RECORD_FIELDS, entry_hash, record_hash
 from loreweave.functions.text import MEMORY_KINDS, normalize_graph_text, normalize_namespace, normalize_relation, truncate_bytes
-from loreweave.operators import ann, blobs, compress, consolidate, fulltext, govern, graph, knn, relational, search, visibility
+from loreweave.operators import anchors, ann, blobs, compress, consolidate, fulltext, govern, graph, knn, relational, search, visibility
 from loreweave.plans import retrieve
 from loreweave.plans.schedule import Latencies, retried
 from loreweave.sources.shared import cut
@@ -326,7 +326,7 @@ class Engine:
     def snapshots(self, snapshot_id: str | None = None) -> DataFrame:
         return visibility.where_given(self.t("brain_snapshots"), snapshot_id=snapshot_id).orderBy(F.desc("created_at"), "snapshot_id")
 
-    def anchors(self, project: str) -> DataFrame:
+    def anchored(self, project: str) -> DataFrame:
         return self.t("code_anchors").where(F.col("project") == project).orderBy("path", "start_byte", "memory_id")
 
     def chunks(self) -> DataFrame:
@@ -336,6 +336,32 @@ class Engine:
     def chunk(self, chunk_id: str) -> Row | None:
         return self.chunks().where(F.col("chunk_id") == chunk_id).first()
 
+    @writes
+    def anchor(self, project: str, files: DataFrame) -> int:
+        """Anchors the project's visible memories to the symbols of source files (path, text) that they name; returns how many.
+        An anchor of the same memory, path, kind and name is replaced."""
+        found = cut(anchors.symbols(files), "symbols")
+        mine = self.live().where(F.col("project") == project).select("memory_id", "summary")
+        new = anchors.mentions(mine, found).join(found, ["path", "kind", "name"]).withColumn("project", F.lit(project))
+        new = cut(self.t.fit("code_anchors", relational.keep_last(new, ["memory_id", "path", "kind", "name"], "start_byte")), "anchors")
+        n = new.count()
+        if n:
+            self.t.upsert("code_anchors", new, "project", "memory_id", "path", "kind", "name")
+        return n
+
+    @writes
+    def relink(self, project: str, files: DataFrame) -> DataFrame:
+        """Moves the project's anchors to where their symbols are in the files now; those found nowhere stay. Returns what was found."""
+        found = cut(anchors.symbols(files), "symbols")
+        mine = self.t("code_anchors").where(F.col("project") == project)
+        where = cut(anchors.relink(mine, found), "relinked")
+        new = where.select("memory_id", "kind", F.col("name").alias("_name"), F.col("hash").alias("_hash"), F.col("now_name").alias("name"), F.col("now_hash").alias("hash"), "path", "start_byte", "end_byte")
+        new = new.join(found.select("path", "start_byte", "shingles"), ["path", "start_byte"]).withColumn("project", F.lit(project))
+        gone = where.select("memory_id", "name", "kind", "hash")
+        moved = self.t("code_anchors").join(gone.withColumn("project", F.lit(project)), ["project", "memory_id", "name", "kind", "hash"], "left_anti").unionByName(self.t.fit("code_anchors", new))
+        self.t.replace("code_anchors", cut(moved, "anchors"))
+        return where
+
     def recent_chunks(self, limit: int = 20, project: str | None = None) -> DataFrame:
         return visibility.where_given(self.chunks(), project=project).orderBy(F.desc("created_at"), F.desc("memory_id"), "ordinal").limit(limit)
 

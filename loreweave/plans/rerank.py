@@ -9,6 +9,7 @@ from loreweave.functions import dates
 from loreweave.functions.text import clip_words, event_terms
 from loreweave.operators import fusion
 from loreweave.operators.search import top
+from loreweave.sources.shared import cut
 
 #: Chunks and edges that a memory's evidence names, and words of its text.
 MOST_CHUNKS, MOST_EDGES, MOST_WORDS = 3, 4, 60
@@ -57,6 +58,23 @@ def fuse_replies(found: DataFrame, replies: DataFrame) -> DataFrame:
     return fusion.rrf(found.select("query_id", F.lit(0).alias("list_no"), F.lit(1).alias("weight"), "memory_id", F.col("rank0").cast("long").alias("rank0")).unionByName(named))
 
 
+def cascade(found: DataFrame, margin: float, dear, budget: int | None = None) -> DataFrame:
+    """(query_id, memory_id, rank0, escalated): found (query_id, memory_id, score) in the order of its scores, ties by id; where the
+    two best are closer than the margin, in the order of a dear scorer instead.
+
+    dear(rows) gives (query_id, memory_id, score) for all memories of those questions. budget: at most so many questions, those
+    with the smallest margins, go there. A question with one memory never does.
+    """
+    order = (F.desc("score"), "memory_id")
+    cheap = top(found.select("query_id", "memory_id", "score"), 1 << 30, *order)
+    first, second = (F.max(F.when(F.col("rank0") == i, F.col("score"))) for i in (0, 1))
+    close = cheap.where("rank0 < 2").groupBy("query_id").agg((first - second).alias("gap")).where(F.col("gap") < margin)
+    close = close if budget is None else close.orderBy("gap", "query_id").limit(budget)
+    close = cut(close.select("query_id"), "close")
+    again = top(dear(found.join(close, "query_id", "left_semi")).select("query_id", "memory_id", "score"), 1 << 30, *order)
+    return cheap.join(close, "query_id", "left_anti").withColumn("escalated", F.lit(False)).unionByName(again.withColumn("escalated", F.lit(True))).drop("score")
+
+
 def follow_up_prompt(query: Column, evidence_lines: Column) -> Column:
     return F.concat(F.lit("Question: "), query, F.lit("\nKnown:\n"), F.array_join(F.transform(evidence_lines, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\nWhat else must be looked up? Answer with one question, or NONE."))
 

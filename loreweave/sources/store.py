@@ -29,7 +29,7 @@ SCHEMAS = {
     "memory_chunks": "chunk_id string, project string, memory_id long, session_id string, ordinal int, density string, kind string, title string, summary string, source_hash string, start_byte long, end_byte long, token_estimate long, created_at long",
     "injection_events": "event_id long, project string, session_id string, memory_id long, rank_pos int, query string, created_at long",
     "memory_feedback": "event_id long, memory_id long, project string, signal string, weight double, created_at long",
-    "code_anchors": "memory_id long, project string, path string, kind string, name string, hash string, start_byte long, end_byte long",
+    "code_anchors": "memory_id long, project string, path string, kind string, name string, hash string, start_byte long, end_byte long, shingles array<long>",
     "reflection_proposals": "proposal_id long, project string, kind string, source_memory_ids array<long>, proposed_summary string, status string, created_at long, applied_at long",
     "brain_snapshots": "snapshot_id string, label string, project string, memory_count long, edge_count long, created_at long",
     "sync_events": "event_id string, node_id string, project string, lamport long, op_type string, payload string, created_at long, prev_hash string, event_hash string",
