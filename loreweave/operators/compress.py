@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loreweave.functions.dates import is_date_or_range
 from loreweave.functions.text import any_of, chunk_summary, clip_words, source_terms, token_estimate, truncate_bytes, word_count
 
 # What a failed command says, and which tools change code.
@@ -16,6 +17,7 @@ FAIL_MARKERS = (
     "error:", "error[", "fatal:", "panicked at", "traceback (most recent call last)", "command not found", "no such file or directory",
     "could not compile", "build failed", "test result: failed", "exit code 1", "exit status 1", "segmentation fault", "assertion failed", "cannot find",
 )
+CATEGORIES = ("decision", "fact", "preference", "error_fix", "event")
 COMMAND_TOOL = "Bash"
 EDIT_TOOLS = ("Edit", "Write", "MultiEdit", "NotebookEdit")
 MOST_CORRECTIONS = 5
@@ -70,6 +72,16 @@ def skim_chunks(observations: DataFrame, parent_density: str = "low", kind: str
     )
 
 
+def overview_chunks(memories: DataFrame) -> DataFrame:
+    """The overview alone of memories (memory_id, project, session_id, summary, kind, importance, event_time), as memory_chunks gives it."""
+    density = memory_density(F.col("kind"), F.col("importance"), F.coalesce(F.trim("event_time") != "", F.lit(False)), F.lit(0))
+    return memories.select(
+        F.concat(F.lit("mem:"), F.col("memory_id").cast("string"), F.lit(":overview")).alias("chunk_id"),
+        "project", "memory_id", "session_id", F.lit(0).alias("ordinal"), density.alias("density"), "kind", F.lit("Memory overview").alias("title"),
+        chunk_summary(F.col("summary"), density).alias("summary"), token_estimate(F.col("summary")).alias("token_estimate"),
+    )
+
+
 def memory_chunks(memories: DataFrame, observations: DataFrame) -> DataFrame:
     """The skim map of each memory: its overview, facts, procedures and the sections of its session, in this order from 0.
 
@@ -204,12 +216,13 @@ def mine_corrections(observations: DataFrame) -> DataFrame:
 
 
 def observer_lines(rows: DataFrame, text: str) -> DataFrame:
-    """`- [date] Pn category: text` lines, with the importance of their priority."""
-    pattern = r"^- \[([0-9]{4}-[0-9]{2}-[0-9]{2})\] P([1-3]) ([^:]+): (.+)$"
+    """`- [date] Pn category: text` lines, with the importance of their priority. What is no date is none; other categories are events."""
+    pattern = r"^- \[([^\]]*)\]\s*P([1-3]) ([^:]*):\s*(\S.*)$"
     rows = rows.select("*", F.explode(F.split(text, "\n")).alias("_line")).where(F.trim("_line").rlike(pattern))
     part = lambda i: F.trim(F.regexp_extract(F.trim("_line"), pattern, i))
     p = part(2)
-    return rows.select("*", part(1).alias("day"), p.cast("int").alias("priority"), part(3).alias("category"), part(4).alias("line"), F.when(p == "1", 0.85).when(p == "2", 0.7).otherwise(0.55).alias("importance")).drop("_line", text)
+    day, category = F.when(is_date_or_range(part(1)), part(1)), F.lower(part(3))
+    return rows.select("*", day.alias("day"), p.cast("int").alias("priority"), F.when(category.isin(*CATEGORIES), category).otherwise("event").alias("category"), part(4).alias("line"), F.when(p == "1", 0.85).when(p == "2", 0.7).otherwise(0.55).alias("importance")).drop("_line", text)
 
 
 FIELDS = ("SUMMARY", "FACTS", "TAGS", "IMPORTANCE", "KIND", "WHEN", "ENTITIES", "RELATIONS", "PROCEDURES")

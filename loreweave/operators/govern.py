@@ -16,6 +16,27 @@ from loreweave.sources.shared import cut
 ENTRY = "namespace string, id long, memory_id long, op_type string, actor string, payload string, created_at long, prev_hash string, entry_hash string"
 
 
+# What governed fields may say.
+VALUES = {
+    "source_type": ("user_input", "tool_output", "agent_generated", "derived", "external", "sync_peer"),
+    "trust_tier": ("high", "medium", "low", "untrusted"),
+    "classification": ("public", "internal", "confidential", "restricted", "phi", "pii"),
+    "consent_state": ("required", "granted", "denied", "withdrawn"),
+}
+#: What a memory has that was asked for, compressed from a session, or derived from others.
+EXPLICIT = {"source_type": "user_input", "trust_tier": "high", "writer_identity": "remember"}
+COMPRESSED = {"source_type": "derived", "trust_tier": "medium", "writer_identity": "compress"}
+DERIVED = {"source_type": "derived", "trust_tier": "medium", "writer_identity": "derive"}
+
+
+def checked(fields: dict) -> dict:
+    """fields, whose governed ones must have one of their VALUES or none."""
+    for name, known in VALUES.items():
+        if fields.get(name) is not None and fields[name] not in known:
+            raise ValueError(f"{name} is one of {', '.join(known)}, not {fields[name]!r}")
+    return fields
+
+
 def build_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Ledger entries of events (namespace, id, memory_id, op_type, actor, payload, created_at), each hashed with the one before.
 

@@ -124,7 +124,7 @@ class Engine:
         with self.t.writing():
             if self.t("sessions").where(mine & F.col("compressed")).limit(1).count():
                 return None  # by another writer, meanwhile
-            mid = self._add(row.project, told["summary"], told["tags"], session_id, {"importance": told["importance"] / 10, "kind": said["kind"], "event_time": said["when"], "source_type": "session"})
+            mid = self._add(row.project, told["summary"], told["tags"], session_id, govern.COMPRESSED | {"importance": told["importance"] / 10, "kind": said["kind"], "event_time": said["when"]})
             self._store(compress.transcripts(o).select(F.col("transcript").alias("text")))
             head = self.spark.createDataFrame(
                 [(mid, row.project, session_id, told["summary"], said["kind"], told["importance"], said["when"], said["facts"], said["procedures"])],
@@ -149,12 +149,16 @@ class Engine:
 
     def _remember(self, project: str, summary: str, tags: str | None, session_id: str | None, **meta) -> int:
         with self.t.writing():
-            return self._add(project, summary, tags, session_id, meta)
+            mid = self._add(project, summary, tags, session_id, meta)
+            kind, importance = meta.get("kind", "session"), int(meta.get("importance", 0.5) * 10)
+            head = self.spark.createDataFrame([(mid, project, session_id, summary, kind, importance, meta.get("event_time"))], "memory_id long, project string, session_id string, summary string, kind string, importance int, event_time string")
+            self.t.append("memory_chunks", self.t.fit("memory_chunks", compress.overview_chunks(head).withColumn("created_at", F.lit(self.clock()))))
+            return mid
 
     def _add(self, project: str, summary: str, tags: str | None, session_id: str | None, meta: dict) -> int:
         mid, now = self.t.next_id("memories", "memory_id"), self.clock()
         meta = {"memory_id": mid, "importance": 0.5, "scope": "project", "kind": "session", "namespace": self.namespace, "source_type": "derived", "trust_tier": "medium", "classification": "internal", "legal_hold": False, "trust_ref_count": 0, "maturity": "draft"} | meta
-        row = self._rows("memory_meta", meta).withColumn("namespace", normalize_namespace(F.col("namespace")))
+        row = self._rows("memory_meta", govern.checked(meta)).withColumn("namespace", normalize_namespace(F.col("namespace")))
         if row.where(~visibility.consent_ok()).count():
             raise ConsentError(f"{meta['classification']} needs consent_state = 'granted'")
         memory = self._rows("memories", {"memory_id": mid, "project": project, "session_id": session_id, "summary": summary, "tags": tags, "created_at": now})
@@ -220,11 +224,27 @@ class Engine:
     @writes
     def remember(self, project: str, summary: str, tags: str | None = None, **meta) -> int:
         """A memory that was asked for. Every fifth of the user's own makes the profile anew."""
-        mid = self._remember(project, summary, tags, None, **({"importance": 0.7, "source_type": "explicit", "trust_tier": "high"} | meta))
+        mid = self._remember(project, summary, tags, None, **(govern.EXPLICIT | {"importance": 0.7} | meta))
         if meta.get("scope") == "user" and meta.get("kind") != "profile" and self.n_own_memories() % PROFILE_EVERY == 0:
             self.refresh_profile()
         return mid
 
+    @writes
+    def observe(self, project: str, reply: str, parent: int | None = None) -> list[int]:
+        """Memories of a model's dated lines (compress.observer_lines), with the memory that they belong to as parent."""
+        lines = compress.observer_lines(self.spark.createDataFrame([(reply,)], "t string"), "t").collect()  # one reply
+        made = govern.DERIVED | {"writer_identity": "observe", "kind": "observation", "parent_memory_id": parent}
+        return [self._remember(project, r.line, r.category, None, **made, importance=r.importance, event_time=r.day) for r in lines]
+
+    @writes
+    def set_meta(self, memory_id: int, **values) -> None:
+        """Sets kind, scope, maturity, importance or event_time of a memory; unknown kinds, scopes and maturities become the usual ones."""
+        if other := set(values) - {"kind", "scope", "maturity", "importance", "event_time"}:
+            raise ValueError(f"not to be set: {', '.join(sorted(other))}")
+        known = {"kind": (MEMORY_KINDS, "session"), "scope": (("user",), "project"), "maturity": (("stable", "core"), "draft")}
+        clamped = {k: (v.strip().lower() if v.strip().lower() in known[k][0] else known[k][1]) if k in known else v for k, v in values.items()}
+        self.t.patch("memory_meta", F.col("memory_id") == memory_id, **clamped)
+
     @writes
     def refresh_profile(self) -> int | None:
         """Stores the profile of the user's memories, in place of the one before; None if there are none."""
@@ -232,7 +252,7 @@ class Engine:
         if not text:
             return None
         old = [r.memory_id for r in self.live().where("kind = 'profile'").select("memory_id").collect()]  # one, as a rule
-        mid = self._add("profile", text, None, None, {"kind": "profile", "scope": "user", "importance": 0.9, "source_type": "derived"})
+        mid = self._add("profile", text, None, None, govern.DERIVED | {"kind": "profile", "scope": "user", "importance": 0.9})
         for x in old:
             self.forget(x, "replaced")
         return mid
@@ -423,6 +443,7 @@ class Engine:
     # Search
 
     def search(self, question: str, limit: int = 10, **weights) -> DataFrame:
+        """hybrid_search for one question; weights are fields of retrieve.Config, for instance project."""
         q = self.spark.createDataFrame([(1, question)], "query_id long, query string")
         return self.search_many(q, limit, **weights)
 
@@ -434,15 +455,15 @@ class Engine:
         if self.embed:
             vectors = self.t("embeddings").where(F.col("model") == self.model)
             asked = questions.select("query_id", self.embed(F.col("query")).alias("embedding"))
-        return retrieve.hybrid_search(self.t("memories"), meta, self.t("memory_edges"), questions, c, vectors, asked, chunks=self.t("memory_chunks"), index=self._index, nearest=self._nearest)
+        return retrieve.hybrid_search(self.t("memories"), meta, self.t("memory_edges"), questions, c, vectors, asked, chunks=self.t("memory_chunks"), index=self._index, nearest=None if c.project else self._nearest)
 
-    def get_context(self, question: str, limit: int = 10) -> DataFrame:
-        found = self.search(question, limit)
+    def get_context(self, question: str, limit: int = 10, project: str | None = None) -> DataFrame:
+        found = self.search(question, limit, project=project)
         return retrieve.context(found, self.t("memories")).orderBy("place")
 
-    def get_evidence(self, question: str, limit: int = 10) -> DataFrame:
+    def get_evidence(self, question: str, limit: int = 10, project: str | None = None) -> DataFrame:
         """The memories of a context with their kinds and dates, their chunks and active edges, as retrieve.evidence gives them."""
-        placed = cut(retrieve.context(self.search(question, limit), self.t("memories")), "context")
+        placed = cut(retrieve.context(self.search(question, limit, project=project), self.t("memories")), "context")
         return retrieve.evidence(placed, self.t("memories"), self.t("memory_meta"), self.chunks(), self.t("memory_edges"))
 
     @writes
@@ -531,7 +552,7 @@ class Engine:
     @writes
     def _derive(self, fact: str, term: str, sources: list[int]) -> int:
         """An inferred memory: quarantined, linked to its sources, entered in the ledger; its sources have been of use."""
-        mid = self._add("synthesis", fact, term, None, {"kind": "inference", "source_type": "inference", "trust_tier": "low", "parent_memory_id": sources[0]})
+        mid = self._add("synthesis", fact, term, None, govern.DERIVED | {"kind": "inference", "parent_memory_id": sources[0]})
         self._add_edges("synthesis", mid, self.spark.createDataFrame([(f"memory:{i}", "derives", f"memory:{mid}") for i in sources], "source string, relation string, target string"))
         self._log("derive", mid, {"sources": sorted(sources)})
         for i in sources:

@@ -12,7 +12,7 @@ from loreweave.functions.dates import half_life
 from loreweave.functions.names import names_of
 from loreweave.functions.text import event_terms, query_entities, route, years
 from loreweave.operators import fusion, graph, knn, relational, search
-from loreweave.operators.visibility import is_live, with_meta, without_inference
+from loreweave.operators.visibility import is_live, where_given, with_meta, without_inference
 from loreweave.sources.shared import cut, cut_together
 
 
@@ -22,6 +22,7 @@ class Config:
 
     early_exit: a single-hop question whose best lexical hit holds all its terms is answered from words and graph alone.
     least_share: results that hold a smaller share of the question's terms are left out, so that nothing may be found.
+    project: only its memories and edges are searched; None searches all.
     """
 
     now: int
@@ -33,6 +34,7 @@ class Config:
     activation_weight: float = 0.0
     half_life_days: float = 30.0
     saturation: float = 3.0
+    project: str | None = None
     early_exit: bool = False
     least_share: float = 0.0
 
@@ -59,13 +61,15 @@ def variants(queries: DataFrame, most: int = 6) -> DataFrame:
     return hard.select("query_id", F.posexplode(F.slice(F.concat(own, pairs), 1, most)).alias("part", "query"))
 
 
-def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataFrame, pool: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, now: int = 0, namespace: str = "local", index=search.index, nearest=None) -> dict[str, DataFrame]:
-    """Ranked lists (query_id, memory_id, rank0) by signal. Words and chunks see visible memories only, the others all.
+def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataFrame, pool: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, now: int = 0, namespace: str = "local", index=search.index, nearest=None, project: str | None = None) -> dict[str, DataFrame]:
+    """Ranked lists (query_id, memory_id, rank0) by signal. Words and chunks see visible memories only, the others all; with a
+    project all see its own only. Words are weighed by their counts in all memories either way.
 
     index(memories, asked) and nearest(vectors, query_vectors, k): what search.index and knn.nearest give, for instance from
     stored indexes.
     """
-    seen = with_meta(memories, meta).where((F.col("namespace") == namespace) & is_live(now))
+    own_memories = where_given(memories, project=project)
+    seen = with_meta(own_memories, meta).where((F.col("namespace") == namespace) & is_live(now))
     # Questions and their parts (at most six) are searched at once: eight times the id, and 7 or the number of the part.
     parts = variants(asked).select((F.col("query_id") * 8 + F.col("part")).alias("query_id"), "query")
     both = cut(asked.select((F.col("query_id") * 8 + 7).alias("query_id"), "query").unionByName(parts), "variants")
@@ -74,11 +78,12 @@ def signals(memories: DataFrame, meta: DataFrame, edges: DataFrame, asked: DataF
     found = cut(search.search_project(seen, memories, both, pool, ready=ready), "words")
     out = {
         "fts": found.where(part == 7).select(own, *[c for c in found.columns if c != "query_id"]),
-        "year": search.by_year(memories, meta, asked.select("query_id", F.explode(F.array_distinct("years")).alias("year")), pool),
-        "temporal_event": search.temporal_events(memories, meta, asked, pool),
+        "year": search.by_year(own_memories, meta, asked.select("query_id", F.explode(F.array_distinct("years")).alias("year")), pool),
+        "temporal_event": search.temporal_events(own_memories, meta, asked, pool),
         "graph": graph.graph_recall(edges, asked, pool),
     }
     if vectors is not None and query_vectors is not None:
+        vectors = vectors if project is None else vectors.join(own_memories.select("memory_id"), "memory_id", "left_semi")
         out["vector"] = nearest(vectors, query_vectors, pool) if nearest else knn.nearest(vectors, query_vectors, pool, include_self=True)
     if chunks is not None:
         out["chunk"] = search.chunk_parents(chunks, seen, asked.where("route = 'open_domain'"), pool)
@@ -125,9 +130,9 @@ def hybrid_search(memories: DataFrame, meta: DataFrame, edges: DataFrame, querie
     Edges, question features and the fused lists are each used several times, so they are written once; the lists have at
     most the pool of each signal per question.
     """
-    edges = edges.select("edge_id", "memory_id", "source", "relation", "target", "source_norm", "relation_norm", "target_norm", "observed_at", "confidence", "superseded_by")
+    edges = where_given(edges, project=c.project).select("edge_id", "memory_id", "source", "relation", "target", "source_norm", "relation_norm", "target_norm", "observed_at", "confidence", "superseded_by")
     asked, edges = cut_together(questions=features(queries), edges=edges)
-    lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace, index, nearest)
+    lists = signals(memories, meta, edges, asked, c.pool, vectors, query_vectors, chunks, c.now, c.namespace, index, nearest, c.project)
     if c.early_exit:
         done = resolved(lists["fts"], asked, memories)
         lists = {k: v if k in ("fts", "graph") else v.join(done, "query_id", "left_anti") for k, v in lists.items()}

@@ -158,7 +158,7 @@ def test_parsers(spark):
     got = compress.parse_reply("SUMMARY: did it\nFACTS:\n- a\n- A\n- b\nIMPORTANCE: 14\nKIND: Fact\n")
     assert (got["summary"], got["facts"], got["importance"], got["kind"]) == ("did it", ["a", "b"], 10, "fact")
     rows = compress.observer_lines(spark.createDataFrame([("- [2024-01-02] P1 risk: gone\n- bad\n- [2024-01-02] P3 note: x",)], "t string"), "t").collect()
-    assert [(r.priority, r.category, r.line, r.importance) for r in rows] == [(1, "risk", "gone", 0.85), (3, "note", "x", 0.55)]
+    assert [(r.priority, r.category, r.line, r.importance) for r in rows] == [(1, "event", "gone", 0.85), (3, "event", "x", 0.55)]
     assert spark.createDataFrame([("TAGS: a b",)], "t string").select(compress.parse_replies("t").alias("r")).first().r.tags == "a b"
 
 
