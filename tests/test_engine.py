@@ -95,7 +95,7 @@ def test_vectors_deletion_and_point_reads(spark, tmp_path):
     assert e.memory(b).summary == "zzzz yyyy" and e.memory(10**9) is None
     assert Engine(spark, str(tmp_path / "store"), clock=e.clock, namespace="other").memory(b) is None
     assert Engine(spark, str(tmp_path / "store"), clock=e.clock, namespace="other").memory(b, any_namespace=True).memory_id == b
-    assert e.recent_chunks().count() == 2 and e.n_own_memories() == 1 and e.t("memory_entities").where(f"memory_id = {b}").count() == 2
+    assert e.recent_chunks().count() == 5 and e.n_own_memories() == 1 and e.t("memory_entities").where(f"memory_id = {b}").count() == 2
     hashes = {r.memory_id: r.record_hash for r in e.t("memory_meta").collect()}
     assert len(set(hashes.values())) == 4 and all(len(x) == 64 for x in hashes.values())
     e.feedback(b, "used", 1.0)
