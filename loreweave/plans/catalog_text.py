@@ -137,7 +137,10 @@ def correction_mining(t):
     return compress.mine_corrections(commands(t))
 
 
-@query("observations")
+@query("observations", sql=f"""WITH {SECTIONS}, x AS (SELECT o.session_id, o.project, string_agg(text, '' ORDER BY ordinal) AS t, count(*) AS n, array_to_string(list_sort(list(DISTINCT tool)), ' ') AS tags
+  FROM o JOIN observations b ON b.observation_id = o.observation_id GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN strlen(t) > 48000 THEN list_max(list_filter(range(12000, 48001), lambda i: strlen(left(t, i)) <= 48000)) END AS cut FROM x)
+SELECT session_id, project, 'Session of ' || n || ' observations in ' || project || chr(10) || chr(10) || CASE WHEN cut IS NULL THEN t ELSE left(t, cut) || '… [truncated]' END AS summary, tags, CAST(5 AS INTEGER) AS importance FROM k""")
 def local_compression(t):
     return compress.local_compression(t("observations"))
 

@@ -22,8 +22,8 @@ def evidence(found: DataFrame, queries: DataFrame, memories: DataFrame, meta: Da
     found: query_id, route, memory_id, rank0. Its memories are few, so chunks and edges are reduced to them first.
     """
     ids = found.select("memory_id").distinct()
-    c = top(chunks.join(F.broadcast(ids), "memory_id"), MOST_CHUNKS, "ordinal", by="memory_id").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "title"))).alias("cs"))
-    e = top(edges.where("superseded_by IS NULL").join(F.broadcast(ids), "memory_id"), MOST_EDGES, F.desc("confidence"), F.desc("observed_at"), F.desc("edge_id"), by="memory_id")
+    c = top(chunks.join(ids, "memory_id"), MOST_CHUNKS, "ordinal", by="memory_id").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "title"))).alias("cs"))
+    e = top(edges.where("superseded_by IS NULL").join(ids, "memory_id"), MOST_EDGES, F.desc("confidence"), F.desc("observed_at"), F.desc("edge_id"), by="memory_id")
     said = F.concat_ws(" ", "source", F.replace("relation", F.lit("_"), F.lit(" ")), "target")
     e = e.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("rank0", said.alias("said")))).alias("es"))
     rows = found.join(queries.select("query_id", "query"), "query_id").join(memories.select("memory_id", "summary"), "memory_id").join(meta.select("memory_id", "kind", "event_time"), "memory_id", "left")

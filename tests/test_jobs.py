@@ -125,6 +125,46 @@ def test_sessions_close_once_over_growing_input(spark, folders):
     assert (7, 0, 50 * minute, 3, 2, 1) in closed(done) and (9, 3 * hour, 3 * hour + 25 * minute, 2, 2, 1) in closed(done)
 
 
+def test_a_failed_run_is_made_good_by_the_next(spark, folders):
+    """A file that can't be read stops the run; once it is mended, the same batch is read again and nothing counts twice or is lost."""
+    source, out, mark = folders
+    rows = [(i, i % 5, i * 700, "view") for i in range(60)]
+    add_file(events_of(spark, rows[:30]), source, "a")
+    close_sessions.run(spark, source, out, mark)
+    before = sorted(map(str, close_sessions.read(spark, out).collect()))
+    add_file(events_of(spark, rows[30:]), source, "b")
+    name = next(f for f in os.listdir(f"{source}/b") if f.endswith(".parquet") and not f.startswith("."))
+    good = open(f"{source}/b/{name}", "rb").read()
+    crc = f"{source}/b/.{name}.crc"
+    os.remove(crc)
+    with open(f"{source}/b/{name}", "wb") as f:
+        f.write(good[: len(good) // 2])
+    with pytest.raises(Exception, match="(?i)parquet|stream"):
+        close_sessions.run(spark, source, out, mark)
+    assert sorted(map(str, close_sessions.read(spark, out).collect())) == before
+    with open(f"{source}/b/{name}", "wb") as f:
+        f.write(good)
+    close_sessions.run(spark, source, out, mark)
+    at = lambda t: int((t - SECONDS).total_seconds())
+    got = close_sessions.read(spark, out).collect()
+    assert sorted(((x.user_id, at(x.started_at), at(x.last_activity), x.n_events, x.n_kinds, x.n_failures) for x in got), key=str) == closed([rows[:30], rows[30:]])
+
+
+def test_an_index_in_many_batches_is_one_index(spark, folders):
+    source, out, mark = folders
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    for i in range(4):
+        add_file(docs.where(F.col("doc_id") % 4 == i), source, f"part{i}")
+    assert index_texts.run(spark, source, out, mark, {"files_per_batch": 1}) == {"batches": 4, "rows": 200, "texts": 200}
+    assert {r.segment for r in fulltext.lengths(spark, out).select("segment").distinct().collect()} == {0, 1, 2, 3}
+    want = index_of({r.doc_id: r.text for r in docs.collect()})
+    assert indexed(spark, out) == want
+    fulltext.remove(docs.where("doc_id < 10").select(F.col("doc_id").alias("memory_id")), out, fulltext.next_segment(spark, out))
+    fulltext.compact(spark, out, f"{out}-2")
+    assert indexed(spark, out) == indexed(spark, f"{out}-2") == {r for r in want if r[0] >= 10}
+    assert {r.segment for r in fulltext.lengths(spark, f"{out}-2").select("segment").distinct().collect()} == {0}
+
+
 def test_zones_change_nothing(spark, folders):
     source, out, mark = folders
     rows = [(1, 1, 0, "a"), (2, 1, 90 * 24 * 3600 + 7200, "a"), (3, 2, 300 * 24 * 3600, "a")]  # over both changes of the clocks
