@@ -69,24 +69,29 @@ def lengths(spark: SparkSession, path: str) -> DataFrame:
     return last.select("memory_id", "l.length", "l.segment").where("length IS NOT NULL")
 
 
-def postings(spark: SparkSession, path: str, tokens: list[str] | None = None) -> DataFrame:
-    """(memory_id, length, token, tf) of the memories that are there; of some tokens, only their folders and row groups are read."""
+def postings(spark: SparkSession, path: str, asked: DataFrame | None = None) -> DataFrame:
+    """(memory_id, length, token, tf) of the memories that are there, or of asked (token) alone.
+
+    Up to MOST_LOOKED_UP tokens are looked up: only their folders and row groups are read. More meet the postings by a join.
+    """
     rows = _read(spark, path, "postings", POSTINGS)
-    if tokens is not None:
-        known = spark.createDataFrame([(x,) for x in tokens], "token string")
-        buckets = [r[0] for r in known.select(bucket_of(F.col("token"))).distinct().collect()]
-        rows = rows.where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
-        rows = rows.where(F.col("token").isin(tokens)) if len(tokens) <= MOST_LOOKED_UP else rows.join(known, "token", "left_semi")
+    if asked is not None:
+        asked = asked.select("token").distinct()
+        known = asked.select("token", bucket_of(F.col("token")).alias("bucket")).limit(MOST_LOOKED_UP + 1).collect()
+        if len(known) <= MOST_LOOKED_UP:
+            buckets, tokens = sorted({r.bucket for r in known}), sorted(r.token for r in known)
+            rows = rows.where(F.col("bucket").isin(buckets) & F.col("token").isin(tokens)) if known else rows.limit(0)
+        else:
+            rows = rows.join(asked, "token", "left_semi")
     return rows.join(lengths(spark, path), ["memory_id", "segment"]).select("memory_id", "length", "token", "tf")
 
 
 def ready(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
     """What search.index gives, from the stored index: (memory_id, length, hits) with the tokens of asked (token).
 
-    The words of a question, or of MOST_TOKENS rows of many, are collected; texts are not read.
+    Texts are not read.
     """
-    tokens = sorted(r[0] for r in asked.select("token").distinct().collect())
-    hits = postings(spark, path, tokens).groupBy("memory_id").agg(F.collect_list(F.struct("token", "tf")).alias("hits"))
+    hits = postings(spark, path, asked).groupBy("memory_id").agg(F.collect_list(F.struct("token", "tf")).alias("hits"))
     none = F.array().cast("array<struct<token:string,tf:int>>")
     return cut(lengths(spark, path).select("memory_id", "length").join(hits, "memory_id", "left").withColumn("hits", F.coalesce("hits", none)), "ready")
 

@@ -9,38 +9,47 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import graph_terms, is_current_state, normalize_graph_text, normalize_relation, overlap
 from loreweave.operators.search import top
+from loreweave.sources.shared import cut
 
 def normalized(edges: DataFrame) -> DataFrame:
     cols = {"source_norm": normalize_graph_text(F.col("source")), "relation_norm": normalize_relation(F.col("relation")), "target_norm": normalize_graph_text(F.col("target"))}
     return edges.withColumns(cols)
 
 
-def _newest(edges: DataFrame) -> list[Column]:
-    return [F.desc(c) for c in ("observed_at", "created_at", "edge_id") if c in edges.columns]
-
-
 def reconcile(edges: DataFrame) -> DataFrame:
     """Edges with superseded_by, superseded_reason and valid_until, all at once.
 
     First the newest of equal edges stays. Then, of open edges of a current state, the newest of a (project, source, relation)
     wins; those with another target are superseded and end where it begins, or when it was observed.
     """
-    e = normalized(edges) if "source_norm" not in edges.columns else edges
-    exact = Window.partitionBy("project", "source_norm", "relation_norm", "target_norm", F.coalesce("valid_from", F.lit(""))).orderBy(*_newest(e))
-    e = e.withColumn("_copy_of", F.when(F.row_number().over(exact) > 1, F.first("edge_id").over(exact)))
+    e = cut(normalized(edges), "normalized") if "source_norm" not in edges.columns else edges  # used three times
+    newest = F.struct(*[c for c in ("observed_at", "created_at", "edge_id") if c in e.columns])
+    # The newest of a key is found by an aggregate and joined to its edges, so that an entity with very many edges is no single task.
+    equal = ["project", "source_norm", "relation_norm", "target_norm", "_from"]
+    e = e.withColumn("_from", F.coalesce("valid_from", F.lit("")))
+    twice = e.groupBy(*equal).agg(F.max_by("edge_id", newest).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    e = _with(e, twice, equal)
+    e = e.withColumn("_copy_of", F.when(F.col("edge_id") != F.col("_first"), F.col("_first")))
     state = F.col("_copy_of").isNull() & F.col("valid_until").isNull() & is_current_state(F.col("relation_norm"))
-    key = Window.partitionBy("project", "source_norm", "relation_norm", state).orderBy(*_newest(e))
-    first = lambda c: F.first(c).over(key)
-    lost = state & (F.col("target_norm") != first("target_norm"))
-    close = F.coalesce(first("valid_from"), first("observed_at").cast("string"))
-    e = e.withColumns({"_lost": lost, "_winner": first("edge_id"), "_close": close})
+    key = ["project", "source_norm", "relation_norm"]
+    won = F.struct("edge_id", "target_norm", F.coalesce("valid_from", F.col("observed_at").cast("string")).alias("start"))
+    differ = e.where(state).groupBy(*key).agg(F.max_by(won, newest).alias("_won"), F.min("target_norm").alias("_a"), F.max("target_norm").alias("_b")).where("_a <> _b").drop("_a", "_b")
+    e = _with(e, differ, key)
+    e = e.withColumn("_lost", state & (F.col("target_norm") != F.col("_won.target_norm")))
     return e.withColumns(
         {
-            "superseded_by": F.coalesce("_copy_of", F.when(F.col("_lost"), F.col("_winner"))),
+            "superseded_by": F.coalesce("_copy_of", F.when(F.col("_lost"), F.col("_won.edge_id"))),
             "superseded_reason": F.when(F.col("_copy_of").isNotNull(), "duplicate").when(F.col("_lost"), "current_state"),
-            "valid_until": F.when(F.col("_lost"), F.col("_close")).otherwise(F.col("valid_until")),
+            "valid_until": F.when(F.col("_lost"), F.col("_won.start")).otherwise(F.col("valid_until")),
         }
-    ).drop("_copy_of", "_lost", "_winner", "_close")
+    ).drop("_from", "_first", "_copy_of", "_lost", "_won")
+
+
+def _with(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """rows with the other columns of groups, one row a key; null keys are equal."""
+    other = groups.toDF(*[f"_k_{c}" if c in key else c for c in groups.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key])
+    return rows.join(other, same, "left").drop(*[f"_k_{c}" for c in key])
 
 
 def insert_all(edges: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def test_a_question_reads_its_words_alone(spark, tmp_path):
     word = fulltext.postings(spark, f"{tmp_path}/x").groupBy("token").count().where("count BETWEEN 5 AND 20").orderBy("token").first()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        found = fulltext.postings(spark, f"{tmp_path}/x", [word.token])
+        found = fulltext.postings(spark, f"{tmp_path}/x", spark.createDataFrame([(word.token,)], "token string"))
         rows = found.collect()
         plan = found._jdf.queryExecution().executedPlan()
     finally:

@@ -170,3 +170,36 @@ def test_hops_end_where_a_question_comes_again(spark):
     follow = lambda d, _: d.withColumn("query", F.when(F.col("query") == "a", " B ").otherwise("X"))
     got = ranked(retrieve.multi_hop(once, q, lambda d, f: follow(d, f).withColumn("query", F.lower(F.trim("query"))), 2, lambda rows: rows))
     assert got == {1: [1, 2], 2: [3]} and asked == [["a", "x"], ["b"], []]
+
+
+def test_reconciling_a_hub_and_nulls(spark):
+    """Half of all edges of one entity, equal edges, ties in time and null projects: as a loop over the edges does it."""
+    import random
+
+    from loreweave.operators import graph
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(1, 401):
+        project = rng.choice(["p", "q", None])
+        source = "Hub" if i % 2 else f"E{rng.randint(0, 9)}"
+        rows.append((i, project, source, rng.choice(["status", "role", "likes"]), f"T{rng.randint(0, 4)}", rng.choice([None, "2024-01-01", "2024-02-01"]), rng.choice([None, None, None, "2025-01-01"]), 1000 + rng.randint(0, 60)))
+    e = spark.createDataFrame(rows, "edge_id long, project string, source string, relation string, target string, valid_from string, valid_until string, observed_at long")
+    newest = lambda r: (r[7], r[0])
+    groups, states, want = {}, {}, {}
+    for r in rows:
+        groups.setdefault((r[1], r[2].lower(), r[3], r[4].lower(), r[5] or ""), []).append(r)
+    alive = []
+    for g in groups.values():
+        first = max(g, key=newest)
+        alive.append(first)
+        want |= {r[0]: (first[0], "duplicate", r[6]) for r in g if r is not first}
+    for r in alive:
+        if r[6] is None and r[3] in ("status", "role"):
+            states.setdefault((r[1], r[2].lower(), r[3]), []).append(r)
+    for g in states.values():
+        won = max(g, key=newest)
+        want |= {r[0]: (won[0], "current_state", won[5] or str(won[7])) for r in g if r[4] != won[4]}
+    for r in rows:
+        want.setdefault(r[0], (None, None, r[6]))
+    assert {r.edge_id: (r.superseded_by, r.superseded_reason, r.valid_until) for r in graph.reconcile(e).collect()} == want
