@@ -65,7 +65,10 @@ def dictionary(rows: DataFrame, named: DataFrame) -> bytes:
     samples = [bytes(r.payload) for r in some.select("payload").orderBy("page_id", "digest").limit(2 * SAMPLES).collect()]
     if sum(map(len, samples)) < 8 * DICTIONARY or len(samples) < 16:
         return b""
-    return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+    except zstandard.ZstdError:  # the samples have too little to learn from, or are all one
+        return b""
 
 
 def _frame(data: bytes, compressor: zstandard.ZstdCompressor) -> bytes:
