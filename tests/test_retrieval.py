@@ -1,14 +1,16 @@
 """The whole search against a plain version of it, and its passes on small examples."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from loreweave.functions import stem
-from loreweave.operators import fusion, graph, search, visibility
-from loreweave.plans import catalog_retrieval, retrieve
+from loreweave.functions.text import SOURCE_STOPWORDS
+from loreweave.operators import compress, fusion, graph, search, visibility
+from loreweave.plans import catalog_retrieval, catalog_text, registry, retrieve  # noqa: F401
 from loreweave.sources.views import NOW, Tables
 
 SF = "/root/testdata/sf0.001"
@@ -57,7 +59,7 @@ def test_whole_search_like_brute_force(spark):
     memories, meta, edges = t("memories"), t("memory_meta"), graph.reconcile(t("memory_edges"))
     c = retrieve.Config(now=NOW, tier_weight=0.002, trust_weight=0.004, supersession_weight=0.01, activation_weight=0.002)
     asked = retrieve.features(t("queries"))
-    qv = t("queries").select("query_id", (F.col("query_id") % 40).alias("memory_id")).join(t("memory_embeddings").select("memory_id", "embedding"), "memory_id").select("query_id", "embedding")
+    qv = t("queries").select("query_id", F.pmod("query_id", F.lit(500)).alias("memory_id")).join(t("memory_embeddings").select("memory_id", "embedding"), "memory_id").select("query_id", "embedding")
     lists = retrieve.signals(memories, meta, edges, asked, c.pool, t("memory_embeddings"), qv, catalog_retrieval.chunks(t), NOW)
     found = {k: ranked(v) for k, v in lists.items()}
     facts = {r.memory_id: r.asDict() for r in visibility.with_meta(memories, meta).collect()}
@@ -111,6 +113,66 @@ def test_whole_search_like_brute_force(spark):
     assert dict(got) == want and floored
 
 
+def test_reranking_and_context_like_brute_force(spark):
+    """What the registered reranking and context make of the search's lists is done again in plain Python."""
+    t = Tables(spark, SF)
+    narrow, wide = ranked_in_order(catalog_retrieval.found(t, 10)), ranked_in_order(catalog_retrieval.found(t, 50))
+    texts = {r.memory_id: r.summary for r in t("memories").collect()}
+    pairs = spark.createDataFrame([(q, i) for q, ids in wide.items() for i in {*ids, *narrow.get(q, [])}], "query_id long, memory_id long")
+    rows = pairs.join(t("queries"), "query_id").join(t("memories").select("memory_id", "summary"), "memory_id")
+    share = {(r.query_id, r.memory_id): r.s for r in rows.select("query_id", "memory_id", search.overlap_of(F.col("query"), F.col("summary")).alias("s")).collect()}
+    want = {}
+    for q in wide:
+        base = narrow.get(q, []) + [i for i in wide[q] if i not in narrow.get(q, [])]
+        by = sorted(base, key=lambda i: (-share[q, i], base.index(i), i))
+        want[q] = sorted(base, key=lambda i: (-round(1 / (60 + base.index(i)) + 1 / (60 + by.index(i)), 12), base.index(i)))[:10]
+    assert ranked_in_order(registry.QUERIES["reranked_search"](spark, SF)) == want
+
+    places = {}
+    for q, ids in narrow.items():
+        seen, kept = set(), []
+        for i in ids:
+            key = " ".join(re.split(r"[ \t\n\x0b\f\r]+", texts[i])).strip(" ").lower()
+            if key not in seen:
+                seen.add(key)
+                kept.append(i)
+        order = kept[::2] + kept[1::2][::-1]
+        places |= {(q, i): at for at, i in enumerate(order)}
+    assert {(r.query_id, r.memory_id): r.place for r in registry.QUERIES["context_assembly"](spark, SF).collect()} == places
+
+
+def test_best_spans_like_brute_force(spark):
+    o = Tables(spark, SF)("observations")
+    sections = defaultdict(list)
+    for r in compress.transcript_sections(o).collect():
+        sections[r.session_id].append(r)
+    terms = lambda x: {w.lower() for w in re.findall(r"[^\W_]+", x) if len(w) >= 4} - set(SOURCE_STOPWORDS)
+    want = {}
+    for rows in sections.values():
+        first = min(rows, key=lambda r: r.ordinal)
+        fact = first.input if first.input is not None else first.output
+        if fact is None:
+            continue
+        best = []
+        for r in rows:
+            exact = len(fact.strip(" ").encode()) >= 8 and fact.strip(" ").lower() in r.text.lower()
+            n = len(terms(fact) & terms(r.text))
+            if exact or n >= 2:
+                best.append((exact, n, -r.start_byte, r.end_byte))
+        if best:
+            b = max(best)
+            want[first.observation_id] = (-b[2], b[3])
+    assert {r.fact_id: (r.start_byte, r.end_byte) for r in registry.QUERIES["best_spans"](spark, SF).collect()} == want and want
+
+
+def ranked_in_order(rows):
+    """{query: [memory, ...]} in the order of rank0, which may have gaps."""
+    out = defaultdict(list)
+    for r in sorted(rows.select("query_id", "memory_id", "rank0").collect(), key=lambda r: (r.query_id, r.rank0)):
+        out[r.query_id].append(r.memory_id)
+    return dict(out)
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     m = spark.createDataFrame(
