@@ -14,7 +14,7 @@ from loreweave.plans.catalog_graph import RECONCILED
 from loreweave.plans.catalog_tables import ADJUST, LOGS, MM, live
 from loreweave.plans.catalog_text import event_terms_sql, graph_terms_sql
 from loreweave.plans.registry import LIVE, query
-from loreweave.sources.shared import scratch
+from loreweave.sources.shared import cut, scratch
 from loreweave.sources.views import NOW
 
 VECTORS = "memory_embeddings"
@@ -262,7 +262,8 @@ def found(t, limit=10):
     c = retrieve.Config(now=NOW, limit=limit, tier_weight=0.002, trust_weight=0.004, supersession_weight=0.01, activation_weight=0.002)
     last = t(VECTORS).agg(F.max("memory_id")).first()[0] or 0  # each question has a vector, as long as there are more of them
     qv = t("queries").select("query_id", F.pmod("query_id", F.lit(last + 1)).alias("memory_id")).join(t(VECTORS).select("memory_id", "embedding"), "memory_id").select("query_id", "embedding")
-    return retrieve.hybrid_search(t("memories"), t("memory_meta"), graph.reconcile(t("memory_edges")), t("queries"), c, t(VECTORS), qv, chunks(t))
+    edges = graph.reconcile(cut(graph.normalized(t("memory_edges")), "normalized"))  # their names are normalised once
+    return retrieve.hybrid_search(t("memories"), t("memory_meta"), edges, t("queries"), c, t(VECTORS), qv, chunks(t))
 
 
 @query(*MM, "memory_edges", VECTORS, "queries")
