@@ -127,12 +127,12 @@ def merged_facts(facts: Column, more: Column) -> Column:
     Equal ones meet by sorting, so long lists take no pairwise comparison. Null lists count as empty.
     """
     none = F.array().cast("array<string>")
-    have = F.coalesce(facts, none)
     key = lambda x: F.translate(F.regexp_replace(x, r"^\s+|\s+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = F.array_sort(F.transform(F.concat(have, F.coalesce(more, none)), lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(rows, lambda r: r["key"]))
-    paired = F.filter(F.arrays_zip(rows.alias("r"), before.alias("b")), lambda p: p["r"].isNotNull() & ((p["r"]["i"] < F.size(have)) | ~p["r"]["key"].eqNullSafe(p["b"])))
-    kept = F.array_sort(F.transform(paired, lambda p: F.struct(p["r"]["i"].alias("i"), p["r"]["x"].alias("x"))))
+    row = lambda n: lambda x, i: F.struct(key(x).alias("key"), F.lit(n).alias("list"), i.alias("i"), x.alias("x"))
+    rows = F.array_sort(F.concat(F.transform(F.coalesce(facts, none), row(0)), F.transform(F.coalesce(more, none), row(1))))
+    # Nothing that goes through a list may stand inside a lambda: it would be computed anew for each element. So the sorted rows are a variable.
+    new = lambda rows: F.filter(rows, lambda r, i: (r["list"] == 0) | (i == 0) | ~r["key"].eqNullSafe(F.get(rows, i - 1)["key"]))
+    kept = F.array_sort(F.transform(F.get(F.transform(F.array(rows), new), F.lit(0)), lambda r: F.struct(r["list"].alias("list"), r["i"].alias("i"), r["x"].alias("x"))))
     return F.transform(kept, lambda r: r["x"])
 
 
