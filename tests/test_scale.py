@@ -1,7 +1,10 @@
 """What a larger table must not change: whole jobs, and work that grows no faster than the rows."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from loreweave import catalog
 from loreweave.operators import compress
 
 
@@ -11,3 +14,11 @@ def test_merged_facts_go_through_each_list_once(spark):
     df = spark.createDataFrame([(" ".join(words[:3]), " ".join(words[3:]))], "a string, b string").select(compress.merged_facts(F.split("a", " "), F.split("b", " ")).alias("x"))
     assert df._jdf.queryExecution().analyzed().toString().count("split(") == 2
     assert df.first().x == words[:7000]
+
+
+def test_stale_candidates_of_every_relation(spark, tmp_path):
+    """A "placed" edge that a later copy closes counts like any other."""
+    day = datetime.date(1996, 1, 1)
+    spark.createDataFrame([(14, 1, "O", "1-URGENT", day), (1064, 1, "O", "1-URGENT", day)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#000000001", "BUILDING")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [tuple(r) for r in catalog.queries()["stale_candidates"](spark, str(tmp_path)).collect()] == [(4, 14)]
