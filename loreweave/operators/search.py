@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,6 +25,8 @@ MOST_TERMS = 500
 MOST_TOKENS = 100_000
 #: Words of queries that are sent to every task at once; more are searched block by block.
 MOST_ASKED = 50_000
+#: Bytes of texts that a worker goes through at once.
+SLICE = 1 << 20
 #: Words whose stems a worker remembers.
 MOST_WORDS = 200_000
 
@@ -54,6 +56,17 @@ def index(memories: DataFrame, asked: DataFrame, stemming: bool = True) -> DataF
     return cut(counted(memory_texts(memories), frozenset(known) if len(known) <= MOST_TOKENS else None, stemming), "index")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some SLICE bytes of a text column, one row at least, so that a worker holds the objects of one slice."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def memory_texts(memories: DataFrame) -> DataFrame:
     """(memory_id, text): what full text finds a memory by."""
     return memories.select("memory_id", F.concat_ws(" ", "project", "session_id", "summary", "tags").alias("text"))
@@ -66,8 +79,8 @@ def counted(texts: DataFrame, wanted: frozenset | None, stemming: bool = True) -
     def run(batches):
         wanted, stems = shared.value, {}
         may_have = Wanted(wanted).may_have if wanted is not None and stemming else lambda word: True
-        for batch in batches:
-            lengths, hits = [], []
+        for batch in sliced(batches, "text"):
+            lengths, starts, names, counts = [], [0], [], []
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
                 lengths.append(len(words))
@@ -80,9 +93,11 @@ def counted(texts: DataFrame, wanted: frozenset | None, stemming: bool = True) -
                             stems[word] = x
                     if x:
                         found[x] += n
-                hits.append([{"token": x, "tf": n} for x, n in found.items()])
-            kind = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("memory_id"), pa.array(lengths, pa.int32()), pa.array(hits, kind)], ["memory_id", "length", "hits"])
+                names += found.keys()
+                counts += found.values()
+                starts.append(len(names))
+            hits = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int32())], ["token", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column("memory_id"), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), hits)], ["memory_id", "length", "hits"])
 
     kind = texts.schema["memory_id"].dataType.simpleString()
     return texts.mapInArrow(run, f"memory_id {kind}, length int, hits array<struct<token:string,tf:int>>")

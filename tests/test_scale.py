@@ -2,11 +2,13 @@
 
 import datetime
 import random
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loreweave import catalog
-from loreweave.operators import compress, consolidate
+from loreweave.operators import compress, consolidate, search
 
 
 def test_merged_facts_go_through_each_list_once(spark):
@@ -42,3 +44,20 @@ def test_similar_pairs_carry_terms_of_near_texts_alone(spark, monkeypatch):
     got = {(r.a, r.b) for r in consolidate.similar_pairs(m).collect()}
     assert got == {(a, b) for b in range(len(sets)) for a in range(b) if sets[a] != sets[b] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
     assert 40 <= len(got) and kept["candidates"].count() <= 2 * len(got)
+
+
+def test_words_are_counted_slice_by_slice():
+    """A worker makes objects of some SLICE bytes of text at a time, whatever the batch; no row is lost."""
+    texts = ["a" * 400_000, None, "", "b" * 400_000, "c" * 3_000_000, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["memory_id", "text"])
+    parts = list(search.sliced([batch], "text"))
+    assert [x.column("memory_id").to_pylist() for x in parts] == [[0, 1, 2, 3], [4], [5]]
+    assert list(search.sliced([batch.slice(0, 0)], "text")) == []
+
+
+def test_counted_over_several_slices(spark):
+    texts = {i: " ".join(f"w{i} w{j % 7}" for j in range(60_000)) for i in range(6)} | {6: "", 7: None}
+    df = spark.createDataFrame(list(texts.items()), "memory_id long, text string").coalesce(1)
+    got = {r.memory_id: (r.length, {h.token: h.tf for h in r.hits}) for r in search.counted(df, None, False).collect()}
+    want = {i: Counter((x or "").split()) for i, x in texts.items()}
+    assert got == {i: (sum(c.values()), dict(c)) for i, c in want.items()}
