@@ -19,8 +19,8 @@ from loreweave.sources.shared import cut
 
 # The usual BM25 parameters and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Terms that are looked for in every chunk at once; more are searched block by block.
-MOST_TERMS = 500
+#: Terms of queries that are looked for in every chunk at once; more are searched block by block.
+MOST_TERMS = 50_000
 #: Distinct query tokens that are sent to every task that counts them; with more, all tokens are counted.
 MOST_TOKENS = 100_000
 #: Words of queries that are sent to every task at once; more are searched block by block.
@@ -252,20 +252,57 @@ def match_all(memories: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.join(need, "query_id").where("n = need").select("query_id", "memory_id")
 
 
+class Held:
+    """Which of some terms a text holds as substrings. Terms may have no ASCII characters but letters, digits and apostrophes.
+
+    Terms are kept by how they begin, so a word is compared with those alone that begin as it does at one of its places.
+    """
+
+    def __init__(self, terms):
+        terms = set(terms)
+        self.n = min(3, min(map(len, terms), default=1))
+        self.by: dict[str, list[str]] = {}
+        for x in sorted(terms):
+            self.by.setdefault(x[: self.n], []).append(x)
+        self.apart = bytes(c if c >= 128 or c == 39 or chr(c).isalnum() else 32 for c in range(256))
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def of(self, text: str) -> list[str]:
+        found: set[str] = set()
+        for word in set(text.encode("utf-8", "surrogatepass").translate(self.apart).decode("utf-8", "surrogatepass").split(" ")):
+            held = self.known.get(word)
+            if held is None:
+                held = tuple(x for i in range(len(word) - self.n + 1) for x in self.by.get(word[i : i + self.n], ()) if word.startswith(x, i))
+                if len(self.known) < MOST_WORDS and len(word) <= 64:
+                    self.known[word] = held
+            found.update(held)
+        return sorted(found)
+
+
 def chunk_parents(chunks: DataFrame, visible: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Memories by the most query terms (of the first eight) that one of their chunks holds. Any number of queries.
 
-    Each distinct term is looked for once in a chunk, MOST_TERMS at a time; terms then meet the queries by a join.
+    A term has no ASCII characters but letters, digits and apostrophes, so it is found in the words between others; each distinct
+    word of a text is gone through once, whatever the number of terms, MOST_TERMS of which are sent to every task at a time.
+    Texts stay where they are: what is shuffled is (memory_id, created_at, h, term).
     """
     asked = queries.select("query_id", F.explode(F.slice(event_terms(F.col("query")), 1, 8)).alias("term"))
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
-    rows = chunks.join(visible.select("memory_id"), "memory_id").select("memory_id", "created_at", F.xxhash64(text).alias("h"), text.alias("t"))
+    rows = chunks.select("memory_id", "created_at", F.xxhash64(text).alias("h"), text.alias("t"))
 
     def held(terms: list[Row]) -> DataFrame:
-        every = F.array(*[F.lit(r["query_id"]) for r in terms]) if terms else F.array().cast("array<string>")
-        return rows.select("memory_id", "created_at", "h", F.explode(F.filter(every, lambda x: F.contains("t", x))).alias("term"))
+        shared = chunks.sparkSession.sparkContext.broadcast(Held(r["query_id"] for r in terms))
+
+        def run(batches):
+            for batch in sliced(batches, "t"):
+                found = [shared.value.of(t) for t in batch.column("t").to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("memory_id", "created_at", "h")), pa.array([x for f in found for x in f], pa.string())], ["memory_id", "created_at", "h", "term"])
+
+        kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("memory_id", "created_at", "h")]
+        return rows.mapInArrow(run, ", ".join([*kinds, "term string"]))
 
-    found = in_blocks(asked.select(F.col("term").alias("query_id")).distinct(), MOST_TERMS, held)
+    found = in_blocks(asked.select(F.col("term").alias("query_id")).distinct(), MOST_TERMS, held).join(visible.select("memory_id"), "memory_id")
     #: Chunks of a memory with one text count once, so a term is counted once for each text.
     hits = found.join(asked, "term").groupBy("query_id", "memory_id", "h").agg(F.count_distinct("term").alias("score"), F.max("created_at").alias("created_at"))
     hits = hits.groupBy("query_id", "memory_id").agg(F.max("score").cast("int").alias("score"), F.max("created_at").alias("created_at"))

@@ -61,3 +61,18 @@ def test_counted_over_several_slices(spark):
     got = {r.memory_id: (r.length, {h.token: h.tf for h in r.hits}) for r in search.counted(df, None, False).collect()}
     want = {i: Counter((x or "").split()) for i, x in texts.items()}
     assert got == {i: (sum(c.values()), dict(c)) for i, c in want.items()}
+
+
+def test_terms_are_found_within_words(spark):
+    """What Held finds is what a text contains, beyond ASCII and with apostrophes too, and no text is shuffled for it."""
+    rng = random.Random(5)
+    letters = "abcäß日'1"
+    terms = {"".join(rng.choices(letters, k=rng.randint(3, 5))) for _ in range(300)}
+    texts = ["".join(rng.choices(letters + " .-\n\x00 _", k=rng.randint(0, 400))) for _ in range(200)]
+    held = search.Held(terms)
+    assert all(held.of(x) == sorted(t for t in terms if t in x) for x in [*texts, *texts])
+    assert search.Held([]).of("a b") == [] and search.Held(["ab", "abc"]).of("x-xabcx") == ["ab", "abc"]
+    m = spark.createDataFrame([(i, 10, "p", x) for i, x in enumerate(texts)], "memory_id long, created_at long, title string, summary string")
+    q = spark.createDataFrame([(1, "abc äßa 11a")], "query_id long, query string")
+    plan = search.chunk_parents(m, m, q, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "summary" not in plan[: plan.index("MapInArrow")]
