@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from loreweave.operators.search import SLICE, sliced
 
 # Extensions of source files, and what a log line begins with or holds.
 CODE_EXTENSIONS = (
@@ -19,18 +21,23 @@ DIFF_START = r"^(@@ |--- |\+\+\+ |diff )"
 
 def content_type(text: Column, extension: Column | None = None) -> Column:
     """binary, json, diff, log, code or text, in this order."""
+    # The lines are a variable: an expression would split the text again for each rule.
     lines = F.filter(F.split(text, "\r?\n"), lambda x: F.trim(x) != "")
-    n = F.size(lines)
-    hits = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
-    first = F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), r"^\s+", "")
-    diff = first.rlike(DIFF_START) | ((hits("^@@") > 0) & (hits("^[-+@]") >= 3) & (hits("^[-+@]") * 10 >= n * 6))
-    log = (n >= 2) & (hits(LOG_LINE) * 2 >= n)
+
+    def by_lines(ls: Column) -> Column:
+        n = F.size(ls)
+        hits = lambda p: F.size(F.filter(ls, lambda x: x.rlike(p)))
+        first = F.regexp_replace(F.coalesce(F.get(ls, F.lit(0)), F.lit("")), r"^\s+", "")
+        diff = first.rlike(DIFF_START) | ((hits("^@@") > 0) & (hits("^[-+@]") >= 3) & (hits("^[-+@]") * 10 >= n * 6))
+        log = (n >= 2) & (hits(LOG_LINE) * 2 >= n)
+        return F.when(diff, "diff").when(log, "log").when(code, "code").otherwise("text")
+
     dense = F.length(text) - F.length(F.translate(text, "{}();", ""))
     code = (F.length(text) > 0) & (dense / F.length(text) > 0.02)
     if extension is not None:
         code = code | F.coalesce(F.lower(extension).isin(*CODE_EXTENSIONS), F.lit(False))
     json = F.trim(text).rlike(r"^[\[{]") & F.try_parse_json(F.trim(text)).isNotNull()
-    return F.when(text.contains("\x00"), "binary").when(json, "json").when(diff, "diff").when(log, "log").when(code, "code").otherwise("text")
+    return F.when(text.contains("\x00"), "binary").when(json, "json").otherwise(F.get(F.transform(F.array(lines), by_lines), F.lit(0)))
 
 
 def store(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -38,27 +45,30 @@ def store(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy(F.sha2(text, 256).alias("hash")).agg(F.max(F.octet_length(text)).cast("long").alias("orig_len"), F.count("*").alias("refcount"), F.first(text).alias("data"))
 
 
-@F.pandas_udf(T.BinaryType())
-def zstd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import zstandard
+def compressed(rows: DataFrame) -> DataFrame:
+    """(hash, data) of contents (hash, data: text): each compressed by itself, in slices of some bytes."""
 
-    c = zstandard.ZstdCompressor(level=19)
-    for batch in texts:
-        yield batch.map(lambda t: c.compress((t or "").encode()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        c = zstandard.ZstdCompressor(level=19)
+        for batch in sliced(batches, "data"):
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array([c.compress((x or "").encode()) for x in batch.column("data").to_pylist()], pa.binary())], ["hash", "data"])
 
-@F.pandas_udf(T.StringType())
-def unzstd(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import zstandard
-
-    d = zstandard.ZstdDecompressor()
-    for batch in blobs:
-        yield batch.map(lambda b: d.decompress(b).decode())
+    return rows.select("hash", "data").mapInArrow(run, "hash string, data binary")
 
 
 def load(blobs: DataFrame) -> DataFrame:
     """Contents of compressed blobs (hash, data), and whether they still have their hash."""
-    return blobs.select("hash", unzstd("data").alias("text")).withColumn("intact", F.sha2("text", 256) == F.col("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
+        for batch in sliced(batches, "data", SLICE // 8):
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array([None if x is None else d.decompress(x).decode() for x in batch.column("data").to_pylist()], pa.string())], ["hash", "text"])
+
+    return blobs.select("hash", "data").mapInArrow(run, "hash string, text string").withColumn("intact", F.sha2("text", 256) == F.col("hash"))
 
 
 def stats(blobs: DataFrame) -> DataFrame:
@@ -106,8 +116,8 @@ def registered(known: DataFrame, new: DataFrame, now: int) -> DataFrame:
 
 
 def pack(texts: DataFrame, dictionaries: DataFrame) -> DataFrame:
-    """texts (hash, content_type, data) as (hash, content_type, packed, dictionary): compressed with the newest dictionary of the
-    type, if that is smaller than without one. dictionary is its hash, or null.
+    """texts (hash, content_type, data) as (hash, content_type, packed, dictionary, plain): compressed with the newest dictionary of
+    the type, if that is smaller than without one. dictionary is its hash, or null; plain is the bytes of the text without one.
 
     dictionaries: content_type, hash, data, trained_at; each has DICTIONARY_BYTES at most and a type has one newest.
     """
@@ -121,17 +131,18 @@ def pack(texts: DataFrame, dictionaries: DataFrame) -> DataFrame:
         plain = zstandard.ZstdCompressor(level=19)
         own = {k: (h, zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(d))) for k, (h, d) in shared.value.items()}
         for pdf in batches:
-            packed, used = [], []
+            packed, used, sizes = [], [], []
             for kind, text in zip(pdf["content_type"], pdf["data"], strict=True):
                 raw = (text or "").encode()
                 best, by = plain.compress(raw), None
+                sizes.append(len(best))
                 if kind in own and len(shorter := own[kind][1].compress(raw)) < len(best):
                     best, by = shorter, own[kind][0]
                 packed.append(best)
                 used.append(by)
-            yield pd.DataFrame({"hash": pdf["hash"], "content_type": pdf["content_type"], "packed": packed, "dictionary": used})
+            yield pd.DataFrame({"hash": pdf["hash"], "content_type": pdf["content_type"], "packed": packed, "dictionary": used, "plain": sizes})
 
-    return texts.select("hash", "content_type", "data").mapInPandas(run, "hash string, content_type string, packed binary, dictionary string")
+    return texts.select("hash", "content_type", "data").mapInPandas(run, "hash string, content_type string, packed binary, dictionary string, plain int")
 
 
 def unpack(packed: DataFrame, dictionaries: DataFrame) -> DataFrame:

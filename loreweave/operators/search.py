@@ -56,13 +56,13 @@ def index(memories: DataFrame, asked: DataFrame, stemming: bool = True) -> DataF
     return cut(counted(memory_texts(memories), frozenset(known) if len(known) <= MOST_TOKENS else None, stemming), "index")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of some SLICE bytes of a text column, one row at least, so that a worker holds the objects of one slice."""
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some `most` bytes of a text column, one row at least, so that a worker holds the objects of one slice."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at)
             at = end
 

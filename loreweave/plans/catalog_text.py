@@ -208,8 +208,7 @@ def content_detect(t):
 
 @query("blobs", sql="SELECT hash, orig_len, true AS intact FROM blobs")
 def blob_round_trip(t):
-    b = blobs.store(t("documents")).select("hash", blobs.zstd("data").alias("data"))
-    return blobs.load(b).select("hash", F.octet_length("text").cast("long").alias("orig_len"), "intact")
+    return blobs.load(blobs.compressed(blobs.store(t("documents")))).select("hash", F.octet_length("text").cast("long").alias("orig_len"), "intact")
 
 
 @query(sql="""SELECT sha256(text) AS hash, max(strlen(text)) AS orig_len, true AS intact, true AS no_larger FROM (
@@ -217,12 +216,11 @@ def blob_round_trip(t):
 def blob_packing(t):
     """Documents, pages and events packed with the dictionaries trained on them, and read back; none is larger than without one."""
     rows = t("documents").select("text").unionByName(t("pages").select(F.col("html").alias("text"))).unionByName(t("events").select(F.col("props").alias("text"))).where("text IS NOT NULL")
-    stored = blobs.store(rows).withColumn("content_type", blobs.content_type(F.col("data")))
-    known = blobs.train_dictionaries(stored.select("content_type", "data", F.col("orig_len").alias("order"))).withColumn("trained_at", F.lit(1).cast("long"))
+    stored = cut(blobs.store(rows).withColumn("content_type", blobs.content_type(F.col("data"))), "stored")
+    known = cut(blobs.train_dictionaries(stored.select("content_type", "data", F.col("orig_len").alias("order"))).withColumn("trained_at", F.lit(1).cast("long")), "dictionaries")
     packed = cut(blobs.pack(stored, known), "packed")
     back = blobs.unpack(packed, known).select("hash", F.octet_length("text").cast("long").alias("orig_len"), "intact")
-    plain = stored.select("hash", (F.octet_length(blobs.zstd("data")) >= 0).alias("_"), F.octet_length(blobs.zstd("data")).alias("plain"))
-    return back.join(packed.select("hash", F.octet_length("packed").alias("n")), "hash").join(plain, "hash").select("hash", "orig_len", "intact", (F.col("n") <= F.col("plain")).alias("no_larger"))
+    return back.join(packed.select("hash", (F.octet_length("packed") <= F.col("plain")).alias("no_larger")), "hash")
 
 
 @query("memory_meta", sql=r"""

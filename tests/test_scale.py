@@ -1,6 +1,7 @@
 """What a larger table must not change: whole jobs, and work that grows no faster than the rows."""
 
 import datetime
+import hashlib
 import random
 from collections import Counter
 
@@ -8,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loreweave import catalog
-from loreweave.operators import compress, consolidate, search
+from loreweave.operators import blobs, compress, consolidate, search
+from loreweave.plans import catalog_text
 
 
 def test_merged_facts_go_through_each_list_once(spark):
@@ -76,3 +78,24 @@ def test_terms_are_found_within_words(spark):
     q = spark.createDataFrame([(1, "abc äßa 11a")], "query_id long, query string")
     plan = search.chunk_parents(m, m, q, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "summary" not in plan[: plan.index("MapInArrow")]
+
+
+def test_content_type_splits_a_text_once(spark):
+    df = spark.createDataFrame([("diff --git\n+a",), ("a {b}",), (None,)], "x string").select(blobs.content_type(F.col("x")).alias("x"))
+    assert [r.x for r in df.collect()] == ["diff", "code", "text"]
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
+def test_blobs_are_packed_from_one_store(spark, monkeypatch):
+    """Contents are hashed and typed once and dictionaries trained once; what a text takes without one comes from packing it."""
+    kept = []
+    monkeypatch.setattr(catalog_text, "cut", lambda df, name="step", plain=catalog_text.cut: (kept.append(name), plain(df, name))[1])
+    df = catalog.queries()["blob_packing"](spark, "/root/testdata/sf0.001")
+    assert kept == ["stored", "dictionaries", "packed"] and df.where("intact AND no_larger").count() == df.count() > 0
+
+
+def test_blobs_go_slice_by_slice(spark):
+    texts = ["x" * 300_000, None, "é", "", "y" * 3_000_000] * 3
+    b = spark.createDataFrame([(hashlib.sha256((x or "").encode()).hexdigest(), x) for x in texts], "hash string, data string").coalesce(1)
+    got = blobs.load(blobs.compressed(b)).select("hash", F.length("text").alias("n"), "intact").collect()
+    assert sorted((r.hash, r.n, r.intact) for r in got) == sorted((hashlib.sha256((x or "").encode()).hexdigest(), len(x or ""), True) for x in texts)
