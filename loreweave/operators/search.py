@@ -366,13 +366,18 @@ LINKED_TAGS, LINKED_TEXT = ("locomo", "source", "fact"), "(as of "
 DERIVED = ("synthesized", "derived")
 
 
+def of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of memories that found (memory_id) has. Where found was written and is small, it goes to the rows, which aren't shuffled."""
+    return rows.join(found.select("memory_id").distinct(), "memory_id", "left_semi")
+
+
 def source_facts(found: DataFrame, queries: DataFrame, memories: DataFrame, meta: DataFrame) -> DataFrame:
     """Lexical hits (query_id, memory_id, rank0) that are facts or linked to a source and not derived, with n_shared and n_terms.
 
     n_shared: terms of the query that summary and tags have.
     """
     rows = found.select("query_id", "memory_id", "rank0").join(queries.select("query_id", event_terms(F.col("query")).alias("ts")).where(F.size("ts") > 0), "query_id")
-    rows = rows.join(memories.select("memory_id", "summary", F.coalesce("tags", F.lit("")).alias("tags")), "memory_id").join(meta.select("memory_id", "kind"), "memory_id", "left")
+    rows = rows.join(of(memories, found).select("memory_id", "summary", F.coalesce("tags", F.lit("")).alias("tags")), "memory_id").join(meta.select("memory_id", "kind"), "memory_id", "left")
     any_in = lambda c, parts: reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
     linked = any_in(F.lower("tags"), LINKED_TAGS) | F.contains("summary", F.lit(LINKED_TEXT))
     kind = F.coalesce("kind", F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import dates
 from loreweave.functions.text import clip_words, event_terms
 from loreweave.operators import fusion
-from loreweave.operators.search import top
+from loreweave.operators.search import of, top
 from loreweave.sources.shared import cut
 
 #: Chunks and edges that a memory's evidence names, and words of its text.
@@ -21,12 +21,13 @@ def evidence(found: DataFrame, queries: DataFrame, memories: DataFrame, meta: Da
 
     found: query_id, route, memory_id, rank0. Its memories are few, so chunks and edges are reduced to them first.
     """
+    found = cut(found.select("query_id", "route", "memory_id", "rank0"), "found")
     ids = found.select("memory_id").distinct()
-    c = top(chunks.join(ids, "memory_id"), MOST_CHUNKS, "ordinal", by="memory_id").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "title"))).alias("cs"))
+    c = top(of(chunks, found).select("memory_id", "ordinal", "title"), MOST_CHUNKS, "ordinal", by="memory_id").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "title"))).alias("cs"))
     e = top(edges.where("superseded_by IS NULL").join(ids, "memory_id"), MOST_EDGES, F.desc("confidence"), F.desc("observed_at"), F.desc("edge_id"), by="memory_id")
     said = F.concat_ws(" ", "source", F.replace("relation", F.lit("_"), F.lit(" ")), "target")
     e = e.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("rank0", said.alias("said")))).alias("es"))
-    rows = found.join(queries.select("query_id", "query"), "query_id").join(memories.select("memory_id", "summary"), "memory_id").join(meta.select("memory_id", "kind", "event_time"), "memory_id", "left")
+    rows = found.join(queries.select("query_id", "query"), "query_id").join(of(memories, found).select("memory_id", "summary"), "memory_id").join(meta.select("memory_id", "kind", "event_time"), "memory_id", "left")
     rows = rows.join(c, "memory_id", "left").join(e, "memory_id", "left")
     label = F.col("route")
     for k, v in LABELS.items():

@@ -170,7 +170,7 @@ def pin_profile(ranked: DataFrame, profile: DataFrame, limit: int) -> DataFrame:
 
 def lexical_rerank(found: DataFrame, queries: DataFrame, memories: DataFrame, score=search.overlap_of) -> DataFrame:
     """Found memories fused with their order by a scorer (question, text): without a model, the share of terms they have."""
-    rows = found.join(queries.select("query_id", "query"), "query_id").join(memories.select("memory_id", "summary"), "memory_id")
+    rows = found.join(queries.select("query_id", "query"), "query_id").join(search.of(memories, found).select("memory_id", "summary"), "memory_id")
     by = search.top(rows.withColumn("_s", score(F.col("query"), F.col("summary"))).drop("rank0").withColumn("_was", F.col("score")), 1 << 30, F.desc("_s"), F.desc("_was"), "memory_id")
     both = found.select("query_id", F.lit(0).alias("list_no"), F.lit(1).alias("weight"), "memory_id", "rank0").unionByName(by.select("query_id", F.lit(1).alias("list_no"), F.lit(1).alias("weight"), "memory_id", "rank0"))
     return fusion.rrf(both)
@@ -207,7 +207,8 @@ def injection_rank(memories: DataFrame, meta: DataFrame, relevance: DataFrame, a
 def context(found: DataFrame, memories: DataFrame) -> DataFrame:
     """Found memories (query_id, memory_id, rank0) without repeats of a summary, in U shape: the best at both ends."""
     same = F.lower(F.trim(F.regexp_replace("summary", r"\s+", " ")))
-    rows = found.select("query_id", "memory_id", "rank0").join(memories.select("memory_id", "summary"), "memory_id").withColumn("_same", same)
+    found = cut(found.select("query_id", "memory_id", "rank0"), "found")
+    rows = cut(found.join(search.of(memories, found).select("memory_id", "summary"), "memory_id").withColumn("_same", same).drop("summary"), "texts")
     first = rows.groupBy("query_id", "_same").agg(F.min("rank0").alias("rank0"))
     kept = rows.join(first, ["query_id", "_same", "rank0"], "left_semi").drop("_same").withColumnRenamed("rank0", "_r")
     return fusion.u_shape(search.top(kept, 1 << 30, "_r").drop("_r"))

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from loreweave import catalog
 from loreweave.operators import blobs, compress, consolidate, search
-from loreweave.plans import catalog_text
+from loreweave.plans import catalog_text, retrieve
+from loreweave.sources.shared import cut
 
 
 def test_merged_facts_go_through_each_list_once(spark):
@@ -99,3 +101,19 @@ def test_blobs_go_slice_by_slice(spark):
     b = spark.createDataFrame([(hashlib.sha256((x or "").encode()).hexdigest(), x) for x in texts], "hash string, data string").coalesce(1)
     got = blobs.load(blobs.compressed(b)).select("hash", F.length("text").alias("n"), "intact").collect()
     assert sorted((r.hash, r.n, r.intact) for r in got) == sorted((hashlib.sha256((x or "").encode()).hexdigest(), len(x or ""), True) for x in texts)
+
+
+def test_texts_stay_where_they_are(spark):
+    """What was found, once written, goes to the texts: neither a context nor a reranker's terms shuffle all of them."""
+    rng = random.Random(9)
+    m = cut(spark.createDataFrame([(i, "".join(rng.choices("abcdefgh ", k=2000))) for i in range(2000)], "memory_id long, summary string"), "texts")
+    found = cut(spark.createDataFrame([(1, 5, 0), (1, 7, 1)], "query_id long, memory_id long, rank0 long"), "found")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        q = spark.createDataFrame([(1, "abc")], "query_id long, query string")
+        plan = retrieve.lexical_rerank(found.withColumn("score", F.lit(0.0)), q, m)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"BroadcastHashJoin.*LeftSemi", plan)
+        assert sorted(r.memory_id for r in retrieve.context(found, m).collect()) == [5, 7]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
