@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import dates
-from loreweave.functions.stem import Wanted, asked_tokens, stem, tokens
+from loreweave.functions.stem import Wanted, asked_tokens, stem, tokens_of
 from loreweave.functions.text import event_terms, graph_terms, overlap, words_of
 from loreweave.sources.shared import cut
 
@@ -73,30 +72,30 @@ def memory_texts(memories: DataFrame) -> DataFrame:
 
 
 def counted(texts: DataFrame, wanted: frozenset | None, stemming: bool = True) -> DataFrame:
-    """(memory_id, length, hits) of texts (memory_id, text): the number of tokens, and how often those wanted, or all, occur."""
+    """(memory_id, length, hits) of texts (memory_id, text): the number of tokens, and how often those wanted, or all, occur.
+
+    What is done word by word is done once for each distinct word of a slice; tokens are split and counted as arrays.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         wanted, stems = shared.value, {}
         may_have = Wanted(wanted).may_have if wanted is not None and stemming else lambda word: True
         for batch in sliced(batches, "text"):
-            lengths, starts, names, counts = [], [0], [], []
-            for text in batch.column("text").to_pylist():
-                words = tokens(text)
-                lengths.append(len(words))
-                found: Counter = Counter()
-                for word, n in Counter(words).items():
-                    if (x := stems.get(word)) is None:
-                        x = stem(word) if stemming and may_have(word) else word
-                        x = x if wanted is None or x in wanted else ""
-                        if len(stems) < MOST_WORDS:
-                            stems[word] = x
-                    if x:
-                        found[x] += n
-                names += found.keys()
-                counts += found.values()
-                starts.append(len(names))
-            hits = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int32())], ["token", "tf"])
+            at, number, words = tokens_of(batch.column("text"))
+            found = list(map(stems.get, words))  # stems, or nothing of words that aren't wanted
+            for i in [i for i, x in enumerate(found) if x is None]:
+                x = stem(words[i]) if stemming and may_have(words[i]) else words[i]
+                found[i] = x = x if wanted is None or x in wanted else ""
+                if len(stems) < MOST_WORDS:
+                    stems[words[i]] = x
+            names = {x: i for i, x in enumerate(dict.fromkeys(found))}
+            code = np.array([names[x] for x in found], np.int64)[number]
+            pairs, counts = np.unique((at * len(names) + code)[code != names.get("", -1)], return_counts=True)
+            row, name = np.divmod(pairs, max(len(names), 1))
+            hits = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(name)), pa.array(counts, pa.int32())], ["token", "tf"])
+            starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            lengths = np.bincount(at, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("memory_id"), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), hits)], ["memory_id", "length", "hits"])
 
     kind = texts.schema["memory_id"].dataType.simpleString()
@@ -230,7 +229,8 @@ def _top_hits(seen: DataFrame, ready: DataFrame, asked: DataFrame, k: int, by_sc
 def search_project(visible: DataFrame, memories: DataFrame, queries: DataFrame, k: int, project: str | None = None, ready: DataFrame | None = None) -> DataFrame:
     """BM25 hits among visible memories: best score, newest, largest id first. ready: as in bm25."""
     asked = cut(query_tokens(queries), "asked")
-    ready = index(memories, asked) if ready is None else ready
+    if ready is None:  # questions without words, or none, find nothing, so no text is gone through for them
+        ready = index(memories.limit(0) if asked.isEmpty() else memories, asked)
     visible = visible if project is None else visible.where(F.col("project") == project)
     hits = _top_hits(ready.join(visible.select("memory_id", "created_at"), "memory_id"), ready, asked, k, True)
     return top(hits, k, F.desc(F.round("score", 9)), F.desc("created_at"), F.desc("memory_id"))

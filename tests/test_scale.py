@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loreweave import catalog
+from loreweave.functions.stem import stem, tokens, tokens_of
 from loreweave.operators import blobs, compress, consolidate, search
 from loreweave.plans import catalog_text, retrieve
 from loreweave.sources.shared import cut
@@ -67,6 +68,45 @@ def test_counted_over_several_slices(spark):
     assert got == {i: (sum(c.values()), dict(c)) for i, c in want.items()}
 
 
+def test_tokens_of_many_texts():
+    """Texts are split as arrays, as tokens splits each; stems are those of wanted words alone."""
+    texts = ["Café-Crème, X_y 9\u2014z", None, "", " ", "\x00a\x00 a", "Running  runs RAN\nran"]
+    at, number, words = tokens_of(pa.array(texts, pa.string()))
+    assert [[words[n] for i, n in zip(at, number) if i == k] for k in range(len(texts))] == [tokens(x) for x in texts]
+    assert all(len(x) == 0 for x in tokens_of(pa.array([], pa.string())))
+
+
+def test_stems_are_counted_over_several_slices(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abeilst", k=rng.randint(1, 6))) + rng.choice(["", "s", "ed", "ing", "ational", "fulness", "bly", "e", "ll", "é"]) for _ in range(3000)]
+    texts = {i: " ".join(rng.choices(words, k=n)) for i, n in enumerate([120_000, 5, 120_000, 0, 300_000, 1])}
+    df = spark.createDataFrame(list(texts.items()), "memory_id long, text string").coalesce(1)
+    want = {i: Counter(map(stem, tokens(x))) for i, x in texts.items()}
+    some = frozenset(rng.sample(sorted(want[0]), 200))
+    for wanted in (None, some, frozenset()):
+        got = {r.memory_id: (r.length, [(h.token, h.tf) for h in r.hits]) for r in search.counted(df, wanted).collect()}
+        assert {i: (n, dict(h)) for i, (n, h) in got.items()} == {i: (sum(c.values()), {x: n for x, n in c.items() if wanted is None or x in wanted}) for i, c in want.items()}
+        assert all(len(h) == len(dict(h)) for _, h in got.values())
+
+
+def test_a_hop_without_questions_reads_no_text(spark, monkeypatch):
+    """The second hop asks what the first did, so its texts are not gone through; the hops before count all of them."""
+    kept = []
+
+    def cut(df, name="step", plain=search.cut):
+        out = plain(df, name)
+        kept.extend([out.count()] if name == "index" else [])
+        return out
+
+    monkeypatch.setattr(search, "cut", cut)
+    rows = catalog.queries()["multi_hop_search"](spark, "/root/testdata/sf0.001").count()
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert kept == [n, n, 0] and rows > 0
+    words = spark.createDataFrame([(1, "?!")], "query_id long, query string")
+    m = spark.createDataFrame([(1, "p", "s", "a text", "", 5)], "memory_id long, project string, session_id string, summary string, tags string, created_at long")
+    assert search.search_project(m, m, words, 5).collect() == [] and kept[3:] == [0]
+
+
 def test_terms_are_found_within_words(spark):
     """What Held finds is what a text contains, beyond ASCII and with apostrophes too, and no text is shuffled for it."""
     rng = random.Random(5)
