@@ -57,7 +57,7 @@ def graph_terms(c: Column) -> Column:
 def reflection_terms(c: Column) -> Column:
     """Sorted distinct lower-case words of three or more bytes without stop words."""
     tokens = F.filter(F.transform(words_of(c), F.lower), lambda t: (F.octet_length(t) >= 3) & ~t.isin(*TERM_STOPWORDS))
-    return F.array_sort(F.array_distinct(tokens))
+    return F.sort_array(F.array_distinct(tokens))  # by the natural order, without a function that compares
 
 
 def source_terms(c: Column) -> Column:

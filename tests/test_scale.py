@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -157,3 +158,20 @@ def test_texts_stay_where_they_are(spark):
         assert sorted(r.memory_id for r in retrieve.context(found, m).collect()) == [5, 7]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_pairs_are_dealt_by_memories_not_by_terms(spark, monkeypatch):
+    """A memory goes to a few groups, however many terms its prefix has; with more memories than a block has, all blocks meet."""
+    hs = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 3000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["fact"]), pa.array([7]), pa.array([0]), pa.array([hs])], ["kind", "memory_id", "block", "hs"])
+    rows = [r for x in consolidate._dealt(batch, np.full(consolidate.BUCKETS, 9, np.uint8), 0.5) for r in x.to_pylist()]
+    assert len(rows) <= 2 * consolidate.PARTS and {len(r["sketch"]) * 8 for r in rows} == {8 << 11, 8 << 10}
+    assert sum(len(r["codes"]) for r in rows if r["level"] == 11) >= 1000
+    rng = random.Random(5)
+    sets = [set(rng.sample([f"term{i}" for i in range(60)], rng.choice([1, 2, 3, 7, 20, 40]))) for _ in range(90)]
+    monkeypatch.setattr(consolidate, "MOST_ROWS", 4)
+    m = spark.createDataFrame([(i, "fact", " ".join(sorted(s))) for i, s in enumerate(sets)], "memory_id long, kind string, summary string")
+    for t in (0.3, 0.5, 0.8):
+        got = {(r.a, r.b) for r in consolidate.similar_pairs(m, t).collect()}
+        firsts = [i for i, s in enumerate(sets) if s not in sets[:i]]
+        assert got == {(a, b) for b in firsts for a in firsts if a < b and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
