@@ -24,6 +24,10 @@ MOST_TERMS = 50_000
 MOST_TOKENS = 100_000
 #: Words of queries that are sent to every task at once; more are searched block by block.
 MOST_ASKED = 50_000
+#: Dated memories that are sent to every task; with more, terms of texts go to them.
+MOST_DATED = 2_000_000
+#: Pairs of a query and one of its terms that a worker goes through at once.
+MOST_PAIRS = 1 << 20
 #: Bytes of texts that a worker goes through at once.
 SLICE = 1 << 20
 #: Words whose stems a worker remembers.
@@ -317,31 +321,117 @@ def by_year(memories: DataFrame, meta: DataFrame, years: DataFrame, k: int) -> D
     return top(hits, k, F.desc("created_at"), F.desc("memory_id"))
 
 
-def temporal_events(memories: DataFrame, meta: DataFrame, queries: DataFrame, k: int, pool: int = 512) -> DataFrame:
+def temporal_events(memories: DataFrame, meta: DataFrame, queries: DataFrame, k: int, pool: int | None = None) -> DataFrame:
     """Dated memories by shared terms, kind, source and closeness in time; where dates disagree, evidence counts more.
 
-    Only the newest `pool` dated memories are looked at: the bound is part of the signal.
+    All dated memories are looked at; with a pool, only the newest so many of them. Texts stay where they are: what is known of
+    the dated ones, if they are MOST_DATED at most, goes to them, and else the terms of texts that are asked for go to it. What is
+    then shuffled is some 2 * k rows of a query and batch.
     """
     dated = meta.select("memory_id", "event_time", "kind").where("trim(event_time) <> ''")
-    newest = memories.select("memory_id", "created_at").join(dated, "memory_id").orderBy(F.desc("created_at"), F.desc("memory_id")).limit(max(pool, k))
-    # Texts stay where they are: the pool's rows, of which there are at most max(pool, k), go to them.
-    dated = memories.select("memory_id", F.concat_ws(" ", "summary", "tags").alias("text")).join(F.broadcast(newest), "memory_id")
-    dated = dated.select("*", F.coalesce(F.col("text").contains("source:"), F.lit(False)).alias("linked"), dates.event_date(F.col("event_time")).alias("day"))
-    asked = queries.select("query_id", event_terms(F.col("query")).alias("ts"), dates.query_anchor(F.col("query")).alias("anchor")).where(F.size("ts") > 0)
-    # Terms meet by an equality join; the pool is at most max(pool, k) rows.
-    # The terms are exploded where they are made: a filter on a column of them would be moved to all memories.
-    hits = dated.select("memory_id", F.explode(event_terms(F.col("text"))).alias("term")).join(asked.select("query_id", F.explode("ts").alias("term")), "term").groupBy("query_id", "memory_id").agg(F.count("*").alias("n"))
-    rows = hits.join(dated.drop("text"), "memory_id").join(asked, "query_id")
-    part, n = F.col("n") / F.size("ts"), F.col("n")
-    kind = F.when(F.col("kind") == "fact", 4.0).otherwise(1.0)
-    source = F.when(F.col("linked"), 2.0).otherwise(0.0)
+    if pool is not None:
+        dated = memories.select("memory_id", "created_at").join(dated, "memory_id").orderBy(F.desc("created_at"), F.desc("memory_id")).limit(max(pool, k)).drop("created_at")
     exact = F.when(F.length(F.regexp_replace("event_time", "[^0-9]", "")) >= 8, 1.0).otherwise(0.0)
-    rows = rows.withColumn("quality", n * 2.0 + part * 2.0 + kind + source).withColumn("score", n * 10.0 + part * 3.0 + kind + source + exact + dates.proximity(F.col("anchor"), F.col("day")))
+    kind = F.when(F.col("kind") == "fact", 4.0).otherwise(1.0)
+    dated = cut(dated.select("memory_id", kind.alias("kind"), exact.alias("exact"), dates.event_date(F.col("event_time")).alias("day")), "dated")
+    few = dated.count() <= MOST_DATED
+    asked = cut(queries.select("query_id", event_terms(F.col("query")).alias("ts"), dates.query_anchor(F.col("query")).alias("anchor")).where(F.size("ts") > 0), "asked")
+
+    def search(rows: list[Row]) -> DataFrame:
+        words = sorted({r["term"] for r in rows})
+        text = F.concat_ws(" ", "summary", "tags")
+        told = F.when(F.coalesce(F.col("text").contains("source:"), F.lit(False)), 2.0).otherwise(0.0).alias("source")
+        #: Where few terms are left of a text, no filter is set: it would be moved to all memories, and take their terms once more.
+        held = F.filter(event_terms(F.col("text")), lambda x: x.isin(words)).alias("terms")
+        texts = memories.select("memory_id", "created_at", text.alias("text"))
+        if few:
+            found = texts.join(F.broadcast(dated), "memory_id").select("memory_id", "created_at", "kind", "exact", "day", told, held)
+        else:
+            found = cut(texts.select("memory_id", "created_at", told, held), "held").join(dated, "memory_id")
+        return _likely_events(found, rows, words, k)
+
+    hits = cut(in_blocks(asked.select("query_id", F.explode("ts").alias("term"), F.size("ts").alias("size"), "anchor.*"), MOST_ASKED, search), "events")
+    rows = hits.join(asked, "query_id")
+    part, n = F.col("n") / F.size("ts"), F.col("n")
+    rows = rows.withColumn("quality", n * 2.0 + part * 2.0 + F.col("kind") + F.col("source")).withColumn("score", n * 10.0 + part * 3.0 + F.col("kind") + F.col("source") + F.col("exact") + dates.proximity(F.col("anchor"), F.col("day")))
     days = F.size(F.collect_set("day").over(Window.partitionBy("query_id")))
     rows = rows.withColumn("score", F.col("score") + F.when(days > 1, F.col("quality") * 2.0).otherwise(0.0))
     return top(rows.select("query_id", "memory_id", "score", "quality", "created_at"), k, F.desc(F.round("score", 9)), F.desc(F.round("quality", 9)), F.desc("created_at"), "memory_id")
 
 
+def _likely_events(found: DataFrame, rows: list[Row], words: list[str], k: int) -> DataFrame:
+    """(query_id, memory_id, created_at, kind, exact, day, source, n) of what may be among the k best of temporal_events.
+
+    Of each batch of dated memories with the terms they have of `words`, and each query (rows of query_id, term, size, date,
+    precision): the k best, whether dates disagree or not, and the first and the last day, so that it can be told if they do.
+    """
+    place = {x: i for i, x in enumerate(words)}
+    ids = list(dict.fromkeys(r["query_id"] for r in rows))
+    number = {x: i for i, x in enumerate(ids)}
+    uses = np.array(sorted((place[r["term"]], number[r["query_id"]]) for r in rows), np.int64).reshape(-1, 2)
+    by_id = {r["query_id"]: r for r in rows}
+    size = np.array([by_id[x]["size"] for x in ids], float)
+    date = np.array([by_id[x]["date"] for x in ids], "datetime64[D]")
+    precision = np.array([by_id[x]["precision"] or "" for x in ids])
+    shared = found.sparkSession.sparkContext.broadcast((words, np.searchsorted(uses[:, 0], np.arange(len(words) + 1)), uses[:, 1], ids, size, date, precision))
+    columns = ("memory_id", "created_at", "kind", "exact", "day", "source")
+
+    def run(batches):
+        words, starts, queries, ids, size, date, precision = shared.value
+        words = pa.array(words, pa.string())
+
+        def parts(batch):
+            """The batch in slices with some MOST_PAIRS pairs of a query and one of its terms, one row at least."""
+            terms = batch.column("terms")
+            term = pc.index_in(terms.flatten(), words).to_numpy(zero_copy_only=False)
+            pairs = np.append(0, np.cumsum(starts[term + 1] - starts[term]))[np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False), dtype=np.int64))]
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(pairs, pairs[at] + MOST_PAIRS, "right")) - 1)
+                yield batch.slice(at, end - at)
+                at = end
+
+        for batch in (x for batch in batches for x in parts(batch)):
+            memory, created, kind, exact, source = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("memory_id", "created_at", "kind", "exact", "source"))
+            day = batch.column("day").to_numpy(zero_copy_only=False).astype("datetime64[D]")
+            terms = batch.column("terms")
+            at = np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            term = pc.index_in(terms.flatten(), words).to_numpy(zero_copy_only=False)
+            counts = starts[term + 1] - starts[term]
+            asked = queries[np.repeat(starts[term] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+            pairs, n = np.unique(asked * batch.num_rows + np.repeat(at, counts), return_counts=True)
+            q, r = np.divmod(pairs, batch.num_rows)
+            part, near = n / size[q], _proximity(date[q], precision[q], day[r])
+            quality = n * 2.0 + part * 2.0 + kind[r] + source[r]
+            score = n * 10.0 + part * 3.0 + kind[r] + source[r] + exact[r] + near
+            ends = np.searchsorted(q, np.arange(len(ids) + 1))
+            has = np.flatnonzero(~np.isnat(day[r]))
+            by_day = has[np.lexsort((day[r[has]], q[has]))]
+            new = np.flatnonzero(np.diff(q[by_day], prepend=-1))
+            kept = [by_day[new], by_day[np.append(new[1:], len(by_day)) - 1] if len(new) else new]
+            for x in (score, score + quality * 2.0):
+                order = np.lexsort((memory[r], -created[r], -quality, -x, q))
+                worst = x[order[np.minimum(ends[:-1] + k, ends[1:])[q] - 1]] - 1e-8  # scores are compared after rounding
+                new = np.flatnonzero((np.diff(q[order], prepend=-1) != 0) | (np.diff(x[order], prepend=0) != 0) | (np.diff(quality[order], prepend=0) != 0))
+                same = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+                kept.append(order[(x[order] >= worst) & (same < k)])
+            kept = np.unique(np.concatenate(kept))
+            rows = pa.array(r[kept])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q[kept]], pa.int64()), *(batch.column(c).take(rows) for c in columns), pa.array(n[kept], pa.int64())], ["query_id", *columns, "n"])
+
+    kinds = [f"{c} {found.schema[c].dataType.simpleString()}" for c in columns]
+    return found.select(*columns, "terms").mapInArrow(run, ", ".join(["query_id long", *kinds, "n long"]))
+
+
+def _proximity(date: np.ndarray, precision: np.ndarray, day: np.ndarray) -> np.ndarray:
+    """dates.proximity of arrays of days."""
+    (a, b), out = (x.astype("datetime64[M]").astype(np.int64) for x in (date, day)), np.zeros(len(day))
+    years, months = np.abs(a // 12 - b // 12), np.abs(a % 12 - b % 12)
+    for name, near in (("day", 8.0 - np.abs((date - day).astype(np.int64)) / 7.0), ("month", 6.0 - (years * 12 + months)), ("year", 4.0 - years)):
+        out = np.where(precision == name, near, out)
+    return np.where(np.isnat(date) | np.isnat(day), 0.0, np.maximum(out, 0.0))
+
+
 def covered_share(query: Column, text: Column) -> Column:
     """Share of the query's terms that a text holds as substrings; a query without terms asks nothing."""
     terms = event_terms(query)

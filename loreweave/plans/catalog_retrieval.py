@@ -138,7 +138,7 @@ c AS (SELECT query_id, count(DISTINCT day) AS days FROM s GROUP BY 1),
 z AS (SELECT s.*, base + CASE WHEN days > 1 THEN quality * 2.0 ELSE 0.0 END AS score FROM s JOIN c ON c.query_id = s.query_id)
 SELECT query_id, memory_id, round(score, 5) AS score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(quality, 9) DESC, created_at DESC, memory_id) - 1 AS rank0 FROM z) WHERE rank0 < 10""")
 def temporal_event_score(t):
-    hits = search.temporal_events(t("memories"), t("memory_meta"), t("queries"), 10)
+    hits = search.temporal_events(t("memories"), t("memory_meta"), t("queries"), 10, pool=512)
     return hits.select("query_id", "memory_id", F.round("score", 5).alias("score"), "rank0")
 
 

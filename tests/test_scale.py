@@ -175,3 +175,20 @@ def test_near_pairs_are_dealt_by_memories_not_by_terms(spark, monkeypatch):
         got = {(r.a, r.b) for r in consolidate.similar_pairs(m, t).collect()}
         firsts = [i for i, s in enumerate(sets) if s not in sets[:i]]
         assert got == {(a, b) for b in firsts for a in firsts if a < b and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+
+
+def test_events_of_all_dated_memories(spark, monkeypatch):
+    """An old memory is found behind any number of newer dated ones, whichever side is sent to the other; ties and dates are those of all."""
+    rows = [(i, 1000 + i, "alpha beta gamma" if i == 3 else "alpha delta" if i % 2 else "alpha", None) for i in range(700)]
+    m = spark.createDataFrame(rows, "memory_id long, created_at long, summary string, tags string")
+    meta = spark.createDataFrame([(i, "2020-01-01" if i else "2021-05-05", "fact") for i in range(700)], "memory_id long, event_time string, kind string")
+    q = spark.createDataFrame([(1, "alpha gamma beta in 2021"), (2, "delta"), (3, "of the in"), (4, "alpha")], "query_id long, query string")
+    find = lambda **pool: {(r.query_id, r.rank0): (r.memory_id, round(r.score, 6)) for r in search.temporal_events(m, meta, q, 3, **pool).collect()}
+    got = find()
+    # alpha, beta and gamma of four terms, a fact, a whole date, three points for one year apart; twice the quality, since dates disagree.
+    assert got[1, 0] == (3, 3 * 10 + 3 * 0.75 + 4 + 1 + 3 + 2 * (3 * 2 + 2 * 0.75 + 4))
+    assert got[1, 1][0] == 0 and [got[2, i] for i in range(3)] == [(699, 18.0), (697, 18.0), (695, 18.0)]
+    assert [got[4, i] for i in range(3)] == [(699, 18.0 + 2 * 8), (698, 18.0 + 2 * 8), (697, 18.0 + 2 * 8)] and len(got) == 9
+    monkeypatch.setattr(search, "MOST_DATED", 0)
+    assert find() == got
+    assert (1, 0) in find(pool=512) and find(pool=512)[1, 0][0] == 699
