@@ -192,3 +192,15 @@ def test_events_of_all_dated_memories(spark, monkeypatch):
     monkeypatch.setattr(search, "MOST_DATED", 0)
     assert find() == got
     assert (1, 0) in find(pool=512) and find(pool=512)[1, 0][0] == 699
+
+
+def test_greedy_groups_by_blocks(spark, monkeypatch):
+    """Groups are the same in however many blocks memories meet, and terms are written once for members and pairs."""
+    rng = random.Random(11)
+    rows = [(i, "fact", rng.randint(1, 9), " ".join(rng.sample([f"term{j}" for j in range(20)], rng.choice([2, 3, 8])))) for i in range(80)]
+    m = spark.createDataFrame(rows, "memory_id long, kind string, created_at long, summary string")
+    find = lambda: sorted((r.leader, r.memory_ids) for r in consolidate.greedy_groups(m).collect())
+    want, kept = find(), []
+    monkeypatch.setattr(consolidate, "MOST_ROWS", 9)
+    monkeypatch.setattr(consolidate, "cut", lambda df, name="step", plain=consolidate.cut: (kept.append(name), plain(df, name))[1])
+    assert find() == want and len(want) > 3 and kept.count("terms") == 1
